@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from vigilframe import params
 
 
+def bound(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def item(fields: Column, key: str) -> Column:
     """Map value or null, also when the key is missing."""
     return F.try_element_at(fields, F.lit(key))
@@ -136,23 +141,23 @@ def control_context(raw_text: Column, asset: Column) -> Column:
 
 
 def _json_string(text: Column) -> Column:
-    """A JSON string literal with ASCII escapes, as Python's json module writes it."""
-    quoted = F.to_json(F.array(text))
-    body = quoted.substr(F.lit(2), F.length(quoted) - 2)
-    escape = lambda c: F.when(
-        F.ascii(c) < 128, c
-    ).when(
-        F.ascii(c) < 65536, F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(F.ascii(c)), 4, "0")))
-    ).otherwise(
-        F.concat(
-            F.lit("\\u"),
-            F.lower(F.hex(F.floor((F.ascii(c) - 65536) / 1024).cast("bigint") + 55296)),
-            F.lit("\\u"),
-            F.lower(F.hex((F.ascii(c) - 65536) % 1024 + 56320)),
-        )
-    )
-    spelled = F.array_join(F.transform(F.split(body, ""), escape), "")
-    return F.when(body.rlike(r"[^\x00-\x7F]"), spelled).otherwise(body)
+    """A JSON string literal; the array brackets of the encoder are cut off."""
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+
+
+def _ascii_escaped(doc: Column) -> Column:
+    """Non-ASCII characters as lower-case escapes, as Python's json module writes them."""
+
+    def escape(c: Column) -> Column:
+        code = F.ascii(c)
+        low = F.lower(F.lpad(F.hex(code), 4, "0"))
+        lead = F.lower(F.hex(F.floor((code - 65536) / 1024).cast("bigint") + 55296))
+        trail = F.lower(F.hex((code - 65536) % 1024 + 56320))
+        u = F.lit("\\u")
+        return F.when(code < 128, c).when(code < 65536, F.concat(u, low)).otherwise(F.concat(u, lead, u, trail))
+
+    spelled = lambda d: F.array_join(F.transform(F.split(d, ""), escape), "")
+    return bound(doc, lambda d: F.when(d.rlike(r"[^\x00-\x7F]"), spelled(d)).otherwise(d))
 
 
 def canonical_json(fields: Column, numeric: Iterable[str] = ()) -> Column:
@@ -161,14 +166,15 @@ def canonical_json(fields: Column, numeric: Iterable[str] = ()) -> Column:
     ``numeric`` names the keys whose values are written without quotes.
     """
     numeric = list(numeric)
-    entries = F.array_sort(F.map_entries(fields))
-    value = lambda e: (
-        F.when(e["key"].isin(numeric), e["value"]).otherwise(_json_string(e["value"]))
-        if numeric
-        else _json_string(e["value"])
-    )
-    pairs = F.transform(entries, lambda e: F.concat(_json_string(e["key"]), F.lit(": "), value(e)))
-    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+    def pair(e: Column) -> Column:
+        value = _json_string(e["value"])
+        if numeric:
+            value = F.when(e["key"].isin(numeric), e["value"]).otherwise(value)
+        return F.concat(_json_string(e["key"]), F.lit(": "), value)
+
+    pairs = F.transform(F.array_sort(F.map_entries(fields)), pair)
+    return _ascii_escaped(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")))
 
 
 def content_fingerprint(fields: Column, numeric: Iterable[str] = ()) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vigilframe import params
+from vigilframe.functions.records import bound
 
 
 def _literal_replacement(text: str) -> Column:
@@ -41,14 +42,17 @@ def sanitize_map(fields: Column) -> Column:
 
 def first_signature(text: Column, signatures) -> Column:
     """Name of the first signature list with a member inside the lower-cased text."""
-    low = F.lower(text)
-    expr = None
-    for name, words in signatures:
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | low.contains(word)
-        expr = F.when(hit, name) if expr is None else expr.when(hit, name)
-    return expr
+
+    def pick(low: Column) -> Column:
+        expr = None
+        for name, words in signatures:
+            hit = F.lit(False)
+            for word in words:
+                hit = hit | low.contains(word)
+            expr = F.when(hit, name) if expr is None else expr.when(hit, name)
+        return expr
+
+    return bound(F.lower(text), pick)
 
 
 def keys_and_values(fields: Column) -> Column:

@@ -13,18 +13,19 @@ def trust_score(label: Column, table=params.TRUST_TABLE) -> Column:
     """Exact hit, else the first table row where one string holds the other, else 0.
 
     The table is a short fixed list, so the lookup is one expression and needs
-    no join. Very short labels match almost any row; that is kept as it is.
+    no join. The normalised label is bound once, which keeps the expression
+    small when the trust filter is pushed down. Very short labels match almost
+    any row; that is kept as it is.
     """
-    key = records.normalized_label(label)
-    exact, partial = None, None
-    for name, score in table:
-        hit = key == name
-        exact = F.when(hit, F.lit(score)) if exact is None else exact.when(hit, F.lit(score))
-        near = key.contains(name) | F.lit(name).contains(key)
-        partial = F.when(near, F.lit(score)) if partial is None else partial.when(near, F.lit(score))
-    return F.when(key == "", F.lit(params.TRUST_UNKNOWN)).otherwise(
-        F.coalesce(exact, partial, F.lit(params.TRUST_UNKNOWN))
-    )
+    rows = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("score")) for k, v in table])
+    exact = F.create_map(*[F.lit(x) for kv in table for x in kv])
+
+    def score(key: Column) -> Column:
+        near = F.filter(rows, lambda r: F.contains(key, r["key"]) | F.contains(r["key"], key))
+        found = F.coalesce(F.try_element_at(exact, key), F.try_element_at(near, F.lit(1))["score"])
+        return F.when(key == "", F.lit(params.TRUST_UNKNOWN)).otherwise(F.coalesce(found, F.lit(params.TRUST_UNKNOWN)))
+
+    return records.bound(records.normalized_label(label), score)
 
 
 def with_trust(df: DataFrame, label: str = "source") -> DataFrame:

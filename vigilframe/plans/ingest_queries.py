@@ -338,7 +338,7 @@ def json_event_scan(t: Tables) -> DataFrame:
 @query(
     "S-03",
     "WITH q AS (SELECT page_id, regexp_replace(url, '[?&]', ' ', 'g') AS line FROM pages), "
-    r"m AS (SELECT page_id, line, regexp_extract_all(line, '(\w+)=(""[^""]*""|\S+)') AS kv FROM q) ".replace('""', '"')
+    r"""m AS (SELECT page_id, line, regexp_extract_all(line, '(\w+)=("[^"]*"|\S+)') AS kv FROM q) """
     + "SELECT page_id, CASE WHEN len(kv) >= 2 THEN regexp_extract(line, 'page=(\\S+)', 1) END AS page, "
     "CASE WHEN len(kv) >= 2 THEN regexp_extract(line, 'ref=(\\S+)', 1) END AS ref, "
     "CASE WHEN len(kv) < 2 THEN line END AS message FROM m",
@@ -363,7 +363,7 @@ def flattened_values(t: Tables) -> DataFrame:
 
 @query(
     "S-05 P-33",
-    "SELECT doc_id, TRY_CAST(src AS BIGINT) AS as_int, CASE WHEN TRY_CAST(src AS BIGINT) IS NULL THEN TRY_CAST(src AS DOUBLE) END AS as_double, "
+    "SELECT doc_id, CASE WHEN regexp_matches(src, '^[0-9]+$') THEN TRY_CAST(src AS BIGINT) END AS as_int, CASE WHEN NOT regexp_matches(src, '^[0-9]+$') THEN TRY_CAST(src AS DOUBLE) END AS as_double, "
     "CASE WHEN TRY_CAST(src AS DOUBLE) IS NULL THEN src END AS as_text FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CAST(n_chars AS STRING) "
     "WHEN 1 THEN concat(CAST(n_chars AS STRING), '.25') ELSE source END AS src FROM documents)",
 )
