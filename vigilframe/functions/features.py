@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vigilframe import params
+from vigilframe.functions.records import bound
 
 RAW_FEATURES = [
     "bytes", "src_port", "dst_port", "flow_duration", "fwd_packets", "bwd_packets",
@@ -122,17 +123,12 @@ def forest_extras(rec: dict[str, Column], port_entropy: Column, destinations: Co
 
 def text_entropy(text: Column) -> Column:
     """Shannon entropy in bits of the lower-cased characters."""
-    chars = F.filter(F.split(F.lower(text), ""), lambda c: c != "")
-    n = F.length(text)
-    total = F.aggregate(
-        F.transform(
-            F.array_distinct(chars),
-            lambda c: F.size(F.filter(chars, lambda o: o == c)) / n,
-        ),
-        F.lit(0.0),
-        lambda acc, p: acc - p * F.log2(p),
-    )
-    return F.when(n > 0, total).otherwise(F.lit(0.0))
+
+    def bits(chars: Column) -> Column:
+        shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda o: o == c)) / F.size(chars))
+        return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+
+    return bound(F.filter(F.split(F.lower(text), ""), lambda c: c != ""), bits)
 
 
 def signals(rec: dict[str, Column], width: int = 16) -> dict[str, Column]:

@@ -151,19 +151,20 @@ def iocs(text: Column) -> Column:
             values = F.filter(values, lambda v: ~v.rlike(params.PRIVATE_IP_HUNT))
         if kind == "domain":
             values = F.filter(values, lambda v: F.length(v) >= 5)
-        typed = F.transform(
-            values,
-            lambda v, kind=kind, priority=priority: F.struct(
-                F.lit(kind).alias("type"), v.alias("value"), F.lit(priority).alias("priority")
-            ),
+        typed = F.transform(values, _tagged(kind, priority))
+        found = typed if found is None else F.concat(found, typed)
+
+    def first_of_value(all_: Column) -> Column:
+        return F.filter(
+            all_,
+            lambda t, i: ~F.exists(F.slice(all_, 1, i), lambda e: e["value"] == t["value"]),
         )
-        if found is None:
-            found = typed
-        else:
-            earlier = found
-            fresh = F.filter(typed, lambda t: ~F.exists(earlier, lambda e: e["value"] == t["value"]))
-            found = F.concat(earlier, fresh)
-    return found
+
+    return bound(found, first_of_value)
+
+
+def _tagged(kind: str, priority: int):
+    return lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), F.lit(priority).alias("priority"))
 
 
 def public_ips(text: Column) -> Column:

@@ -76,6 +76,12 @@ def marked_membership(df: DataFrame, key: Column, members: DataFrame, member_key
     )
 
 
+def _pieces(text: Column, size: int) -> Column:
+    """All substrings of one length."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
+    return F.coalesce(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))), F.array().cast("array<string>"))
+
+
 def uncovered_by_goals(df: DataFrame, key: str, goals: DataFrame, goal: str, longest: int = 256) -> DataFrame:
     """Rows whose key is in no goal text, ignoring case.
 
@@ -89,9 +95,7 @@ def uncovered_by_goals(df: DataFrame, key: str, goals: DataFrame, goal: str, lon
     low = F.lower(goal)
     pieces = None
     for size in sizes:
-        starts = F.when(F.length(low) >= size, F.sequence(F.lit(1), F.length(low) - size + 1))
-        part = F.transform(starts, lambda i, size=size: F.substring(low, i, size))
-        part = F.coalesce(part, F.array().cast("array<string>"))
+        part = _pieces(low, size)
         pieces = part if pieces is None else F.concat(pieces, part)
     if pieces is None:
         return df

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilframe.functions.records import bound
+
 QUERY_STEP = 1024
 
 
@@ -24,8 +26,12 @@ def l2_norm(vector: Column) -> Column:
 
 def l2_normalized(vector: Column) -> Column:
     """Unit vector; a zero vector stays zero."""
-    norm = l2_norm(vector)
-    return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    return bound(
+        vector,
+        lambda v: bound(
+            l2_norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+        ),
+    )
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,8 +41,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    norms = l2_norm(a) * l2_norm(b)
-    return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
+    return bound(l2_norm(a) * l2_norm(b), lambda n: F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0)))
 
 
 def checked_vectors(df: DataFrame, vector: str, dim: int) -> DataFrame:
@@ -78,13 +83,13 @@ def top_matches(
         F.col(query_id).cast("bigint").alias("query_id"),
         F.col(query_vector).alias("q"),
         F.pmod(F.xxhash64(query_id), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).alias("vb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(v_blocks - 1).cast("bigint"))).alias("vb"),
     )
     v = vectors.select(
         F.col(vector_id).cast("bigint").alias("vector_id"),
         F.col(vector).alias("v"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("bigint").alias("qb"),
-        F.pmod(F.xxhash64(vector_id), F.lit(v_blocks)).cast("int").alias("vb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))).alias("qb"),
+        F.pmod(F.xxhash64(vector_id), F.lit(v_blocks)).alias("vb"),
     )
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
