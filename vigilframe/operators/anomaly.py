@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilframe.operators.running import exact_quantiles, running_moments, time_bucket
 
@@ -127,32 +131,42 @@ def density_scores(df: DataFrame, model: dict) -> DataFrame:
 SIGNAL_NAMES = ["dns", "auth", "process", "network"]
 
 
-def attention_fusion(width: int = 16, heads: int = 4, seed: int = 42):
-    """Pandas UDF: ARRAY of the four signals laid end to end -> fused vector and weights."""
-
-    @F.pandas_udf("struct<fused:array<double>,weights:array<double>>")
-    def fuse(flat: pd.Series) -> pd.DataFrame:
-        head = width // heads
-        rng = np.random.RandomState(seed)
-        wq, wk, wv, wo = (rng.randn(width, width).astype(np.float32) / np.sqrt(head) for _ in range(4))
-        x = np.stack(flat.to_numpy()).astype(np.float64).reshape(len(flat), -1, width)
-        n = x.shape[1]
-        split = lambda m: (x @ m).reshape(len(x), n, heads, head).transpose(0, 2, 1, 3)
-        q, k, v = split(wq), split(wk), split(wv)
-        s = q @ k.transpose(0, 1, 3, 2) / np.sqrt(head)
-        e = np.exp(s - s.max(axis=-1, keepdims=True))
-        a = e / e.sum(axis=-1, keepdims=True)
-        out = (a @ v).transpose(0, 2, 1, 3).reshape(len(x), n, width) @ wo
-        w = a.mean(axis=(1, 2))
-        w = w / w.sum(axis=1, keepdims=True)
-        return pd.DataFrame({"fused": list(out.mean(axis=1)), "weights": list(np.round(w, 4))})
-
-    return fuse
-
-
-def fused_score(fused: Column) -> Column:
-    norm = F.sqrt(F.aggregate(fused, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.least(F.lit(1.0), norm / F.lit(2.0))
+def with_fusion(df: DataFrame, flat: Column, width: int = 16, heads: int = 4, seed: int = 42) -> DataFrame:
+    """Add ``fused``, ``fused_score`` and ``signal_weights`` from the signals laid end to end.
+
+    Scaled dot-product attention with fixed seeded weights, run over Arrow
+    batches; the score is half the length of the fused vector, at most 1.
+    """
+    staged = df.withColumn("_flat", flat)
+    head = width // heads
+    rng = np.random.RandomState(seed)
+    wq, wk, wv, wo = (rng.randn(width, width).astype(np.float32) / np.sqrt(head) for _ in range(4))
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flats = batch.column("_flat")
+            rows = batch.num_rows
+            x = flats.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1, width)
+            n = x.shape[1]
+            q, k, v = ((x @ m).reshape(rows, n, heads, head).transpose(0, 2, 1, 3) for m in (wq, wk, wv))
+            s = q @ k.transpose(0, 1, 3, 2) / np.sqrt(head)
+            e = np.exp(s - s.max(axis=-1, keepdims=True))
+            a = e / e.sum(axis=-1, keepdims=True)
+            fused = ((a @ v).transpose(0, 2, 1, 3).reshape(rows, n, width) @ wo).mean(axis=1)
+            w = a.mean(axis=(1, 2))
+            w = np.round(w / w.sum(axis=1, keepdims=True), 4)
+            score = np.clip(np.linalg.norm(fused, axis=1) / 2.0, 0.0, 1.0)
+            keep = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "_flat"]
+            names = [c for c in batch.schema.names if c != "_flat"]
+            yield pa.RecordBatch.from_arrays(
+                [*keep, pa.array(list(fused), pa.list_(pa.float64())), pa.array(score), pa.array(list(w), pa.list_(pa.float64()))],
+                names=[*names, "fused", "fused_score", "signal_weights"],
+            )
+
+    schema = T.StructType(list(df.schema.fields))
+    for name, kind in (("fused", T.ArrayType(T.DoubleType())), ("fused_score", T.DoubleType()), ("signal_weights", T.ArrayType(T.DoubleType()))):
+        schema = schema.add(name, kind)
+    return staged.mapInArrow(fuse, schema)
 
 
 def behaviour_embedding(inputs: int = 20, hidden: int = 64, outputs: int = 256, seed: int = 42):

@@ -121,7 +121,7 @@ def role_weight(role: Column) -> Column:
     return expr.otherwise(F.lit(params.ROLE_WEIGHTS["UNKNOWN"]))
 
 
-def consensus(votes: DataFrame, proposed: DataFrame) -> DataFrame:
+def consensus(votes: DataFrame, proposed: DataFrame, digits: int = 4) -> DataFrame:
     """Weighted agreement per decision with the proposed correction.
 
     ``votes``: decision_id, analyst_id, role, correction_type, seq; the last
@@ -130,7 +130,7 @@ def consensus(votes: DataFrame, proposed: DataFrame) -> DataFrame:
     last = latest(votes, ["decision_id", "analyst_id"], F.col("seq"))
     weighted = last.withColumn("weight", role_weight(F.col("role"))).join(proposed, "decision_id")
     agree = F.sum(F.when(F.upper("correction_type") == F.upper("target_type"), F.col("weight")).otherwise(F.lit(0.0)))
-    share = F.round(agree / F.sum("weight"), 4)
+    share = F.round(agree / F.sum("weight"), digits)
     low_impact = F.upper(F.first("target_type")) == "CONFIRM"
     out = weighted.groupBy("decision_id", "target_type").agg(
         F.count(F.lit(1)).alias("voters"), share.alias("share"), low_impact.alias("low_impact")

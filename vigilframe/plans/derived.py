@@ -66,7 +66,7 @@ FLOW = {
     "flow_id": "l_orderkey * 10000000 + l_partkey * 10 + l_linenumber",
     "src": "l_suppkey",
     "dst": "l_partkey",
-    "bytes": "l_extendedprice * 10",
+    "bytes": "l_extendedprice * 10 / 7e0",
     "src_port": "1024 + (l_partkey * 37) % 64000",
     "dst_port": "CASE l_suppkey % 8 WHEN 0 THEN 22 WHEN 1 THEN 53 WHEN 2 THEN 80 WHEN 3 THEN 443 WHEN 4 THEN 3389 "
     "WHEN 5 THEN 4444 WHEN 6 THEN 389 ELSE 51000 END",
@@ -80,11 +80,11 @@ FLOW = {
     "l_shipdate": "l_shipdate",
     "hours": "CAST(l_orderkey % 24 AS INT)",
 }
-FLOW_SQL = select_sql("lineitem", {**FLOW, "at": "l_shipdate + to_hours(CAST(l_orderkey % 24 AS INT))"})
+FLOW_SQL = select_sql("lineitem", {**FLOW, "seen_at": "l_shipdate + to_hours(CAST(l_orderkey % 24 AS INT))"})
 
 
 def flows(t: Tables) -> DataFrame:
-    return project(t.lineitem, {**FLOW, "at": "l_shipdate + make_dt_interval(0, CAST(l_orderkey % 24 AS INT), 0, 0)"})
+    return project(t.lineitem, {**FLOW, "seen_at": "l_shipdate + make_dt_interval(0, CAST(l_orderkey % 24 AS INT), 0, 0)"})
 
 
 # -- decisions ----------------------------------------------------------------

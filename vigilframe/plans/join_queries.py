@@ -155,7 +155,7 @@ def routing_statistics(t: Tables) -> DataFrame:
 
 @query(
     "J-07 S-18 F-22",
-    f"""WITH h AS ({d.HYPOTHESIS_SQL}), x AS (SELECT hypothesis_id, confidence,
+    f"""WITH h AS ({d.HYPOTHESIS_SQL}), x AS (SELECT hypothesis_id, confidence + hypothesis_id / 3e7 AS confidence,
       hypothesis_id % 40 IN (SELECT s_suppkey % 40 FROM supplier WHERE s_suppkey % 6 = 0) AS whitelisted,
       c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) AS scanner, hypothesis_id % 11 = 0 AS valid_cert FROM h),
     c1 AS (SELECT *, CASE WHEN whitelisted THEN round(confidence * 8e-1, 6) ELSE confidence END AS k1 FROM x),
@@ -171,7 +171,7 @@ def counter_evidence(t: Tables) -> DataFrame:
     h = enrich.marked_membership(h, F.col("c_nationkey"), scanners, "id", "scanner").withColumn("valid_cert", F.col("hypothesis_id") % 11 == 0)
     checks = {n: F.col(n) for n in ("whitelisted", "scanner", "valid_cert")}
     return h.select(
-        "hypothesis_id", *checks, F.round(scoring.counter_evidence(F.col("confidence"), checks, digits=6), 4).alias("confidence")
+        "hypothesis_id", *checks, F.round(scoring.counter_evidence(F.col("confidence") + F.col("hypothesis_id") / F.lit(3e7), checks, digits=6), 4).alias("confidence")
     )
 
 
@@ -465,7 +465,18 @@ def attribution_votes(t: Tables) -> DataFrame:
     )
 
 
-@query("J-15 S-16 F-28 F-32 U-01")
+_EMBED = "list_resize(list_transform(string_split(substring(text, 1, 384), ''), lambda c: unicode(c) / 128e0), 384, 0e0)"
+
+
+@query(
+    "J-15 S-16 F-28 F-32 U-01",
+    f"""WITH q AS (SELECT s_suppkey AS query_id, concat('Attack GET to /', type, ' from ', ip, ' targeting ', mission, ' criticality ', criticality, ' OT None') AS text FROM ({d.ASSET_SQL})),
+    c AS (SELECT doc_id, concat_ws(' ', nullif(source, ''), nullif(text, '')) AS text, CASE lang WHEN 'en' THEN 9e-1 WHEN 'fr' THEN 85e-2 ELSE 95e-2 END AS trust_weight FROM documents WHERE lang IN ('en', 'fr', 'de')),
+    qe AS (SELECT query_id, {_EMBED} AS e FROM q), ce AS (SELECT doc_id, trust_weight, {_EMBED} AS e FROM c),
+    p AS (SELECT query_id, doc_id, trust_weight, list_cosine_similarity(qe.e, ce.e) AS similarity FROM qe, ce),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, doc_id) AS rank FROM p)
+    SELECT query_id, doc_id, rank, round(similarity, 5) AS similarity, trust_weight FROM r WHERE rank <= 5""",
+)
 def retrieved_documents(t: Tables) -> DataFrame:
     part = lambda lang: t.documents.where(F.col("lang") == lang).select(
         "doc_id", F.col("source").alias("name"), F.col("text").alias("description")
