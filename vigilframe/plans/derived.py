@@ -66,7 +66,7 @@ FLOW = {
     "flow_id": "l_orderkey * 10000000 + l_partkey * 10 + l_linenumber",
     "src": "l_suppkey",
     "dst": "l_partkey",
-    "bytes": "l_extendedprice * 10 / 7e0",
+    "bytes": "l_extendedprice * 7.0710678e0",
     "src_port": "1024 + (l_partkey * 37) % 64000",
     "dst_port": "CASE l_suppkey % 8 WHEN 0 THEN 22 WHEN 1 THEN 53 WHEN 2 THEN 80 WHEN 3 THEN 443 WHEN 4 THEN 3389 "
     "WHEN 5 THEN 4444 WHEN 6 THEN 389 ELSE 51000 END",

@@ -181,15 +181,24 @@ def read_stix(spark: SparkSession, path: str, limit: int = 500) -> tuple[DataFra
     return stix_tables(objects, "pos", limit)
 
 
-def zipped_by_position(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join two files row by row; both sides are numbered in reading order."""
-    spark = left.sparkSession
+def positions(df: DataFrame, name: str = "_row") -> DataFrame:
+    """Number the rows in reading order, from 0.
+
+    The generated id holds the partition and the place inside it; a small table
+    of rows per partition turns it into a global position. Nothing is sorted.
+    """
+    tagged = df.withColumn("_id", F.monotonically_increasing_id())
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    placed = tagged.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # one row per partition
+    return placed.withColumn(name, F.col("_offset") + place).drop("_id", "_part", "_offset")
 
-    def numbered(df: DataFrame) -> DataFrame:
-        rows = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-        return spark.createDataFrame(rows, df.schema.add("_row", "bigint"))
 
-    return numbered(left).join(numbered(right), "_row").drop("_row")
+def zipped_by_position(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join two files row by row, in reading order."""
+    return positions(left).join(positions(right), "_row").drop("_row")
 
 
 PROTOCOL_NUMBERS = {"tcp": 6, "udp": 17, "icmp": 1}
