@@ -69,6 +69,21 @@ def baseline_state(df: DataFrame, asset: str, values: list[str], seed: DataFrame
     return merged
 
 
+def refit_due(history: DataFrame, org: str, at: str, last_fit: DataFrame | None = None, min_rows: int = 100) -> DataFrame:
+    """(org, rows, new_rows, due): does the organisation model need a refit.
+
+    A model is fitted once ``min_rows`` samples exist and again after as many
+    new ones. ``last_fit``: org, fitted_at.
+    """
+    if last_fit is None:
+        joined = history.withColumn("fitted_at", F.lit(None).cast(history.schema[at].dataType))
+    else:
+        joined = history.join(last_fit.select(org, "fitted_at"), org, "left")
+    fresh = F.col("fitted_at").isNull() | (F.col(at) > F.col("fitted_at"))
+    counted = joined.groupBy(org).agg(F.count(F.lit(1)).alias("rows"), F.count_if(fresh).alias("new_rows"))
+    return counted.withColumn("due", F.col("new_rows") >= min_rows)
+
+
 def anomaly_stats(df: DataFrame, score: str = "anomaly_score", flagged: str = "is_anomalous") -> list[Column]:
     """Aggregates of the statistics report."""
     return [

@@ -173,7 +173,7 @@ def attended(nodes: DataFrame, weighted: DataFrame, dim: int) -> DataFrame:
 
 def sampled_neighbours(edges: DataFrame, size: int = 10, seed: int = 42) -> DataFrame:
     """At most ``size`` outgoing edges per node, picked by a hash rank."""
-    rank = Window.partitionBy("src").orderBy(F.xxhash64("src", "dst", F.lit(seed)), "dst")
+    rank = Window.partitionBy("src").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("src").cast("string"), F.col("dst").cast("string"))), "dst")
     return edges.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= size).drop("_rank")
 
 

@@ -121,7 +121,11 @@ def neighbour_means(t: Tables) -> DataFrame:
     return m.select("id", *[F.round(F.element_at("neighbours", i + 1), 6).alias(f"m{i + 1}") for i in range(3)])
 
 
-@query("G-05")
+@query(
+    "G-05",
+    f"""WITH e AS (SELECT concat('s', CAST(s AS STRING)) AS src, concat('p', CAST(p AS STRING)) AS dst FROM ({_E1_SQL})),
+    r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY md5(concat('42|', src, '|', dst)), dst) AS rk FROM e) SELECT src, dst FROM r WHERE rk <= 10""",
+)
 def sampled_neighbours(t: Tables) -> DataFrame:
     return graph.sampled_neighbours(_supply_edges(t).select("src", "dst"), 10)
 
@@ -401,10 +405,10 @@ def stix_relations(t: Tables) -> DataFrame:
 
 @query(
     "S-39",
-    "SELECT l_suppkey AS src, l_partkey AS dst, l_returnflag AS relation, arg_max(l_quantity, l_orderkey * 100 + l_linenumber) AS weight, max(l_orderkey * 100 + l_linenumber) AS seq FROM lineitem GROUP BY 1, 2, 3",
+    "SELECT l_suppkey AS src, l_partkey AS dst, l_returnflag AS relation, arg_max(l_quantity, (l_orderkey * 100 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT)) AS weight, max((l_orderkey * 100 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT)) AS seq FROM lineitem GROUP BY 1, 2, 3",
 )
 def merged_edges(t: Tables) -> DataFrame:
-    e = t.lineitem.selectExpr("l_suppkey AS src", "l_partkey AS dst", "l_returnflag AS relation", "l_quantity AS weight", "l_orderkey * 100 + l_linenumber AS seq")
+    e = t.lineitem.selectExpr("l_suppkey AS src", "l_partkey AS dst", "l_returnflag AS relation", "l_quantity AS weight", "(l_orderkey * 100 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS seq")
     return graph.merged_edges(e, "seq").select("src", "dst", "relation", "weight", "seq")
 
 

@@ -172,6 +172,29 @@ def asset_severity(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "F-36 S-22 S-37",
+    _stats_sql()
+    + ", tot AS (SELECT max(incidents) AS n FROM s WHERE dimension = 'total'), b AS (SELECT string_agg(concat('| ', item, ' | ', CAST(incidents AS STRING), ' | ', printf('%.1f', incidents * 100e0 / n), '% |'), chr(10) ORDER BY incidents DESC, item) AS body "
+    "FROM s, tot WHERE dimension = 'sector') SELECT 'REPORT' AS entry_type, sha256(body) AS content_hash FROM b",
+)
+def report_audit_entry(t: Tables) -> DataFrame:
+    body = report.markdown_table(report.statistics(_incidents(t)), "sector")
+    return body.select(F.lit("REPORT").alias("entry_type"), F.sha2("body", 256).alias("content_hash"))
+
+
+@query(
+    "S-23 P-26",
+    f"SELECT hypothesis_id, state, concat(lower(state), ',', mission_impact) AS tags FROM ({d.HYPOTHESIS_SQL}) WHERE hypothesis_id % 2 = 0",
+)
+def hypothesis_memory(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "memory")
+    h = d.hypotheses(t).select("hypothesis_id", "goal", "state", F.array(F.lower("state"), F.col("mission_impact")).alias("tags"))
+    writers.append(h.where("hypothesis_id % 4 = 0"), path, ["state"])
+    writers.append(h.where("hypothesis_id % 4 = 2"), path, ["state"])
+    return t.spark.read.parquet(path).select("hypothesis_id", "state", F.array_join("tags", ",").alias("tags"))
+
+
 # -- keyed tables --------------------------------------------------------------
 @query(
     "S-25 S-26",

@@ -35,10 +35,10 @@ _RAW_SQL = {
 }
 
 
-@query("F-12 S-05", f"WITH f AS ({d.FLOW_SQL}) SELECT flow_id, " + ", ".join(f"round({e}, 5) AS {n}" for n, e in _RAW_SQL.items()) + " FROM f")
+@query("F-12 S-05", f"WITH f AS ({d.FLOW_SQL}) SELECT flow_id, " + ", ".join(f"round({e}, 9) AS {n}" for n, e in _RAW_SQL.items()) + " FROM f")
 def raw_flow_features(t: Tables) -> DataFrame:
     feats = features.raw_features(_flow_record())
-    return d.flows(t).select("flow_id", *[F.round(c, 5).alias(n) for n, c in feats.items()])
+    return d.flows(t).select("flow_id", *[F.round(c, 9).alias(n) for n, c in feats.items()])
 
 
 _clip = lambda e, lo, hi: f"greatest({lo}, least({hi}, {e}))"
@@ -330,6 +330,17 @@ def sliding_sequences(t: Tables) -> DataFrame:
     return s.select("seq", F.round(F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.element_at("sequence", 1).alias("oldest"), F.element_at("sequence", 10).alias("newest"))
 
 
+@query(
+    "W-09",
+    """WITH f AS (SELECT user_id % 3 = 0 AS fitted, user_id, ts FROM events), c AS (SELECT user_id, count(*) AS rows, count(*) FILTER (NOT fitted OR ts > TIMESTAMP '2024-01-20') AS new_rows FROM f GROUP BY user_id)
+    SELECT user_id, rows, new_rows, new_rows >= 60 AS due FROM c""",
+)
+def baseline_refits(t: Tables) -> DataFrame:
+    e = t.events.select("user_id", "ts")
+    fits = e.where("user_id % 3 = 0").select("user_id").distinct().withColumn("fitted_at", F.lit("2024-01-20").cast("timestamp_ntz"))
+    return anomaly.refit_due(e, "user_id", "ts", fits, min_rows=60)
+
+
 @query(
     "W-06 W-10",
     """SELECT event_id, user_id, row_number() OVER o AS position, row_number() OVER o * 15 AS offset_seconds FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)""",
