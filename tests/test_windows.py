@@ -137,7 +137,11 @@ def test_fusion_equals_a_per_row_twin(spark):
 
 
 def test_behaviour_embedding_is_unit_and_repeatable(spark):
-    df = spark.createDataFrame([([float(i + j) for j in range(20)],) for i in range(5)] + [([0.0] * 20,)], "f array<double>")
-    e = [r[0] for r in df.select(anomaly.behaviour_embedding()("f")).collect()]
+    df = spark.createDataFrame([(i, [float(i + j) for j in range(20)]) for i in range(5)] + [(5, [0.0] * 20)], "i int, f array<double>")
+    e = [r["behaviour"] for r in anomaly.with_embedding(df, F.col("f")).orderBy("i").collect()]
+    rng = np.random.RandomState(42)
+    w1, w2 = (rng.randn(a, b).astype(np.float32) * np.sqrt(2.0 / 276) for a, b in ((20, 64), (64, 256)))
+    want = np.maximum(np.arange(20) @ w1, 0) @ w2
+    assert np.allclose(e[0], want / np.linalg.norm(want), atol=1e-4)
     norms = [np.linalg.norm(v) for v in e]
     assert all(len(v) == 256 for v in e) and np.allclose(norms[:5], 1, atol=1e-5) and norms[5] == 0

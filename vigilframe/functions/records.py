@@ -58,31 +58,48 @@ def source_type(fields: Column) -> Column:
 
 
 def canonical_fields(fields: Column, kind: Column) -> Column:
-    """MAP of canonical names: mapped fields, then same-named ones, nulls dropped."""
-    targets = list(params.CANONICAL_FIELDS)
-    for mapping in params.FIELD_MAPS.values():
-        targets += [t for t in mapping.values() if t not in targets]
-    entries = []
-    for target in targets:
-        choices = []
-        for name, mapping in params.FIELD_MAPS.items():
-            for raw, canonical in mapping.items():
-                if canonical == target:
-                    choices.append(F.when(kind == name, item(fields, raw)))
-        if target in params.CANONICAL_FIELDS:
-            choices.append(item(fields, target))
-        entries.append(F.struct(F.lit(target).alias("key"), F.coalesce(*choices).alias("value")))
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+    """MAP of canonical names: mapped fields, then same-named ones, nulls dropped.
+
+    The mapping tables are one constant map, so a record costs one lookup per
+    field it has.
+    """
+    tables = F.create_map(
+        *[
+            x
+            for name, mapping in params.FIELD_MAPS.items()
+            for x in (F.lit(name), F.create_map(*[F.lit(y) for kv in mapping.items() for y in kv]))
+        ]
+    )
+    canonical = F.array(*[F.lit(c) for c in params.CANONICAL_FIELDS])
+    present = F.filter(F.map_entries(fields), lambda e: e["value"].isNotNull())
+
+    def merged(entries: Column) -> Column:
+        names = F.try_element_at(tables, kind)
+        mapped = F.filter(
+            F.transform(entries, lambda e: F.struct(F.try_element_at(names, e["key"]).alias("key"), e["value"].alias("value"))),
+            lambda e: e["key"].isNotNull(),
+        )
+
+        def with_direct(done: Column) -> Column:
+            taken = F.transform(done, lambda e: e["key"])
+            direct = F.filter(entries, lambda e: F.array_contains(canonical, e["key"]) & ~F.array_contains(taken, e["key"]))
+            return F.concat(done, direct)
+
+        return bound(mapped, with_direct)
+
+    return F.map_from_entries(bound(present, merged))
 
 
 def event_time(fields: Column, as_of: Column) -> Column:
     """Event time from the candidate keys; ``as_of`` where none can be read."""
     raw = first_filled([item(fields, k) for k in params.TIME_KEYS])
     epoch = F.when(raw.rlike(r"^-?\d+(\.\d+)?$"), F.timestamp_seconds(raw.try_cast("double")))
+    # the shape tests spare failed parses, which cost an exception each
+    read = lambda shape, fmt: F.when(raw.rlike(shape), F.try_to_timestamp(raw, F.lit(fmt)))
     return F.coalesce(
-        F.try_to_timestamp(raw, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")),
-        F.try_to_timestamp(raw, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(raw, F.lit("dd/MMM/yyyy:HH:mm:ss Z")),
+        read(r"^\d{4}-\d\d-\d\dT[\d:]{8}Z$", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        read(r"^\d{4}-\d\d-\d\d [\d:]{8}$", "yyyy-MM-dd HH:mm:ss"),
+        read(r"^\d\d/\w{3}/\d{4}:[\d:]{8} ", "dd/MMM/yyyy:HH:mm:ss Z"),
         epoch,
         as_of,
     )
@@ -141,8 +158,10 @@ def control_context(raw_text: Column, asset: Column) -> Column:
 
 
 def _json_string(text: Column) -> Column:
-    """A JSON string literal; the array brackets of the encoder are cut off."""
-    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+    """A JSON string literal; only texts that need escapes go through the encoder."""
+    encoded = F.to_json(F.array(text))
+    plain = ~text.rlike(r'["\\\x00-\x1F]')
+    return F.when(plain, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.substring(encoded, F.lit(2), F.length(encoded) - 2))
 
 
 def _ascii_escaped(doc: Column) -> Column:

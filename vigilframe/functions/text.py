@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe import params
@@ -35,6 +35,27 @@ def sanitize_with_counts(text: Column, rules=params.SANITIZE_RULES) -> Column:
     return F.struct(current.alias("text"), events.alias("events"))
 
 
+def with_sanitized(df: DataFrame, column: str, out: str = "clean", events: str = "events", rules=params.SANITIZE_RULES) -> DataFrame:
+    """Add the cleaned text and ARRAY<STRUCT<rule, occurrences>>, rule by rule.
+
+    Each rule is its own projection, so a text is rewritten once per rule, and
+    matches are only counted where the rule changed something.
+    """
+    staged, steps = df.withColumn("_t0", F.col(column)), []
+    for i, (_, pattern, replacement) in enumerate(rules):
+        staged = staged.withColumn(f"_t{i + 1}", F.regexp_replace(F.col(f"_t{i}"), F.lit(pattern), _literal_replacement(replacement)))
+    for i, (name, pattern, _) in enumerate(rules):
+        changed = ~F.col(f"_t{i}").eqNullSafe(F.col(f"_t{i + 1}"))
+        steps.append(
+            F.when(
+                changed,
+                F.struct(F.lit(name).alias("rule"), F.regexp_count(F.col(f"_t{i}"), F.lit(pattern)).cast("bigint").alias("occurrences")),
+            )
+        )
+    found = F.filter(F.array(*steps), lambda e: e.isNotNull())
+    return staged.withColumn(events, found).withColumn(out, F.col(f"_t{len(rules)}")).drop(*[f"_t{i}" for i in range(len(rules) + 1)])
+
+
 def sanitize_map(fields: Column) -> Column:
     """Sanitise every value of a MAP<STRING,STRING>."""
     return F.transform_values(fields, lambda _, v: sanitize(v))

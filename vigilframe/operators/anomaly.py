@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,18 +183,28 @@ def with_fusion(df: DataFrame, flat: Column, width: int = 16, heads: int = 4, se
     return staged.mapInArrow(fuse, schema)
 
 
-def behaviour_embedding(inputs: int = 20, hidden: int = 64, outputs: int = 256, seed: int = 42):
-    """Pandas UDF: feature array -> unit-length embedding through a fixed two-layer projection."""
+def with_embedding(df: DataFrame, features: Column, hidden: int = 64, outputs: int = 256, seed: int = 42) -> DataFrame:
+    """Add ``behaviour``: a unit-length embedding through a fixed two-layer projection."""
+    staged = df.withColumn("_features", features.cast("array<float>"))
+    names = df.columns
 
-    @F.pandas_udf("array<float>")
-    def embed(features: pd.Series) -> pd.Series:
-        rng = np.random.RandomState(seed)
-        scale = np.sqrt(2.0 / (inputs + outputs))
-        w1 = rng.randn(inputs, hidden).astype(np.float32) * scale
-        w2 = rng.randn(hidden, outputs).astype(np.float32) * scale
-        x = np.stack(features.to_numpy()).astype(np.float32)
-        e = np.maximum(x @ w1, 0) @ w2
-        norm = np.linalg.norm(e, axis=1, keepdims=True)
-        return pd.Series(list(np.divide(e, norm, out=np.zeros_like(e), where=norm > 0).astype(np.float32)))
-
-    return embed
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = None
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            x = batch.column("_features").flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+            if weights is None:
+                rng = np.random.RandomState(seed)
+                scale = np.sqrt(2.0 / (x.shape[1] + outputs))
+                weights = [rng.randn(a, b).astype(np.float32) * np.float32(scale) for a, b in ((x.shape[1], hidden), (hidden, outputs))]
+            e = np.maximum(x @ weights[0], 0) @ weights[1]
+            norm = np.linalg.norm(e, axis=1, keepdims=True)
+            e = np.divide(e, norm, out=np.zeros_like(e), where=norm > 0).astype(np.float32)
+            offsets = pa.array(np.arange(0, (rows + 1) * outputs, outputs, dtype=np.int32))
+            vectors = pa.ListArray.from_arrays(offsets, pa.array(e.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], vectors], names=[*names, "behaviour"])
+
+    schema = T.StructType(list(df.schema.fields)).add("behaviour", T.ArrayType(T.FloatType()))
+    return staged.mapInArrow(embed, schema)

@@ -1,14 +1,15 @@
 """Exact cosine search by blocks, and vector-table helpers.
 
-Both sides are hashed into blocks of bounded size and every (query block,
-vector block) pair is one grouped task that multiplies two matrices. Only the
-best ``k`` per query leave a task; no pair list is ever produced and nothing
-passes through the driver.
+A vector side with a checked row bound is broadcast. A larger one is hashed,
+like the queries, into blocks of bounded size, and every (query block, vector
+block) pair is one grouped task that multiplies two matrices. Only the best
+``k`` per query leave a task; no pair list is ever produced.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,13 +53,47 @@ def checked_vectors(df: DataFrame, vector: str, dim: int) -> DataFrame:
 
 
 def _matrix(column) -> np.ndarray:
-    flat = column.combine_chunks()
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     m = values.reshape(len(flat), -1)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
+def _best(qid: np.ndarray, qm: np.ndarray, vid: np.ndarray, vm: np.ndarray, k: int, exclude_same: bool) -> pa.RecordBatch:
+    """The k best vectors per query; ``vid`` ascends, so ties go to the lower id."""
+    out_q, out_v, out_s, out_r = [], [], [], []
+    for at in range(0, len(qid) if len(vid) else 0, QUERY_STEP):
+        sims = np.round(qm[at : at + QUERY_STEP] @ vm.T, 12)
+        ids = qid[at : at + QUERY_STEP]
+        if exclude_same:
+            sims[ids[:, None] == vid[None, :]] = -np.inf
+        for i, row in enumerate(sims):
+            near = np.arange(len(row))
+            if k < len(row):
+                near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+            near = near[np.argsort(-row[near], kind="stable")][:k]
+            near = near[np.isfinite(row[near])]
+            out_q.append(np.full(len(near), ids[i]))
+            out_v.append(vid[near])
+            out_s.append(row[near])
+            out_r.append(np.arange(1, len(near) + 1))
+    cat = lambda parts, t: np.concatenate(parts).astype(t) if parts else np.empty(0, t)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cat(out_q, np.int64)), pa.array(cat(out_v, np.int64)), pa.array(cat(out_s, np.float64)), pa.array(cat(out_r, np.int64))],
+        names=["query_id", "vector_id", "similarity", "rank"],
+    )
+
+
+def _sorted_side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = table["vector_id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], _matrix(table["v"])[order]
+
+
+MATCH_SCHEMA = "query_id bigint, vector_id bigint, similarity double, rank bigint"
+
+
 def top_matches(
     queries: DataFrame,
     vectors: DataFrame,
@@ -73,54 +108,34 @@ def top_matches(
 ) -> DataFrame:
     """(query_id, vector_id, similarity, rank) of the ``k`` nearest vectors.
 
-    Ties go to the lower vector id. Ids must be BIGINT.
+    Ties go to the lower vector id. Ids must be BIGINT and unique. Up to
+    ``block_rows`` vectors are broadcast and the queries stream past them
+    without a shuffle; beyond that both sides are cut into hashed blocks.
     """
-    n_vec, n_query = vectors.count(), queries.count()
-    v_blocks = max(1, math.ceil(n_vec / block_rows))
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    q_blocks = max(1, math.ceil(n_query / block_rows), min(cores, math.ceil(n_query / QUERY_STEP)))
-    q = queries.select(
-        F.col(query_id).cast("bigint").alias("query_id"),
-        F.col(query_vector).alias("q"),
-        F.pmod(F.xxhash64(query_id), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(v_blocks - 1).cast("bigint"))).alias("vb"),
-    )
-    v = vectors.select(
-        F.col(vector_id).cast("bigint").alias("vector_id"),
-        F.col(vector).alias("v"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))).alias("qb"),
-        F.pmod(F.xxhash64(vector_id), F.lit(v_blocks)).alias("vb"),
-    )
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [], [], []
-        if left.num_rows and right.num_rows:
-            qid = left["query_id"].to_numpy()
-            vid = right["vector_id"].to_numpy()
-            by_id = np.argsort(vid, kind="stable")
-            vid, vm, qm = vid[by_id], _matrix(right["v"])[by_id], _matrix(left["q"])
-            for at in range(0, len(qid), QUERY_STEP):
-                sims = np.round(qm[at : at + QUERY_STEP] @ vm.T, 12)
-                ids = qid[at : at + QUERY_STEP]
-                if exclude_same:
-                    sims[ids[:, None] == vid[None, :]] = -np.inf
-                for i, row in enumerate(sims):
-                    if k < len(row):
-                        edge = np.partition(row, len(row) - k)[len(row) - k]
-                        near = np.flatnonzero(row >= edge)
-                    else:
-                        near = np.arange(len(row))
-                    near = near[np.argsort(-row[near], kind="stable")][:k]
-                    near = near[np.isfinite(row[near])]
-                    out_q.append(np.full(len(near), ids[i]))
-                    out_v.append(vid[near])
-                    out_s.append(row[near])
-        cat = lambda parts, t: np.concatenate(parts).astype(t) if parts else np.empty(0, t)
-        return pa.table({"query_id": cat(out_q, np.int64), "vector_id": cat(out_v, np.int64), "similarity": cat(out_s, np.float64)})
-
-    blocks = (
-        q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb"))
-        .applyInArrow(best, "query_id bigint, vector_id bigint, similarity double")
-    )
+    n_vec = vectors.limit(block_rows + 1).count()
+    q = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(query_vector).alias("q"))
+    v = vectors.select(F.col(vector_id).cast("bigint").alias("vector_id"), F.col(vector).alias("v"))
+    spark = queries.sparkSession
+    if n_vec <= block_rows:
+        side = spark.sparkContext.broadcast(_sorted_side(v.toArrow()) if n_vec else (np.empty(0, np.int64), np.empty((0, 1))))
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vid, vm = side.value
+            for batch in batches:
+                if batch.num_rows and len(vid):
+                    yield _best(batch.column("query_id").to_numpy(zero_copy_only=False), _matrix(batch.column("q")), vid, vm, k, exclude_same)
+
+        return q.mapInArrow(probe, MATCH_SCHEMA)
+    v_blocks, q_blocks = math.ceil(vectors.count() / block_rows), max(1, math.ceil(queries.count() / block_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = q.select("*", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"), every(v_blocks).alias("vb"))
+    right = v.select("*", every(q_blocks).alias("qb"), F.pmod(F.xxhash64("vector_id"), F.lit(v_blocks)).alias("vb"))
+
+    def block(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.Table.from_batches([_best(np.empty(0, np.int64), np.empty((0, 1)), np.empty(0, np.int64), np.empty((0, 1)), k, False)])
+        return pa.Table.from_batches([_best(a["query_id"].to_numpy(), _matrix(a["q"]), *_sorted_side(b), k, exclude_same)])
+
+    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(block, MATCH_SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vector_id")
-    return blocks.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.plans.registry import Tables, project, select_sql
+from vigilframe.session import spread
 
 # -- assets -------------------------------------------------------------------
 ASSET = {
@@ -84,7 +85,7 @@ FLOW_SQL = select_sql("lineitem", {**FLOW, "seen_at": "l_shipdate + to_hours(CAS
 
 
 def flows(t: Tables) -> DataFrame:
-    return project(t.lineitem, {**FLOW, "seen_at": "l_shipdate + make_dt_interval(0, CAST(l_orderkey % 24 AS INT), 0, 0)"})
+    return project(spread(t.lineitem, "l_orderkey"), {**FLOW, "seen_at": "l_shipdate + make_dt_interval(0, CAST(l_orderkey % 24 AS INT), 0, 0)"})
 
 
 # -- decisions ----------------------------------------------------------------
@@ -149,7 +150,7 @@ def texts(t: Tables) -> DataFrame:
     c = t.conversations.select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("text_id"), "text"
     )
-    return d.unionByName(p).unionByName(c)
+    return spread(d, "text_id").unionByName(spread(p, "text_id")).unionByName(spread(c, "text_id"))
 
 
 def trust_sql(label: str, relation: str, keep: str) -> str:

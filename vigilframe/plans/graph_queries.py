@@ -10,7 +10,7 @@ from vigilframe.functions import scoring
 from vigilframe.operators import evaluate, graph, models
 from vigilframe.plans import derived as d
 from vigilframe.plans.registry import Tables, query
-from vigilframe.session import cut_lineage, scratch_path
+from vigilframe.session import cut_lineage, scratch_path, spread
 from vigilframe.sources import graphs, writers
 
 # Suppliers reach parts through their line items, parts reach their brand.
@@ -308,7 +308,7 @@ def temporal_edges(t: Tables) -> DataFrame:
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("from"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("to"),
         F.array(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamps"),
     )
-    docs = l.groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(edge).alias("edges"))).alias("value"))
+    docs = l.select(F.to_json(F.struct(F.array(edge).alias("edges"))).alias("value"))
     doc = docs.select(F.from_json("value", graphs.GRAPH_SCHEMA).alias("g")).select("g.*")
     _, edges = graphs.graph_tables(doc)
     return graphs.temporal_edges(edges, F.lit("1997-01-01").cast("timestamp"))
@@ -436,6 +436,6 @@ def sequence_reconstruction(t: Tables) -> DataFrame:
 
     e = d.events(t).withColumn("v", F.array(F.col("value") / 500, F.hour("ts") / F.lit(23.0), F.get_json_object("props", "$.k").cast("double") / 100))
     seqs = running.sliding_sequences(e, [F.col("micros"), F.col("event_id")], running.time_bucket(F.col("micros"), 86_400), F.col("v"), 10)
-    seqs = cut_lineage(seqs.select("seq", F.flatten("sequence").alias("sequence")))
+    seqs = spread(cut_lineage(seqs.select("seq", F.flatten("sequence").alias("sequence"))), "seq")
     model = models.fit_sequences(seqs, 10, 3, hidden=16, latent=8)
     return models.sequence_scores(seqs, model).select("seq", F.round("sequence_score", 4).alias("sequence_score"))

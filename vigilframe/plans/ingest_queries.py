@@ -10,6 +10,7 @@ from vigilframe.functions import records, text
 from vigilframe.operators import anomaly, enrich, ingest
 from vigilframe.plans import derived as d
 from vigilframe.plans.registry import Tables, query
+from vigilframe.session import spread
 from vigilframe.sources import readers
 
 # SQL spelling of the sanitiser rules for an engine without back-references.
@@ -46,12 +47,12 @@ def _sanitize_sql(source: str, id_col: str) -> str:
 
 @query("F-01", _sanitize_sql(d.TEXTS_SQL, "text_id"))
 def sanitize_texts(t: Tables) -> DataFrame:
-    s = d.texts(t).withColumn("s", text.sanitize_with_counts(F.col("text")))
+    s = text.with_sanitized(d.texts(t), "text")
     return s.select(
         "text_id",
-        F.sha2("s.text", 256).alias("clean_sha"),
-        F.aggregate("s.events", F.lit(0).cast("bigint"), lambda a, e: a + e["occurrences"]).alias("occurrences"),
-        F.size("s.events").cast("bigint").alias("rules_fired"),
+        F.sha2("clean", 256).alias("clean_sha"),
+        F.aggregate("events", F.lit(0).cast("bigint"), lambda a, e: a + e["occurrences"]).alias("occurrences"),
+        F.size("events").cast("bigint").alias("rules_fired"),
     )
 
 
@@ -68,12 +69,12 @@ _INJECTED_SQL = "CASE event_id % 6 " + " ".join(f"WHEN {k} THEN {v}" for k, v in
 @query("F-01", _sanitize_sql(f"SELECT event_id, {_INJECTED_SQL} AS text FROM events", "event_id"))
 def sanitize_attack_strings(t: Tables) -> DataFrame:
     spark_text = _INJECTED_SQL.replace("''", "\\'")
-    s = t.events.select("event_id", F.expr(spark_text).alias("text")).withColumn("s", text.sanitize_with_counts(F.col("text")))
+    s = text.with_sanitized(t.events.select("event_id", F.expr(spark_text).alias("text")), "text")
     return s.select(
         "event_id",
-        F.sha2("s.text", 256).alias("clean_sha"),
-        F.aggregate("s.events", F.lit(0).cast("bigint"), lambda a, e: a + e["occurrences"]).alias("occurrences"),
-        F.size("s.events").cast("bigint").alias("rules_fired"),
+        F.sha2("clean", 256).alias("clean_sha"),
+        F.aggregate("events", F.lit(0).cast("bigint"), lambda a, e: a + e["occurrences"]).alias("occurrences"),
+        F.size("events").cast("bigint").alias("rules_fired"),
     )
 
 
@@ -259,7 +260,8 @@ def _raw_records(t: Tables) -> DataFrame:
     fmt = "date_format(l_shipdate, \"dd/MMM/yyyy:01:02:03 +0000\")"
     shapes[2] = shapes[2].replace(fmt, "concat(date_format(l_shipdate, 'dd/MMM/yyyy'), ':01:02:03 +0000')")
     expr = "CASE l_linenumber % 6 " + " ".join(f"WHEN {k} THEN {v}" for k, v in shapes.items()) + " END"
-    return t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", F.expr(expr).alias("raw"))
+    l = spread(t.lineitem, "l_orderkey")  # noqa: E741
+    return l.select("l_orderkey", "l_partkey", "l_linenumber", F.expr(expr).alias("raw"))
 
 
 _JSON_SQL = {

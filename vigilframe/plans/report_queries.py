@@ -259,16 +259,18 @@ def logs_with_address(t: Tables) -> DataFrame:
 
 @query(
     "J-19",
-    """WITH pick AS (SELECT coalesce(max(CASE WHEN o_custkey = 77 THEN 77 END), max(o_custkey)) AS c FROM orders),
-    x AS (SELECT o_custkey AS incident, CASE WHEN o_orderstatus = 'F' THEN 'reversed' ELSE 'taken' END AS kind, o_orderpriority AS act, o_orderkey FROM orders WHERE o_custkey % 3 = 1)
-    SELECT incident, string_agg(act, '; ' ORDER BY o_orderkey) FILTER (kind = 'taken') AS taken, string_agg(act, '; ' ORDER BY o_orderkey) FILTER (kind = 'reversed') AS reversed FROM x GROUP BY incident""",
+    """WITH pick AS (SELECT coalesce(max(CASE WHEN o_custkey = -77 THEN o_custkey END), arg_max(o_custkey, o_orderkey)) AS c FROM orders),
+    x AS (SELECT o_custkey AS incident, CASE WHEN o_orderstatus = 'F' THEN 'reversed' ELSE 'taken' END AS kind, o_orderpriority AS act, o_orderkey FROM orders)
+    SELECT incident, kind, act AS action, count(*) AS times, incident = (SELECT c FROM pick) AS selected FROM x GROUP BY incident, kind, act""",
 )
 def incident_actions(t: Tables) -> DataFrame:
-    o = t.orders.where("o_custkey % 3 = 1")
-    listed = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("o_orderkey", "o_orderpriority")))), lambda s: s["o_orderpriority"]), "; ")
-    done = F.col("o_orderstatus") == "F"
-    out = o.groupBy(F.col("o_custkey").alias("incident")).agg(listed(~done).alias("taken"), listed(done).alias("reversed"))
-    return out.select("incident", *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("taken", "reversed")])
+    """Actions taken and reversed per incident; an unknown id selects the newest incident."""
+    chosen = t.orders.agg(
+        F.coalesce(F.max(F.when(F.col("o_custkey") == -77, F.col("o_custkey"))), F.max_by("o_custkey", "o_orderkey")).alias("incident")
+    ).withColumn("hit", F.lit(True))
+    kind = F.when(F.col("o_orderstatus") == "F", "reversed").otherwise("taken")
+    counted = t.orders.groupBy(F.col("o_custkey").alias("incident"), kind.alias("kind"), F.col("o_orderpriority").alias("action")).agg(F.count(F.lit(1)).alias("times"))
+    return counted.join(chosen, "incident", "left").select("incident", "kind", "action", "times", F.coalesce("hit", F.lit(False)).alias("selected"))
 
 
 # -- sinks read back -----------------------------------------------------------

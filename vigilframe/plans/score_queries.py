@@ -9,13 +9,14 @@ from vigilframe.functions import features, records, scoring
 from vigilframe.operators import anomaly, audit, evaluate, report, running, tables
 from vigilframe.plans import derived as d
 from vigilframe.plans.registry import Tables, query
+from vigilframe.session import cut_lineage
 
 _DAY = 86_400
 
 
 def _flow_record() -> dict:
     names = ["bytes", "src_port", "dst_port", "flow_duration", "fwd_packets", "bwd_packets", "protocol", "status"]
-    return {**{n: F.col(n).cast("string") for n in names}, "timestamp": F.col("seen_at")}
+    return {**{n: F.col(n) for n in names}, "timestamp": F.col("seen_at")}
 
 
 _RAW_SQL = {
@@ -35,9 +36,15 @@ _RAW_SQL = {
 }
 
 
-@query("F-12 S-05", f"WITH f AS ({d.FLOW_SQL}) SELECT flow_id, " + ", ".join(f"round({e}, 9) AS {n}" for n, e in _RAW_SQL.items()) + " FROM f")
+@query(
+    "F-12 S-05",
+    f"WITH f AS ({d.FLOW_SQL}) SELECT flow_id, "
+    + ", ".join(f"round({f'ln(1 + {e})' if n == 'byte_rate' else e}, 9) AS {n if n != 'byte_rate' else 'log_byte_rate'}" for n, e in _RAW_SQL.items())
+    + " FROM f",
+)
 def raw_flow_features(t: Tables) -> DataFrame:
     feats = features.raw_features(_flow_record())
+    feats["log_byte_rate"] = F.log1p(feats.pop("byte_rate"))
     return d.flows(t).select("flow_id", *[F.round(c, 9).alias(n) for n, c in feats.items()])
 
 
@@ -138,9 +145,9 @@ def fused_signals(t: Tables) -> DataFrame:
 
 @query("F-17 F-12")
 def behaviour_embeddings(t: Tables) -> DataFrame:
-    feats = F.array(*[c.cast("float") for c in features.raw_features(_flow_record()).values()])
-    e = d.flows(t).select("flow_id", anomaly.behaviour_embedding()(feats).alias("e"))
-    return e.select("flow_id", F.size("e").cast("bigint").alias("dim"), F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2"), F.round(F.element_at("e", 1), 4).alias("e1"))
+    feats = F.array(*features.raw_features(_flow_record()).values())
+    e = anomaly.with_embedding(d.flows(t).select("flow_id", feats.alias("f")), F.col("f"))
+    return e.select("flow_id", F.size("behaviour").cast("bigint").alias("dim"), *[F.round(F.element_at("behaviour", i), 4).alias(f"e{i}") for i in (1, 128, 256)])
 
 
 # -- score expressions ---------------------------------------------------------
@@ -396,7 +403,7 @@ def hash_chains(t: Tables) -> DataFrame:
     SELECT user_id, entries, CAST(first_bad_seq AS BIGINT) AS first_bad_seq, first_bad_seq IS NULL AS valid FROM b""",
 )
 def chain_verification(t: Tables) -> DataFrame:
-    log = _event_chain(t)
+    log = cut_lineage(_event_chain(t))
     # two kinds of tampering: a changed payload, and a deleted entry
     log = log.withColumn("payload", F.when((F.col("user_id") % 3 == 0) & (F.col("seq") == 5), F.lit("{}")).otherwise(F.col("payload")))
     log = log.withColumn("prev_hash", F.when((F.col("user_id") % 3 == 1) & (F.col("seq") == 4), F.lit("00")).otherwise(F.col("prev_hash")))
