@@ -71,7 +71,12 @@ def test_attention_sums_to_one_per_destination(spark):
     alpha = graph.attention(n, e, [0.1, 0.2, 0.3], [0.3, -0.2, 0.1])
     sums = [r[0] for r in alpha.groupBy("dst").agg(F.sum("alpha")).select("sum(alpha)").collect()]
     assert np.allclose(sums, 1)
-    assert all(len(r["out"]) == 3 for r in graph.attended(n, alpha, 3).collect())
+    h = {r["id"]: np.array(r["h"]) for r in n.collect()}
+    want = {i: np.zeros(3) for i in h}
+    for r in alpha.collect():
+        want[r["dst"]] = want[r["dst"]] + r["alpha"] * h[r["src"]]
+    got = graph.attended(n, e, [0.1, 0.2, 0.3], [0.3, -0.2, 0.1], 3).collect()
+    assert all(np.allclose(r["out"], want[r["id"]]) for r in got)
 
 
 def test_sampling_is_bounded_and_repeatable(spark):

@@ -69,10 +69,12 @@ def blast_radius(
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """Each edge in both directions."""
-    swap = {"src": "dst", "dst": "src"}
-    back = edges.select(*[F.col(swap.get(c, c)).alias(c) for c in edges.columns])
-    return edges.unionByName(back)
+    """Each edge in both directions, from one pass over the edges."""
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    ways = F.array(
+        F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    )
+    return edges.select(*rest, F.explode(ways).alias("_way")).select("_way.src", "_way.dst", *rest).select(*edges.columns)
 
 
 def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -141,34 +143,51 @@ def node_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(hit, "id", "left").withColumn("label", F.coalesce("_label", F.lit(0)).cast("int")).drop("_label")
 
 
+def _edge_weights(nodes: DataFrame, edges: DataFrame, source_weights, target_weights, slope: float) -> DataFrame:
+    """Edges with ``_x``, the shifted exponential of the leaky-ReLU score, and the source vector ``h``.
+
+    The shift is an upper bound of all scores, from one small aggregate.
+    """
+
+    def half(weights: list[float]) -> Column:
+        terms = [F.element_at("h", i + 1) * F.lit(float(w)) for i, w in enumerate(weights)]
+        return sum(terms[1:], terms[0])
+
+    leaky = lambda c: F.when(c > 0, c).otherwise(c * F.lit(slope))
+    s, t = half(source_weights), half(target_weights)
+    top_s, top_t = nodes.agg(F.max(s), F.max(t)).first()
+    top = float(top_s or 0.0) + float(top_t or 0.0)
+    top = top if top > 0 else top * slope
+    src = nodes.select(F.col("id").alias("src"), s.alias("_s"), "h")
+    dst = nodes.select(F.col("id").alias("dst"), t.alias("_t"))
+    scored = edges.join(src, "src").join(dst, "dst")
+    return scored.withColumn("_x", F.exp(leaky(F.col("_s") + F.col("_t")) - F.lit(top))).drop("_s", "_t")
+
+
 def attention(nodes: DataFrame, edges: DataFrame, source_weights: list[float], target_weights: list[float], slope: float = 0.2) -> DataFrame:
     """Edges with ``alpha``: leaky-ReLU scores, softmax per destination.
 
     ``nodes``: id, h (already projected). The per-destination sum is a partial
     aggregate joined back, so a destination with many edges stays distributed.
     """
-    def half(vector: Column, weights: list[float]) -> Column:
-        terms = [F.element_at(vector, i + 1) * F.lit(float(w)) for i, w in enumerate(weights)]
-        return sum(terms[1:], terms[0])
+    weighted = _edge_weights(nodes, edges, source_weights, target_weights, slope).drop("h")
+    total = weighted.groupBy("dst").agg(F.sum("_x").alias("_sum"))
+    return weighted.join(total, "dst").withColumn("alpha", F.col("_x") / (F.col("_sum") + F.lit(1e-300))).drop("_x", "_sum")
 
-    s = nodes.select(F.col("id").alias("src"), half(F.col("h"), source_weights).alias("_s"))
-    t = nodes.select(F.col("id").alias("dst"), half(F.col("h"), target_weights).alias("_t"))
-    raw = F.col("_s") + F.col("_t")
-    scored = edges.join(s, "src").join(t, "dst").withColumn("_e", F.when(raw > 0, raw).otherwise(raw * F.lit(slope)))
-    top = scored.groupBy("dst").agg(F.max("_e").alias("_top"))
-    shifted = scored.join(top, "dst").withColumn("_x", F.exp(F.col("_e") - F.col("_top")))
-    total = shifted.groupBy("dst").agg(F.sum("_x").alias("_sum"))
-    return shifted.join(total, "dst").withColumn("alpha", F.col("_x") / (F.col("_sum") + F.lit(1e-12))).drop("_s", "_t", "_e", "_top", "_x", "_sum")
-
-
-def attended(nodes: DataFrame, weighted: DataFrame, dim: int) -> DataFrame:
-    """(id, out): attention-weighted sum of the source vectors per destination."""
-    src = nodes.select(F.col("id").alias("src"), "h")
-    sums = weighted.join(src, "src").groupBy(F.col("dst").alias("id")).agg(
-        F.array(*[F.sum(F.col("alpha") * F.element_at("h", i + 1)) for i in range(dim)]).alias("out")
+
+def attended(nodes: DataFrame, edges: DataFrame, source_weights: list[float], target_weights: list[float], dim: int, slope: float = 0.2) -> DataFrame:
+    """(id, out): attention-weighted sum of the source vectors per destination.
+
+    Numerator and denominator come from the same aggregate, so every edge is
+    read once.
+    """
+    weighted = _edge_weights(nodes, edges, source_weights, target_weights, slope)
+    sums = weighted.groupBy(F.col("dst").alias("id")).agg(
+        F.sum("_x").alias("_sum"), *[F.sum(F.col("_x") * F.element_at("h", i + 1)).alias(f"_o{i}") for i in range(dim)]
     )
+    out = F.array(*[F.col(f"_o{i}") / (F.col("_sum") + F.lit(1e-300)) for i in range(dim)])
     zero = F.array(*[F.lit(0.0)] * dim)
-    return nodes.select("id").join(sums, "id", "left").withColumn("out", F.coalesce("out", zero))
+    return nodes.select("id").join(sums.select("id", out.alias("out")), "id", "left").withColumn("out", F.coalesce("out", zero))
 
 
 def sampled_neighbours(edges: DataFrame, size: int = 10, seed: int = 42) -> DataFrame:
@@ -230,7 +249,7 @@ def next_hops(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 def edge_driven_nodes(nodes: DataFrame, edges: DataFrame, edge_limit: int, node_limit: int, edge_order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): the first edges, all their ends, and other nodes up to the limit."""
     kept = edges.orderBy(*edge_order).limit(edge_limit)
-    ends = kept.select(F.col("src").alias("id")).union(kept.select("dst")).distinct()
+    ends = touched_nodes(kept)
     core = nodes.join(ends, "id", "left_semi").withColumn("core", F.lit(True))
     others = nodes.join(ends, "id", "left_anti").withColumn("core", F.lit(False))
     picked = core.unionByName(others).orderBy(F.desc("core"), "id").limit(node_limit)
@@ -284,4 +303,4 @@ def merged_edges(edges: DataFrame, seq: str) -> DataFrame:
 
 
 def touched_nodes(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()

@@ -93,11 +93,12 @@ def running_moments(
     carried = _with_carry(staged, keys, totals, columns)
     local = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     n = F.col("_before_n") + F.count(F.lit(1)).over(local)
-    out = carried.select("*", n.cast("bigint").alias("n"))
+    sums = [n.cast("bigint").alias("n")]
     for v in values:
         gap = F.col(v) - F.col(f"_centre_{v}")
-        out = out.withColumn(f"_s_{v}", F.col(f"_before_s_{v}") + F.sum(gap).over(local))
-        out = out.withColumn(f"_q_{v}", F.col(f"_before_q_{v}") + F.sum(gap * gap).over(local))
+        sums.append((F.col(f"_before_s_{v}") + F.sum(gap).over(local)).alias(f"_s_{v}"))
+        sums.append((F.col(f"_before_q_{v}") + F.sum(gap * gap).over(local)).alias(f"_q_{v}"))
+    out = carried.select("*", *sums)  # one window operator for all sums
     for v in values:
         s, q = F.col(f"_s_{v}"), F.col(f"_q_{v}")
         out = out.withColumn(f"mean_{v}", F.col(f"_centre_{v}") + s / F.col("n"))

@@ -106,8 +106,7 @@ def _vectors(t: Tables) -> DataFrame:
 )
 def graph_attention(t: Tables) -> DataFrame:
     h = _vectors(t)
-    alpha = graph.attention(h, _supply_edges(t).select("src", "dst"), [0.3, -0.2, 0.5], [0.1, -0.4, 0.2])
-    out = graph.attended(h, alpha, 3)
+    out = graph.attended(h, _supply_edges(t).select("src", "dst"), [0.3, -0.2, 0.5], [0.1, -0.4, 0.2], 3)
     return out.select("id", *[F.round(F.element_at("out", i + 1), 5).alias(f"o{i + 1}") for i in range(3)])
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +38,10 @@ def temporal_edges(edges: DataFrame, base: Column) -> DataFrame:
     return rows.where(at.isNotNull()).select("src", "dst", records.elapsed_seconds(at, base).alias("seconds"))
 
 
-def node_table(parts: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
-    """Distinct (id, label, source) over (table, column, label, source) parts."""
-    rows = [df.select(F.col(c).cast("string").alias("id"), F.lit(label).alias("label"), F.lit(source).alias("source")) for df, c, label, source in parts]
-    return reduce(DataFrame.unionByName, rows).distinct()
+def node_table(df: DataFrame, columns: dict[str, str], source: str) -> DataFrame:
+    """Distinct (id, label, source) of several id columns, from one pass."""
+    ids = F.array(*[F.struct(F.col(c).cast("string").alias("id"), F.lit(label).alias("label")) for c, label in columns.items()])
+    return df.select(F.explode(ids).alias("n")).select("n.id", "n.label", F.lit(source).alias("source")).distinct()
 
 
 def capped(df: DataFrame, per: list[str], order: list[Column], limit: int | None) -> DataFrame:
@@ -65,14 +63,14 @@ def split_fields(lines: DataFrame, names: list[str], column: str = "value") -> D
 def lateral_movement(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """time,user,src,dst lines -> sign-in and lateral-movement edges and three node sets."""
     rows = split_fields(lines, ["time", "user", "src", "dst"], column)
-    seconds = F.col("time").try_cast("bigint").alias("time_sec")
-    signed = rows.select(
-        F.col("user").alias("src"), F.col("src").alias("dst"), F.lit("LOGGED_IN_FROM").alias("relation"), seconds,
-        F.lit(None).cast("string").alias("user"), F.lit(None).cast("int").alias("label"),
+    none = F.lit(None)
+    edge = lambda src, dst, relation, user, label: F.struct(
+        F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(relation).alias("relation"),
+        F.col("time").try_cast("bigint").alias("time_sec"), user.cast("string").alias("user"), label.cast("int").alias("label"),
     )
-    moved = rows.select("src", "dst", F.lit("RED_TEAM_LATERAL").alias("relation"), seconds, "user", F.lit(1).alias("label"))
-    nodes = node_table([(rows, "src", "Computer", "LANL"), (rows, "dst", "Computer", "LANL"), (rows, "user", "User", "LANL")])
-    return nodes, signed.unionByName(moved)
+    both = F.array(edge("user", "src", "LOGGED_IN_FROM", none, none), edge("src", "dst", "RED_TEAM_LATERAL", F.col("user"), F.lit(1)))
+    nodes = node_table(rows, {"src": "Computer", "dst": "Computer", "user": "User"}, "LANL")
+    return nodes, rows.select(F.explode(both).alias("e")).select("e.*")
 
 
 FLOW_TEXT_FIELDS = ["time", "duration", "src", "src_port", "dst", "dst_port", "proto", "packets", "bytes"]
@@ -85,7 +83,7 @@ def flow_text(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataF
         "src", "dst", F.lit("FLOW").alias("relation"), F.col("time").try_cast("bigint").alias("time_sec"),
         F.col("proto").alias("protocol"), F.lit(0).alias("label"),
     )
-    return node_table([(rows, "src", "Computer", "LANL_Flow"), (rows, "dst", "Computer", "LANL_Flow")]), edges
+    return node_table(rows, {"src": "Computer", "dst": "Computer"}, "LANL_Flow"), edges
 
 
 def find_column(columns: list[str], candidates: list[str]) -> str | None:
@@ -117,7 +115,7 @@ def flow_table_edges(df: DataFrame, relation: str, source: str, benign: list[str
         F.when(F.lower(text(label, "benign")).isin(benign), 0).otherwise(1).alias("label"),
         F.lit(source).alias("source"),
     ).where("src <> '' AND dst <> ''")
-    return node_table([(rows, "src", "IP", source), (rows, "dst", "IP", source)]), rows
+    return node_table(rows, {"src": "IP", "dst": "IP"}, source), rows
 
 
 def read_flow_directory(spark: SparkSession, path: str, relation: str, source: str, limit_per_file: int | None = None, benign=None):
