@@ -20,8 +20,8 @@ FUNCTIONS = {
     "S-11": "graphs.sensor_chain", "S-12": "graphs.flow_text", "S-13": "graphs.flow_table_edges", "S-14": "graphs.benign_split", "S-15": "graphs.zipped_by_position, training_flows",
     "S-16": "attribution.corpus, readers.read_corpus_file", "S-17": "readers.read_campaigns", "S-18": "readers.id_list", "S-19": "writers.append_by_day", "S-20": "report.telemetry_counters",
     "S-21": "readers.read_jsonl", "S-22": "audit.chained + writers.append", "S-23": "writers.append", "S-24": "audit.promotion + writers.append / readers.read_jsonl",
-    "S-25": "tables.upserted, writers.SwappedTable", "S-26": "tables.upserted", "S-27": "tables.insert_ignored", "S-28": "tables.insert_ignored", "S-29": "tables.insert_ignored, writers.append",
-    "S-30": "tables.reviewed", "S-31": "tables.reviewed, tables.newest", "S-32": "writers.append_log", "S-33": "writers.log_document", "S-34": "route.live, route.cached, tables.without_keys",
+    "S-25": "tables.upserted, writers.SwappedTable", "S-26": "tables.upserted", "S-27": "tables.insert_ignored, security_log_rows", "S-28": "tables.insert_ignored", "S-29": "tables.ingest_rows, writers.append",
+    "S-30": "tables.reviewed", "S-31": "tables.newest_per_key", "S-32": "writers.append_log", "S-33": "writers.log_document", "S-34": "route.live, route.cached, tables.without_keys",
     "S-35": "similarity.checked_vectors, l2_normalized", "S-36": "federation.unexpired, writers.SwappedTable", "S-37": "writers.write_report", "S-38": "writers.write_graph",
     "S-39": "graph.merged_edges, writers.append", "S-40": "features.scaled_features + writers.append", "S-41": "policy.policy_violations, policy.suspended", "S-42": "enrich.with_reputation, records.cache_key",
     "S-43": "streaming.jobs.ingest_stream",
@@ -43,7 +43,7 @@ FUNCTIONS = {
     "W-01": "anomaly.temporal_baseline, running.running_moments", "W-02": "policy.rate_violations, running.trailing_counts", "W-03": "audit.chain_faults, chain_report", "W-04": "audit.chained",
     "W-05": "running.sliding_sequences", "W-06": "running.row_positions, graphs.temporal_edges", "W-07": "tables.latest", "W-08": "audit.version_chain", "W-09": "anomaly.refit_due", "W-10": "report.timeline", "W-11": "graphs.capped",
     "T-01": "tables.newest", "T-02": "tables.newest", "T-03": "graph.next_hops", "T-04": "text.iocs", "T-05": "graph.display_priority", "T-06": "report.top_items", "T-07": "tables.newest, matches_search", "T-08": "evaluate.subsample",
-    "U-01": "attribution.corpus, graphs.node_table", "U-02": "text.iocs, file_hashes", "U-03": "tables.unreviewed", "U-04": "array_union / attribution_vote",
+    "U-01": "attribution.corpus, graphs.node_table", "U-02": "text.iocs, file_hashes", "U-03": "tables.unreviewed", "U-04": "records.appended",
     "F-01": "text.sanitize, with_sanitized, sanitize_map", "F-02": "text.named_entities", "F-03": "text.iocs", "F-04": "text.shareable_entities", "F-05": "text.flatten_json_values", "F-06": "records.content_fingerprint",
     "F-07": "audit.link_hash, records.cache_key", "F-08": "text.screen_output", "F-09": "text.injection_screen", "F-10": "text.stix_pattern, stix_pattern_value", "F-11": "federation.published",
     "F-12": "features.raw_features", "F-13": "features.scaled_features", "F-14": "features.forest_extras", "F-15": "features.signals", "F-16": "anomaly.with_fusion", "F-17": "anomaly.with_embedding", "F-18": "anomaly.density_scores",

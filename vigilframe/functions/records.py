@@ -218,6 +218,11 @@ def expand_embedding(vector: Column, dim: int) -> Column:
     return F.when(zero, F.array_repeat(F.lit(0.0).cast("float"), dim)).otherwise(vector)
 
 
+def appended(ids: Column, new: Column) -> Column:
+    """The list with the id added when it is not there yet."""
+    return F.array_union(F.coalesce(ids, F.array().cast("array<string>")), F.array(new))
+
+
 def technique_category(chain: Column) -> Column:
     """Incident category, the first rule that matches."""
     expr = F.when(chain.isNull() | (F.size(chain) == 0), "Unknown")

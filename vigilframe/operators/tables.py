@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def upserted(changes: DataFrame, key: str, seq: str, mutable: Iterable[str]) -> DataFrame:
@@ -90,6 +91,12 @@ def newest(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return df.orderBy(*order).limit(limit)
 
 
+def newest_per_key(df: DataFrame, keys: list[str], order: list[Column], limit: int) -> DataFrame:
+    """The top rows of every key; the limit is applied per key before the shuffle."""
+    rank = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= limit).drop("_rank")
+
+
 def with_extra(df: DataFrame, extra: str, schema: str) -> DataFrame:
     """Merge extra JSON into the row; a value given there wins."""
     parsed = df.withColumn("_extra", F.from_json(extra, schema))
@@ -99,9 +106,34 @@ def with_extra(df: DataFrame, extra: str, schema: str) -> DataFrame:
     return parsed.drop("_extra")
 
 
-def flat_properties(props: Column) -> Column:
-    """Property map with texts only: strings and numbers as they are, the rest as JSON."""
-    return F.transform_values(props, lambda _, v: v.cast("string"))
+def flat_properties(df: DataFrame, props: str) -> DataFrame:
+    """Property struct -> columns: primitives stay, lists become lists of texts, the rest JSON text."""
+    plain = (T.StringType, T.NumericType, T.BooleanType)
+    cols = []
+    for field in df.schema[props].dataType.fields:
+        value = F.col(props)[field.name]
+        if isinstance(field.dataType, T.ArrayType):
+            value = F.transform(value, lambda v: v.cast("string"))
+        elif isinstance(field.dataType, (T.StructType, T.MapType)):
+            value = F.to_json(value)
+        elif not isinstance(field.dataType, plain):
+            value = value.cast("string")
+        cols.append(value.alias(field.name))
+    return df.select(*[c for c in df.columns if c != props], *cols)
+
+
+def ingest_rows(df: DataFrame) -> DataFrame:
+    """Ingest-event rows ready to append; the trace is kept as its number of steps."""
+    return df.select(
+        "event_id", "source", F.coalesce("trust_score", F.lit(0.0)).alias("trust_score"), F.coalesce("quarantined", F.lit(False)).alias("quarantined"),
+        F.coalesce("flagged", F.lit(False)).alias("flagged"), F.coalesce("anomaly_score", F.lit(0.0)).alias("anomaly_score"),
+        F.greatest(F.size(F.coalesce("trace", F.array().cast("array<string>"))), F.lit(0)).cast("bigint").alias("steps"),
+    )
+
+
+def security_log_rows(df: DataFrame, limit: int = 1000) -> DataFrame:
+    """Security-log rows with the reason cut to the column width."""
+    return df.withColumn("reason", F.substring("reason", 1, limit))
 
 
 def matches_search(columns: list[Column], word: str) -> Column:

@@ -364,7 +364,7 @@ def flattened_values(t: Tables) -> DataFrame:
 
 
 @query(
-    "S-05 P-33",
+    "S-05",
     "SELECT doc_id, CASE WHEN regexp_matches(src, '^[0-9]+$') THEN TRY_CAST(src AS BIGINT) END AS as_int, CASE WHEN NOT regexp_matches(src, '^[0-9]+$') THEN TRY_CAST(src AS DOUBLE) END AS as_double, "
     "CASE WHEN TRY_CAST(src AS DOUBLE) IS NULL THEN src END AS as_text FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CAST(n_chars AS STRING) "
     "WHEN 1 THEN concat(CAST(n_chars AS STRING), '.25') ELSE source END AS src FROM documents)",

@@ -446,7 +446,7 @@ def mission_rules(t: Tables) -> DataFrame:
 
 
 @query(
-    "A-06 U-04",
+    "A-06",
     """WITH x AS (SELECT l_orderkey AS event_id, concat('G', CAST(l_suppkey % 4 AS STRING)) AS actor, 85e-2 * (l_discount + l_extendedprice / 1e6) AS w FROM lineitem WHERE l_suppkey % 5 <> 4
       UNION ALL SELECT o_orderkey, concat('G', CAST(o_custkey % 6 AS STRING)), 8e-1 * (o_orderkey % 97 + 1) / 97e0 FROM orders),
     s AS (SELECT event_id, actor, sum(w) AS w FROM x GROUP BY event_id, actor),

@@ -211,7 +211,7 @@ def upserted_decisions(t: Tables) -> DataFrame:
 
 
 @query(
-    "S-27 S-28 S-29",
+    "S-27 S-28",
     """WITH n AS (SELECT l_orderkey AS k, arg_min(l_suppkey, (l_partkey * 10 + l_linenumber) * 100000 + l_suppkey) AS s FROM lineitem GROUP BY l_orderkey)
     SELECT k, s FROM n WHERE k NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
 )
@@ -222,7 +222,7 @@ def inserted_logs(t: Tables) -> DataFrame:
 
 
 @query(
-    "S-30 W-07 S-31",
+    "S-30 W-07",
     f"""WITH c AS (SELECT l_orderkey AS decision_id, arg_max(l_suppkey, l_partkey * 10 + l_linenumber) AS reviewer_id, arg_max(CASE WHEN l_linenumber % 2 = 0 THEN 'MONITOR' ELSE 'ISOLATE_HOST' END, l_partkey * 10 + l_linenumber) AS new_action
       FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey), d AS ({d.DECISION_SQL})
     SELECT d.decision_id, coalesce(new_action, action_taken) AS action_taken, c.decision_id IS NOT NULL OR human_reviewed AS human_reviewed, c.reviewer_id, CASE WHEN c.decision_id IS NOT NULL THEN 'applied' ELSE status END AS status
@@ -275,7 +275,7 @@ def incident_actions(t: Tables) -> DataFrame:
 
 # -- sinks read back -----------------------------------------------------------
 @query(
-    "S-19 S-20 S-32 S-33",
+    "S-19 S-20 S-32",
     "SELECT strftime(ts, '%Y-%m-%d') AS dt, count(*) AS events, round(sum(value), 2) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1",
 )
 def day_partitioned_log(t: Tables) -> DataFrame:
@@ -323,6 +323,53 @@ def unexpired_indicators(t: Tables) -> DataFrame:
     return federation.unexpired(i, F.lit("2024-01-10 00:00:00").cast("timestamp")).select("doc_id")
 
 
+@query(
+    "P-33",
+    "SELECT doc_id, lang, n_chars, concat(CAST(doc_id AS STRING), ';', CAST(n_chars AS STRING)) AS listed, concat('{\"lang\":\"', lang, '\",\"n\":', CAST(n_chars AS STRING), '}') AS nested FROM documents",
+)
+def flattened_properties(t: Tables) -> DataFrame:
+    props = F.struct("lang", "n_chars", F.array("doc_id", "n_chars").alias("listed"), F.struct("lang", F.col("n_chars").alias("n")).alias("nested"))
+    flat = tables.flat_properties(t.documents.select("doc_id", props.alias("props")), "props")
+    return flat.withColumn("listed", F.array_join("listed", ";"))
+
+
+@query(
+    "S-29 S-27",
+    """SELECT event_id, event_type AS source, 0e0 AS trust_score, user_id % 2 = 0 AS quarantined, false AS flagged, value / 100 AS anomaly_score, event_id % 4 AS steps, length(substring(repeat('x', CAST(800 + event_id % 400 AS INT)), 1, 1000)) AS reason_chars FROM events""",
+)
+def ingest_event_rows(t: Tables) -> DataFrame:
+    trace = F.slice(F.array(*[F.lit(f"step-{i}") for i in range(4)]), 1, (F.col("event_id") % 4).cast("int"))
+    reason = F.expr("repeat('x', CAST(800 + event_id % 400 AS INT))")
+    e = t.events.select(
+        "event_id", F.col("event_type").alias("source"), F.lit(None).cast("double").alias("trust_score"), (F.col("user_id") % 2 == 0).alias("quarantined"),
+        F.lit(None).cast("boolean").alias("flagged"), (F.col("value") / 100).alias("anomaly_score"), trace.alias("trace"), reason.alias("reason"),
+    )
+    cut = tables.security_log_rows(e).select("event_id", F.length("reason").cast("bigint").alias("reason_chars"))
+    return tables.ingest_rows(e).join(cut, "event_id")
+
+
+@query(
+    "S-33",
+    """SELECT event_id AS evidence_id, event_type AS source, concat('asset-', CAST(user_id AS STRING)) AS asset_id, concat('{"method":"', event_type, '","src_ip":"10.0.0.', CAST(user_id % 250 AS STRING), '"}') AS message FROM events""",
+)
+def log_documents(t: Tables) -> DataFrame:
+    e = d.events(t).select(
+        F.col("event_id").alias("evidence_id"), F.col("ts").alias("event_time"), F.col("event_type").alias("source"), "asset_id",
+        F.create_map(F.lit("method"), F.col("event_type"), F.lit("src_ip"), F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string"))).alias("normalized"),
+        F.lit("").alias("content_fingerprint"),
+    )
+    return writers.log_document(e).select("evidence_id", "source", "asset_id", "message")
+
+
+@query(
+    "S-31 T-02",
+    "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 3",
+)
+def newest_reports(t: Tables) -> DataFrame:
+    """The newest reports of every hypothesis."""
+    return tables.newest_per_key(t.orders, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).select("o_custkey", "o_orderkey")
+
+
 # -- evaluation ----------------------------------------------------------------
 _EVAL = {"doc_id": "doc_id", "truth": "quality = 1", "score": "CAST((doc_id * 31) % 101 AS DOUBLE) / 101 * 5e-1 + quality * 3e-1"}
 _EVAL_SQL = "SELECT " + ", ".join(f"{v} AS {k}" for k, v in _EVAL.items()) + " FROM labels"

@@ -230,11 +230,12 @@ def ensemble_scores(t: Tables) -> DataFrame:
 
 
 @query(
-    "F-21 F-25 F-30",
+    "F-21 F-25 F-30 U-04",
     f"""WITH h AS ({d.HYPOTHESIS_SQL}) SELECT hypothesis_id, round(confidence * exp(-2e-2 * (hypothesis_id % 48)), 6) AS decayed,
      round(least(1e0, confidence + hypothesis_id / 3e7 + round(5e-2 + 1e-1 * ((hypothesis_id % 13) / 13e0), 4)), 4) AS hunted,
      round(least(1e0, confidence + hypothesis_id / 3e7 + CASE WHEN hypothesis_id % 4 = 0 THEN 0e0 ELSE least(1e-1 + 5e-2 * (hypothesis_id % 4 - 1), 15e-2) END), 4) AS federated,
-     CASE WHEN 6e-1 > confidence AND 6e-1 >= (hypothesis_id % 10) / 10e0 THEN 'rival-a' WHEN (hypothesis_id % 10) / 10e0 > confidence THEN 'rival-b' ELSE goal END AS primary_goal FROM h""",
+     CASE WHEN 6e-1 > confidence AND 6e-1 >= (hypothesis_id % 10) / 10e0 THEN 'rival-a' WHEN (hypothesis_id % 10) / 10e0 > confidence THEN 'rival-b' ELSE goal END AS primary_goal,
+     supporting + CASE WHEN hypothesis_id % 3 >= supporting THEN 1 ELSE 0 END AS evidence FROM h""",
 )
 def confidence_updates(t: Tables) -> DataFrame:
     h, k = d.hypotheses(t), F.col("hypothesis_id")
@@ -242,11 +243,13 @@ def confidence_updates(t: Tables) -> DataFrame:
         F.struct(F.lit("rival-a").alias("goal"), F.lit(0.6).alias("confidence")),
         F.struct(F.lit("rival-b").alias("goal"), ((k % 10) / F.lit(10.0)).alias("confidence")),
     )
+    linked = F.transform(F.slice(F.array(*[F.lit(i) for i in range(5)]), 1, F.col("supporting").cast("int")), lambda i: i.cast("string"))
     return h.select(
         "hypothesis_id", F.round(scoring.decayed(F.col("confidence"), F.lit(0.02), (k % 48).cast("double")), 6).alias("decayed"),
         scoring.boosted_in_order(F.col("confidence") + k / F.lit(3e7), F.array((k % 13) / F.lit(13.0))).alias("hunted"),
         scoring.boosted(F.col("confidence") + k / F.lit(3e7), scoring.federation_boost(k % 4)).alias("federated"),
         scoring.primary_goal(F.col("goal"), F.col("confidence"), rivals).alias("primary_goal"),
+        F.size(records.appended(linked, (k % 3).cast("string"))).cast("bigint").alias("evidence"),
     )
 
 
