@@ -29,7 +29,7 @@ def test_query(spark, con, name):
 
 def test_entry_runs(spark):
     df = entry.entry(spark)
-    assert df.columns == ["user_id", "events", "anomalous", "night_events", "avg_score", "max_score", "trust_score"] and df.count() > 0
+    assert df.columns == ["user_id", "events", "anomalous", "rewritten", "night_events", "avg_score", "max_score", "trust_score"] and df.count() > 0
 
 
 def test_every_inventory_item_is_covered():

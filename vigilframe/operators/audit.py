@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vigilframe import params
 from vigilframe.operators.running import row_positions
 from vigilframe.operators.tables import latest
+from vigilframe.session import cut_lineage
 
 SEGMENT_ROWS = 100_000
 
@@ -81,7 +82,8 @@ def chained(
     """
     rows = row_positions(df, [key], order, bucket).withColumn("payload", entry_payload(columns))
     rows = rows.select(key, "seq", "payload")
-    rows = rows.withColumn("segment", F.floor((F.col("seq") - 1) / segment_rows).cast("bigint"))
+    # read twice below: by the seals and by the segments
+    rows = cut_lineage(rows.withColumn("segment", F.floor((F.col("seq") - 1) / segment_rows).cast("bigint")))
     staged = rows.join(segment_starts(rows, key, heads), [key, "segment"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in staged.schema.fields if f.name != "start_hash")
     return staged.groupBy(key, "segment").applyInArrow(_chain_segment, schema + ", prev_hash string, entry_hash string")

@@ -117,8 +117,9 @@ def trust_split_counts(t: Tables) -> DataFrame:
     )
 
 
+_ANY_RULE = " OR ".join(f"regexp_matches(note, '{p}')" for p, _ in _RULES_SQL)
 _CRITICAL_EVENTS = (
-    "SELECT e.event_id, e.user_id, e.micros, e.ts, e.value, e.trust_score FROM scored e WHERE trust_score > 0"
+    f"SELECT e.event_id, e.user_id, e.micros, e.ts, e.value, e.trust_score, {_INJECTED_SQL} AS note FROM scored e WHERE trust_score > 0"
 )
 TELEMETRY_SQL = d.trust_sql(
     "source", d.EVENT_SQL,
@@ -128,6 +129,7 @@ TELEMETRY_SQL = d.trust_sql(
     "s AS (SELECT *, CASE WHEN n < 10 THEN CAST(0 AS DOUBLE) ELSE 1 - exp(-abs(value - m) / sqrt(greatest(v, 1e-8)) / 3) END AS score, "
     "CASE WHEN hour(ts) >= 9 AND hour(ts) < 18 THEN 'business_hours' WHEN hour(ts) >= 18 AND hour(ts) < 23 THEN 'off_hours' ELSE 'night' END AS tod FROM w) "
     "SELECT user_id, count(*) AS events, CAST(sum(CAST(score >= 0.5 AS INT)) AS BIGINT) AS anomalous, "
+    f"count(*) FILTER ({_ANY_RULE}) AS rewritten, "
     "CAST(sum(CAST(tod = 'night' AS INT)) AS BIGINT) AS night_events, round(avg(score), 6) AS avg_score, "
     "round(max(score), 6) AS max_score, round(max(trust_score), 4) AS trust_score FROM s GROUP BY user_id",
 )
@@ -136,13 +138,15 @@ TELEMETRY_SQL = d.trust_sql(
 @query("F-01 P-01 P-02 P-03 P-04 P-12 P-14 W-01 A-05", TELEMETRY_SQL)
 def telemetry_screening(t: Tables) -> DataFrame:
     """Flagship: screen and split events, score against running baselines, summarise per asset."""
-    clean = d.events(t).withColumn("props", text.sanitize(F.col("props")))
-    passed, _ = ingest.trust_split(ingest.with_trust(clean))
-    slim = passed.select("event_id", "user_id", "micros", "ts", "value", "trust_score")
+    events = d.events(t).withColumn("note", F.expr(_INJECTED_SQL.replace("''", "\\'")))
+    passed, _ = ingest.trust_split(ingest.with_trust(events))
+    changed = text.sanitize(F.col("note")) != F.col("note")
+    slim = passed.select("event_id", "user_id", "micros", "ts", "value", "trust_score", changed.alias("changed"))
     scored = anomaly.temporal_baseline(slim, "user_id", "micros", "event_id", ["value"])
     return scored.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("temporal_score") >= 0.5).alias("anomalous"),
+        F.count_if("changed").alias("rewritten"),
         F.count_if(records.time_of_day(F.col("ts")) == "night").alias("night_events"),
         F.round(F.avg("temporal_score"), 6).alias("avg_score"),
         F.round(F.max("temporal_score"), 6).alias("max_score"),

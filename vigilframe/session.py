@@ -75,9 +75,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give costly per-row work all cores when the input has too few splits.
 
-    A large input has far more splits than there are cores and is left alone.
+    A large input has far more splits than there are cores and is left alone, as
+    is a plan that shuffles anyway.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
