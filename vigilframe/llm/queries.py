@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilframe.llm.jaccard import jaccard_components
+from vigilframe.llm.licenses import KNOWN_LICENSES, canonical_sql, license_scan
+from vigilframe.llm.lines import MIN_WORDS, without_repeats
+from vigilframe.llm.quality import RULES, STOP_WORDS, quality_rules, verdict
 from vigilframe.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +30,83 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, links from 90 %."""
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"
+    ).withColumn("failed_rules", F.array_join("failed_rules", ","))
+
+
+_SPACE_CLASS = r"[\x20\x09-\x0D]"
+_STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+_FAILED = ", ".join(f"CASE WHEN NOT ({verdict((r,))}) THEN '{r.name}' END" for r in RULES)
+
+ORACLE_SQL["op2_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
+w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+wc AS (SELECT rid, count(*) AS n_words, count(*) FILTER (lower(word) IN ({_STOPS})) AS n_stop_words FROM w GROUP BY rid),
+t AS (SELECT rid, i, word || ' ' || lead(word) OVER p || ' ' || lead(word, 2) OVER p AS g FROM w WINDOW p AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM t WHERE g IS NOT NULL) WHERE n > 1),
+rw AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS o(k) GROUP BY rid),
+l AS (SELECT rid, line FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lc AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+    count(*) FILTER (ends_with(line, '...') OR ends_with(line, '…')) AS n_ellipsis_lines, count(*) FILTER (left(line, 1) IN ('-', '*', '•')) AS n_bullet_lines
+    FROM l GROUP BY rid),
+m AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, length(regexp_replace(text, '{_SPACE_CLASS}', '', 'g')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_stop_words, 0) AS n_stop_words, coalesce(n_lines, 0) AS n_lines,
+    coalesce(n_ellipsis_lines, 0) AS n_ellipsis_lines, coalesce(n_bullet_lines, 0) AS n_bullet_lines
+    FROM d LEFT JOIN wc USING (rid) LEFT JOIN rw USING (rid) LEFT JOIN lc USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {verdict(RULES)} AS kept,
+    concat_ws(',', {_FAILED}) AS failed_rules FROM b
+"""
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of five words or more, normalised; what is cut is given as spans of the original text."""
+    out = without_repeats(table(spark, sf_dir, "documents"), "line", MIN_WORDS)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["begin"], s["end"])), ",")
+    return out.select("doc_id", F.size("spans").cast("long").alias("n_removed"), spans.alias("removed"), "text")
+
+
+ORACLE_SQL["op8_line_dedup"] = f"""
+WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+u AS (SELECT doc_id, unnest(parts) AS unit, generate_subscripts(parts, 1) AS place FROM p),
+s AS (SELECT *, sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(unit) - 1 AS b,
+    len(regexp_extract_all(unit, '[^\x20\x09-\x0D]+')) >= {MIN_WORDS} AS counted, trim(regexp_replace(lower(unit), '{_SPACE_CLASS}+', ' ', 'g')) AS form FROM u),
+k AS (SELECT *, counted AND row_number() OVER (PARTITION BY counted, form ORDER BY doc_id, place) > 1 AS gone FROM s),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(CAST(CAST(b AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(b AS BIGINT) + length(unit) AS VARCHAR), ',' ORDER BY place) FILTER (gone), '') AS removed,
+    coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (NOT gone), '') AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, n_removed, removed, CASE WHEN text IS NULL THEN NULL ELSE kept END AS text FROM g JOIN documents USING (doc_id)
+"""
+
+
+@query
+def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_REPLACE = "regexp_replace({}, '{}', '{}', 'g')"
+_KNOWN = ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in KNOWN_LICENSES)
+
+ORACLE_SQL["op10_license_digests"] = f"""
+WITH known AS (SELECT {canonical_sql("body", _REPLACE)} AS form, min(license_id) AS license_id FROM (VALUES {_KNOWN}) AS v(license_id, body) GROUP BY 1),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p AS (SELECT doc_id, 'text' AS kind, 0 AS place, text AS unit FROM d
+    UNION ALL SELECT doc_id, 'paragraph', i - 1, x FROM (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM
+        (SELECT doc_id, regexp_split_to_array(text, '\n[ \t\r]*\n') AS a FROM d) WHERE len(a) > 1)
+    UNION ALL SELECT doc_id, 'line', i - 1, x FROM (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM
+        (SELECT doc_id, string_split(text, chr(10)) AS a FROM d) WHERE len(a) > 1)),
+f AS (SELECT doc_id, kind, place, {canonical_sql("unit", _REPLACE)} AS form FROM p)
+SELECT doc_id, license_id, bool_or(kind = 'text') AS whole_text, count(*) AS n_units, CAST(min(CASE WHEN kind = 'line' THEN place END) AS BIGINT) AS first_line
+FROM f JOIN known USING (form) WHERE form <> '' GROUP BY doc_id, license_id
+"""
