@@ -11,6 +11,7 @@ from vigilframe.llm.jaccard import jaccard_components
 from vigilframe.llm.licenses import KNOWN_LICENSES, canonical_sql, license_scan
 from vigilframe.llm.lines import MIN_WORDS, without_repeats
 from vigilframe.llm.quality import RULES, STOP_WORDS, quality_rules, verdict
+from vigilframe.llm.toxicity import held_out, toxicity_scores, trained, training_labels
 from vigilframe.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +111,12 @@ f AS (SELECT doc_id, kind, place, {canonical_sql("unit", _REPLACE)} AS form FROM
 SELECT doc_id, license_id, bool_or(kind = 'text') AS whole_text, count(*) AS n_units, CAST(min(CASE WHEN kind = 'line' THEN place END) AS BIGINT) AS first_line
 FROM f JOIN known USING (form) WHERE form <> '' GROUP BY doc_id, license_id
 """
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labels outside the held-out fold, scored over every text."""
+    docs = table(spark, sf_dir, "documents")
+    model = trained(docs, training_labels(table(spark, sf_dir, "labels")))
+    out = toxicity_scores(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
