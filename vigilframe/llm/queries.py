@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from vigilframe.llm.jaccard import jaccard_components
 from vigilframe.llm.licenses import KNOWN_LICENSES, canonical_sql, license_scan
 from vigilframe.llm.lines import MIN_WORDS, without_repeats
+from vigilframe.llm.mixing import mixed
+from vigilframe.llm.packing import packed
 from vigilframe.llm.quality import RULES, STOP_WORDS, quality_rules, verdict
 from vigilframe.llm.toxicity import held_out, toxicity_scores, trained, training_labels
 from vigilframe.session import configure
@@ -120,3 +122,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = trained(docs, training_labels(table(spark, sf_dir, "labels")))
     out = toxicity_scores(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains of the label table, posteriors of every text, rates that match the target weights at the words there are."""
+    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))

@@ -20,7 +20,9 @@ BITS = 20
 SAMPLE_PER_CLASS = 4000
 # Terms that enter the model: the most by how far they set the classes apart, least sample texts with such a term, least z score.
 TERMS, LEAST_TEXTS, LEAST_APART = 2048, 5, 6.5
-RANK, ROUNDS, STEP, PENALTY = 8, 150, 0.1, 1e-4
+RANK, ROUNDS, STEP = 8, 150, 0.1
+# Decay of linear and of pair weights.
+DECAY_W, DECAY_V = 1e-3, 1e-4
 THRESHOLD = 0.7
 
 
@@ -111,7 +113,7 @@ def fit(sample: list[tuple[int, np.ndarray]], positives: int, negatives: int, se
         z = bias + x @ w + ((xv**2).sum(axis=1) - (x @ (v * v)).sum(axis=1)) / 2
         g = (weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)).astype(np.float32)
         back = x.T @ g
-        steps = (back + PENALTY * w / 10, x.T @ (g[:, None] * xv) - back[:, None] * v + PENALTY * v, float(g.sum()))
+        steps = (back + DECAY_W * w, x.T @ (g[:, None] * xv) - back[:, None] * v + DECAY_V * v, float(g.sum()))
         for i, s in enumerate(steps):
             squares[i] = squares[i] + s * s
         w = w - STEP * steps[0] / np.sqrt(squares[0])
