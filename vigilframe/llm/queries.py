@@ -11,6 +11,7 @@ from vigilframe.llm.jaccard import jaccard_components
 from vigilframe.llm.licenses import KNOWN_LICENSES, canonical_sql, license_scan
 from vigilframe.llm.lines import MIN_WORDS, without_repeats
 from vigilframe.llm.mixing import mixed
+from vigilframe.llm.neighbours import nearest
 from vigilframe.llm.packing import packed
 from vigilframe.llm.quality import RULES, STOP_WORDS, quality_rules, verdict
 from vigilframe.llm.toxicity import held_out, toxicity_scores, trained, training_labels
@@ -133,3 +134,10 @@ def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: rows whose vec_id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors.where(F.col("vec_id") % 20 == 0), vectors, 20)
