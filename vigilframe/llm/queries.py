@@ -15,6 +15,7 @@ from vigilframe.llm.neighbours import nearest
 from vigilframe.llm.packing import packed
 from vigilframe.llm.quality import RULES, STOP_WORDS, quality_rules, verdict
 from vigilframe.llm.toxicity import held_out, toxicity_scores, trained, training_labels
+from vigilframe.llm.warc import archived
 from vigilframe.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +142,24 @@ def op1_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries: rows whose vec_id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors.where(F.col("vec_id") % 20 == 0), vectors, 20)
+
+
+@query
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record and read back; equal payloads are revisits whatever their length."""
+    out = archived(spark, table(spark, sf_dir, "pages"), least_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+ORACLE_SQL["op4_warc_archives"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+s AS (SELECT page_id, html, first, sha1(html) AS hex FROM p JOIN f USING (html)),
+g AS (SELECT page_id, generate_series AS k,
+    CAST(('0x' || substr(hex, CAST(5 * generate_series + 1 AS INTEGER), 5)) AS INTEGER) AS v FROM s, generate_series(0, 7)),
+b AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 15) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 10) % 32 + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 5) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v % 32 + 1, 1), '' ORDER BY k) AS payload_digest
+    FROM g GROUP BY page_id)
+SELECT page_id, strlen(html) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS problem FROM s JOIN b USING (page_id)
+"""
