@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from vigilframe.llm.jaccard import jaccard_components
+from vigilframe.llm.language import languages
 from vigilframe.llm.licenses import KNOWN_LICENSES, canonical_sql, license_scan
 from vigilframe.llm.lines import MIN_WORDS, without_repeats
 from vigilframe.llm.mixing import mixed
@@ -163,3 +166,14 @@ b AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >
 SELECT page_id, strlen(html) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
     CASE WHEN page_id <> first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS problem FROM s JOIN b USING (page_id)
 """
+
+
+@query
+def op6_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, with a text model of the languages that documents name."""
+    return languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
