@@ -89,11 +89,12 @@ PACKED = "part int, ord int, tokens binary, size int, owner binary, keys binary,
 
 def _packed(part, order, token, key, slack, last, count=None) -> Iterator[pa.RecordBatch]:
     """One row per part: sorted tokens as differences, who holds them, and each holder once."""
+    if not len(part):
+        return
     sort = np.lexsort((key, token, part))
     part, token, key, slack, last = part[sort], token[sort], key[sort], slack[sort], last[sort]
     count = None if count is None else count[sort]
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-    out = []
+    starts, out = np.flatnonzero(np.diff(part, prepend=-1)), []
     for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
         holders, at, owner = np.unique(key[a:b], return_index=True, return_inverse=True)
         out.append({

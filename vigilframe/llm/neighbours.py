@@ -211,7 +211,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, count: int = 20, search: Sea
                     continue
                 at = np.repeat(a[full] - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 found, first = np.unique(ident[at], return_index=True)
-                score = x[at[first]] @ np.frombuffer(raw, np.float64)
+                # Row by row, so that a score does not depend on the rows around it.
+                score = np.einsum("ij,j->i", x[at[first]], np.frombuffer(raw, np.float64))
                 best = _best(score, found, count + 1)
                 out.append((np.full(len(best), q), found[best], score[best]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
