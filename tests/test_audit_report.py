@@ -9,7 +9,7 @@ import numpy as np
 
 def chain(spark, n=25, segment=1000, parts=3):
     df = spark.range(n).select(F.lit("t").alias("tenant"), (F.col("id") * 7 % n).alias("at"), F.col("id").alias("v")).repartition(parts)
-    return audit.chained(df, "tenant", [F.col("at")], F.floor(F.col("at") / 5), ["at", "v"], segment_rows=segment)
+    return audit.chained(df, "tenant", [F.col("at")], F.floor(F.col("at") / segment), ["at", "v"])
 
 
 def test_short_chain_is_linear(spark):
@@ -51,11 +51,25 @@ def test_sealed_segments_notice_a_rewritten_segment(spark):
     log.unpersist()
 
 
-def test_chain_continues_from_head(spark):
-    heads = spark.createDataFrame([("t", "abc")], "tenant string, head_hash string")
-    df = spark.range(3).select(F.lit("t").alias("tenant"), F.col("id").alias("at"))
-    first = audit.chained(df, "tenant", [F.col("at")], F.lit(0), ["at"], heads=heads).orderBy("seq").first()
-    assert first["prev_hash"] == "abc"
+@pytest.mark.parametrize("cuts", [(4, 11), (5, 10), (1, 24)])
+def test_chain_built_in_appends_is_the_chain_built_at_once(spark, folder, cuts):
+    once = {tuple(r) for r in chain(spark, segment=5).select("seq", "segment", "payload", "prev_hash", "entry_hash").collect()}
+    df = spark.range(25).select(F.lit("t").alias("tenant"), (F.col("id") * 7 % 25).alias("at"), F.col("id").alias("v"))
+    log = None
+    for low, high in zip((0, *cuts), (*cuts, 25)):
+        part = df.where(F.col("at").between(low, high - 1))
+        audit.chained(part, "tenant", [F.col("at")], F.floor(F.col("at") / 5), ["at", "v"], log).write.mode("append").parquet(folder + "/log")
+        log = spark.read.parquet(folder + "/log")
+    assert {tuple(r) for r in log.select("seq", "segment", "payload", "prev_hash", "entry_hash").collect()} == once
+    assert audit.chain_report(log, "tenant").first()["valid"]
+
+
+def test_late_entry_counts_to_the_open_segment(spark):
+    log = spark.createDataFrame(chain(spark, segment=5).collect())
+    late = spark.createDataFrame([("t", 3, 99)], "tenant string, at long, v long")
+    new = audit.chained(late, "tenant", [F.col("at")], F.floor(F.col("at") / 5), ["at", "v"], log)
+    assert [(r["seq"], r["segment"]) for r in new.collect()] == [(26, 4)]
+    assert audit.chain_report(log.unionByName(new), "tenant").first()["valid"]
 
 
 def test_consensus(spark):

@@ -37,7 +37,7 @@ def test_hot_key_rows_are_in_many_tasks(spark, no_small_data_shortcuts):
 
 
 def test_chain_segments_are_in_many_tasks(spark, no_small_data_shortcuts):
-    log = audit.chained(hot(spark), "asset", [F.col("id")], F.floor(F.col("id") / 100), ["id"], segment_rows=100)
+    log = audit.chained(hot(spark), "asset", [F.col("id")], F.floor(F.col("id") / 100), ["id"])
     assert tasks_of(log, "hot") >= 4 and audit.chain_report(log, "asset").where("NOT valid").count() == 0
 
 

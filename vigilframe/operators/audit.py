@@ -13,9 +13,6 @@ from vigilframe.operators.running import row_positions
 from vigilframe.operators.tables import latest
 from vigilframe.session import cut_lineage
 
-SEGMENT_ROWS = 100_000
-
-
 def entry_payload(columns: list[str]) -> Column:
     """The text of an entry that is hashed together with the previous hash."""
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]))
@@ -50,6 +47,7 @@ def segment_starts(rows: DataFrame, key: str, heads: DataFrame | None = None) ->
 
     A segment's seal covers the ordered digests of its entries, and the starts
     chain the seals: one short row per segment goes through a task per key.
+    ``heads`` (key, head_hash) gives the start of each key's first segment.
     """
     digest = F.sha2(F.concat_ws("|", F.col("seq").cast("string"), F.col("payload")), 256)
     ordered = F.array_sort(F.collect_list(F.struct(F.col("seq"), digest.alias("digest"))))
@@ -64,27 +62,34 @@ def segment_starts(rows: DataFrame, key: str, heads: DataFrame | None = None) ->
     return seals.groupBy(key).applyInArrow(_chain_starts, f"`{key}` {kind}, segment bigint, start_hash string")
 
 
-def chained(
-    df: DataFrame,
-    key: str,
-    order: list[Column],
-    bucket: Column,
-    columns: list[str],
-    segment_rows: int = SEGMENT_ROWS,
-    heads: DataFrame | None = None,
-) -> DataFrame:
-    """Append-ready log: seq, payload, prev_hash and entry_hash per chain key.
-
-    Up to ``segment_rows`` entries form one linear chain, each entry hashing its
-    payload with the hash before it. Longer chains continue in segments that
-    start from a seal over everything before, so segments are built in parallel
-    and no task holds more than one. ``heads`` (key, head_hash) continues a log.
+def chained(df: DataFrame, key: str, order: list[Column], period: Column, columns: list[str], log: DataFrame | None = None) -> DataFrame:
+    """Append-ready log: seq, segment, payload, prev_hash and entry_hash per chain key.
+
+    The entries of a chain in one ``period`` (a day, an hour: whole numbers that do not fall along ``order``) are a segment, in
+    which each entry hashes its payload with the hash before it. A segment starts from a seal over everything before it. So the
+    rule is the same for any number of rows, segments are built in parallel, and a task holds one period of one chain.
+
+    ``log``, what this function returned before, is continued: numbers go on, and entries of a period that the log already
+    holds go on from its last hash. An entry of an earlier period counts to the last one of the log. The result holds the new
+    entries only; built at once or in appends at period or row borders, a log is the same.
     """
-    rows = row_positions(df, [key], order, bucket).withColumn("payload", entry_payload(columns))
-    rows = rows.select(key, "seq", "payload")
-    # read twice below: by the seals and by the segments
-    rows = cut_lineage(rows.withColumn("segment", F.floor((F.col("seq") - 1) / segment_rows).cast("bigint")))
-    staged = rows.join(segment_starts(rows, key, heads), [key, "segment"])
+    rows = df.withColumn("segment", period.cast("bigint"))
+    if log is not None:
+        last = log.groupBy(key).agg(F.max("segment").alias("_open"), F.max("seq").alias("_seq"), F.max_by("entry_hash", "seq").alias("_head"))
+        last = cut_lineage(last)
+        rows = rows.join(last.select(key, "_open", "_seq"), key, "left")
+        rows = rows.withColumn("segment", F.greatest("segment", "_open"))
+    rows = row_positions(rows, [key], [F.col("segment"), *order], F.col("segment")).withColumn("payload", entry_payload(columns))
+    rows = rows.select(key, (F.col("seq") + (F.coalesce("_seq", F.lit(0)) if log is not None else 0)).alias("seq"), "segment", "payload")
+    rows = cut_lineage(rows)  # read twice below: by the seals and by the segments
+    if log is None:
+        starts = segment_starts(rows, key)
+    else:
+        opened = log.join(last.select(key, F.col("_open").alias("segment")), [key, "segment"])
+        heads = opened.groupBy(key).agg(F.min_by("prev_hash", "seq").alias("head_hash"))
+        starts = segment_starts(rows.unionByName(opened.select(rows.columns)), key, heads).join(last, key, "left")
+        starts = starts.select(key, "segment", F.when(F.col("segment") == F.col("_open"), F.col("_head")).otherwise(F.col("start_hash")).alias("start_hash"))
+    staged = rows.join(starts, [key, "segment"]).select(key, "seq", "segment", "payload", "start_hash")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in staged.schema.fields if f.name != "start_hash")
     return staged.groupBy(key, "segment").applyInArrow(_chain_segment, schema + ", prev_hash string, entry_hash string")
 

@@ -9,7 +9,7 @@ from vigilframe.functions import features, records, scoring
 from vigilframe.operators import anomaly, audit, evaluate, report, running, tables
 from vigilframe.plans import derived as d
 from vigilframe.plans.registry import Tables, query
-from vigilframe.session import cut_lineage
+from vigilframe.session import cut_lineage, scratch_path
 
 _DAY = 86_400
 
@@ -385,9 +385,15 @@ def decision_versions(t: Tables) -> DataFrame:
 
 
 _PAYLOAD_SQL = """concat('{"event_id":', CAST(event_id AS STRING), ',"event_type":"', event_type, '"}')"""
-_CHAIN_SQL = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
- c AS (SELECT user_id, seq, CAST(NULL AS VARCHAR) AS prev_hash, sha256({_PAYLOAD_SQL}) AS entry_hash FROM e WHERE seq = 1
-  UNION ALL SELECT e.user_id, e.seq, c.entry_hash, sha256(concat(c.entry_hash, {_PAYLOAD_SQL})) FROM c JOIN e ON e.user_id = c.user_id AND e.seq = c.seq + 1)"""
+_CHAIN_SQL = f"""WITH RECURSIVE e AS (SELECT user_id, {_PAYLOAD_SQL} AS payload, CAST(floor(epoch_us(ts) / 86400e6) AS BIGINT) AS segment,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+ g AS (SELECT user_id, segment, min(seq) AS first_seq, sha256(string_agg(sha256(concat(CAST(seq AS STRING), '|', payload)), '' ORDER BY seq)) AS seal,
+  row_number() OVER (PARTITION BY user_id ORDER BY segment) AS place FROM e GROUP BY user_id, segment),
+ s AS (SELECT user_id, place, segment, first_seq, seal, CAST(NULL AS VARCHAR) AS start_hash FROM g WHERE place = 1
+  UNION ALL SELECT g.user_id, g.place, g.segment, g.first_seq, g.seal, sha256(concat(coalesce(s.start_hash, ''), s.seal)) FROM s JOIN g ON g.user_id = s.user_id AND g.place = s.place + 1),
+ c AS (SELECT e.user_id, e.segment, e.seq, s.start_hash AS prev_hash, sha256(concat(coalesce(s.start_hash, ''), e.payload)) AS entry_hash
+   FROM e JOIN s ON e.user_id = s.user_id AND e.seq = s.first_seq
+  UNION ALL SELECT e.user_id, e.segment, e.seq, c.entry_hash, sha256(concat(c.entry_hash, e.payload)) FROM c JOIN e ON e.user_id = c.user_id AND e.segment = c.segment AND e.seq = c.seq + 1)"""
 
 
 def _event_chain(t: Tables) -> DataFrame:
@@ -399,6 +405,20 @@ def hash_chains(t: Tables) -> DataFrame:
     return _event_chain(t).select("user_id", "seq", "prev_hash", "entry_hash")
 
 
+@query("W-04 S-22", _CHAIN_SQL + " SELECT user_id, seq, prev_hash, entry_hash FROM c")
+def appended_chains(t: Tables) -> DataFrame:
+    """The log of hash_chains, written in three appends that cut days and chains anywhere."""
+    events, path = d.events(t), scratch_path(t.spark, "chains")
+    low, high = events.agg(F.min("micros"), F.max("micros")).first()
+    part = F.floor((F.col("micros") - F.lit(low)) * 3 / F.lit(high - low + 1))
+    log = None
+    for i in range(3):
+        rows = audit.chained(events.where(part == i), "user_id", [F.col("micros"), F.col("event_id")], running.time_bucket(F.col("micros"), _DAY), ["event_id", "event_type"], log)
+        rows.write.mode("append").parquet(path)
+        log = t.spark.read.parquet(path)
+    return log.select("user_id", "seq", "prev_hash", "entry_hash")
+
+
 @query(
     "W-03 W-04 A-18",
     """WITH c AS (SELECT user_id, count(*) AS entries FROM events GROUP BY user_id),
