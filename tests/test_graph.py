@@ -111,3 +111,18 @@ def test_node_feature_shapes(spark):
     assert f == pytest.approx([3 / 8, 0.3, 0.5, 0.1, 0.0, 0, 0, 1])
     hot = df.select(graph.one_hot_features(F.col("t"), ["a", "Technique"], F.lit(0.5), F.lit(1500), F.lit(10))).first()[0]
     assert len(hot) == 19 and hot[1] == 1.0 and hot[16:] == [0.5, 1.0, 0.01]
+
+
+def test_attention_of_far_apart_scores_sums_to_one(spark):
+    n = spark.createDataFrame([("a", [2000.0]), ("b", [1.0]), ("c", [2.0]), ("x", [0.0]), ("y", [0.0])], "id string, h array<double>")
+    e = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y")], "src string, dst string")
+    got = {(r["src"], r["dst"]): r["alpha"] for r in graph.attention(n, e, [1.0], [1.0]).collect()}
+    assert got["a", "x"] == 1.0 and abs(got["b", "y"] + got["c", "y"] - 1) < 1e-12 and got["c", "y"] > got["b", "y"] > 0
+
+
+def test_blast_radius_of_given_origins(spark):
+    n = spark.createDataFrame([("a", 1.0), ("b", 0.5), ("c", 0.25)], "id string, criticality double")
+    e = spark.createDataFrame([("a", "b", 0.5, 1), ("b", "c", 0.5, 1), ("c", "a", 0.9, 1)], "src string, dst string, weight double, ordinal int")
+    for mode in ("visits", "best_path"):
+        got = {r["id"]: r["blast_radius"] for r in graph.blast_radius(n, e, mode, origins=spark.createDataFrame([("a",)], "id string")).collect()}
+        assert got == {"a": 0.3125}

@@ -90,8 +90,10 @@ def test_stix_file(spark, folder):
     ]
     nodes, edges = graphs.read_stix(spark, put(folder, "s.json", json.dumps({"objects": objs})), limit=2)
     got = {r["id"]: r for r in nodes.collect()}
-    assert set(got) == {"t1", "g1", "m1"} and got["t1"]["mitre_id"] == "T1595" and len(got["m1"]["description"]) == 200 and got["g1"]["name"] == "g1"
+    assert set(got) == {"t1", "g1", "m1"} and got["t1"]["mitre_id"] == "T1595" and len(got["m1"]["description"]) == 300 and got["g1"]["name"] == "g1"
     assert [(r["src"], r["dst"], r["relation"]) for r in edges.collect()] == [("g1", "t1", "USES_IT")]
+    nodes, edges = graphs.read_stix(spark, folder + "/s.json")  # by default nothing is left out
+    assert nodes.count() == 4 and edges.count() == 2
 
 
 def test_lines_and_sensors(spark):
@@ -114,13 +116,15 @@ def test_zip_by_position(spark, folder):
     assert (benign.count(), attack.count()) == (1, 2)
 
 
-def test_swapped_table_keeps_old_versions_readable(spark, folder):
-    table = writers.SwappedTable(spark, folder)
-    assert not table.exists()
-    table.replace(spark.range(3))
-    old = table.read()
-    table.replace(table.read().where("id > 0"))
-    assert table.read().count() == 2 and old.count() == 3
+def test_zip_goes_by_file_name_not_by_size(spark, folder):
+    for side, sizes in (("l", (2, 6)), ("r", (6, 2))):
+        start = 0
+        for name, n in zip("ab", sizes):
+            spark.range(start, start + n).coalesce(1).write.parquet(os.path.join(folder, side, f"part={name}"))
+            start += n
+    left = spark.read.parquet(os.path.join(folder, "l")).select(F.col("id").alias("x"))
+    right = spark.read.parquet(os.path.join(folder, "r")).select(F.col("id").alias("y"))
+    assert sorted(map(tuple, graphs.zipped_by_position(left, right).collect())) == [(i, i) for i in range(8)]
 
 
 def test_log_sink_prunes_days(spark, folder):

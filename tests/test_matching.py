@@ -90,12 +90,13 @@ def test_campaigns_equal_brute_force(spark):
 
 def test_text_embedding_equals_twin(spark):
     for s in ("hello", "x" * 500, "éa", ""):
-        vec = np.zeros(384)
-        for j, ch in enumerate(s[:384]):
-            vec[j] += ord(ch) / 128.0
-        n = np.linalg.norm(vec)
-        got = spark.createDataFrame([(s,)], "t string").select(attribution.text_embedding(F.col("t"))).first()[0]
-        assert np.allclose(got, vec / n if n else vec)
+        for prefix in (False, True):
+            vec = np.zeros(384)
+            for j, ch in enumerate(s[:384] if prefix else s):
+                vec[j % 384] += ord(ch) / 128.0
+            n = np.linalg.norm(vec)
+            got = spark.createDataFrame([(s,)], "t string").select(attribution.text_embedding(F.col("t"), prefix_only=prefix)).first()[0]
+            assert np.allclose(got, vec / n if n else vec)
 
 
 def test_vote_shares(spark):

@@ -124,3 +124,11 @@ def test_text_entropy(spark):
         p = np.array([low.count(c) for c in set(low)]) / max(len(low), 1)
         want = float(-(p * np.log2(p)).sum()) if len(low) else 0.0
         assert one(spark, features.text_entropy(F.lit(s))) == pytest.approx(want, abs=1e-12)
+
+
+def test_roc_of_counts_beyond_bigint_products(spark):
+    from vigilframe.operators import evaluate
+
+    n = 5_000_000_000
+    points = spark.createDataFrame([(0.9, n, 0, n, 0), (0.1, n, n, 0, n)], "score double, tp long, fp long, pos long, neg long")
+    assert evaluate.roc_threshold(points, 0.05).first()["auc"] == 1.0

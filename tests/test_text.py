@@ -95,7 +95,7 @@ def test_key_values(spark):
 
 def test_flattened_values(spark):
     doc = '{"a": "x: y", "b": [1, 2.5, true, null], "c": {"d": "z"}}'
-    assert one(spark, doc, text.flatten_json_values(F.col("v"))) == "x: y 1 2.5 true z"
+    assert one(spark, doc, text.flatten_json_values(F.col("v"))) == "x: y 1 2.5 True z"
 
 
 @pytest.mark.parametrize("value, kind", [("a" * 64, "hash_sha256"), ("a" * 40, "hash_sha1"), ("a" * 32, "hash_md5")])
@@ -126,3 +126,13 @@ def test_fingerprint_equals_python_json(spark):
 def test_patterns_compile_without_lookaround_surprises():
     for _, pattern, _ in params.SANITIZE_RULES:
         assert re.compile(re.sub(r"^\(\?[a-zA-Z]+\)", "", pattern))
+
+
+def test_rules_fold_letters_outside_ascii(spark):
+    for raw in ("${jndı:ldap://x} a", "<ſcript>x</ſcript> b", "${JNDI:x} c", "<SCRIPT>x</script> d"):
+        assert "SANITIZED" in one(spark, raw, text.sanitize(F.col("v")))
+
+
+def test_flattened_values_are_decoded(spark):
+    doc = r'{"a": "x\"y caf\u00e9 \\ \n", "b": [true, false, null, -2.5e3], "k\"ey": {"z": "C:\\d"}}'
+    assert one(spark, doc, text.flatten_json_values(F.col("v"))) == 'x"y café \\ \n True False -2.5e3 C:\\d'

@@ -20,9 +20,9 @@ FUNCTIONS = {
     "S-11": "graphs.sensor_chain", "S-12": "graphs.flow_text", "S-13": "graphs.flow_table_edges", "S-14": "graphs.benign_split", "S-15": "graphs.zipped_by_position, training_flows",
     "S-16": "attribution.corpus, readers.read_corpus_file", "S-17": "readers.read_campaigns", "S-18": "readers.id_list", "S-19": "writers.append_by_day", "S-20": "report.telemetry_counters",
     "S-21": "readers.read_jsonl", "S-22": "audit.chained + writers.append", "S-23": "writers.append", "S-24": "audit.promotion + writers.append / readers.read_jsonl",
-    "S-25": "tables.upserted, writers.SwappedTable", "S-26": "tables.upserted", "S-27": "tables.insert_ignored, security_log_rows", "S-28": "tables.insert_ignored", "S-29": "tables.ingest_rows, writers.append",
+    "S-25": "tables.upserted", "S-26": "tables.upserted", "S-27": "tables.insert_ignored, security_log_rows", "S-28": "tables.insert_ignored", "S-29": "tables.ingest_rows, writers.append",
     "S-30": "tables.reviewed", "S-31": "tables.newest_per_key", "S-32": "writers.append_log", "S-33": "writers.log_document", "S-34": "route.live, route.cached, tables.without_keys",
-    "S-35": "similarity.checked_vectors, l2_normalized", "S-36": "federation.unexpired, writers.SwappedTable", "S-37": "writers.write_report", "S-38": "writers.write_graph",
+    "S-35": "similarity.checked_vectors, l2_normalized", "S-36": "federation.unexpired", "S-37": "writers.write_report", "S-38": "writers.write_graph",
     "S-39": "graph.merged_edges, writers.append", "S-40": "features.scaled_features + writers.append", "S-41": "policy.policy_violations, policy.suspended", "S-42": "enrich.with_reputation, records.cache_key",
     "S-43": "streaming.jobs.ingest_stream",
     "P-01": "records.source_label", "P-02": "records.normalized_label", "P-03": "ingest.trust_score", "P-04": "ingest.trust_split", "P-05": "records.source_type", "P-06": "records.canonical_fields",
@@ -48,7 +48,7 @@ FUNCTIONS = {
     "F-07": "audit.link_hash, records.cache_key", "F-08": "text.screen_output", "F-09": "text.injection_screen", "F-10": "text.stix_pattern, stix_pattern_value", "F-11": "federation.published",
     "F-12": "features.raw_features", "F-13": "features.scaled_features", "F-14": "features.forest_extras", "F-15": "features.signals", "F-16": "anomaly.with_fusion", "F-17": "anomaly.with_embedding", "F-18": "anomaly.density_scores",
     "F-19": "scoring.boundary_score", "F-20": "scoring.ensemble", "F-21": "scoring.decayed", "F-22": "scoring.counter_evidence", "F-23": "scoring.posterior", "F-24": "scoring.risk", "F-25": "scoring.hunt_boost, federation_boost, boosted_in_order",
-    "F-26": "scoring.attribution_blend", "F-27": "attribution.chain_embedding", "F-28": "attribution.text_embedding", "F-29": "records.technique_category", "F-30": "scoring.primary_goal", "F-31": "records.mitre_id",
+    "F-26": "scoring.attribution_blend", "F-27": "attribution.chain_vectors", "F-28": "attribution.text_embedding", "F-29": "records.technique_category", "F-30": "scoring.primary_goal", "F-31": "records.mitre_id",
     "F-32": "attribution.retrieval_query", "F-33": "records.elapsed_seconds, time_code", "F-34": "tables.with_extra", "F-35": "report.markdown_table, summary_row", "F-36": "writers.report_entry",
     "R-01": "streaming.jobs.ingest_stream", "R-02": "streaming.jobs.baseline_stream", "R-03": "streaming.jobs.rate_stream, windowed_rates", "R-04": "streaming.jobs.first_seen_stream", "R-05": "streaming.jobs.matched_stream",
     "R-06": "tables.newest", "R-07": "streaming.jobs.counter_stream", "R-08": "streaming.jobs.baseline_stream (late table)",

@@ -89,15 +89,20 @@ def values_text(fields: Column) -> Column:
 
 
 def flatten_json_values(doc: Column) -> Column:
-    """All scalar values of a JSON text, at any depth, joined by blanks.
+    """All scalar values of a JSON text, at any depth and in order, joined by blanks; nulls are left out.
 
-    Keys are removed and the remaining punctuation outside quotes dropped, so
-    the scan stays inside one expression whatever the schema is.
+    Keys are dropped, texts decoded by the JSON reader, and booleans spelled True and False. The scan is one expression
+    whatever the schema is.
     """
     token = r'("(?:[^"\\]|\\.)*")(\s*:)?|(-?\d[\d.eE+-]*|true|false)'
     found = F.regexp_extract_all(doc, F.lit(token), F.lit(0))
     scalars = F.filter(found, lambda t: ~t.rlike(r'^"(?s).*:\s*$') | t.rlike(r'"$'))
-    return F.array_join(F.transform(scalars, lambda t: F.regexp_replace(t, r'^"|"$', "")), " ")
+
+    def value(t: Column) -> Column:
+        read = F.get(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>"), 0)
+        return F.when(t.startswith('"'), read).when(t.isin("true", "false"), F.initcap(t)).otherwise(t)
+
+    return F.array_join(F.transform(scalars, value), " ")
 
 
 def first_group(text: Column, pattern: str) -> Column:
@@ -110,12 +115,12 @@ def named_entities(text: Column) -> Column:
     return F.struct(*[first_group(text, pattern).alias(name) for name, pattern in params.NER_PATTERNS])
 
 
-def screen_output(text: Column) -> Column:
-    """ARRAY<STRUCT<pattern_name, match>> of secrets and personal data found."""
+def screen_output(text: Column, chars: int | None = None) -> Column:
+    """ARRAY<STRUCT<pattern_name, match>> of secrets and personal data found; ``chars`` cuts what is shown of a match."""
     hits = [
         F.struct(
             F.lit(name).alias("pattern_name"),
-            F.substring(F.regexp_extract(text, pattern, 0), 1, params.FINDING_CHARS).alias("match"),
+            _shown(F.regexp_extract(text, pattern, 0), chars).alias("match"),
         )
         for name, pattern in params.OUTPUT_PATTERNS
     ]
@@ -128,12 +133,17 @@ def injection_flags(text: Column) -> Column:
     return F.filter(F.array(*flags), lambda f: f.isNotNull())
 
 
-def injection_screen(text: Column) -> Column:
+def _shown(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def injection_screen(text: Column, chars: int | None = None) -> Column:
+    """Flags, verdict and the text that was screened, cut to ``chars`` if given."""
     flags = injection_flags(text)
     detected = F.size(flags) > 0
     return F.struct(
         detected.alias("injection_detected"),
-        F.substring(text, 1, params.EXCERPT_CHARS).alias("excerpt"),
+        _shown(text, chars).alias("excerpt"),
         F.when(detected, "INJECTION_SUSPECTED").otherwise("CLEAN").alias("verdict"),
         flags.alias("flags"),
     )

@@ -43,7 +43,9 @@ def roc_threshold(points: DataFrame, fpr_limit: float) -> DataFrame:
     p, n = int(p or 0), int(n or 0)
     tpr, fpr = F.col("tp") / F.lit(max(p, 1)), F.col("fp") / F.lit(max(n, 1))
     # rank-sum form: ties count one half
-    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + F.lit(0.5) * F.col("neg") * F.col("pos")) / F.lit(max(p * n, 1))
+    # products of counts leave the range of bigint, so they are taken in double
+    tp, pos, neg = (F.col(c).cast("double") for c in ("tp", "pos", "neg"))
+    area = F.sum(neg * (tp - pos) + F.lit(0.5) * neg * pos) / F.lit(max(float(p) * float(n), 1.0))
     rated = points.withColumn("tpr", tpr).withColumn("fpr", fpr)
     within = F.col("fpr") <= fpr_limit
     pick = F.max(F.when(within, F.struct(F.col("tpr"), (-F.col("fpr")).alias("nf"), F.col("score"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,52 +20,49 @@ def blast_radius(
     prune: float = PRUNE_BELOW,
     cap: float = 1.0,
     digits: int = 4,
-    max_levels: int = 1000,
+    origins: DataFrame | None = None,
 ) -> DataFrame:
-    """(id, blast_radius) of every node, all walks at once.
+    """(id, blast_radius) of every node, or of the ids in ``origins``, all walks at once.
 
-    ``nodes``: id, criticality. ``edges``: src, dst, weight, ordinal (the order
+    ``nodes``: id, criticality. ``edges``: src, dst, weight in (0, 1], ordinal (the order
     of a node's outgoing edges). Each level joins the frontier with the edges
     and keeps visits that beat every earlier probability of (origin, node);
     every kept visit adds probability x criticality. ``mode='best_path'`` counts
-    each node once, with its best path, and needs no visit order.
+    each node once, with its best path, and needs no visit order. The walk ends when
+    no visit is left, as every kept visit has a higher probability than the one before.
+    Edges are written once; a level is written once and read by the next.
     """
     if mode not in ("visits", "best_path"):
         raise ValueError(f"unknown mode {mode}")
-    starts = nodes.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.lit(1.0).alias("prob"))
-    frontier = starts.withColumn("path", F.array().cast("array<bigint>"))
-    best = starts
-    hops = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.col("ordinal").cast("bigint").alias("ordinal"))
-    visits = None
-    for _ in range(max_levels):
+    ordered = mode == "visits"
+    hops = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"), *([F.col("ordinal").cast("bigint").alias("ordinal")] if ordered else []))
+    hops = cut_lineage(hops)
+    asked = nodes.select("id") if origins is None else origins.select("id").distinct()
+    starts = asked.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.lit(1.0).alias("prob"))
+    frontier = starts.withColumn("path", F.array().cast("array<bigint>")) if ordered else starts
+    levels = [starts]
+    while True:
+        path = [F.concat("path", F.array("ordinal")).alias("path")] if ordered else []
         reached = frontier.join(hops, frontier["node"] == hops["src"]).select(
-            "origin", F.col("dst").alias("node"), (F.col("prob") * F.col("weight")).alias("prob"),
-            F.concat("path", F.array("ordinal")).alias("path"),
+            "origin", F.col("dst").alias("node"), (F.col("prob") * F.col("weight")).alias("prob"), *path
         ).where(F.col("prob") > prune)
-        if mode == "best_path":
-            reached = reached.groupBy("origin", "node").agg(F.max("prob").alias("prob"), F.min("path").alias("path"))
-            earlier = F.lit(None).cast("double")
-        else:
+        so_far = functools.reduce(DataFrame.unionByName, levels).groupBy("origin", "node").agg(F.max("prob").alias("_best"))
+        if ordered:
             order = Window.partitionBy("origin", "node").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-            earlier = F.max("prob").over(order)
-        reached = reached.withColumn("_earlier", earlier)
-        so_far = best.select("origin", "node", F.col("prob").alias("_best"))
-        kept = (
-            reached.join(so_far, ["origin", "node"], "left")
-            .where(F.col("prob") > F.greatest(F.coalesce("_earlier", F.lit(-1.0)), F.coalesce("_best", F.lit(-1.0))))
-            .select("origin", "node", "prob", "path")
-        )
-        frontier = cut_lineage(kept)
+            reached = reached.withColumn("_earlier", F.coalesce(F.max("prob").over(order), F.lit(-1.0)))
+        else:
+            reached = reached.groupBy("origin", "node").agg(F.max("prob").alias("prob")).withColumn("_earlier", F.lit(-1.0))
+        kept = reached.join(so_far, ["origin", "node"], "left").where(F.col("prob") > F.greatest("_earlier", F.coalesce("_best", F.lit(-1.0))))
+        frontier = cut_lineage(kept.select(*frontier.columns))
         if frontier.isEmpty():
             break
-        level = frontier.select("origin", "node", "prob")
-        visits = level if visits is None else visits.unionByName(level)
-        best = cut_lineage(best.unionByName(level).groupBy("origin", "node").agg(F.max("prob").alias("prob")))
-    counted = (best if mode == "best_path" else visits) if visits is not None else starts
-    counted = counted.where(F.col("origin") != F.col("node"))
+        levels.append(frontier.select("origin", "node", "prob"))
+    counted = functools.reduce(DataFrame.unionByName, levels[1:], levels[0].limit(0)).where(F.col("origin") != F.col("node"))
+    if not ordered:
+        counted = counted.groupBy("origin", "node").agg(F.max("prob").alias("prob"))
     weighted = counted.join(nodes.select(F.col("id").alias("node"), "criticality"), "node", "left")
     total = weighted.groupBy("origin").agg(F.sum(F.col("prob") * F.coalesce("criticality", F.lit(0.5))).alias("_sum"))
-    return nodes.select("id").join(total, F.col("id") == F.col("origin"), "left").select(
+    return asked.select("id").join(total, F.col("id") == F.col("origin"), "left").select(
         "id", F.round(F.least(F.lit(cap), F.coalesce("_sum", F.lit(0.0))), digits).alias("blast_radius")
     )
 
@@ -91,18 +90,15 @@ def at_risk(edges: DataFrame, compromised: DataFrame) -> DataFrame:
     return near.join(ids, "id", "left_anti")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_levels: int = 1000) -> DataFrame:
-    """(id, hops) of every node reachable along directed edges from the start ids."""
-    hops = edges.select("src", "dst").distinct()
-    seen = cut_lineage(starts.select(F.col("id"), F.lit(0).cast("bigint").alias("hops")).distinct())
-    frontier = seen
-    for level in range(1, max_levels + 1):
-        found = frontier.join(hops, frontier["id"] == hops["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier = cut_lineage(found.join(seen, "id", "left_anti").withColumn("hops", F.lit(level).cast("bigint")))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, hops) of every node reachable along directed edges from the start ids; the walk goes on until nothing new is found."""
+    hops = cut_lineage(edges.select("src", "dst").distinct())
+    levels = [cut_lineage(starts.select(F.col("id"), F.lit(0).cast("bigint").alias("hops")).distinct())]
+    while not levels[-1].isEmpty():
+        seen = functools.reduce(DataFrame.unionByName, levels)
+        found = levels[-1].join(hops, levels[-1]["id"] == hops["src"]).select(F.col("dst").alias("id")).distinct()
+        levels.append(cut_lineage(found.join(seen, "id", "left_anti").withColumn("hops", F.lit(len(levels)).cast("bigint"))))
+    return functools.reduce(DataFrame.unionByName, levels)
 
 
 def node_type_index(kind: Column) -> Column:
@@ -144,9 +140,10 @@ def node_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _edge_weights(nodes: DataFrame, edges: DataFrame, source_weights, target_weights, slope: float) -> DataFrame:
-    """Edges with ``_x``, the shifted exponential of the leaky-ReLU score, and the source vector ``h``.
+    """Edges with ``_x``, the exponential of the leaky-ReLU score less the largest score of the destination, and the source vector ``h``.
 
-    The shift is an upper bound of all scores, from one small aggregate.
+    The score rises with the source's half, so a destination's largest score follows from the largest half among its sources:
+    one aggregate of a number per destination, joined back.
     """
 
     def half(weights: list[float]) -> Column:
@@ -154,14 +151,12 @@ def _edge_weights(nodes: DataFrame, edges: DataFrame, source_weights, target_wei
         return sum(terms[1:], terms[0])
 
     leaky = lambda c: F.when(c > 0, c).otherwise(c * F.lit(slope))
-    s, t = half(source_weights), half(target_weights)
-    top_s, top_t = nodes.agg(F.max(s), F.max(t)).first()
-    top = float(top_s or 0.0) + float(top_t or 0.0)
-    top = top if top > 0 else top * slope
-    src = nodes.select(F.col("id").alias("src"), s.alias("_s"), "h")
-    dst = nodes.select(F.col("id").alias("dst"), t.alias("_t"))
-    scored = edges.join(src, "src").join(dst, "dst")
-    return scored.withColumn("_x", F.exp(leaky(F.col("_s") + F.col("_t")) - F.lit(top))).drop("_s", "_t")
+    src = nodes.select(F.col("id").alias("src"), half(source_weights).alias("_s"), "h")
+    dst = nodes.select(F.col("id").alias("dst"), half(target_weights).alias("_t"))
+    sourced = edges.join(src, "src")
+    top = sourced.groupBy("dst").agg(F.max("_s").alias("_m")).join(dst, "dst")
+    scored = sourced.join(top, "dst")
+    return scored.withColumn("_x", F.exp(leaky(F.col("_s") + F.col("_t")) - leaky(F.col("_m") + F.col("_t")))).drop("_s", "_t", "_m")
 
 
 def attention(nodes: DataFrame, edges: DataFrame, source_weights: list[float], target_weights: list[float], slope: float = 0.2) -> DataFrame:

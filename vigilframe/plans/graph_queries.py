@@ -67,12 +67,12 @@ def blast_radius_best_path(t: Tables) -> DataFrame:
 @query(
     "G-02 A-20",
     f"""WITH e AS ({_E1_SQL}), lab AS (SELECT concat('p', CAST(p AS STRING)) AS id, max(label) AS l FROM e GROUP BY p), n AS ({_NODES_SQL}),
-    touched AS (SELECT DISTINCT concat('s', CAST(s AS STRING)) AS id FROM e WHERE first_order < 500 UNION SELECT concat('p', CAST(p AS STRING)) FROM e WHERE first_order < 500)
+    touched AS (SELECT DISTINCT concat('s', CAST(s AS STRING)) AS id FROM e WHERE label = 1 UNION SELECT concat('p', CAST(p AS STRING)) FROM e WHERE label = 1)
     SELECT id, CAST(coalesce(l, 0) AS INT) AS label, id IN (SELECT id FROM touched) AS touched FROM n LEFT JOIN lab USING (id)""",
 )
 def node_labels(t: Tables) -> DataFrame:
     e = _supply_edges(t)
-    hit = graph.touched_nodes(e.where("first_order < 500")).withColumn("touched", F.lit(True))
+    hit = graph.touched_nodes(e.where("label = 1")).withColumn("touched", F.lit(True))
     labelled = graph.node_labels(_nodes(t).select("id"), e).join(hit, "id", "left")
     return labelled.select("id", "label", F.coalesce("touched", F.lit(False)).alias("touched"))
 
@@ -205,8 +205,8 @@ def node_classifier(t: Tables) -> DataFrame:
     )
     swapped = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     h = _vectors(t)
-    means = graph.neighbour_mean(h, graph.sampled_neighbours(swapped, 10), 3)
-    labelled = graph.node_labels(means, e).where(F.col("id").startswith("p"))
+    means = graph.neighbour_mean(h, swapped, 3)
+    labelled = graph.node_labels(means, e)
     weights = evaluate.class_weights(labelled, "label").select("label", "weight")
     rows = evaluate.stratified_split(labelled.join(weights, "label"), "label", evaluate.hash_position("id"), "id")
     rows = cut_lineage(rows)
@@ -221,12 +221,12 @@ def node_classifier(t: Tables) -> DataFrame:
 
 @query(
     "G-12 A-25 S-38",
-    f"""WITH e AS ({_E1_SQL}), j AS (SELECT 'nodes' AS group_name, concat('{{"criticality":', CAST(criticality AS STRING), ',"id":"', id, '","type":"', type, '"}}') AS data FROM ({_NODES_SQL}) WHERE type = 'Computer'
+    f"""WITH e AS ({_E1_SQL}), j AS (SELECT 'nodes' AS group_name, concat('{{"criticality":', CAST(CAST(criticality AS DECIMAL(12, 6)) AS STRING), ',"id":"', id, '","type":"', type, '"}}') AS data FROM ({_NODES_SQL})
       UNION ALL SELECT 'edges', concat('{{"dst":"p', CAST(p AS STRING), '","id":"s', CAST(s AS STRING), '->p', CAST(p AS STRING), '","label":', CAST(label AS STRING), ',"src":"s', CAST(s AS STRING), '"}}') FROM e)
     SELECT group_name, data FROM j""",
 )
 def graph_elements(t: Tables) -> DataFrame:
-    n = _nodes(t).where("type = 'Computer'").select("id", "criticality", "type")
+    n = _nodes(t).select("id", F.col("criticality").cast("decimal(12, 6)").alias("criticality"), "type")
     return graph.graph_elements(n, _supply_edges(t).select("src", "dst", "label"))
 
 
@@ -298,11 +298,11 @@ def node_status(t: Tables) -> DataFrame:
 # -- graph sources -------------------------------------------------------------
 @query(
     "S-07 W-06 F-33",
-    """WITH l AS (SELECT l_orderkey, l_suppkey, l_partkey, l_linenumber, l_quantity, l_shipdate FROM lineitem WHERE l_orderkey % 5 = 0)
+    """WITH l AS (SELECT l_orderkey, l_suppkey, l_partkey, l_linenumber, l_quantity, l_shipdate FROM lineitem)
     SELECT concat('s', CAST(l_suppkey AS STRING)) AS src, concat('p', CAST(l_partkey AS STRING)) AS dst, greatest(0e0, CAST(epoch(l_shipdate) - epoch(TIMESTAMP '1997-01-01') AS DOUBLE)) AS seconds FROM l""",
 )
 def temporal_edges(t: Tables) -> DataFrame:
-    l = t.lineitem.where("l_orderkey % 5 = 0")  # noqa: E741
+    l = t.lineitem  # noqa: E741
     edge = F.struct(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("from"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("to"),
         F.array(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamps"),
@@ -367,7 +367,7 @@ def sensor_chain_scan(t: Tables) -> DataFrame:
 
 
 _STIX_SQL = """WITH o AS (SELECT p_partkey AS pos, CASE p_partkey % 8 WHEN 0 THEN 'attack-pattern' WHEN 1 THEN 'x-mitre-tactic' WHEN 2 THEN 'intrusion-set' WHEN 3 THEN 'malware' WHEN 4 THEN 'tool' WHEN 5 THEN 'campaign' WHEN 6 THEN 'course-of-action' ELSE 'identity' END AS type, concat('o', CAST(p_partkey AS STRING)) AS id, p_name FROM part),
- f AS (SELECT * FROM o WHERE pos % 8 < 3 ORDER BY pos LIMIT 300), n AS (SELECT * FROM f UNION ALL SELECT * FROM o WHERE pos % 8 BETWEEN 3 AND 6)"""
+ f AS (SELECT * FROM o WHERE pos % 8 < 3 ), n AS (SELECT * FROM f UNION ALL SELECT * FROM o WHERE pos % 8 BETWEEN 3 AND 6)"""
 
 
 def _stix(t: Tables):
@@ -387,7 +387,7 @@ def _stix(t: Tables):
         F.when(F.col("l_linenumber") == 1, F.lit(None)).otherwise(F.lit("used-by")).alias("relationship_type"),
         F.lit(None).cast("array<struct<source_name:string,external_id:string>>").alias("external_references"),
     )
-    return graphs.stix_tables(objects.unionByName(links), "pos", 300)
+    return graphs.stix_tables(objects.unionByName(links), "pos")
 
 
 @query("S-09 W-11 F-31", _STIX_SQL + " SELECT id, CASE pos % 8 WHEN 0 THEN 'Technique' WHEN 1 THEN 'Tactic' WHEN 2 THEN 'ThreatGroup' WHEN 3 THEN 'Software' WHEN 4 THEN 'Software' WHEN 5 THEN 'Campaign' ELSE 'Mitigation' END AS label, p_name AS name, CASE WHEN pos % 8 = 0 THEN concat('T', CAST(pos AS STRING)) ELSE '' END AS mitre_id FROM n")

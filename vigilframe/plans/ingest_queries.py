@@ -18,8 +18,9 @@ _TAUTOLOGY = "|".join(
     rf"{q}\s*(OR|AND)\s+{q}?\d+{q}?\s*=\s*{q}?\d+" for q in ("''", '"', "`")
 )
 _RULES_SQL = [
-    (r"(?i)\$\{jndi:[^}]*\}", "[SANITIZED:JNDI]"),
-    (r"(?is)<script[^>]*>.*?</script>", "[SANITIZED:XSS]"),
+    # that engine folds U+017F to s, but not U+0131 to i
+    (r"(?i)\$\{jnd[iı]:[^}]*\}", "[SANITIZED:JNDI]"),
+    (r"(?is)<scr[iı]pt[^>]*>.*?</scr[iı]pt>", "[SANITIZED:XSS]"),
     (r"""(?i)\bon\w+\s*=\s*["''][^"'']*["'']""", "[SANITIZED:HTML_EVENT]"),
     (rf"(?im){_TAUTOLOGY}|--\s*$|;\s*DROP\s+TABLE|UNION\s+(ALL\s+)?SELECT", "[SANITIZED:SQLi]"),
     (r"(?i)\.\./|\.\.\\|%2e%2e[/\\]", "[SANITIZED:PATH_TRAVERSAL]"),
@@ -57,8 +58,8 @@ def sanitize_texts(t: Tables) -> DataFrame:
 
 
 _INJECTED = {
-    0: "concat('${jndi:ldap://', event_type, '} seen')",
-    1: "concat('<script>', event_type, '</script> tail')",
+    0: "concat('${jnd', CASE WHEN event_id % 4 = 0 THEN 'ı' ELSE 'i' END, ':ldap://', event_type, '} seen')",
+    1: "concat(CASE WHEN event_id % 4 = 1 THEN '<ſcript>' ELSE '<script>' END, event_type, '</script> tail')",
     2: "concat('x'' OR ''1''=''1', CAST(event_id AS STRING))",
     3: "concat('../../', event_type, ' {{ 7*7 }}')",
     4: "concat(event_type, ' onclick=\"go()\" end; drop table ', event_type)",
@@ -162,7 +163,7 @@ _OUT_SQL = {
     "pii_phone_in": (r"(?:^|[^0-9])((?:\+91|0)?[6-9][0-9]{9})(?:$|[^0-9])", 1),
     "secret_token": (r"(?i)(api_key|token|secret|bearer)\s*[:=]\s*[A-Za-z0-9_\-\.]{20,}", 0),
 }
-_out_cols = ", ".join(f"substring(regexp_extract(text, '{p}', {g}), 1, 60) AS {n}" for n, (p, g) in _OUT_SQL.items())
+_out_cols = ", ".join(f"regexp_extract(text, '{p}', {g}) AS {n}" for n, (p, g) in _OUT_SQL.items())
 _out_hit = " OR ".join(f"{n} <> ''" for n in _OUT_SQL)
 _out_names = ", ".join(f"CASE WHEN {n} <> '' THEN '{n}' END" for n in _OUT_SQL)
 _out_vals = ", ".join(f"nullif({n}, '')" for n in _OUT_SQL)
@@ -195,7 +196,7 @@ _flag_cols = " + ".join(
     "F-09",
     f"WITH c AS (SELECT conv_id, turn, concat({_PROMPTS}, text) AS text FROM conversations), "
     f"f AS (SELECT *, CAST({_flag_cols} AS BIGINT) AS flag_bits FROM c) SELECT conv_id, turn, flag_bits, "
-    "CASE WHEN flag_bits > 0 THEN 'INJECTION_SUSPECTED' ELSE 'CLEAN' END AS verdict, sha256(substring(text, 1, 500)) AS excerpt_sha FROM f",
+    "CASE WHEN flag_bits > 0 THEN 'INJECTION_SUSPECTED' ELSE 'CLEAN' END AS verdict, sha256(text) AS excerpt_sha FROM f",
 )
 def prompt_injection_screen(t: Tables) -> DataFrame:
     c = t.conversations.withColumn("text", F.concat(F.expr(_PROMPTS), "text")).withColumn("s", text.injection_screen(F.col("text")))
@@ -358,11 +359,11 @@ def text_line_scan(t: Tables) -> DataFrame:
 
 @query(
     "F-05",
-    "SELECT event_id, sha256(concat('k ', event_type, ' ', json_extract_string(props, '$.k'), ' 1.5 true deep ', CAST(user_id AS STRING))) AS values_sha FROM events",
+    "SELECT event_id, sha256(concat('k ', event_type, ' ', json_extract_string(props, '$.k'), ' 1.5 True deep \"é\\ ', CAST(user_id AS STRING))) AS values_sha FROM events",
 )
 def flattened_values(t: Tables) -> DataFrame:
     doc = F.format_string(
-        '{"a": "k %s", "b": [%s, 1.5, true, null], "c": {"d": {"e": "deep", "u": %d}}}', "event_type", F.get_json_object("props", "$.k"), "user_id"
+        r'{"a": "k %s", "b": [%s, 1.5, true, null], "c": {"d": {"e": "deep \"\u00e9\\", "u": %d}}}', "event_type", F.get_json_object("props", "$.k"), "user_id"
     )
     return t.events.select("event_id", F.sha2(text.flatten_json_values(doc), 256).alias("values_sha"))
 

@@ -63,14 +63,14 @@ def asset_resolution(t: Tables) -> DataFrame:
 
 @query(
     "J-03 S-34",
-    """WITH cache AS (SELECT sha256(concat('k', CAST(o_custkey AS STRING))) AS fp, o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01'),
+    """WITH cache AS (SELECT sha256(concat('k', CAST(o_custkey AS STRING))) AS fp, o_orderkey, o_totalprice, o_orderdate FROM orders),
     live AS (SELECT fp, arg_max(o_orderkey, o_orderdate + to_microseconds(o_orderkey)) AS decision_id FROM cache WHERE o_orderdate + INTERVAL 30 DAY > TIMESTAMP '2001-03-01' GROUP BY fp)
     SELECT c_custkey, decision_id FROM customer LEFT JOIN live ON sha256(concat('k', CAST(c_custkey AS STRING))) = fp""",
 )
 def exact_cache_hits(t: Tables) -> DataFrame:
     key = lambda c: F.sha2(F.concat(F.lit("k"), F.col(c).cast("string")), 256)
     cache = route.cached(
-        t.orders.where("o_orderdate >= TIMESTAMP_NTZ '2001-01-01'").select(
+        t.orders.select(
             key("o_custkey").alias("fingerprint"), F.col("o_orderkey").alias("decision_id"), F.col("o_totalprice").alias("risk_score"),
             (F.col("o_orderdate") + F.expr("make_dt_interval(0, 0, 0, o_orderkey / 1000000.0)")).alias("cached_at"),
             F.col("o_orderdate").alias("day"),
@@ -107,7 +107,7 @@ def nearest_vectors(t: Tables) -> DataFrame:
 
 @query(
     "J-03 J-04 J-05 A-04",
-    _NN_SQL.format(cond="a.vec_id % 2 = 1 AND b.vec_id % 2 = 0 AND a.vec_id % 6 <> 1")
+    _NN_SQL.format(cond="a.vec_id % 2 = 1 AND b.vec_id % 2 = 0 AND (a.vec_id % 6 <> 1 OR (a.vec_id - 1) % 8 = 0)")
     + ", n AS (SELECT * FROM r WHERE rank = 1), j AS (SELECT query_id, similarity, CASE WHEN similarity < 0.2 THEN 'below_threshold' "
     "WHEN qlabel % 2 <> vlabel % 2 THEN 'criticality_mismatch' WHEN vector_id % 8 = 0 THEN 'no_cached_decision' ELSE 'fuzzy' END AS reason, vector_id FROM n), "
     "routed AS (SELECT vec_id AS evidence_id, 1 AS path, 1e0 AS similarity, CAST((vec_id - 1) * 10 AS BIGINT) AS decision_id, "
@@ -117,7 +117,7 @@ def nearest_vectors(t: Tables) -> DataFrame:
     "SELECT evidence_id, path, round(similarity, 5) AS similarity, decision_id, round(risk_score, 4) AS risk_score, reason FROM routed",
 )
 def three_way_routing(t: Tables) -> DataFrame:
-    e = t.embeddings.where("vec_id % 2 = 1 AND (vec_id % 6 <> 1 OR (vec_id - 1) % 8 <> 0)")
+    e = t.embeddings.where("vec_id % 2 = 1")
     fp = lambda c: F.concat(F.lit("fp-"), c.cast("string"))
     crit = F.when(F.col("label") % 2 == 0, "HIGH").otherwise("LOW")
     base = F.when(F.col("vec_id") % 6 == 1, F.col("vec_id") - 1).otherwise(-F.col("vec_id"))
@@ -465,23 +465,27 @@ def attribution_votes(t: Tables) -> DataFrame:
     )
 
 
-_EMBED = "list_resize(list_transform(string_split(substring(text, 1, 384), ''), lambda c: unicode(c) / 128e0), 384, 0e0)"
+_EMBED = (
+    "list_transform(range(0, 384), lambda i: coalesce(list_sum(list_transform(range(i, len(chars), 384), "
+    "lambda j: unicode(chars[j + 1]) / 128e0)), 0e0))"
+)
+_CHARS = "list_filter(string_split(text, ''), lambda c: c <> '')"
 
 
 @query(
     "J-15 S-16 F-28 F-32 U-01",
     f"""WITH q AS (SELECT s_suppkey AS query_id, concat('Attack GET to /', type, ' from ', ip, ' targeting ', mission, ' criticality ', criticality, ' OT None') AS text FROM ({d.ASSET_SQL})),
-    c AS (SELECT doc_id, concat_ws(' ', nullif(source, ''), nullif(text, '')) AS text, CASE lang WHEN 'en' THEN 9e-1 WHEN 'fr' THEN 85e-2 ELSE 95e-2 END AS trust_weight FROM documents WHERE lang IN ('en', 'fr', 'de')),
-    qe AS (SELECT query_id, {_EMBED} AS e FROM q), ce AS (SELECT doc_id, trust_weight, {_EMBED} AS e FROM c),
+    c AS (SELECT doc_id, concat_ws(' ', nullif(source, ''), nullif(text, '')) AS text, CASE lang WHEN 'en' THEN 9e-1 WHEN 'fr' THEN 85e-2 WHEN 'de' THEN 95e-2 ELSE 85e-2 END AS trust_weight FROM documents),
+    qe AS (SELECT query_id, {_EMBED} AS e FROM (SELECT *, {_CHARS} AS chars FROM q)), ce AS (SELECT doc_id, trust_weight, {_EMBED} AS e FROM (SELECT *, {_CHARS} AS chars FROM c)),
     p AS (SELECT query_id, doc_id, trust_weight, list_cosine_similarity(qe.e, ce.e) AS similarity FROM qe, ce),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, doc_id) AS rank FROM p)
     SELECT query_id, doc_id, rank, round(similarity, 5) AS similarity, trust_weight FROM r WHERE rank <= 5""",
 )
 def retrieved_documents(t: Tables) -> DataFrame:
-    part = lambda lang: t.documents.where(F.col("lang") == lang).select(
+    part = lambda *langs: t.documents.where(F.col("lang").isin(*langs)).select(
         "doc_id", F.col("source").alias("name"), F.col("text").alias("description")
     )
-    docs = attribution.corpus({"MITRE": part("en"), "NVD": part("fr"), "CERT-In": part("de")}).select("doc_id", "text", "trust_weight")
+    docs = attribution.corpus({"MITRE": part("en"), "NVD": part("fr", "es"), "CERT-In": part("de")}).select("doc_id", "text", "trust_weight")
     a = d.assets(t)
     q = a.select(
         F.col("s_suppkey").alias("query_id"),
@@ -501,7 +505,7 @@ def campaign_matches(t: Tables) -> DataFrame:
             "CASE n_nationkey % 5 WHEN 0 THEN array('T1595','T1190','T1059','T1003','T1486') WHEN 1 THEN array('T1566','T1078','T1021') "
             "WHEN 2 THEN array('T1486','T1489') WHEN 3 THEN array('T1499','T1021','T1003') ELSE array('T1190','T1204','T1059') END"
         ).alias("ttp_sequence"),
-    ).where("n_nationkey < 5").withColumn(
+    ).withColumn(
         "preventive_actions", F.map_from_arrays("ttp_sequence", F.transform("ttp_sequence", lambda x: F.concat(F.lit("block-"), x)))
     )
     h = d.hypotheses(t)

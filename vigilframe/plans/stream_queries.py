@@ -9,7 +9,6 @@ from vigilframe.functions import text
 from vigilframe.plans import derived as d
 from vigilframe.plans.registry import Tables, query
 from vigilframe.session import scratch_path
-from vigilframe.sources import writers
 from vigilframe.streaming import jobs
 
 
@@ -123,7 +122,31 @@ def streaming_indicator_matches(t: Tables) -> DataFrame:
 @query("R-07 A-03", "SELECT event_type, count(*) AS events, count(*) FILTER (value > 80) AS flagged FROM events GROUP BY event_type")
 def streaming_counters(t: Tables) -> DataFrame:
     base = scratch_path(t.spark, "counters")
-    table = writers.SwappedTable(t.spark, f"{base}/table")
     counters = {"events": F.count(F.lit(1)), "flagged": F.count_if(F.col("value") > 80)}
-    _fed(t, lambda e: jobs.counter_stream(e, ["event_type"], counters, table, f"{base}/checkpoint"))
-    return table.read()
+    _fed(t, lambda e: jobs.counter_stream(e, ["event_type"], counters, f"{base}/out", f"{base}/checkpoint"))
+    return jobs.latest_counters(t.spark, f"{base}/out", ["event_type"])
+
+
+@query(
+    "R-08 R-02",
+    """WITH s AS (SELECT *, least(2, CAST(floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * 3 / ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM events))) AS INT)) AS slot FROM events),
+    f AS (SELECT *, CASE WHEN slot < 2 AND event_id % 10 = 0 THEN slot + 1 ELSE slot END AS fed FROM s),
+    m AS (SELECT fed, max(epoch_us(ts)) AS newest FROM f GROUP BY fed)
+    SELECT event_id, coalesce(epoch_us(ts) < (SELECT max(newest) FROM m WHERE m.fed < f.fed), false) AS late FROM f""",
+)
+def streaming_late_rows(t: Tables) -> DataFrame:
+    """A tenth of the rows arrives one delivery late: each row is scored or kept in the table of late rows."""
+    base = scratch_path(t.spark, "late")
+    path = scratch_path(t.spark, "feed")
+    events = d.events(t).select("event_id", "user_id", "micros", "value")
+    low, high = events.agg(F.min("micros"), F.max("micros")).first()
+    slot = F.least(F.lit(2), F.floor((F.col("micros") - F.lit(low)) * 3 / F.lit(high - low + 1))).cast("int")
+    fed = F.when((slot < 2) & (F.col("event_id") % 10 == 0), slot + 1).otherwise(slot)
+    for i in range(3):
+        events.where(fed == i).write.mode("append").parquet(path)
+        jobs.baseline_stream(
+            t.spark.readStream.schema(events.schema).parquet(path), "user_id", "micros", "event_id", ["value"],
+            f"{base}/out", f"{base}/state", f"{base}/checkpoint", f"{base}/late",
+        )
+    scored = t.spark.read.parquet(f"{base}/out").select("event_id", F.lit(False).alias("late"))
+    return scored.unionByName(t.spark.read.parquet(f"{base}/late").select("event_id", F.lit(True).alias("late")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilframe import params
 from vigilframe.functions import records
+from vigilframe.session import small_side
 
 GRAPH_SCHEMA = (
     "metadata struct<base_date:string,attack_path:array<string>>,"
@@ -148,22 +149,24 @@ STIX_SCHEMA = (
 )
 
 
-def stix_tables(objects: DataFrame, order: str, limit: int = 500) -> tuple[DataFrame, DataFrame]:
+def stix_tables(objects: DataFrame, order: str, limit: int | None = None, description_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of STIX objects.
 
-    Primary types are capped together in bundle order; a relationship is kept
-    only when both ends became nodes.
+    A relationship is kept only when both ends became nodes. ``limit`` keeps the first primary types in bundle order and
+    ``description_chars`` the begin of descriptions, as the importer did; by default everything is kept.
     """
     from vigilframe.operators.graph import known_edges
 
     labels = F.create_map(*[F.lit(x) for k, v in params.STIX_LABELS.items() for x in (k, v[0])])
     primary = [k for k, v in params.STIX_LABELS.items() if v[1]]
     typed = objects.withColumn("label", F.try_element_at(labels, F.col("type"))).where("label IS NOT NULL")
-    first = typed.where(F.col("type").isin(primary)).orderBy(order).limit(limit)
+    first = typed.where(F.col("type").isin(primary))
+    first = first if limit is None else first.orderBy(order).limit(limit)
+    told = F.coalesce("description", F.lit(""))
     rest = typed.where(~F.col("type").isin(primary))
     nodes = first.unionByName(rest).select(
         "id", "label", F.coalesce("name", "id").alias("name"),
-        F.substring(F.coalesce("description", F.lit("")), 1, 200).alias("description"),
+        (told if description_chars is None else F.substring(told, 1, description_chars)).alias("description"),
         F.when(F.col("type") == "attack-pattern", records.mitre_id(F.col("external_references"))).otherwise(F.lit("")).alias("mitre_id"),
     )
     links = objects.where("type = 'relationship'").select(
@@ -173,29 +176,32 @@ def stix_tables(objects: DataFrame, order: str, limit: int = 500) -> tuple[DataF
     return nodes, known_edges(links, nodes)
 
 
-def read_stix(spark: SparkSession, path: str, limit: int = 500) -> tuple[DataFrame, DataFrame]:
+def read_stix(spark: SparkSession, path: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     doc = spark.read.schema(STIX_SCHEMA).json(path, multiLine=True)
     objects = doc.select(F.posexplode("objects").alias("pos", "o")).select("pos", "o.*")
     return stix_tables(objects, "pos", limit)
 
 
 def positions(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Number the rows in reading order, from 0.
+    """Number the rows of a table that was just read, from 0: by file name, then by place in the file.
 
-    The generated id holds the partition and the place inside it; a small table
-    of rows per partition turns it into a global position. Nothing is sorted.
+    The reader lists splits by size, so a split is known by its file and first byte. A table of rows per split, one row each,
+    gives every split its offset; rows keep the order in which their split was read. Nothing else is sorted.
     """
-    tagged = df.withColumn("_id", F.monotonically_increasing_id())
-    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    placed = tagged.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # one row per partition
-    return placed.withColumn(name, F.col("_offset") + place).drop("_id", "_part", "_offset")
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"))
+    tagged = df.select("*", at.alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    sizes = tagged.groupBy("_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    placed = tagged.join(small_side(offsets), "_split")
+    return placed.withColumn(name, F.col("_offset") + F.col("_id") - F.col("_first")).drop("_id", "_split", "_first", "_offset")
 
 
 def zipped_by_position(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join two files row by row, in reading order."""
+    """Join two tables, each read from files, row by row: the n-th row in file order of one with that of the other.
+
+    Select from a table only after it is numbered, or keep the file metadata in reach.
+    """
     return positions(left).join(positions(right), "_row").drop("_row")
 
 

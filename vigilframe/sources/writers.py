@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,43 +29,6 @@ def append(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-class SwappedTable:
-    """A table whose content is replaced as a whole.
-
-    Every version is written to a new folder and a one-row pointer names the
-    current one, so readers never see a half-written table and a lost executor
-    only repeats its tasks.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _pointers(self) -> DataFrame:
-        return self.spark.read.schema("version bigint, folder string").json(f"{self.path}/_pointer")
-
-    def _current(self):
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_pointer")
-        if not fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs):
-            return None
-        return self._pointers().orderBy(F.desc("version")).first()
-
-    def read(self) -> DataFrame:
-        row = self._current()
-        if row is None:
-            raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(f"{self.path}/{row['folder']}")
-
-    def exists(self) -> bool:
-        return self._current() is not None
-
-    def replace(self, df: DataFrame) -> None:
-        row = self._current()
-        folder = f"v-{uuid.uuid4().hex}"
-        df.write.mode("errorifexists").parquet(f"{self.path}/{folder}")
-        version = (row["version"] if row else 0) + 1
-        self.spark.createDataFrame([(version, folder)], "version bigint, folder string").coalesce(1).write.mode("append").json(f"{self.path}/_pointer")
-
-
 def log_document(df: DataFrame) -> DataFrame:
     """Evidence rows as log documents."""
     return df.select(

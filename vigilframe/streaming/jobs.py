@@ -47,17 +47,19 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     query.awaitTermination()
 
 
-def ingest_stream(events: DataFrame, passed_path: str, held_path: str, checkpoint: str) -> None:
+def ingest_stream(
+    events: DataFrame, passed_path: str, held_path: str, checkpoint: str, normalise: Callable[[DataFrame], DataFrame] | None = None
+) -> None:
     """Sanitise, trust-score and split; passed and quarantined rows go to two tables.
 
-    ``events`` is a streaming frame with a ``raw`` map.
+    ``events`` is a streaming frame with a ``raw`` map. ``normalise`` is applied to the rows that pass, as in a batch run.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         scored = ingest.ingest(batch).persist()
         try:
             passed, held = ingest.trust_split(scored)
-            write_batch(passed, passed_path, batch_id)
+            write_batch(normalise(passed) if normalise else passed, passed_path, batch_id)
             write_batch(held, held_path, batch_id)
         finally:
             scored.unpersist()
@@ -74,13 +76,14 @@ def baseline_stream(
     out_path: str,
     state_path: str,
     checkpoint: str,
-    late_path: str | None = None,
+    late_path: str,
     lateness_seconds: int = 0,
 ) -> None:
     """Per-asset running baseline with state carried across micro-batches.
 
     Rows older than the newest instant seen minus the allowed lateness go to
-    the side table, as their place in the order has already been scored.
+    the table at ``late_path``, as their place in the order has already been
+    scored; every row is in one of the two tables.
     """
     spark = events.sparkSession
     kind = events.schema[asset].dataType.simpleString()
@@ -97,8 +100,7 @@ def baseline_stream(
             if mark is not None:
                 too_old = F.col(micros) < F.lit(mark - lateness_seconds * 1_000_000)
                 fresh = batch.where(~too_old)
-                if late_path:
-                    write_batch(batch.where(too_old), late_path, batch_id)
+                write_batch(batch.where(too_old), late_path, batch_id)
             seed = state.before(batch_id)
             write_batch(anomaly.temporal_baseline(fresh, asset, micros, tie, values, seed=seed), out_path, batch_id)
             state.save(batch_id, anomaly.baseline_state(fresh, asset, values, seed))
@@ -148,36 +150,42 @@ def first_seen_stream(events: DataFrame, key: str, at: str, life: str, out_path:
     ).start().awaitTermination()
 
 
-def matched_stream(events: DataFrame, values: Column, indicators: DataFrame, as_of: Column, out_path: str, checkpoint: str) -> None:
-    """Indicator match of every micro-batch against the unexpired indicators."""
+def matched_stream(
+    events: DataFrame, values: Column, indicators: DataFrame, as_of: Column | Callable[[], Column], out_path: str, checkpoint: str
+) -> None:
+    """Indicator match of every micro-batch against the indicators that have not expired when it runs.
+
+    ``as_of`` is a function that gives the instant of a micro-batch, or one instant for all.
+    """
     from vigilframe.operators.federation import matched
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        write_batch(matched(batch, values, indicators, as_of), out_path, batch_id)
+        now = as_of() if callable(as_of) and not isinstance(as_of, Column) else as_of
+        write_batch(matched(batch, values, indicators, now), out_path, batch_id)
 
     run_available(events, each, checkpoint)
 
 
-def counter_stream(events: DataFrame, keys: list[str], counters: dict[str, Column], table, checkpoint: str) -> None:
-    """Incremental counters: each update replaces the keyed rows of a swapped table.
+def counter_stream(events: DataFrame, keys: list[str], counters: dict[str, Column], out_path: str, checkpoint: str) -> None:
+    """Incremental counters: the engine keeps the aggregate state, and each micro-batch writes the keys that changed.
 
-    ``table`` is a SwappedTable; the engine keeps the aggregate state, so every
-    micro-batch only delivers the keys that changed.
+    ``latest_counters`` reads the last value of each key.
     """
     totals = events.groupBy(*keys).agg(*[c.alias(n) for n, c in counters.items()])
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        merged = batch
-        if table.exists():
-            merged = batch.unionByName(table.read().join(batch.select(*keys), keys, "left_anti"))
-        table.replace(merged)
-
     query = (
-        totals.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        totals.writeStream.outputMode("update").foreachBatch(lambda batch, batch_id: write_batch(batch, out_path, batch_id))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
+def latest_counters(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Each key with the values of the last micro-batch that changed it."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])
+
+
 def windowed_rates(events: DataFrame, key: str, at: str, watermark: str, length: str, slide: str, out_path: str, checkpoint: str) -> None:
     """Coarse sliding rates with event-time windows and a watermark for late rows."""
     rates = events.withWatermark(at, watermark).groupBy(F.window(at, length, slide), key).agg(F.count(F.lit(1)).alias("calls"))
