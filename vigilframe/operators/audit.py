@@ -186,3 +186,21 @@ def promotion(metrics: DataFrame, ratio: float = params.PROMOTION_RATIO) -> Data
         (~F.bool_or(short)).alias("promoted"),
         F.array_join(F.array_sort(F.collect_list(F.when(short, reason))), "; ").alias("reasons"),
     )
+
+
+def audit_statistics(log: DataFrame, memories: DataFrame, history: DataFrame, key: str) -> DataFrame:
+    """One row: log entries, memories, whether every chain holds, promotions and rejections of shadow models.
+
+    ``history``: promoted BOOLEAN; a null counts as rejected.
+    """
+    chains = chain_report(log, key).agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("audit_log_entries"), F.coalesce(F.bool_and("valid"), F.lit(True)).alias("chain_valid"))
+    kept = memories.agg(F.count("*").alias("cognitive_memory_count"))
+    won = F.coalesce("promoted", F.lit(False))
+    shadows = history.agg(F.count_if(won).alias("shadow_promotions"), F.count_if(~won).alias("shadow_rejections"))
+    return chains.crossJoin(kept).crossJoin(shadows)  # one row each
+
+
+def excerpts(log: DataFrame, columns: list[str], at: Column, limit: int | None = None) -> DataFrame:
+    """The named columns of the log, newest first; all rows unless a limit is given."""
+    newest = log.orderBy(at.desc())
+    return (newest if limit is None else newest.limit(limit)).select(*columns)

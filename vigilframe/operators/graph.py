@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilframe import params
-from vigilframe.session import cut_lineage
+from vigilframe.session import cut_lineage, small_side
 
 PRUNE_BELOW = 0.01
 
@@ -299,3 +299,25 @@ def merged_edges(edges: DataFrame, seq: str) -> DataFrame:
 
 def touched_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+
+def neighbour_layer(nodes: DataFrame, edges: DataFrame, dim: int, weights: list[list[float]]) -> DataFrame:
+    """(id, out): own vector and neighbour mean side by side, a linear map, unit length, then negative values cut to 0.
+
+    ``weights`` has one row of 2 x dim values per output. A node that was not there in training gets its vector the same way.
+    """
+    from vigilframe.operators.similarity import l2_normalized
+
+    rows = neighbour_mean(nodes, edges, dim).select("id", F.concat("self", "neighbours").alias("_x"))
+    linear = F.array(*[sum((F.element_at("_x", i + 1) * F.lit(float(w)) for i, w in enumerate(row)), F.lit(0.0)) for row in weights])
+    return rows.select("id", F.transform(l2_normalized(linear), lambda v: F.greatest(v, F.lit(0.0))).alias("out"))
+
+
+def display_groups(nodes: DataFrame, core: int = 15) -> DataFrame:
+    """Add ``place`` in display order and ``core``: whether the node is among the first ``core``.
+
+    ``nodes``: id, priority. Only the first rows are ranked; the rest is background without a place.
+    """
+    first = nodes.orderBy("priority", "id").limit(core)
+    ranked = first.select("id", F.row_number().over(Window.orderBy("priority", "id")).alias("place"))  # at most ``core`` rows
+    return nodes.join(small_side(ranked), "id", "left").withColumn("core", F.col("place").isNotNull())

@@ -46,8 +46,9 @@ def statistics(incidents: DataFrame) -> DataFrame:
     return incidents.select(F.explode(items).alias("i")).groupBy("i.dimension", "i.item").agg(F.count(F.lit(1)).alias("incidents"))
 
 
-def top_items(stats: DataFrame, dimension: str, limit: int) -> DataFrame:
-    return stats.where(F.col("dimension") == dimension).orderBy(F.desc("incidents"), "item").limit(limit)
+def top_items(stats: DataFrame, dimension: str, limit: int | None = None) -> DataFrame:
+    ranked = stats.where(F.col("dimension") == dimension).orderBy(F.desc("incidents"), "item")
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def trend(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def trend(current: DataFrame, previous: DataFrame) -> DataFrame:
     )
 
 
-def recommendations(stats: DataFrame, limit: int = 10) -> DataFrame:
+def recommendations(stats: DataFrame, limit: int | None = None) -> DataFrame:
     """(rule, priority, mitigation, incidents) of the rules that hold."""
     count = lambda d, i: F.coalesce(F.sum(F.when((F.col("dimension") == d) & (F.col("item") == i), F.col("incidents"))), F.lit(0))
     row = stats.agg(
@@ -90,11 +91,12 @@ def recommendations(stats: DataFrame, limit: int = 10) -> DataFrame:
         lambda r: r.isNotNull(),
     )
     general = F.array(F.struct(F.lit("keep_monitoring").alias("rule"), F.lit("MEDIUM").alias("priority"), F.lit("M1031").alias("mitigation"), c("total").alias("incidents")))
-    picked = F.slice(F.when(F.size(rules) > 0, rules).otherwise(general), 1, limit)
+    picked = F.when(F.size(rules) > 0, rules).otherwise(general)
+    picked = picked if limit is None else F.slice(picked, 1, limit)
     return row.select(F.explode(picked).alias("r")).select("r.*")
 
 
-def markdown_table(stats: DataFrame, dimension: str, limit: int = 50) -> DataFrame:
+def markdown_table(stats: DataFrame, dimension: str, limit: int | None = None) -> DataFrame:
     """One row: a Markdown table of the dimension, largest first."""
     total = F.sum(F.when(F.col("dimension") == "total", F.col("incidents")))
     whole = stats.agg(total.alias("t")).first()[0] or 0
@@ -154,3 +156,26 @@ def timeline(events: DataFrame, incident: str, order: list[Column], bucket: Colu
 
     placed = row_positions(events, [incident], order, bucket, "position")
     return placed.withColumn("offset_seconds", F.col("position") * step_seconds)
+
+
+def quick_summary(stats: DataFrame, actors: int = 5) -> DataFrame:
+    """One row: total, most frequent type, and the names of the most frequent actors, largest first."""
+    actor = F.when(F.col("dimension") == "actor", F.struct((-F.col("incidents")).alias("n"), F.col("item")))
+    ranked = F.slice(F.array_sort(F.collect_list(actor)), 1, actors)  # one entry per actor
+    best = F.max_by(F.col("item"), F.when(F.col("dimension") == "type", F.struct(F.col("incidents"), F.col("item"))))
+    total = F.coalesce(F.sum(F.when(F.col("dimension") == "total", F.col("incidents"))), F.lit(0))
+    return stats.agg(total.alias("total"), best.alias("top_type"), F.transform(ranked, lambda r: r["item"]).alias("top_actors"))
+
+
+def dashboard(runs: DataFrame, assets: DataFrame) -> DataFrame:
+    """One row: quarantined, flagged and clean runs, assets hit, and critical assets among them.
+
+    ``runs``: asset_id, outcome. ``assets``: asset_id, criticality. An asset is hit by a run that is not clean.
+    """
+    per = runs.groupBy("asset_id").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("quarantined", "flagged", "clean")])
+    known = per.join(assets.select("asset_id", "criticality"), "asset_id", "left")
+    hit = F.col("asset_id").isNotNull() & (F.col("quarantined") + F.col("flagged") > 0)
+    return known.agg(
+        *[F.coalesce(F.sum(o), F.lit(0)).alias(o) for o in ("quarantined", "flagged", "clean")],
+        F.count_if(hit).alias("assets_hit"), F.count_if(hit & (F.col("criticality") == "CRITICAL")).alias("crown_jewels_hit"),
+    )

@@ -99,3 +99,14 @@ def routing_stats(routed: DataFrame, timing: str = "timing_ms") -> DataFrame:
         F.round(F.count_if(F.col("path") < 3) * 100 / total, 1).alias("cache_hit_rate_pct"),
     ]
     return routed.agg(*cols)
+
+
+def cache_summary(cache: DataFrame, as_of: Column, asked: DataFrame) -> DataFrame:
+    """(fingerprint, exists) for each asked fingerprint: whether a live entry is held."""
+    keys = live(cache, as_of).select("fingerprint", F.lit(True).alias("_held"))
+    return asked.select("fingerprint").join(keys, "fingerprint", "left").select("fingerprint", F.col("_held").isNotNull().alias("exists"))
+
+
+def cache_size(cache: DataFrame, as_of: Column) -> DataFrame:
+    """One row: live entries. A cleared cache is an empty table."""
+    return live(cache, as_of).agg(F.count("*").alias("entries"))

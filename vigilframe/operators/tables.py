@@ -139,3 +139,16 @@ def security_log_rows(df: DataFrame, limit: int = 1000) -> DataFrame:
 def matches_search(columns: list[Column], word: str) -> Column:
     """Case-insensitive search over several texts."""
     return F.lower(F.concat_ws(" ", *columns)).contains(word.lower())
+
+
+def runs_from_log(log: DataFrame) -> DataFrame:
+    """Runs read off the audit log, for a store without a run table.
+
+    ``log``: audit_id, source, asset_id, risk_score, action_taken, decision_id, stored_at.
+    """
+    idle = F.col("action_taken").isNull() | F.col("action_taken").isin("MONITOR", "none")
+    flagged = (F.coalesce("risk_score", F.lit(0.0)) > 0.6) | ~idle
+    return log.select(
+        F.col("audit_id").alias("run_id"), F.coalesce("source", F.lit("audit_log")).alias("source"), "asset_id", F.lit(False).alias("quarantined"),
+        flagged.alias("flagged"), F.col("risk_score").alias("anomaly_score"), "decision_id", F.col("stored_at").alias("created_at"),
+    )

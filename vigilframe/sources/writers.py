@@ -46,21 +46,23 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     both.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
-def write_report(stats: DataFrame, path: str, title: str, period: str) -> dict[str, str]:
-    """Statistics as JSON files, and Markdown and HTML texts of the top tables.
+def write_report(stats: DataFrame, path: str, title: str, period: str, limits: dict[str, int] | None = None) -> dict[str, str]:
+    """Statistics as JSON files, and Markdown and HTML texts with a table per dimension.
 
-    Only the ranked top rows reach the driver for the text.
+    The tables hold one row per type, sector and actor, which the texts need on the driver; ``limits`` (by dimension) keeps the
+    largest ones only.
     """
     from vigilframe.operators.report import summary_row, top_items
 
+    limits = limits or {}
     stats = stats.persist()
     try:
         stats.write.mode("overwrite").json(f"{path}/statistics")
         head = summary_row(stats).first()
         lines = [f"# {title}", "", f"**Reporting period:** {period}", "", f"- **Total incidents:** {head['total']}", ""]
         body = [f"<h1>{html.escape(title)}</h1>", f"<p>{html.escape(period)}</p>"]
-        for dimension, limit in (("type", 50), ("sector", 50), ("actor", 10)):
-            rows = top_items(stats, dimension, limit).collect()
+        for dimension in ("type", "sector", "actor"):
+            rows = top_items(stats, dimension, limits.get(dimension)).collect()
             if not rows:
                 continue
             lines += [f"## Incidents by {dimension}", "", "| Item | Incidents | Share |", "|---|---|---|"]
