@@ -101,12 +101,13 @@ def test_recommendation_fallback_and_rules(spark):
     assert [r["rule"] for r in busy] == ["email_training", "backup_recovery", "patch_management"]
 
 
-def test_auc_and_threshold_equal_brute_force(spark):
+def test_auc_and_threshold_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr("vigilframe.operators.running.RANGE_ROWS", 20)
     rng = np.random.RandomState(3)
     y = rng.rand(300) < 0.3
     x = np.round(rng.rand(300) + y * 0.3, 2)
     df = spark.createDataFrame([(float(a), bool(b)) for a, b in zip(x, y)], "s double, y boolean")
-    row = evaluate.roc_threshold(evaluate.roc_points(df, F.col("s"), F.col("y"), buckets=17), 0.1).first()
+    row = evaluate.roc_threshold(evaluate.roc_points(df, F.col("s"), F.col("y")), 0.1).first()
     pos, neg = x[y], x[~y]
     auc = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / len(pos) / len(neg)
     assert row["auc"] == pytest.approx(auc)

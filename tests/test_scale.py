@@ -74,3 +74,16 @@ def test_flagship_plan_prunes_columns_and_stays_in_the_jvm(spark):
     plan = REGISTRY["telemetry_screening"].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert "props" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_ranges_split_a_hot_key_and_a_hot_day(spark, monkeypatch):
+    """With defaults, neither one key nor one instant's day puts more than a range of rows into a bucket."""
+    monkeypatch.setattr(running, "RANGE_ROWS", 500)
+    rows = hot(spark)
+    dealt, bucket = running.ranged(rows, ["asset"], [F.col("micros"), F.col("id")])
+    assert dealt.groupBy(bucket.alias("b")).count().agg(F.max("count")).first()[0] < 1500
+    plain = anomaly.temporal_baseline(rows, "asset", "micros", "id", ["v"], bucket_seconds=3600).select("id", "n", F.round("temporal_score", 6).alias("s"))
+    split = anomaly.temporal_baseline(rows, "asset", "micros", "id", ["v"]).select("id", "n", F.round("temporal_score", 6).alias("s"))
+    assert plain.exceptAll(split).count() == 0
+    seqs = running.sliding_sequences(rows, [F.col("id")], None, F.col("id"), 10)
+    assert seqs.count() == rows.count() - 9 and seqs.where("sequence[9] - sequence[0] <> 9").count() == 0

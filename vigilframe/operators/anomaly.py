@@ -30,13 +30,15 @@ def temporal_baseline(
     tie: str,
     values: list[str],
     warmup: int = WARMUP,
-    bucket_seconds: int = 86_400,
+    bucket_seconds: int | None = None,
     seed: DataFrame | None = None,
 ) -> DataFrame:
-    """Add n, mean, variance and ``temporal_score`` per row, row included."""
-    moments = running_moments(
-        df, [asset], [F.col(micros), F.col(tie)], time_bucket(F.col(micros), bucket_seconds), values, seed
-    )
+    """Add n, mean, variance and ``temporal_score`` per row, row included.
+
+    Rows are bucketed by number, or by ``bucket_seconds`` of time if given.
+    """
+    bucket = time_bucket(F.col(micros), bucket_seconds) if bucket_seconds else None
+    moments = running_moments(df, [asset], [F.col(micros), F.col(tie)], bucket, values, seed)
     return moments.withColumn("temporal_score", baseline_score(values, warmup))
 
 

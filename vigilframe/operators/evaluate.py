@@ -22,19 +22,16 @@ def confusion(df: DataFrame, truth: Column, predicted: Column) -> DataFrame:
     return row.withColumn("f1", ratio(2 * p * r, p + r)).withColumn("fpr", ratio(fp, fp + tn))
 
 
-def roc_points(df: DataFrame, score: Column, truth: Column, buckets: int = 1024) -> DataFrame:
+def roc_points(df: DataFrame, score: Column, truth: Column) -> DataFrame:
     """(score, tp, fp, pos, neg) cumulated from the highest score down.
 
-    Scores are aggregated first; the running sums are bucketed over the score
-    range, so no single task sorts all distinct scores.
+    Scores are aggregated first; the running sums go over ranges of equally
+    many scores, so no single task sorts all distinct scores.
     """
     per = df.select(score.cast("double").alias("score"), truth.alias("t")).groupBy("score").agg(
         F.count_if("t").alias("pos"), F.count_if(~F.col("t")).alias("neg")
     )
-    low, high = df.agg(F.min(score.cast("double")), F.max(score.cast("double"))).first()
-    width = ((high or 0.0) - (low or 0.0)) / buckets or 1.0
-    bucket = F.floor((F.lit(float(high or 0.0)) - F.col("score")) / F.lit(width)).cast("bigint")
-    return running_sums(per, [], [F.desc("score")], bucket, {"tp": F.col("pos"), "fp": F.col("neg")})
+    return running_sums(per, [], [F.desc("score")], None, {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
 def roc_threshold(points: DataFrame, fpr_limit: float) -> DataFrame:
@@ -82,17 +79,17 @@ def hash_position(*columns) -> Column:
 
 
 def stratified_split(
-    df: DataFrame, label: str, position: Column, tie: str, train: float = 0.70, val: float = 0.15, buckets: int = 256
+    df: DataFrame, label: str, position: Column, tie: str, train: float = 0.70, val: float = 0.15
 ) -> DataFrame:
     """Add ``split`` per class, with the minimum sizes for small classes.
 
-    Rows are ranked by a uniform position in [0, 1); a class is cut into
-    position buckets, so a class with most of the rows stays distributed.
+    Rows are ranked by a position; ranges of equally many rows keep a class
+    with most of the rows distributed.
     """
     placed = df.withColumn("_p", position)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_sums(
-        placed, [label], [F.col("_p"), F.col(tie)], F.floor(F.col("_p") * buckets).cast("bigint"), {"_rank": F.lit(1).cast("bigint")}
+        placed, [label], [F.col("_p"), F.col(tie)], None, {"_rank": F.lit(1).cast("bigint")}
     ).join(sizes, label)
     n = F.col("_n")
     n_train = F.greatest(F.lit(1), F.bround(n * F.lit(train), 0).cast("bigint"))

@@ -150,7 +150,7 @@ def coverage_pct(counters: DataFrame) -> DataFrame:
     )
 
 
-def timeline(events: DataFrame, incident: str, order: list[Column], bucket: Column, step_seconds: int = 15) -> DataFrame:
+def timeline(events: DataFrame, incident: str, order: list[Column], bucket: Column | None = None, step_seconds: int = 15) -> DataFrame:
     """Add ``position`` and ``offset_seconds`` per incident."""
     from vigilframe.operators.running import row_positions
 

@@ -14,13 +14,30 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilframe.session import cut_lineage
+
 BUCKET = "_bucket"
+# Rows of a bucket where the caller names none.
+RANGE_ROWS = 1_000_000
 
 
 def time_bucket(micros: Column, seconds: int) -> Column:
     return F.floor(micros / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+def ranged(df: DataFrame, keys: list[str], order: list[Column]) -> tuple[DataFrame, Column]:
+    """Rows dealt by ranges of (keys, order), and the number of the range as their bucket.
+
+    There are as many ranges as make about ``RANGE_ROWS`` rows each, so a bucket is bounded however the rows are spread over keys
+    and time. The ranges are written once, as every later step must see the same ones.
+    """
+    parts = -(-df.count() // RANGE_ROWS)
+    if parts <= 1:
+        return df, F.lit(0).cast("bigint")
+    dealt = df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id().cast("bigint"))
+    return cut_lineage(dealt), F.col("_range")
+
+
 def _with_carry(df: DataFrame, keys: list[str], totals: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Join each (key, bucket) with window values over the key's bucket totals."""
     carry = totals.select(*keys, BUCKET, *[c.alias(n) for n, c in columns.items()])
@@ -28,12 +45,14 @@ def _with_carry(df: DataFrame, keys: list[str], totals: DataFrame, columns: dict
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], order: list[Column], bucket: Column, measures: dict[str, Column]
+    df: DataFrame, keys: list[str], order: list[Column], bucket: Column | None, measures: dict[str, Column]
 ) -> DataFrame:
     """Add inclusive running sums, exact under the total order ``order``.
 
-    ``bucket`` must not decrease along ``order``; the keys must not be null.
+    ``bucket`` must not decrease along ``order``; without one, rows are bucketed by ``ranged``. The keys must not be null.
     """
+    if bucket is None:
+        df, bucket = ranged(df, keys, order)
     staged = df.withColumn(BUCKET, bucket)
     totals = staged.groupBy(*keys, BUCKET).agg(*[F.sum(e).alias(f"_total_{n}") for n, e in measures.items()])
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -45,10 +64,10 @@ def running_sums(
     out = carried.select(
         "*", *[(F.col(f"_before_{n}") + F.coalesce(F.sum(e).over(local), F.lit(0))).alias(n) for n, e in measures.items()]
     )
-    return out.drop(BUCKET, *[f"_before_{n}" for n in measures])
+    return out.drop(BUCKET, "_range", *[f"_before_{n}" for n in measures])
 
 
-def row_positions(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str = "seq") -> DataFrame:
+def row_positions(df: DataFrame, keys: list[str], order: list[Column], bucket: Column | None = None, name: str = "seq") -> DataFrame:
     """Number the rows of each key from 1 along ``order``."""
     return running_sums(df, keys, order, bucket, {name: F.lit(1).cast("bigint")})
 
@@ -57,7 +76,7 @@ def running_moments(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    bucket: Column,
+    bucket: Column | None,
     values: list[str],
     seed: DataFrame | None = None,
 ) -> DataFrame:
@@ -65,7 +84,10 @@ def running_moments(
 
     ``seed`` (keys, _n, _mean_<v>, _m2_<v>) continues from an earlier state.
     Sums are taken around a per-key centre so that the variance does not cancel.
+    Without a ``bucket``, rows are bucketed by ``ranged``.
     """
+    if bucket is None:
+        df, bucket = ranged(df, keys, order)
     staged = df.withColumn(BUCKET, bucket)
     totals = staged.groupBy(*keys, BUCKET).agg(
         F.count(F.lit(1)).alias("_cnt"),
@@ -104,7 +126,7 @@ def running_moments(
         out = out.withColumn(f"mean_{v}", F.col(f"_centre_{v}") + s / F.col("n"))
         spread = F.greatest(q - s * s / F.col("n"), F.lit(0.0))
         out = out.withColumn(f"var_{v}", F.when(F.col("n") > 1, spread / (F.col("n") - 1)))
-    spare = [c for c in out.columns if c.startswith(("_before_", "_centre_", "_s_", "_q_")) or c == BUCKET]
+    spare = [c for c in out.columns if c.startswith(("_before_", "_centre_", "_s_", "_q_")) or c in (BUCKET, "_range")]
     return out.drop(*spare)
 
 
@@ -124,7 +146,7 @@ def trailing_counts(df: DataFrame, keys: list[str], micros: str, seconds: int, n
 
 
 def sliding_sequences(
-    df: DataFrame, order: list[Column], bucket: Column, payload: Column, length: int, chunk: int = 4096
+    df: DataFrame, order: list[Column], bucket: Column | None, payload: Column, length: int, chunk: int = 4096
 ) -> DataFrame:
     """(seq, sequence) for every full run of ``length`` consecutive rows.
 

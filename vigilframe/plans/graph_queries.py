@@ -434,7 +434,7 @@ def sequence_reconstruction(t: Tables) -> DataFrame:
     from vigilframe.operators import running
 
     e = d.events(t).withColumn("v", F.array(F.col("value") / 500, F.hour("ts") / F.lit(23.0), F.get_json_object("props", "$.k").cast("double") / 100))
-    seqs = running.sliding_sequences(e, [F.col("micros"), F.col("event_id")], running.time_bucket(F.col("micros"), 86_400), F.col("v"), 10)
+    seqs = running.sliding_sequences(e, [F.col("micros"), F.col("event_id")], None, F.col("v"), 10)
     seqs = spread(cut_lineage(seqs.select("seq", F.flatten("sequence").alias("sequence"))), "seq")
     model = models.fit_sequences(seqs, 10, 3, hidden=16, latent=8)
     return models.sequence_scores(seqs, model).select("seq", F.round("sequence_score", 4).alias("sequence_score"))

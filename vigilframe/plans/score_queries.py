@@ -336,7 +336,7 @@ def running_baselines(t: Tables) -> DataFrame:
 )
 def sliding_sequences(t: Tables) -> DataFrame:
     e = d.events(t)
-    s = running.sliding_sequences(e, [F.col("micros"), F.col("event_id")], running.time_bucket(F.col("micros"), _DAY), F.col("value"), 10)
+    s = running.sliding_sequences(e, [F.col("micros"), F.col("event_id")], None, F.col("value"), 10)
     return s.select("seq", F.round(F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.element_at("sequence", 1).alias("oldest"), F.element_at("sequence", 10).alias("newest"))
 
 
@@ -357,7 +357,7 @@ def baseline_refits(t: Tables) -> DataFrame:
 )
 def incident_timelines(t: Tables) -> DataFrame:
     e = d.events(t)
-    out = report.timeline(e, "user_id", [F.col("micros"), F.col("event_id")], running.time_bucket(F.col("micros"), _DAY))
+    out = report.timeline(e, "user_id", [F.col("micros"), F.col("event_id")])
     return out.select("event_id", "user_id", "position", "offset_seconds")
 
 
