@@ -9,6 +9,7 @@ from vigilframe import params
 from vigilframe.functions import scoring
 from vigilframe.operators import evaluate, graph, models
 from vigilframe.plans import derived as d
+from vigilframe.plans import score_queries
 from vigilframe.plans.registry import Tables, query
 from vigilframe.session import cut_lineage, scratch_path, spread
 from vigilframe.sources import graphs, writers
@@ -423,9 +424,12 @@ def capped_rows(t: Tables) -> DataFrame:
 # -- model jobs ----------------------------------------------------------------
 @query("M-01 T-08")
 def isolation_scores(t: Tables) -> DataFrame:
-    f = d.flows(t).select("flow_id", "bytes", F.col("flow_duration").cast("double"), F.col("fwd_packets"), F.col("bwd_packets").cast("double").alias("bwd_packets"))
-    values = ["bytes", "flow_duration", "fwd_packets", "bwd_packets"]
-    model = models.fit_forest(f, "flow_id", values, trees=50, size=128)
+    """All 25 training features, scaled; forest of the published size."""
+    f = cut_lineage(score_queries.training_features(t))
+    values = [c for c in f.columns if c != "flow_id"]
+    scale = {r["feature"]: (r["mean"], r["scale"]) for r in evaluate.scaler(f, values).collect()}
+    f = f.select("flow_id", *[((F.col(v) - F.lit(scale[v][0])) / F.lit(scale[v][1])).alias(v) for v in values])
+    model = models.fit_forest(f, "flow_id", values, trees=300, size=4096)
     return models.forest_scores(f, model).select("flow_id", F.round("isolation_score", 6).alias("isolation_score"))
 
 
@@ -436,5 +440,5 @@ def sequence_reconstruction(t: Tables) -> DataFrame:
     e = d.events(t).withColumn("v", F.array(F.col("value") / 500, F.hour("ts") / F.lit(23.0), F.get_json_object("props", "$.k").cast("double") / 100))
     seqs = running.sliding_sequences(e, [F.col("micros"), F.col("event_id")], None, F.col("v"), 10)
     seqs = spread(cut_lineage(seqs.select("seq", F.flatten("sequence").alias("sequence"))), "seq")
-    model = models.fit_sequences(seqs, 10, 3, hidden=16, latent=8)
+    model = models.fit_sequences(seqs, 10, 3)
     return models.sequence_scores(seqs, model).select("seq", F.round("sequence_score", 4).alias("sequence_score"))
