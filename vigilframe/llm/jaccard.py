@@ -27,8 +27,8 @@ from vigilframe.llm.words import mix, shingles, text_chunks, words_of
 from vigilframe.session import scratch_path
 
 ORDERS = (1, 2)
-# Entries that a map task packs at a time.
-FLUSH = 1_000_000
+# Entries that a map task packs at a time, and that a task of one part of the shingles holds.
+FLUSH, PART = 500_000, 1_000_000
 # Largest bucket whose pairs are compared by count vectors; texts in a block of a larger one.
 SMALL, BLOCK = 256, 1024
 # Mean number of shingles in a cell of a count vector, and least cells.
@@ -120,17 +120,22 @@ def _unpacked(table: pa.Table):
         key.append(keys[owner >> 1])
         slack.append(spare[owner >> 1])
         count.append(_unpack(r["counts"], np.uint32, r["size"]) if r["counts"] is not None else np.zeros(r["size"], np.uint32))
-        order.append(np.full(r["size"], r["ord"]))
+        order.append(np.full(r["size"], r["ord"], np.int8))
     return tuple(map(np.concatenate, (token, key, slack, last, count, order)))
 
 
+def _classes(percent: int) -> int:
+    """Classes that the shingles are split into: few enough that one mostly holds the prefix."""
+    return max(2, 40 // max(1, 100 - percent))
+
+
 def _prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
 def _entries(width: int, percent: int, parts: int):
     """The shingles that can be in a prefix: whole classes, until they hold the prefix."""
-    classes = max(2, 40 // max(1, 100 - percent))
+    classes = _classes(percent)
 
     def run(batches):
         kept = {o: [] for o in ORDERS}
@@ -347,12 +352,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     by all their texts. A null doc_id takes no part and gets a null component. Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     path = scratch_path(spark, "jaccard-shapes")
     texts.mapInArrow(_shapes(width), "doc_id long, n long, key long, cells binary").write.parquet(path)
     shapes = spark.read.parquet(path)
     known = shapes.where("doc_id is not null and key is not null")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    parts = max(4, -(-total // (_classes(percent) * PART)))
     packed = texts.where("doc_id is not null").select("text").mapInArrow(_entries(width, percent, parts), PACKED)
     packed = packed.groupBy("ord", "part").applyInArrow(_shared(parts), PACKED)
     prefix = packed.groupBy("part").applyInArrow(_prefixes, "key long, p1 array<long>, p2 array<long>")

@@ -76,13 +76,13 @@ def fit_domains(sample: list[tuple[int, np.ndarray]], sizes: np.ndarray) -> Doma
     if not sample:
         return DomainModel(place, np.log(prior), np.zeros((0, len(sizes))))
     y = np.array([d for d, _ in sample])
-    row = np.repeat(np.arange(len(y)), [len(t) for _, t in sample])
-    term = np.concatenate([t for _, t in sample]).astype(np.int64)
-    total = np.bincount(term, minlength=1 << BITS)
-    apart = np.zeros(1 << BITS)
+    counts = np.zeros((len(sizes), 1 << BITS))
+    for domain, terms in sample:
+        counts[domain, terms] += 1
+    total, apart = counts.sum(axis=0), np.zeros(1 << BITS)
     for c in np.unique(y):
         share = (y == c).mean()
-        z = (np.bincount(term[y[row] == c], minlength=1 << BITS) - total * share) ** 2 / np.maximum(total * share * (1 - share), 1e-9)
+        z = (counts[c] - total * share) ** 2 / np.maximum(total * share * (1 - share), 1e-9)
         apart = np.maximum(apart, z)
     apart[total < LEAST_TEXTS] = 0
     best = np.sort(np.argsort(-apart, kind="stable")[:TERMS])
@@ -90,8 +90,9 @@ def fit_domains(sample: list[tuple[int, np.ndarray]], sizes: np.ndarray) -> Doma
     place[best] = np.arange(len(best))
     x = np.zeros((len(y), len(best) + 1), dtype=np.float32)
     x[:, -1] = 1
-    known = place[term] >= 0
-    x[row[known], place[term[known]]] = 1
+    for row, (_, terms) in enumerate(sample):
+        at = place[terms]
+        x[row, at[at >= 0]] = 1
     drawn = np.bincount(y, minlength=len(sizes))
     weight = np.where(drawn > 0, sizes / np.maximum(drawn, 1), 0)[y]
     weight = (weight / weight.sum()).astype(np.float32)

@@ -89,9 +89,10 @@ def fit(sample: list[tuple[int, np.ndarray]], positives: int, negatives: int, se
     if not len(y) or y.min() == y.max():
         share = (positives + 0.5) / (positives + negatives + 1)
         return FactorizationMachine(place, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, RANK)))
-    row = np.repeat(np.arange(len(y)), [len(t) for _, t in sample])
-    term = np.concatenate([t for _, t in sample])
-    up, total = np.bincount(term, weights=y[row], minlength=1 << BITS), np.bincount(term, minlength=1 << BITS)
+    up, total = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for label, terms in sample:
+        total[terms] += 1
+        up[terms] += label
     share, n1 = y.mean(), y.sum()
     n0 = len(y) - n1
     apart = np.abs(up - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
@@ -101,8 +102,9 @@ def fit(sample: list[tuple[int, np.ndarray]], positives: int, negatives: int, se
     best = np.sort(best[apart[best] >= LEAST_APART])
     place[best] = np.arange(len(best), dtype=np.int32)
     x = np.zeros((len(y), len(best)), dtype=np.float32)
-    known = place[term] >= 0
-    x[row[known], place[term[known]]] = 1
+    for row, (_, terms) in enumerate(sample):
+        at = place[terms]
+        x[row, at[at >= 0]] = 1
     weight = np.where(y == 1, positives / n1, negatives / n0)
     weight = (weight / weight.mean()).astype(np.float32)
     draw = np.random.default_rng(seed)
