@@ -415,11 +415,12 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     Documents without words and rows without doc_id stay. Of rows that repeat a kept doc_id, the smallest text stays.
     """
     found = jaccard_components(docs, width, percent)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(drop, docs["doc_id"] == drop["_gone"], "left_anti")
-    twice = rest.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1")
-    once = rest.join(twice.select(F.col("doc_id").alias("_twice")), F.col("doc_id") == F.col("_twice"), "left_anti")
-    again = rest.join(twice.select(F.col("doc_id").alias("_twice")), F.col("doc_id") == F.col("_twice"), "left_semi")
-    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
-    again = again.groupBy("doc_id").agg(F.min(F.struct("text", *columns)).alias("_row")).select("doc_id", "_row.*")
-    return once.select(docs.columns).unionByName(again.select(docs.columns))
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    # Rows are packed, so no name can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rest = rows.join(drop, F.col("row.doc_id") == F.col("gone"), "left_anti")
+    twice = rest.where(F.col("row.doc_id").isNotNull()).groupBy(F.col("row.doc_id").alias("twice")).agg(F.count("*").alias("rows")).where("rows > 1").select("twice")
+    once = rest.join(twice, F.col("row.doc_id") == F.col("twice"), "left_anti")
+    again = rest.join(twice, F.col("row.doc_id") == F.col("twice"), "left_semi")
+    again = again.groupBy("row.doc_id").agg(F.min_by("row", F.struct(F.col("row.text").isNull(), F.col("row.text"))).alias("row")).select("row")
+    return once.unionByName(again).select(*[F.col("row")[c].alias(c) for c in docs.columns])

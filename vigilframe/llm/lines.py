@@ -90,11 +90,15 @@ def without_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WO
 
 
 def deduplicated(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated units cut from text; a document that loses its last word goes. n_chars, if there, follows the text."""
-    gone = repeated_units(docs, unit, min_words).distinct().groupBy("_key").agg(F.collect_list("place").alias("_removed"))
-    joined = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text"))).join(gone, "_key", "left")
-    joined = joined.withColumn("_cut", _cut(unit)(F.when(F.col("_removed").isNotNull(), F.col("text")), F.col("_removed"))["text"])
-    joined = joined.where(F.col("_removed").isNull() | (F.size(words(F.col("_cut"))) > 0))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.col("_cut"))
-    chars = {"n_chars": F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("_cut").cast("long"))} if "n_chars" in docs.columns else {}
-    return joined.withColumns({"text": text} | chars).select(docs.columns)
+    """``docs`` with repeated units cut from text; a document that loses its last word goes. n_chars, if there, follows the text.
+
+    Columns are kept by packing the row, so no name can clash.
+    """
+    gone = repeated_units(docs, unit, min_words).distinct().groupBy("_key").agg(F.collect_list("place").alias("removed"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("_key", row_key(F.col("row.doc_id"), F.col("row.text"))).join(gone, "_key", "left")
+    cut = F.col("removed").isNotNull()
+    rows = rows.withColumn("kept", _cut(unit)(F.when(cut, F.col("row.text")), F.col("removed"))["text"])
+    rows = rows.where(~cut | (F.size(words(F.col("kept"))) > 0))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return rows.select(*[(F.when(cut, new[c]).otherwise(F.col("row")[c]) if c in new else F.col("row")[c]).alias(c) for c in docs.columns])

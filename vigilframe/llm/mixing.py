@@ -233,5 +233,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 def thinned(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``docs`` thinned towards the target weights: rates of at most 1, the first domain keeps its words; columns as they are."""
     rates = mixed(docs, labels, targets, budget=0, most=1.0)
-    gone = rates.where("copies = 0 and n_words > 0").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = rates.where("copies = 0 and n_words > 0").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so no name can clash
+    rows = rows.join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti")
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
