@@ -23,7 +23,7 @@ HEADLINE = [
     "indicator_matches", "exact_cache_hits", "nearest_vectors", "three_way_routing", "raw_flow_features", "training_features",
     "fused_signals", "behaviour_embeddings", "running_baselines", "rate_violations", "sliding_sequences", "hash_chains",
     "chain_verification", "response_decisions", "density_scores", "percentile_thresholds", "correction_consensus", "upserted_decisions",
-    "incident_statistics", "yearly_trend", "policy_violations", "graph_attention", "next_hops", "blast_radius_best_path", "merged_edges",
+    "incident_statistics", "yearly_trend", "policy_violations", "graph_attention", "next_hops", "blast_radius", "blast_radius_best_path", "reachable_nodes", "merged_edges", "retrieved_documents", "node_classifier", "streaming_counters",
 ]
 
 
