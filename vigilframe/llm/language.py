@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -45,8 +46,13 @@ def _trigrams(column: pa.Array):
 def text_model(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages of ``docs`` (text, lang) and their log shares of trigrams, from a bounded sample of texts of each."""
     labelled = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("_h"))
-    place = Window.partitionBy("lang").orderBy("_h", "text")
-    sample = labelled.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= per_language).select("lang", "text")
+    # Only hashes are ranked; a bound per language, of which the model holds one row each, then picks the texts in place.
+    place = Window.partitionBy("lang").orderBy("_h")
+    ranked = labelled.select("lang", "_h").distinct().withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= per_language)
+    bounds = ranked.groupBy("lang").agg(F.max("_h").alias("most")).collect()
+    picked = functools.reduce(lambda a, r: a | ((F.col("lang") == r["lang"]) & (F.col("_h") <= r["most"])), bounds, F.lit(False))
+    sample = labelled.where(picked).groupBy("lang", "_h").agg(F.min("text").alias("text")).select("lang", "text")
+    sample = sample.repartition("lang")  # bounded, and one table of counts for each language goes to the driver
 
     def run(batches):
         for batch in batches:
