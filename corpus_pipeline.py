@@ -31,9 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All but the earliest occurrence of each repeated line are cut; a document left without words goes."""
+    """All but the earliest occurrence of each repeated line, sentence and run of short lines are cut; a document left without words goes."""
     configure(spark)
-    return deduplicated(docs, "line")
+    return deduplicated(docs, "passage")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

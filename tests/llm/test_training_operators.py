@@ -196,6 +196,27 @@ def test_dedup_stage_keeps_columns(awkward, empty):
     assert lines.deduplicated(empty).count() == 0
 
 
+def test_passages_that_do_not_fill_lines(spark, awkward, empty, tmp_path):
+    one, two = "Alpha beta gamma delta epsilon zeta.", "Eta theta iota kappa lambda mu!"
+    short = "red fish\nblue fish\n\nold fish"
+    texts = [
+        (1, f"{one} {two}"),  # opens a line here, stands inside one below
+        (2, f"Something else begins this one line. {one}  {two} It ends with some other words."),
+        (3, f"a line of its own with words\n{short}\nanother line of its own with words"),
+        (4, f"{short}\nthe last line is again another one"),
+        (5, f"Nothing of this line is anywhere else.\n{one} {two.lower()} \n"), (6, f"{two} {one}\n..."), (7, None),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r for r in lines.without_repeats(docs, "passage").collect()}
+    assert {i: r["text"] for i, r in got.items()} == {
+        1: texts[0][1], 2: "Something else begins this one line. It ends with some other words.", 3: texts[2][1], 4: "the last line is again another one",
+        5: "Nothing of this line is anywhere else.\n", 6: "...", 7: None,
+    }
+    assert [[texts[i - 1][1][s["begin"] : s["end"]] for s in got[i]["spans"]] for i in (1, 2, 4, 6)] == [[], [one, two], [short], [two, one]]
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_lines(spark, docs, str(tmp_path)).collect()} == {i: r["text"] for i, r in got.items() if i != 7} | {7: None}
+    assert lines.without_repeats(awkward, "passage").count() == len(awkward_rows()) and lines.without_repeats(empty, "passage").count() == 0
+
+
 # -- licences -----------------------------------------------------------------
 
 

@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines or paragraphs: the earliest ranked occurrence of a unit stays, the others go."""
+"""Substring dedup by hashing lines, paragraphs or passages: the earliest ranked occurrence of a unit stays, the others go."""
 
 from __future__ import annotations
 
@@ -8,11 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.words import words
+from vigilframe.llm.words import SPACE_CHARS, WORD_PATTERN, words
 
 # What separates the units, as pattern and as the text put between kept units.
 SEPARATORS = {"line": ("\n", "\n"), "paragraph": ("\n[ \t\r]*\n", "\n\n")}
 MIN_WORDS = 5
+# Between the sentences of a line.
+SENTENCE = "(?<=[.!?])[ \t\r]+"
+# Place of a unit of passages: line number times this, and the number of the sentence from 1 (0: the line, or a run that begins there).
+LINE = 1 << 31
 
 
 def normalised(unit: Column) -> Column:
@@ -20,6 +24,24 @@ def normalised(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"[\x20\x09-\x0D]+", " "))
 
 
+def passages(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, _key, place, _unit: lines, the sentences of lines that have several, and runs of lines that are all under ``min_words`` words."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_key"), F.split(text, "\n").alias("_lines"))
+    # One letter a line: s is short.
+    rows = rows.withColumn("_size", F.array_join(F.transform("_lines", lambda x: F.when(F.size(words(x)) < min_words, "s").otherwise("l")), ""))
+    size, lines = F.col("_size"), F.col("_lines")
+    begins = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (F.substr(size, i, F.lit(2)) == "ss") & ((i == 1) | (F.substr(size, i - 1, F.lit(1)) == "l")))
+    run = lambda i: F.array_join(F.slice(lines, i, F.length(F.regexp_extract(F.substr(size, i), "^s+", 0))), "\n")
+    runs = F.when(size.contains("ss"), F.transform(begins, lambda i: F.struct((i - 1).alias("line"), run(i).alias("text"), F.lit(True).alias("run"))))
+    single = F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("text"), F.lit(False).alias("run")))
+    rows = rows.select("doc_id", "_key", F.explode(F.concat(single, F.coalesce(runs, F.slice(single, 1, 0)))).alias("_u"))
+    rows = rows.withColumn("_parts", F.when(F.col("_u.run"), F.array()).otherwise(F.split("_u.text", SENTENCE)))
+    units = F.when(F.size("_parts") > 1, F.concat(F.array("_u.text"), "_parts")).otherwise(F.array("_u.text"))
+    rows = rows.select("doc_id", "_key", "_u.line", F.posexplode(units).alias("_part", "_unit"))
+    return rows.select("doc_id", "_key", (F.col("line").cast("long") * LINE + F.col("_part")).alias("place"), "_unit")
+
+
 def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """(_key, place) of every unit of ``docs`` that is not the earliest of its digest; _key is ``row_key``.
 
@@ -28,7 +50,10 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WOR
     digests adaptive execution splits.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_key"), F.posexplode(F.split(text, SEPARATORS[unit][0])).alias("place", "_unit"))
+    if unit == "passage":
+        rows = passages(docs, min_words)
+    else:
+        rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_key"), F.posexplode(F.split(text, SEPARATORS[unit][0])).alias("place", "_unit"))
     rows = rows.where(F.size(words(F.col("_unit"))) >= min_words)
     form = normalised(F.col("_unit"))
     rows = rows.select("doc_id", "_key", "place", F.xxhash64(form).alias("_d1"), F.xxhash64(F.lit(7), form).alias("_d2"))
@@ -44,7 +69,52 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit(11), doc_id, text).alias("b"))
 
 
-def _cut(unit: str):
+def _cut_passages(min_words: int):
+    sentence, word = re.compile(SENTENCE), re.compile(WORD_PATTERN)
+
+    def cut_one(body: str, gone: set[int]) -> tuple[str, list[dict]]:
+        lines, kept, spans, at, run = body.split("\n"), [], [], 0, False
+        short = [len(word.findall(x)) < min_words for x in lines]
+        for i, line in enumerate(lines):
+            end = at + len(line)
+            if short[i]:
+                starts = not (i and short[i - 1])
+                run = i * LINE in gone if starts else run
+                if run and starts:
+                    spans.append({"begin": at, "end": end})
+                elif run:
+                    spans[-1]["end"] = end
+                else:
+                    kept.append(line)
+            elif i * LINE in gone:
+                spans.append({"begin": at, "end": end})
+            else:
+                ends = [(m.start(), m.end()) for m in sentence.finditer(line)] + [(len(line), len(line))]
+                stays, begin, cut = [], 0, False
+                for j, (stop, after) in enumerate(ends, 1):
+                    cut = len(ends) > 1 and i * LINE + j in gone
+                    if cut:
+                        spans.append({"begin": at + begin, "end": at + stop})
+                    else:
+                        stays.append(line[begin:after])
+                    begin = after
+                rest = "".join(stays)
+                if len(stays) == len(ends) or rest.strip(SPACE_CHARS):
+                    kept.append(rest.rstrip(" \t\r") if cut else rest)
+            at = end + 1
+        return "\n".join(kept), spans
+
+    @F.pandas_udf("text string, spans array<struct<begin: int, end: int>>")
+    def cut(text: pd.Series, removed: pd.Series) -> pd.DataFrame:
+        rows = [(None, None) if body is None or places is None else cut_one(body, set(places)) for body, places in zip(text, removed, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "spans"])
+
+    return cut
+
+
+def _cut(unit: str, min_words: int):
+    if unit == "passage":
+        return _cut_passages(min_words)
     pattern, between = SEPARATORS[unit]
     separator = re.compile(pattern)
 
@@ -75,13 +145,14 @@ def without_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WO
     ``spans`` holds [begin, end) of each removed unit in code points of the original text, separators left out, empty if none.
     Equal rows (same doc_id and text) rank alike: what goes from one goes from all. A null text stays null. The text that stays
     joins the kept units by a line break (lines) or a blank line (paragraphs); a text without repeats is not touched. Further
-    columns are ignored.
+    columns are ignored. The unit "passage" cuts repeated lines, repeated sentences inside lines that stay, and repeated runs of
+    lines under ``min_words`` words; a line that loses all its sentences goes with its break.
     """
     docs = docs.select("doc_id", "text")
     gone = repeated_units(docs, unit, min_words).distinct().groupBy("_key").agg(F.collect_list("place").alias("_removed"))
     joined = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text"))).join(gone, "_key", "left")
     # Only texts with something to remove go to Python.
-    joined = joined.withColumn("_cut", _cut(unit)(F.when(F.col("_removed").isNotNull(), F.col("text")), F.col("_removed")))
+    joined = joined.withColumn("_cut", _cut(unit, min_words)(F.when(F.col("_removed").isNotNull(), F.col("text")), F.col("_removed")))
     return joined.select(
         "doc_id", F.col("text").alias("original"),
         F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.col("_cut.text")).alias("text"),
@@ -98,7 +169,7 @@ def deduplicated(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumn("_key", row_key(F.col("row.doc_id"), F.col("row.text"))).join(gone, "_key", "left")
     cut = F.col("removed").isNotNull()
-    rows = rows.withColumn("kept", _cut(unit)(F.when(cut, F.col("row.text")), F.col("removed"))["text"])
+    rows = rows.withColumn("kept", _cut(unit, min_words)(F.when(cut, F.col("row.text")), F.col("removed"))["text"])
     rows = rows.where(~cut | (F.size(words(F.col("kept"))) > 0))
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return rows.select(*[(F.when(cut, new[c]).otherwise(F.col("row")[c]) if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
