@@ -4,6 +4,7 @@ import collections
 import io
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -235,6 +236,18 @@ def test_license_forms(spark, awkward, empty):
     assert licenses.license_scan(awkward).count() == 0 and licenses.license_scan(empty).count() == 0
 
 
+def test_license_lines_that_begin_with_copyright(spark):
+    bodies = {i: t for i, t in licenses.KNOWN_LICENSES if i in ("MIT", "ISC") and len(t) > 300}
+    notices = ["Copyright (c) 2001-2004 Some Body <x@y.z>", "(c) 2020 A. Holder", "© A. Holder", "// Copyright 1999, A. Holder", "Copyright [yyyy] [name of holder]", "Copyright Holders Inc. and others", "Copyright by A. Holder"]
+    docs = [(width, f"{notices[width % len(notices)]}\n\n" + textwrap.fill(body, width), i) for i, body in bodies.items() for width in range(50, 90)]
+    docs.append((0, "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n" + bodies["ISC"][bodies["ISC"].index("THE SOFTWARE") :], "ISC"))
+    assert sum(re.search("(?mi)^copyright (notice|holders)", t) is not None for _, t, _ in docs) > 3
+    for name in bodies:
+        rows = [(i, t) for i, t, n in docs if n == name]
+        got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).where("whole_text").collect()
+        assert sorted((r["doc_id"], r["license_id"]) for r in got) == sorted((i, name) for i, _ in rows)
+
+
 # -- toxicity -----------------------------------------------------------------
 
 

@@ -48,7 +48,13 @@ EQUIVALENT = (
     ("ver", "version"),
 )
 
-_COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}©(\n]*(copyright|\(c\)|©)[^\n]*$"
+# A line goes only if a sign, a year or a placeholder of one, or a holder follows; wrapped lines of a licence's own text begin with the bare
+# word. Without look-ahead a holder is known by "by" or a company's suffix only.
+_YEAR = r"[^\p{L}\p{N}\n]*(?:(?:19|20)[0-9][0-9]|[\[<{(](?:yyyy|year|date))"
+_COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}©(\n]*(?:©|\(c\)[ \t]*(?:copyright|©)|\(c\)" + _YEAR + r"|(?:copyright|copr\.)(?:[^\p{L}\p{N}\n]*(?:©|\(c\)|&copy;)|" + _YEAR
+    + r"|[ \t:]+by[ \t]|[ \t:]+[^\n]*[ ,](?:(?:19|20)[0-9][0-9]|inc|ltd|llc|corp|gmbh)\b))[^\n]*$"
+)
 _PUNCTUATION = r"[^\p{L}\p{N}]+"
 
 
