@@ -248,6 +248,27 @@ def test_license_lines_that_begin_with_copyright(spark):
         assert sorted((r["doc_id"], r["license_id"]) for r in got) == sorted((i, name) for i, _ in rows)
 
 
+def test_full_licenses_whole_and_inside_documents(spark):
+    text = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")} | {i: t for i, t in licenses.NOTICES if i in ("MIT", "ISC") and len(t) > 300}
+    at = text["MIT"].index("The above"), text["MIT"].index("THE SOFTWARE IS")
+    mit = "\n\n".join(textwrap.fill(x, 76) for x in (text["MIT"][: at[0]], text["MIT"][at[0] : at[1]], text["MIT"][at[1] :]))
+    rows = [(k, n, t, True) for k, (n, t) in enumerate(sorted(text.items()))]
+    rows += [
+        (100, "MIT", f"MIT License\n\nCopyright (c) 2019 A. Holder\n\n{mit}\n", True),
+        (101, "MIT", f"Read me first.\n\nThe MIT License (MIT)\n\nCopyright (c) 2019 A. Holder\n\n{mit}\n\nThanks to all.", False),
+        (102, "BSD-3-Clause", f"Copyright (c) 2019, A. Holder\nAll rights reserved.\n\n{text['BSD-3-Clause']}", True),
+        (103, "GPL-3.0-only", f"The terms follow.\n\n{text['GPL-3.0-only']}", False),
+        (104, "Apache-2.0", text["Apache-2.0"][: text["Apache-2.0"].index("END OF TERMS")], True),
+        (105, "Unlicense", f"## Terms\n\n{text['Unlicense']}", False),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, _, t, _ in rows] + [(200, f"{mit[:-40]}\n\nend"), (201, "a\n\nb")], "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["license_id"]): r["whole_text"] for r in licenses.license_scan(docs).collect()}
+    assert {k: got.get(k) for k in ((i, n) for i, n, _, _ in rows)} == {(i, n): whole for i, n, _, whole in rows}
+    assert not any(i >= 200 for i, _ in got)
+    kinds = sorted(tuple(r) for r in licenses.license_matches(docs).where("doc_id = 101").select("kind", "place", "license_id").collect())
+    assert kinds == [("run", 1, "MIT"), ("run", 3, "MIT")]
+
+
 # -- toxicity -----------------------------------------------------------------
 
 

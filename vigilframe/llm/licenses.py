@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Licence texts and notices as published, by identifier.
-KNOWN_LICENSES = (
+from vigilframe.llm.words import bind
+
+# One-line notices and two bodies, by identifier.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("MIT", "Released under the MIT License."),
@@ -31,6 +36,40 @@ KNOWN_LICENSES = (
     ("all-rights-reserved", "All rights reserved."),
 )
 
+# Full texts as published, a file for each identifier.
+TEXTS = Path(__file__).parent / "license_texts"
+
+# Usual title lines of texts that do not hold one.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+# What may follow the terms of a full text and is often left out.
+_APPENDIX = re.compile(r"(?m)^[ \t]*(?:END OF TERMS AND CONDITIONS|APPENDIX: How to apply|How to Apply These Terms)")
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(license_id, body) of full texts in their usual forms: with a title line, without the appendix, with bullets, under "All rights reserved"."""
+    bodies = [(i, t) for i, t in NOTICES if i in ("MIT", "ISC") and len(t) > 300] + [(f.stem, f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    out = []
+    for name, body in bodies:
+        forms = [body] + [body[: m.start()] for m in _APPENDIX.finditer(body)] + [body[: m.end()] for m in _APPENDIX.finditer(body) if m[0].strip().startswith("END")]
+        if name == "ISC":
+            forms.append(body.replace("modify, and/or distribute", "modify, and distribute"))
+        if name.startswith("BSD"):
+            forms.append(re.sub(r"(?m)^[1-3]\.", "*", body))
+            forms += [f"All rights reserved.\n\n{x}" for x in forms]
+        if name.startswith("GPL-3"):
+            forms.append(body.replace("/licenses/why-not-lgpl", "/philosophy/why-not-lgpl"))
+        out += [(name, x) for form in forms for x in (form, *(f"{title}\n\n{form}" for title in TITLES.get(name, ())))]
+    return out
+
+
+KNOWN_LICENSES = NOTICES + tuple(x for x in full_texts() if x not in NOTICES)
+
 # Words that count as the same, canonical form second.
 EQUIVALENT = (
     ("licence", "license"),
@@ -82,8 +121,48 @@ def known_digests(spark: SparkSession, licenses=KNOWN_LICENSES) -> DataFrame:
     return rows.select("license_id", F.sha2(canonical(F.col("body")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def units(text: Column) -> Column:
-    """The whole text; its paragraphs (blank lines between) and its lines if there are several, with the line number of each line."""
+def weight(form: Column) -> Column:
+    """Words of a canonical form, without those that an equivalent spelling may join to the next."""
+    return F.size(F.filter(F.split(form, " "), lambda w: ~w.isin("", "sub", "non")))
+
+
+def runs(parts: Column, known: DataFrame) -> Column:
+    """Runs of two or more consecutive paragraphs, not of all, that begin like a known form (see ``canonical``) and have as many words.
+
+    ``known`` is a fixed table of which the first three words and the numbers of words come to the driver. A paragraph is measured
+    only in texts of which a line begins with the first word of a known form.
+    """
+    rows = known.select("form", weight(F.col("form")).alias("n")).where("form <> ''").collect()
+    heads = [r["form"].split(" ")[:3] for r in rows]
+    heads = sorted({" ".join(h[:n]) for h in heads for n in (1, 2, 3)})
+    sizes = sorted({r["n"] for r in rows})
+    first = {h.split(" ")[0] for h in heads}
+    first |= {old.split(" ")[0] for old, new in EQUIVALENT if new.split(" ")[0] in first}
+    none = F.array().cast("array<struct<kind: string, place: int, unit: string>>")
+    if not rows:
+        return none
+    opens = F.exists(parts, lambda x: F.lower(x).rlike(r"(?m)^[^\p{L}\p{N}\n]*(?:" + "|".join(sorted(first)) + r")(?![\p{L}\p{N}])"))
+
+    def measured(forms: Column) -> Column:
+        n = F.size(forms)
+
+        def found(total: Column) -> Column:
+            begins = F.filter(F.sequence(F.lit(0), n - 2), lambda i: F.substring_index(F.get(forms, i), " ", 3).isin(heads))
+
+            def of(i: Column) -> Column:
+                beside = lambda j: F.exists(F.transform(forms, lambda x, k: (x != "") & ((k < i) | (k > j))), lambda x: x)
+                ends = F.filter(F.sequence(i + 1, n - 1), lambda j: (F.get(total, j + 1) - F.get(total, i)).isin(sizes) & (F.get(forms, j) != "") & beside(j))
+                return F.transform(ends, lambda j: F.struct(F.lit("run").alias("kind"), i.alias("place"), F.array_join(F.slice(parts, i + 1, j - i + 1), "\n\n").alias("unit")))
+
+            return F.flatten(F.transform(begins, of))
+
+        return bind(F.aggregate(forms, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + weight(x)))), found)
+
+    return F.when((F.size(parts) > 1) & opens, bind(F.transform(parts, canonical), measured)).otherwise(none)
+
+
+def units(text: Column, known: DataFrame) -> Column:
+    """The whole text; its paragraphs (blank lines between) and its lines if there are several, with the line number of each line; runs of paragraphs."""
     text = F.coalesce(text, F.lit(""))
 
     def numbered(parts: Column, kind: str) -> Column:
@@ -91,17 +170,21 @@ def units(text: Column) -> Column:
         return F.when(F.size(parts) > 1, rows).otherwise(F.slice(rows, 1, 0))
 
     whole = F.array(F.struct(F.lit("text").alias("kind"), F.lit(0).alias("place"), text.alias("unit")))
-    return F.concat(whole, numbered(F.split(text, "\n[ \t\r]*\n"), "paragraph"), numbered(F.split(text, "\n"), "line"))
+    paragraphs = F.split(text, "\n[ \t\r]*\n")
+    return F.concat(whole, numbered(paragraphs, "paragraph"), numbered(F.split(text, "\n"), "line"), runs(paragraphs, known))
 
 
 def license_matches(docs: DataFrame, licenses=KNOWN_LICENSES) -> DataFrame:
-    """One row per unit that is entirely a known licence text or notice: doc_id, kind (text, paragraph, line), place (from 0), license_id.
+    """One row per unit that is entirely a known licence text or notice: doc_id, kind (text, paragraph, line, run), place (from 0), license_id.
+
+    A run is two or more consecutive paragraphs but not all; its place is that of its first paragraph.
 
     Null, empty and unmatched texts give no row; repeated rows give their matches again. Further columns are ignored. The known
-    digests are a fixed table of a few kilobytes, so the join is a broadcast one without any shuffle of texts.
+    digests are a fixed table of a few kilobytes (a row per text), so the join is a broadcast one without any shuffle of texts.
     """
     spark = docs.sparkSession
-    parts = docs.select("doc_id", F.explode(units(F.col("text"))).alias("_u")).select("doc_id", "_u.*")
+    known = spark.createDataFrame(list(licenses), "license_id string, body string").select(canonical(F.col("body")).alias("form"))
+    parts = docs.select("doc_id", F.explode(units(F.col("text"), known)).alias("_u")).select("doc_id", "_u.*")
     parts = parts.select("doc_id", "kind", "place", canonical(F.col("unit")).alias("_form")).where("_form <> ''")
     parts = parts.select("doc_id", "kind", "place", F.sha2("_form", 256).alias("digest"))
     return parts.join(F.broadcast(known_digests(spark, licenses)), "digest").select("doc_id", "kind", "place", "license_id")
