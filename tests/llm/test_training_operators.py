@@ -466,6 +466,35 @@ def test_neighbours_recall_ties_and_unusable_vectors(spark):
     assert neighbours.nearest(table, table.limit(0), 3).count() == 0 and neighbours.nearest(table.limit(0), table, 3).count() == 0
 
 
+def test_neighbours_of_small_tables_and_unequal_lengths(spark):
+    def recall(x, asked, full, search=neighbours.Search()):
+        table = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+        by = collections.defaultdict(dict)
+        for r in neighbours.nearest(table.where(f"vec_id < {asked}"), table, 20, search).collect():
+            by[r["query_id"]][r["rank"]] = r["vec_id"]
+        hit = []
+        for q in range(asked):
+            exact = [i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20]
+            assert sorted(by[q]) == list(range(1, len(exact) + 1))
+            assert not full or [by[q][k + 1] for k in range(len(exact))] == exact
+            hit.append(len(set(exact) & set(by[q].values())) / len(exact))
+        return np.mean(hit)
+
+    rng = np.random.default_rng(7)
+    assert recall(rng.normal(size=(15, 64)), 15, True) == 1
+    unit = rng.normal(size=(3000, 64))
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    one = unit.copy()
+    one[1234] *= 100
+    found = recall(one, 75, False), recall(unit * rng.lognormal(size=(3000, 1)), 75, False)
+    print("recall", found)
+    assert min(found) > 0.95
+    # bands that are hashed, and visits that find too little
+    few = neighbours.Search(tables=2, probes=4)
+    recall(one[:, :16], 75, False, few)
+    assert recall(np.concatenate([np.eye(64), -np.eye(64)]), 20, False, neighbours.Search(tables=1, probes=1)) > 0
+
+
 def test_perturbations_come_in_order():
     sets = neighbours.perturbations(5, 60)
     assert sets[0] == () and sets[1] == (0,) and len(set(sets)) == 60

@@ -10,6 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilframe.session import scratch_path
+
+
+_BAND = np.int64(0x6A09E667F3BCC909)
+
 
 @dataclass(frozen=True)
 class Search:
@@ -62,20 +67,24 @@ class Hashes:
     def _slots(self, unit: np.ndarray) -> np.ndarray:
         return ((unit @ self.a + self.b) / self.width).reshape(len(unit), self.tables, self.k)
 
-    def _codes(self, cells: np.ndarray, table: int) -> np.ndarray:
+    def _codes(self, cells: np.ndarray, table: int, band: np.ndarray | int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            code = (cells.astype(np.int64) * self.odd[table]).sum(axis=-1) + self.salt[table]
+            code = (cells.astype(np.int64) * self.odd[table]).sum(axis=-1) + self.salt[table] + np.asarray(band, np.int64) * _BAND
         code = code.view(np.uint64)
         code = (code ^ (code >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         return (code ^ (code >> np.uint64(29))).view(np.int64)
 
-    def buckets(self, unit: np.ndarray) -> np.ndarray:
-        """(rows, tables) bucket codes; the code of a table's bucket holds for that table only."""
+    def buckets(self, unit: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """(rows, tables) bucket codes; the code of a table's bucket holds for that table and band only."""
         cells = np.floor(self._slots(unit))
-        return np.stack([self._codes(cells[:, t], t) for t in range(self.tables)], axis=1)
+        return np.stack([self._codes(cells[:, t], t, band) for t in range(self.tables)], axis=1)
 
-    def probed(self, unit: np.ndarray) -> np.ndarray:
-        """(rows, tables * probes) codes of the buckets to visit, most promising first in each table."""
+    def whole(self, band: np.ndarray) -> np.ndarray:
+        """The codes of bands that are one bucket."""
+        return self._codes(np.full((len(band), self.k), 1 << 40), 0, band)
+
+    def probed(self, unit: np.ndarray, bands: list[int]) -> np.ndarray:
+        """(rows, tables * bands * probes) codes of the buckets to visit, most promising first in each table of a band."""
         slots = self._slots(unit)
         cells = np.floor(slots)
         part = slots - cells
@@ -90,7 +99,7 @@ class Hashes:
             for r in range(2 * self.k):
                 for s in np.flatnonzero(self.sets[:, r]):
                     moves[rows, s, which[:, r]] += step[:, r]
-            out.append(self._codes(cells[:, t][:, None, :] + moves, t))
+            out += [self._codes(cells[:, t][:, None, :] + moves, t, band) for band in bands]
         return np.concatenate(out, axis=1)
 
 
@@ -106,9 +115,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _placed(vectors: np.ndarray, longest: float) -> np.ndarray:
-    """Vectors on the unit sphere of one more dimension: nearness to a placed query falls as the inner product rises."""
-    x = vectors / longest
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    most = np.abs(vectors).max(axis=1, keepdims=True)
+    return most[:, 0] * np.sqrt(((vectors / most) ** 2).sum(axis=1))
+
+
+def _bands(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """How often the longest length can be divided by the root of two before it falls below a vector's own."""
+    return np.maximum(0, np.floor(2 * (np.log2(longest) - np.log2(_lengths(vectors))))).astype(np.int64)
+
+
+def _placed(vectors: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Vectors on the unit sphere of one more dimension: among those of one ``top``, nearness to a placed query falls as the inner product rises."""
+    x = vectors / top[:, None]
     return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))], axis=1)
 
 
@@ -137,9 +156,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, count: int = 20, search: Sea
     an empty result. Repeated rows count once; a query id with several vectors searches with the least. Equal vectors are hashed and
     compared once, with their ``count + 1`` smallest ids, which is all a result can hold. Ties go to the smaller vec_id.
 
-    Vectors are scaled by the longest and lifted to the unit sphere, so that distance order is inner product order, and hashed in
-    ``tables`` tables by floor((a.x + b) / width) over Gaussian projections. A query visits its own and perturbed buckets in order of
-    estimated success. Entries and visits meet by group of buckets; a group with more than ``task`` entries is split over tasks,
+    Vectors are dealt into bands of length, each shorter than the one before by the root of two, scaled by the greatest length of their band and lifted
+    to the unit sphere, so that distance order is inner product order in a band, and hashed in ``tables`` tables of the band by
+    floor((a.x + b) / width) over Gaussian projections. A query visits its own and perturbed buckets of all bands in order of
+    estimated success; a band with no more vectors than that would be buckets is compared whole. A query that finds less than ``count`` is compared with all vectors. Entries and visits meet by group of buckets; a group with more than ``task`` entries is split over tasks,
     and its visits go to each. Only the best ``count`` of each task leave it; the tables' candidates are then merged.
     """
     known = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -160,10 +180,30 @@ def nearest(queries: DataFrame, vectors: DataFrame, count: int = 20, search: Sea
     def hashes() -> Hashes:
         return Hashes(length, search.tables, search.projections, search.width, search.probes)
 
+    def banded(batches):
+        tops, rows = {}, {}
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix(batch.column("v"))
+                for band, top in zip(_bands(v, longest).tolist(), _lengths(v).tolist(), strict=True):
+                    tops[band] = max(top, tops.get(band, 0.0))
+                    rows[band] = rows.get(band, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(tops), pa.int64()), pa.array(list(tops.values()), pa.float64()), pa.array(list(rows.values()), pa.int64())], ["band", "top", "n"])
+
+    facts_of = known.select("v").mapInArrow(banded, "band long, top double, n long").groupBy("band").agg(F.max("top"), F.sum("n"))
+    bands, tops, sizes = map(np.array, zip(*sorted(map(tuple, facts_of.collect())), strict=True))
+    small = sizes <= search.tables * search.probes
+
+    def bucketed(made: Hashes, v: np.ndarray) -> np.ndarray:
+        band = _bands(v, longest)
+        at = np.searchsorted(bands, band)
+        return np.where(small[at][:, None], made.whole(band)[:, None], made.buckets(_placed(v, tops[at]), band))
+
     def counted(batches):
         made, total = hashes(), np.zeros(groups, dtype=np.int64)
         for batch in batches:
-            total += np.bincount(_group(made.buckets(_placed(_matrix(batch.column("v")), longest)), groups).ravel(), minlength=groups)
+            if batch.num_rows:
+                total += np.bincount(_group(bucketed(made, _matrix(batch.column("v"))), groups).ravel(), minlength=groups)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups, dtype=np.int32)), pa.array(total)], ["g", "n"])
 
     def entered(batches):
@@ -172,7 +212,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, count: int = 20, search: Sea
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
                 v = _matrix(part.column("v"))
-                codes = made.buckets(_placed(v, longest))
+                codes = bucketed(made, v)
                 rows = np.repeat(np.arange(len(v)), search.tables)
                 raw = np.ascontiguousarray(v)
                 yield pa.RecordBatch.from_arrays(
@@ -186,7 +226,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, count: int = 20, search: Sea
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
                 v = np.ascontiguousarray(_matrix(part.column("v")))
-                codes = made.probed(_aimed(v))
+                codes = np.broadcast_to(made.whole(bands[small]), (len(v), small.sum()))
+                if not small.all():
+                    codes = np.concatenate([codes, made.probed(_aimed(v), bands[~small].tolist())], axis=1)
                 ids, out = part.column("query_id").to_pylist(), []
                 for i, row in enumerate(codes):
                     home = _group(row, groups)
@@ -227,7 +269,34 @@ def nearest(queries: DataFrame, vectors: DataFrame, count: int = 20, search: Sea
     found = entries.groupBy("g", "part").cogroup(visited.groupBy("g", "part")).applyInArrow(meet, "query_id long, ident long, score double")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "ident")
     found = found.groupBy("query_id", "ident").agg(F.max("score").alias("score")).withColumn("_place", F.row_number().over(ranked)).where(F.col("_place") <= count + 1)
-    members = found.join(classes.select("ident", "members"), "ident").select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id <> query_id")
+    # A few rows a query, written so that the search runs once.
+    path = scratch_path(known.sparkSession, "neighbours")
+    found.select("query_id", "ident", "score").write.parquet(path)
+    found = known.sparkSession.read.schema("query_id long, ident long, score double").parquet(path)
+
+    def members(found: DataFrame) -> DataFrame:
+        return found.join(classes.select("ident", "members"), "ident").select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id <> query_id")
+
+    enough = members(found).groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= count)
+    short = asked.join(enough, "query_id", "left_anti").select("query_id", "v")
+    if not short.isEmpty():
+        deal = max(1, -(-facts["n"] // search.task))
+
+        def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = []
+            if left.num_rows and right.num_rows:
+                x, ident = _matrix(left.column("v").combine_chunks()), left.column("ident").to_numpy()
+                for q, v in zip(right.column("query_id").to_pylist(), _matrix(right.column("v").combine_chunks()), strict=True):
+                    score = np.einsum("ij,j->i", x, v)
+                    best = _best(score, ident, count + 1)
+                    out.append((np.full(len(best), q), ident[best], score[best]))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            return pa.table({"query_id": columns[0], "ident": columns[1], "score": columns[2]})
+
+        dealt = classes.select("ident", "v", F.pmod(F.xxhash64("ident"), F.lit(deal)).cast("int").alias("part"))
+        sent = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+        rest = dealt.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(compare, "query_id long, ident long, score double")
+        found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest)
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = members.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= count)
+    out = members(found).withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= count)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
