@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from vigilframe.llm.chats import formatted, read_back
+from vigilframe.llm.codes import vector_codes
 from vigilframe.llm.jaccard import jaccard_components
 from vigilframe.llm.language import languages
 from vigilframe.llm.licenses import KNOWN_LICENSES, canonical_sql, license_scan
@@ -17,9 +20,10 @@ from vigilframe.llm.mixing import mixed
 from vigilframe.llm.neighbours import nearest
 from vigilframe.llm.packing import packed
 from vigilframe.llm.quality import RULES, STOP_WORDS, quality_rules, verdict
+from vigilframe.llm.runs import longest_by_exponent, periodic_runs, with_periodic_tails
 from vigilframe.llm.toxicity import held_out, toxicity_scores, trained, training_labels
 from vigilframe.llm.warc import archived
-from vigilframe.session import configure
+from vigilframe.session import configure, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -174,6 +178,81 @@ def op6_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with periodic tails by the checksum of their id; runs of four periods and six words or more."""
+    out = periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents")), exponent=4, least=6)
+    out = out.withColumn("best", longest_by_exponent(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four parts, 256 entries each, four rounds."""
+    rows, books = vector_codes(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(str(v) for book in books for v in book.ravel().tolist()).encode()).hexdigest()
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Each round as a pair of common table expressions over (part, vector) and (part, entry)."""
+    nearest = """SELECT v.part, v.vec_id, min({{'d': list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': b.entry}}) AS best
+        FROM v JOIN {book} b ON v.part = b.part GROUP BY v.part, v.vec_id"""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"n{k} AS MATERIALIZED ({nearest.format(book=f'b{k}')})")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT part, best.e AS entry, place, CAST(sum(c) AS BIGINT) AS s, count(*) AS n FROM (SELECT n.part, n.best, unnest(v.x) AS c, generate_subscripts(v.x, 1) AS place
+                FROM n{k} n JOIN v USING (part, vec_id)) GROUP BY 1, 2, 3),
+            b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN
+                (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS x FROM m{k} GROUP BY 1, 2) m USING (part, entry))""")
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, part, x[(part * len(x)) // {parts} + 1 : ((part + 1) * len(x)) // {parts}] AS x FROM k, (SELECT unnest(range({parts})) AS part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM v WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {entries})),
+{", ".join(steps)},
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+c AS (SELECT vec_id, string_agg(lower(printf('%02x', best.e)), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM n{rounds} GROUP BY 1),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM c JOIN k USING (vec_id) GROUP BY 1)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM c JOIN k USING (vec_id) JOIN l ON k.label IS NOT DISTINCT FROM l.label, h
+"""
+
+
+ORACLE_SQL["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted, written, and read back from the tokens."""
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    path = scratch_path(spark, "chats")
+    formatted(turns).write.parquet(path)
+    return read_back(spark.read.parquet(path)).drop("n_tokens")
+
+
+# Control strings become two characters each, so the formatted length follows from the texts.
+_ESCAPED_TEXT = r"replace(replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\t'), '</role>', '\r')"
+
+ORACLE_SQL["op13_chat_formatting"] = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+f AS (SELECT *, length(CASE role WHEN 'system' THEN '### System: ' WHEN 'user' THEN '### User: ' WHEN 'assistant' THEN '### Assistant: '
+    ELSE '### Other: ' || role || '</role>' END) + length({_ESCAPED_TEXT}) + length('</turn>') + 1 AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
