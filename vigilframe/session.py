@@ -17,8 +17,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Whole texts travel in these batches, so their memory stays bounded.
+    # Whole texts travel in these batches, so their memory is bounded in rows and in bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 * 1024 * 1024),
 }
 
 
