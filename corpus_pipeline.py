@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vigilframe.llm.jaccard import one_of_each_group
-from vigilframe.llm.lines import deduplicated
+from vigilframe.llm.lines import RUN_WORDS, deduplicated
 from vigilframe.llm.mixing import thinned
 from vigilframe.llm.packing import packed
 from vigilframe.llm.toxicity import without_toxic
@@ -31,9 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All but the earliest occurrence of each repeated line, sentence and run of short lines are cut; a document left without words goes."""
+    """All but the earliest occurrence of each repeated run of lines, sentences and clauses of 40 words or more is cut; a document left without words goes."""
     configure(spark)
-    return deduplicated(docs, "passage")
+    return deduplicated(docs, "run", RUN_WORDS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,7 +197,7 @@ def test_dedup_stage_keeps_columns(awkward, empty):
     assert lines.deduplicated(empty).count() == 0
 
 
-def test_passages_that_do_not_fill_lines(spark, awkward, empty, tmp_path):
+def test_passages_that_do_not_fill_lines(spark, awkward, empty):
     one, two = "Alpha beta gamma delta epsilon zeta.", "Eta theta iota kappa lambda mu!"
     short = "red fish\nblue fish\n\nold fish"
     texts = [
@@ -214,7 +214,7 @@ def test_passages_that_do_not_fill_lines(spark, awkward, empty, tmp_path):
         5: "Nothing of this line is anywhere else.\n", 6: "...", 7: None,
     }
     assert [[texts[i - 1][1][s["begin"] : s["end"]] for s in got[i]["spans"]] for i in (1, 2, 4, 6)] == [[], [one, two], [short], [two, one]]
-    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_lines(spark, docs, str(tmp_path)).collect()} == {i: r["text"] for i, r in got.items() if i != 7} | {7: None}
+    assert {r["doc_id"]: r["text"] for r in lines.deduplicated(docs, "passage").collect()} == {i: r["text"] for i, r in got.items() if i != 7} | {7: None}
     assert lines.without_repeats(awkward, "passage").count() == len(awkward_rows()) and lines.without_repeats(empty, "passage").count() == 0
 
 

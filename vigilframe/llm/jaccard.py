@@ -28,7 +28,7 @@ from vigilframe.session import scratch_path
 
 ORDERS = (1, 2)
 # Entries that a map task packs at a time, and that a task of one part of the shingles holds.
-FLUSH, PART = 500_000, 1_000_000
+FLUSH, PART = 125_000, 250_000
 # Largest bucket whose pairs are compared by count vectors; texts in a block of a larger one.
 SMALL, BLOCK = 256, 1024
 # Mean number of shingles in a cell of a count vector, and least cells.

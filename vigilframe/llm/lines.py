@@ -1,18 +1,27 @@
-"""Substring dedup by hashing lines, paragraphs or passages: the earliest ranked occurrence of a unit stays, the others go."""
+"""Substring dedup by hashing lines, paragraphs, passages or runs of clauses: the earliest ranked occurrence of a unit stays, the others go."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.words import SPACE_CHARS, WORD_PATTERN, words
+from vigilframe.llm.words import SPACE_CHARS, WORD_PATTERN, Words, range_hashes, text_chunks, words, words_of
+from vigilframe.session import scratch_path, small_side
 
 # What separates the units, as pattern and as the text put between kept units.
 SEPARATORS = {"line": ("\n", "\n"), "paragraph": ("\n[ \t\r]*\n", "\n\n")}
 MIN_WORDS = 5
+# Least words of a run of adjacent units, and the characters that end a unit before a blank; a line break always does.
+RUN_WORDS = 40
+UNIT_ENDS = ".!?,;:"
+# Largest table of repeated digests that is sent to every task.
+BROADCAST_BYTES = 16 << 20
 # Between the sentences of a line.
 SENTENCE = "(?<=[.!?])[ \t\r]+"
 # Place of a unit of passages: line number times this, and the number of the sentence from 1 (0: the line, or a run that begins there).
@@ -64,6 +73,94 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WOR
     return again.where(~same).select("_key", "place")
 
 
+def unit_runs(w: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end (word numbers) of the shortest run of whole units with ``least`` words or more from each unit on."""
+    n = len(w.start)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    breaks = np.r_[0, np.cumsum(w.data == 10)]
+    ends = np.isin(w.data[w.end - 1], np.frombuffer(UNIT_ENDS.encode(), np.uint8))
+    ends[:-1] |= breaks[w.start[1:]] > breaks[w.end[:-1]]
+    ends[:-1] |= w.text[1:] != w.text[:-1]
+    ends[-1] = True
+    stop = np.flatnonzero(ends) + 1
+    begin = np.r_[0, stop[:-1]]
+    found = np.searchsorted(stop, begin + least)
+    whole = found < len(stop)
+    begin, end = begin[whole], stop[found[whole]]
+    inside = end <= w.first[w.text[begin] + 1]
+    return begin[inside], end[inside]
+
+
+def _runs(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offsets in text_chunks(batch.column("text")):
+                w = words_of(data, offsets)
+                begin, end = unit_runs(w, least)
+                text, h = w.text[begin], w.hashes()
+                d1, d2 = range_hashes(h, begin, end, 1), range_hashes(h, begin, end, 2)
+                order = np.lexsort((begin, d2, d1, text))
+                again = np.zeros(len(order), dtype=bool)
+                same = [x[order][1:] == x[order][:-1] for x in (text, d1, d2)]
+                again[order[1:]] = same[0] & same[1] & same[2]
+                at = pa.array(row + text)
+                place, stop = begin - w.first[text], end - w.first[text]
+                columns = [batch.column(c).take(at) for c in ("_rank", "_a", "_b")]
+                columns += [pa.array(x) for x in (place.astype(np.int32), stop.astype(np.int32), d1.view(np.int64), d2.view(np.int64), again)]
+                yield pa.RecordBatch.from_arrays(columns, ["_rank", "_a", "_b", "place", "stop", "_d1", "_d2", "again"])
+
+    return run
+
+
+def repeated_runs(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
+    """(_key, place, stop): word ranges of runs of adjacent units that stand in a text of a smaller doc_id, or earlier in the same text.
+
+    Units are what lines and the marks in ``UNIT_ENDS`` before a blank set apart; a run is the least number of units, from one on, that hold
+    ``least`` words. Runs are equal if their words are, A-Z lower-cased; they are grouped by digests of 128 bits. A null doc_id ranks last,
+    and texts of one doc_id rank alike. A text sends each of its runs once, digests only; counts are combined before the shuffle.
+    """
+    key = row_key(F.col("doc_id"), F.col("text"))
+    rows = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_rank"), key["a"].alias("_a"), key["b"].alias("_b"), "text")
+    rows = rows.mapInArrow(_runs(least), "_rank long, _a long, _b long, place int, stop int, _d1 long, _d2 long, again boolean")
+    named = F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")).alias("_key")
+    fresh = rows.where("not again")
+    path = scratch_path(docs.sparkSession, "repeated-runs")
+    fresh.groupBy("_d1", "_d2").agg(F.min("_rank").alias("_first"), F.max("_rank").alias("_last")).where("_first < _last").drop("_last").write.parquet(path)
+    first = docs.sparkSession.read.parquet(path)
+    later = fresh.join(small_side(first, BROADCAST_BYTES), ["_d1", "_d2"]).where("_rank > _first")
+    return later.select(named, "place", "stop").unionByName(rows.where("again").select(named, "place", "stop"))
+
+
+def _cut_runs():
+    word = re.compile(WORD_PATTERN)
+
+    @F.pandas_udf("text string, spans array<struct<begin: int, end: int>>")
+    def cut(text: pd.Series, removed: pd.Series) -> pd.DataFrame:
+        rows = []
+        for body, runs in zip(text, removed, strict=True):
+            if body is None or runs is None:
+                rows.append((None, None))
+                continue
+            at = [m.span() for m in word.finditer(body)]
+            spans, until = [], -1
+            for run in sorted((r["place"], r["stop"]) for r in runs):
+                if run[0] <= until:
+                    if run[1] > until:
+                        spans[-1]["end"] = at[run[1] - 1][1]
+                else:
+                    spans.append({"begin": at[run[0]][0], "end": at[run[1] - 1][1]})
+                until = max(until, run[1])
+            kept, begin = [], 0
+            for s in spans:
+                kept.append(body[begin : s["begin"]])
+                begin = s["end"]
+            rows.append(("".join([*kept, body[begin:]]), spans))
+        return pd.DataFrame(rows, columns=["text", "spans"])
+
+    return cut
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """128 bits that name a row by its id and text; equal rows have equal keys."""
     return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit(11), doc_id, text).alias("b"))
@@ -112,7 +209,16 @@ def _cut_passages(min_words: int):
     return cut
 
 
+def _gone(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
+    """(_key, removed): what is to be cut from each text, in the form that ``_cut`` takes."""
+    if unit == "run":
+        return repeated_runs(docs, min_words).groupBy("_key").agg(F.collect_set(F.struct("place", "stop")).alias("removed"))
+    return repeated_units(docs, unit, min_words).distinct().groupBy("_key").agg(F.collect_list("place").alias("removed"))
+
+
 def _cut(unit: str, min_words: int):
+    if unit == "run":
+        return _cut_runs()
     if unit == "passage":
         return _cut_passages(min_words)
     pattern, between = SEPARATORS[unit]
@@ -146,10 +252,12 @@ def without_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WO
     Equal rows (same doc_id and text) rank alike: what goes from one goes from all. A null text stays null. The text that stays
     joins the kept units by a line break (lines) or a blank line (paragraphs); a text without repeats is not touched. Further
     columns are ignored. The unit "passage" cuts repeated lines, repeated sentences inside lines that stay, and repeated runs of
-    lines under ``min_words`` words; a line that loses all its sentences goes with its break.
+    lines under ``min_words`` words; a line that loses all its sentences goes with its break. The unit "run" cuts repeated runs of adjacent
+    units (``repeated_runs``) of ``min_words`` words or more and nothing else: overlapping and adjacent ones as one span from the first
+    word to the last; the blanks around it stay.
     """
     docs = docs.select("doc_id", "text")
-    gone = repeated_units(docs, unit, min_words).distinct().groupBy("_key").agg(F.collect_list("place").alias("_removed"))
+    gone = _gone(docs, unit, min_words).withColumnRenamed("removed", "_removed")
     joined = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text"))).join(gone, "_key", "left")
     # Only texts with something to remove go to Python.
     joined = joined.withColumn("_cut", _cut(unit, min_words)(F.when(F.col("_removed").isNotNull(), F.col("text")), F.col("_removed")))
@@ -165,7 +273,7 @@ def deduplicated(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS
 
     Columns are kept by packing the row, so no name can clash.
     """
-    gone = repeated_units(docs, unit, min_words).distinct().groupBy("_key").agg(F.collect_list("place").alias("removed"))
+    gone = _gone(docs, unit, min_words)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumn("_key", row_key(F.col("row.doc_id"), F.col("row.text"))).join(gone, "_key", "left")
     cut = F.col("removed").isNotNull()

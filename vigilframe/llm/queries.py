@@ -15,7 +15,7 @@ from vigilframe.llm.codes import vector_codes
 from vigilframe.llm.jaccard import jaccard_components
 from vigilframe.llm.language import languages
 from vigilframe.llm.licenses import KNOWN_LICENSES, canonical_sql, license_scan
-from vigilframe.llm.lines import MIN_WORDS, without_repeats
+from vigilframe.llm.lines import RUN_WORDS, UNIT_ENDS, without_repeats
 from vigilframe.llm.mixing import mixed
 from vigilframe.llm.neighbours import nearest
 from vigilframe.llm.packing import packed
@@ -79,22 +79,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of five words or more, normalised; what is cut is given as spans of the original text."""
-    out = without_repeats(table(spark, sf_dir, "documents"), "line", MIN_WORDS)
+    """Runs of adjacent lines, sentences and clauses of 40 words or more, normalised; what is cut is given as spans of the original text."""
+    out = without_repeats(table(spark, sf_dir, "documents"), "run", RUN_WORDS)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["begin"], s["end"])), ",")
     return out.select("doc_id", F.size("spans").cast("long").alias("n_removed"), spans.alias("removed"), "text")
 
 
+# Words and the blanks between them as pieces; runs of whole units by an ordered join of unit begins with unit ends.
 ORACLE_SQL["op8_line_dedup"] = f"""
-WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
-u AS (SELECT doc_id, unnest(parts) AS unit, generate_subscripts(parts, 1) AS place FROM p),
-s AS (SELECT *, sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(unit) - 1 AS b,
-    len(regexp_extract_all(unit, '[^\x20\x09-\x0D]+')) >= {MIN_WORDS} AS counted, trim(regexp_replace(lower(unit), '{_SPACE_CLASS}+', ' ', 'g')) AS form FROM u),
-k AS (SELECT *, counted AND row_number() OVER (PARTITION BY counted, form ORDER BY doc_id, place) > 1 AS gone FROM s),
-g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed,
-    coalesce(string_agg(CAST(CAST(b AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(b AS BIGINT) + length(unit) AS VARCHAR), ',' ORDER BY place) FILTER (gone), '') AS removed,
-    coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (NOT gone), '') AS kept FROM k GROUP BY doc_id)
-SELECT doc_id, n_removed, removed, CASE WHEN text IS NULL THEN NULL ELSE kept END AS text FROM g JOIN documents USING (doc_id)
+WITH p AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ps FROM documents)),
+q AS (SELECT *, regexp_matches(piece, '[^\x20\x09-\x0D]') AS word, sum(length(piece)) OVER o - length(piece) AS b, lead(piece) OVER o AS after FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+w AS MATERIALIZED (SELECT doc_id, i, b, piece, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k,
+    coalesce(contains(after, chr(10)), true) OR right(piece, 1) IN ({", ".join(f"'{c}'" for c in UNIT_ENDS)}) OR row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1 AS ends FROM q WHERE word),
+a AS MATERIALIZED (SELECT doc_id, list(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ORDER BY k) AS ws FROM w GROUP BY doc_id),
+s AS (SELECT doc_id, k, k + {RUN_WORDS - 1} AS far FROM (SELECT *, lag(ends, 1, true) OVER (PARTITION BY doc_id ORDER BY k) AS begins FROM w) WHERE begins),
+r AS (SELECT s.doc_id, s.k, e.k AS stop FROM s ASOF JOIN (SELECT doc_id, k FROM w WHERE ends) e ON s.doc_id = e.doc_id AND s.far <= e.k),
+f AS (SELECT doc_id, k, stop, row_number() OVER (PARTITION BY array_to_string(list_slice(ws, k, stop), ' ') ORDER BY doc_id, k) > 1 AS again FROM r JOIN a USING (doc_id)),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(k, stop + 1)) AS k FROM f WHERE again),
+m AS (SELECT w.doc_id, w.i, w.b, w.piece, g.k AS gone FROM w LEFT JOIN g USING (doc_id, k)),
+n AS MATERIALIZED (SELECT q.doc_id, q.i, q.b, q.piece, coalesce(CASE WHEN q.word THEN m.gone IS NOT NULL
+    ELSE lag(m.gone) OVER o IS NOT NULL AND lead(m.gone) OVER o IS NOT NULL END, false) AS gone FROM q LEFT JOIN m USING (doc_id, i) WINDOW o AS (PARTITION BY q.doc_id ORDER BY q.i)),
+h AS (SELECT *, sum(CASE WHEN gone THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM n),
+x AS (SELECT doc_id, CAST(min(b) AS BIGINT) AS b, CAST(max(b + length(piece)) AS BIGINT) AS e FROM h WHERE gone GROUP BY doc_id, island),
+y AS (SELECT doc_id, count(*) AS n, string_agg(b || '-' || e, ',' ORDER BY b) AS removed FROM x GROUP BY doc_id),
+t AS (SELECT doc_id, string_agg(piece, '' ORDER BY i) AS kept FROM n WHERE NOT gone GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
+FROM documents LEFT JOIN y USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 

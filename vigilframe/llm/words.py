@@ -18,7 +18,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SHINGLE = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 # Bytes of text that are hashed at a time; the working memory is about 60 times this.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -40,6 +40,18 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def range_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of the sequence ``values[begin[i]:end[i]]`` for each i, wherever it stands."""
+    powers = np.full(len(values) + 1, _BASE, dtype=np.uint64)
+    inverse = np.full(len(values) + 1, _BASE_INVERSE, dtype=np.uint64)
+    powers[0] = inverse[0] = 1
+    np.cumprod(powers, out=powers)
+    np.cumprod(inverse, out=inverse)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(mix(values, seed) * powers[:-1], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * inverse[begin] ^ (end - begin).astype(np.uint64), seed)
+
+
 @dataclass
 class Words:
     """Words of some consecutive texts: byte range, text number and hash of each; ``first`` marks each text's first word."""
