@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.llm.words import SPACE_CHARS, WORD_PATTERN, Words, range_hashes, text_chunks, words, words_of
-from vigilframe.session import scratch_path, small_side
+from vigilframe.session import scratch_path
 
 # What separates the units, as pattern and as the text put between kept units.
 SEPARATORS = {"line": ("\n", "\n"), "paragraph": ("\n[ \t\r]*\n", "\n\n")}
@@ -20,8 +20,6 @@ MIN_WORDS = 5
 # Least words of a run of adjacent units, and the characters that end a unit before a blank; a line break always does.
 RUN_WORDS = 40
 UNIT_ENDS = ".!?,;:"
-# Largest table of repeated digests that is sent to every task.
-BROADCAST_BYTES = 16 << 20
 # Between the sentences of a line.
 SENTENCE = "(?<=[.!?])[ \t\r]+"
 # Place of a unit of passages: line number times this, and the number of the sentence from 1 (0: the line, or a run that begins there).
@@ -128,7 +126,8 @@ def repeated_runs(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     path = scratch_path(docs.sparkSession, "repeated-runs")
     fresh.groupBy("_d1", "_d2").agg(F.min("_rank").alias("_first"), F.max("_rank").alias("_last")).where("_first < _last").drop("_last").write.parquet(path)
     first = docs.sparkSession.read.parquet(path)
-    later = fresh.join(small_side(first, BROADCAST_BYTES), ["_d1", "_d2"]).where("_rank > _first")
+    # The share of repeated runs is the same at every size, so the plan is too.
+    later = fresh.join(first.hint("merge"), ["_d1", "_d2"]).where("_rank > _first")
     return later.select(named, "place", "stop").unionByName(rows.where("again").select(named, "place", "stop"))
 
 
