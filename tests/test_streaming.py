@@ -17,11 +17,11 @@ def test_baseline_stream_equals_batch_and_sets_late_rows_aside(spark, folder):
     late = [("hot", 9999, 0, 1.0)]
     schema = "asset string, i bigint, micros bigint, v double"
     for stream in feed(spark, folder, [data[:150], data[150:300], data[300:] + late], schema):
-        jobs.baseline_stream(stream, "asset", "micros", "i", ["v"], folder + "/out", folder + "/state", folder + "/cp", late_path=folder + "/late")
-    got = {r["i"]: r["temporal_score"] for r in spark.read.parquet(folder + "/out").collect()}
+        jobs.baseline_stream(stream, "asset", "micros", "i", ["v"], folder + "/out", folder + "/cp")
+    got = {r["i"]: r["temporal_score"] for r in spark.read.parquet(folder + "/out").where("not late").collect()}
     want = twin_baseline(data)
     assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-6
-    assert [r["i"] for r in spark.read.parquet(folder + "/late").collect()] == [9999]
+    assert [(r["i"], r["temporal_score"]) for r in spark.read.parquet(folder + "/out").where("late").collect()] == [(9999, None)]
 
 
 def test_rate_stream_sees_calls_of_the_batch_before(spark, folder):
@@ -29,7 +29,7 @@ def test_rate_stream_sees_calls_of_the_batch_before(spark, folder):
     calls = [(i, "A", i * 10_000_000) for i in range(20)]
     limits = spark.createDataFrame([("A", 6)], "agent_id string, max_calls_per_minute int")
     for stream in feed(spark, folder, [calls[:5], calls[5:9], calls[9:]], schema):
-        jobs.rate_stream(stream, limits, "micros", 60, folder + "/out", folder + "/state", folder + "/cp")
+        jobs.rate_stream(stream, limits, "micros", 60, folder + "/out", folder + "/cp")
     got = {r["call_id"]: r["calls"] for r in spark.read.parquet(folder + "/out").collect()}
     assert got == {i: 7 for i in range(6, 20)}
 

@@ -51,7 +51,7 @@ FUNCTIONS = {
     "F-26": "scoring.attribution_blend", "F-27": "attribution.chain_vectors", "F-28": "attribution.text_embedding", "F-29": "records.technique_category", "F-30": "scoring.primary_goal", "F-31": "records.mitre_id",
     "F-32": "attribution.retrieval_query", "F-33": "records.elapsed_seconds, time_code", "F-34": "tables.with_extra", "F-35": "report.markdown_table, summary_row", "F-36": "writers.report_entry",
     "R-01": "streaming.jobs.ingest_stream", "R-02": "streaming.jobs.baseline_stream", "R-03": "streaming.jobs.rate_stream, windowed_rates", "R-04": "streaming.jobs.first_seen_stream", "R-05": "streaming.jobs.matched_stream",
-    "R-06": "tables.newest", "R-07": "streaming.jobs.counter_stream", "R-08": "streaming.jobs.baseline_stream (late table)",
+    "R-06": "tables.newest", "R-07": "streaming.jobs.counter_stream", "R-08": "streaming.jobs.baseline_stream (late rows)",
     "G-01": "graph.node_features, one_hot_features", "G-02": "graph.node_labels", "G-03": "graph.blast_radius", "G-04": "graph.attention, attended", "G-05": "graph.neighbour_mean, sampled_neighbours", "G-06": "graph.centroid_anomaly",
     "G-07": "graph.drift", "G-08": "scoring.fused_graph_score", "G-09": "models.projected_2d", "G-10": "graph.at_risk, reachable", "G-11": "models.neighbour_classifier", "G-12": "graph.graph_elements",
     "M-01": "models.fit_forest, forest_scores", "M-02": "anomaly.fit_density, density_scores", "M-03": "models.fit_sequences, sequence_scores",

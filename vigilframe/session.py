@@ -20,6 +20,9 @@ RUNTIME_CONF = {
     # Whole texts travel in these batches, so their memory is bounded in rows and in bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(4 * 1024 * 1024),
+    # State of streams on local disk with changes only in the checkpoint, so a micro-batch costs what it changes.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

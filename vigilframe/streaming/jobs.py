@@ -1,9 +1,8 @@
 """Structured Streaming jobs.
 
-State that must survive restarts lives in versioned Parquet folders written
-once per micro-batch id, so a repeated batch overwrites its own output and
-never another one's. Scoring a micro-batch reuses the batch operators, which
-split hot keys, instead of walking a key's rows in one task.
+State that must survive restarts lives in the engine's state store (``stateful``).
+Outputs are written once per micro-batch id, so a repeated batch overwrites its own
+output and never another one's.
 """
 
 from __future__ import annotations
@@ -14,26 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilframe.operators import anomaly, ingest
-from vigilframe.operators.running import trailing_counts
-
-
-class BatchState:
-    """A state table with one folder per micro-batch."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def before(self, batch_id: int) -> DataFrame | None:
-        """The state left by the batch before, or None at the start."""
-        if batch_id == 0:
-            return None
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch_id - 1}")
-
-    def save(self, batch_id: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-
-    def last(self, batch_id: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch_id}")
+from vigilframe.streaming import stateful
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -68,78 +48,35 @@ def ingest_stream(
 
 
 def baseline_stream(
-    events: DataFrame,
-    asset: str,
-    micros: str,
-    tie: str,
-    values: list[str],
-    out_path: str,
-    state_path: str,
-    checkpoint: str,
-    late_path: str,
-    lateness_seconds: int = 0,
+    events: DataFrame, asset: str, micros: str, tie: str, values: list[str], out_path: str, checkpoint: str, lateness_seconds: int = 0
 ) -> None:
-    """Per-asset running baseline with state carried across micro-batches.
+    """Per-asset running baseline over micro-batches: the rows of ``events`` with n, mean and variance, ``temporal_score`` and ``late``.
 
-    Rows older than the newest instant seen minus the allowed lateness go to
-    the table at ``late_path``, as their place in the order has already been
-    scored; every row is in one of the two tables.
+    Rows older than the newest instant of the batches before minus the allowed lateness are late: their place in the order has been
+    scored already, so they are kept without moments and score.
     """
-    spark = events.sparkSession
-    kind = events.schema[asset].dataType.simpleString()
-    moments = ", ".join(f"_mean_{v} double, _m2_{v} double" for v in values)
-    state = BatchState(spark, state_path, f"`{asset}` {kind}, _n double, {moments}")
-    marks = BatchState(spark, f"{state_path.rstrip('/')}-mark", "mark bigint")
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            seen = marks.before(batch_id)
-            mark = seen.first()["mark"] if seen is not None else None
-            fresh = batch
-            if mark is not None:
-                too_old = F.col(micros) < F.lit(mark - lateness_seconds * 1_000_000)
-                fresh = batch.where(~too_old)
-                write_batch(batch.where(too_old), late_path, batch_id)
-            seed = state.before(batch_id)
-            write_batch(anomaly.temporal_baseline(fresh, asset, micros, tie, values, seed=seed), out_path, batch_id)
-            state.save(batch_id, anomaly.baseline_state(fresh, asset, values, seed))
-            newest = fresh.agg(F.greatest(F.max(micros), F.lit(mark).cast("bigint")).alias("mark"))
-            marks.save(batch_id, newest.coalesce(1))
-        finally:
-            batch.unpersist()
-
-    run_available(events, each, checkpoint)
+    added = ", ".join(["late boolean, n double", *(f"mean_{v} double, var_{v} double" for v in values)])
+    states = stateful.clocked(events, micros, lateness_seconds).groupBy(asset).transformWithStateInPandas(
+        stateful.Baseline(micros, tie, values), stateful.schema_with(events, added), "Append", "EventTime"
+    )
+    scored = states.withColumn("temporal_score", F.when(~F.col("late"), anomaly.baseline_score(values)))
+    run_available(scored, lambda batch, batch_id: write_batch(batch, out_path, batch_id), checkpoint)
 
 
-def rate_stream(
-    calls: DataFrame, limits: DataFrame, micros: str, seconds: int, out_path: str, state_path: str, checkpoint: str
-) -> None:
-    """Exact sliding-rate alarm; the last window of calls is carried over.
+def rate_stream(calls: DataFrame, limits: DataFrame, micros: str, seconds: int, out_path: str, checkpoint: str, lateness_seconds: int = 0) -> None:
+    """Exact sliding-rate alarms, and the late calls (``late``), which no count holds.
 
-    ``calls``: call_id, agent_id and the instant. Alarms are written per batch.
+    ``calls``: agent_id, the instant and further columns. The agents' counts per instant are kept as far back as a call may look.
     """
-    spark = calls.sparkSession
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema.fields)
-    recent = BatchState(spark, state_path, fields)
+    counted = stateful.clocked(calls, micros, lateness_seconds).groupBy("agent_id").transformWithStateInPandas(
+        stateful.Rates(micros, seconds), stateful.schema_with(calls, "late boolean, calls bigint"), "Append", "EventTime"
+    )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        before = recent.before(batch_id)
-        both = batch.withColumn("_new", F.lit(True))
-        if before is not None:
-            both = both.unionByName(before.withColumn("_new", F.lit(False)))
-        both = both.persist()
-        try:
-            counted = trailing_counts(both, ["agent_id"], micros, seconds).where("_new").drop("_new")
-            alarms = counted.join(limits, "agent_id", "left").where(F.col("calls") > F.coalesce("max_calls_per_minute", F.lit(600)))
-            write_batch(alarms, out_path, batch_id)
-            newest = both.agg(F.max(micros)).first()[0]
-            keep = both.where(F.col(micros) >= F.lit(newest - seconds * 1_000_000)) if newest is not None else both
-            recent.save(batch_id, keep.drop("_new"))
-        finally:
-            both.unpersist()
+        limited = batch.join(limits, "agent_id", "left")
+        write_batch(limited.where(F.col("late") | (F.col("calls") > F.coalesce("max_calls_per_minute", F.lit(600)))), out_path, batch_id)
 
-    run_available(calls, each, checkpoint)
+    run_available(counted, each, checkpoint)
 
 
 def first_seen_stream(events: DataFrame, key: str, at: str, life: str, out_path: str, checkpoint: str) -> None:
