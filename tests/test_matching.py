@@ -12,14 +12,14 @@ def vectors(spark, x, name="vec", ident="id"):
     return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], f"{ident} bigint, {name} array<float>")
 
 
-@pytest.mark.parametrize("block_rows", [7, 40, 1000])
-def test_top_matches_equal_brute_force(spark, block_rows):
+@pytest.mark.parametrize("sizes", [{"broadcast_bytes": 0, "block_bytes": 7 * 72, "pivots": 5}, {"broadcast_bytes": 0, "block_bytes": 40 * 72}, {}])
+def test_top_matches_equal_brute_force(spark, sizes):
     rng = np.random.RandomState(2)
     x, y = rng.normal(size=(60, 8)).astype(np.float32), rng.normal(size=(90, 8)).astype(np.float32)
     y[50] = y[3]
     y[7] = 0
     got = similarity.top_matches(
-        vectors(spark, x), vectors(spark, y), 4, query_id="id", vector_id="id", query_vector="vec", vector="vec", block_rows=block_rows
+        vectors(spark, x), vectors(spark, y), 4, query_id="id", vector_id="id", query_vector="vec", vector="vec", **sizes
     ).collect()
     xn = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     norm = np.linalg.norm(y.astype(float), axis=1, keepdims=True)
@@ -29,6 +29,60 @@ def test_top_matches_equal_brute_force(spark, block_rows):
     assert {(r["query_id"], r["rank"]): r["vector_id"] for r in got} == want
 
 
+def brute_matches(x, y, k, same=False):
+    norm = lambda m: np.divide(m.astype(float), np.linalg.norm(m.astype(float), axis=1, keepdims=True), out=np.zeros(m.shape), where=m.any(axis=1, keepdims=True))
+    sims = np.round(norm(x) @ norm(y).T, 12)
+    return {(i, r + 1): (j, sims[i, j]) for i in range(len(x)) for r, j in enumerate([j for j in np.lexsort((np.arange(len(y)), -sims[i])) if not (same and i == j)][:k])}
+
+
+def clustered(rng, n, centres):
+    out = (centres[rng.randint(len(centres), size=n)] + 0.05 * rng.normal(size=(n, centres.shape[1]))).astype(np.float32)
+    out[::97] = 0
+    out[1::50] = out[3]  # repeated vectors: ties go to the lower id
+    return out
+
+
+def test_metric_index_skips_most_pairs_and_stays_exact(spark):
+    rng = np.random.RandomState(7)
+    centres = rng.normal(size=(12, 16))
+    x, y = clustered(rng, 150, centres), clustered(rng, 900, centres)
+    q, v = vectors(spark, x).withColumnRenamed("vec", "q").withColumnRenamed("id", "query_id"), vectors(spark, y, "v", "vector_id")
+    for k in (1, 5, 900, 1000):
+        got = similarity.top_matches(q, v, k, query_vector="q", vector="v", broadcast_bytes=0, block_bytes=30 * 136, pivots=24).collect()
+        want = brute_matches(x, y, k)
+        assert {(r["query_id"], r["rank"]): r["vector_id"] for r in got} == {key: j for key, (j, _) in want.items()}
+        assert all(abs(r["similarity"] - want[r["query_id"], r["rank"]][1]) < 1e-11 for r in got)
+    # Pairs of queries and vectors that are compared, of all pairs (zero vectors are compared with everything).
+    index = similarity.metric_index(v, 30, 24)
+    assert index.rows.sum() == 900 and (index.rows / index.parts).max() <= 60
+    rows = index.vectors.groupBy("block", "part").count()
+    first = similarity.visits(index, q, 5)
+    best = {i: s for (i, r), (_, s) in brute_matches(x, y, 5).items() if r == 5}
+    kth = spark.createDataFrame([(i, float(s)) for i, s in best.items()], "query_id bigint, kth double")
+    rest = similarity.visits(index, q.join(kth, "query_id"), 5, again=True)
+    live = q.where(F.exists("q", lambda c: c != 0)).select("query_id")
+    compared = first.unionByName(rest).join(live, "query_id", "left_semi").join(rows, ["block", "part"]).agg(F.sum("count")).first()[0]
+    assert compared < 0.4 * live.count() * 900
+
+
+def test_metric_index_with_a_floor_and_without_the_same_id(spark):
+    rng = np.random.RandomState(8)
+    x = clustered(rng, 300, rng.normal(size=(6, 10)))
+    v = vectors(spark, x, "v", "vector_id")
+    q = v.withColumnRenamed("v", "q").withColumnRenamed("vector_id", "query_id")
+    sizes = {"query_vector": "q", "vector": "v", "exclude_same": True, "broadcast_bytes": 0, "block_bytes": 20 * 88, "pivots": 8}
+    got = {(r["query_id"], r["rank"]): r["vector_id"] for r in similarity.top_matches(q, v, 3, **sizes).collect()}
+    want = brute_matches(x, x, 3, same=True)
+    assert got == {key: j for key, (j, _) in want.items()}
+    near = {(r["query_id"], r["rank"]): r["vector_id"] for r in similarity.top_matches(q, v, 3, floor=0.9, **sizes).where("similarity >= 0.9").collect()}
+    assert near == {key: j for key, (j, s) in want.items() if s >= 0.9}
+    zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0])], "vector_id bigint, v array<float>")
+    one = spark.createDataFrame([(5, [1.0, 0.0])], "query_id bigint, q array<float>")
+    sizes = {**sizes, "exclude_same": False}
+    assert [(r["vector_id"], r["similarity"]) for r in similarity.top_matches(one, zero, 1, **sizes).collect()] == [(1, 0.0)]
+    assert similarity.top_matches(one, zero.limit(0), 1, **sizes).count() == 0
+
+
 def test_dimension_check(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "v array<float>")
     with pytest.raises(Exception, match="expected 3"):

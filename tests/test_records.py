@@ -1,3 +1,4 @@
+import random
 import datetime as dt
 
 import pytest
@@ -127,3 +128,20 @@ def test_goal_cover_matches_nested_loop(spark):
     got = {r[0] for r in enrich.uncovered_by_goals(spark.createDataFrame([(k,) for k in keys], "k string"), "k", spark.createDataFrame([(g,) for g in goals], "g string"), "g").collect()}
     want = {k for k in keys if not any(k.lower() in g.lower() for g in goals)}
     assert got == want
+
+
+def test_goal_cover_of_keys_of_any_length(spark):
+    rng = random.Random(4)
+    letters = "ab\u00c9-1"
+    goals = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 700))) for _ in range(40)] + [None, "", "ab"]
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for n in range(0, 330)]  # more lengths than any list of lengths would hold
+    for g in goals[:30]:
+        if g and len(g) > 4:
+            at = rng.randrange(len(g) - 3)
+            keys.append(g[at : at + rng.randrange(1, 400)].swapcase())
+    rows = [(k,) for k in keys] + [(None,), (keys[5],)]
+    got = enrich.uncovered_by_goals(spark.createDataFrame(rows, "k string"), "k", spark.createDataFrame([(g,) for g in goals], "g string"), "g").collect()
+    want = [k for (k,) in rows if k is None or not any(k.lower() in g.lower() for g in goals if g is not None)]
+    assert sorted(str(r[0]) for r in got) == sorted(map(str, want)) and 100 < len(want) < len(rows) - 20
+    none = spark.createDataFrame([], "g string")
+    assert enrich.uncovered_by_goals(spark.createDataFrame([("",), ("abc",)], "k string"), "k", none, "g").count() == 2

@@ -82,24 +82,28 @@ def _pieces(text: Column, size: int) -> Column:
     return F.coalesce(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))), F.array().cast("array<string>"))
 
 
-def uncovered_by_goals(df: DataFrame, key: str, goals: DataFrame, goal: str, longest: int = 256) -> DataFrame:
-    """Rows whose key is in no goal text, ignoring case.
+GRAM = 3
 
-    Containment becomes an equi anti-join: goals are cut into all substrings of
-    the key lengths that occur (at most ``longest`` different ones).
+
+def uncovered_by_goals(df: DataFrame, key: str, goals: DataFrame, goal: str) -> DataFrame:
+    """Rows whose key is in no goal text, ignoring case. A null key is in none, an empty one in every goal.
+
+    An index of the goals' grams of ``GRAM`` characters: a key can only be in goals that hold its rarest gram, and those are
+    checked for the whole key; a key with a gram that no goal has is in none. Shorter keys are grams themselves.
     """
-    keys = df.select(F.lower(key).alias("_key")).distinct()
-    sizes = sorted(r[0] for r in keys.select(F.length("_key")).distinct().limit(longest + 1).collect() if r[0])
-    if len(sizes) > longest:
-        raise ValueError(f"keys have more than {longest} different lengths")
-    low = F.lower(goal)
-    pieces = None
-    for size in sizes:
-        part = _pieces(low, size)
-        pieces = part if pieces is None else F.concat(pieces, part)
-    if pieces is None:
-        return df
-    covered = goals.select(F.explode(F.array_distinct(pieces)).alias("_covered")).distinct()
+    texts = goals.select(F.lower(goal).alias("_goal")).where("_goal is not null").distinct()
+    texts = texts.select("_goal", F.xxhash64("_goal").alias("_g1"), F.xxhash64(F.lit(1), "_goal").alias("_g2"))
+    pieces = F.array_distinct(F.concat(*[_pieces(F.col("_goal"), size) for size in range(1, GRAM + 1)]))
+    grams = texts.select("_g1", "_g2", F.explode(pieces).alias("_gram"))
+    keys = df.select(F.lower(key).alias("_key")).where("_key is not null").distinct()
+    spread = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    short = keys.where(F.length("_key") < GRAM).join(spread.select(F.col("_gram").alias("_key")), "_key", "left_semi")
+    own = keys.where(F.length("_key") >= GRAM).select("_key", F.explode(F.array_distinct(_pieces(F.col("_key"), GRAM))).alias("_gram"))
+    rarest = own.join(spread, "_gram", "left").groupBy("_key").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r"))
+    looked = rarest.where("_r.n > 0").select("_key", F.col("_r._gram").alias("_gram"))
+    found = looked.join(grams, "_gram").join(texts, ["_g1", "_g2"]).where(F.contains("_goal", "_key")).select("_key")
+    empty = texts.limit(1).select(F.lit("").alias("_key"))
+    covered = found.union(short).union(empty).distinct().withColumnRenamed("_key", "_covered")
     return df.join(covered, F.lower(df[key]) == F.col("_covered"), "left_anti")
 
 

@@ -1,15 +1,19 @@
-"""Exact cosine search by blocks, and vector-table helpers.
+"""Exact cosine search with a metric index, and vector-table helpers.
 
-A vector side with a checked row bound is broadcast. A larger one is hashed,
-like the queries, into blocks of bounded size, and every (query block, vector
-block) pair is one grouped task that multiplies two matrices. Only the best
-``k`` per query leave a task; no pair list is ever produced.
+A vector side of checked size in bytes is broadcast. A larger one gets an
+index: each vector belongs to its nearest pivot, and a block holds vectors of
+one pivot within a range of angles to it. Angles obey the triangle inequality,
+so the angle of a query to a pivot bounds its angles to a whole block from both
+sides. A query visits the blocks that surely hold ``k`` vectors, and then only
+those that may hold a nearer one than the k-th best found. A task multiplies
+the matrices of one block and its visitors; only the best ``k`` leave it.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilframe.functions.records import bound
+from vigilframe.session import scratch_path
 
 QUERY_STEP = 1024
+# Largest vector side, in bytes of its matrix, that is broadcast; largest matrix of one block.
+BROADCAST_BYTES, BLOCK_BYTES = 32 << 20, 32 << 20
+PIVOTS, ANGLE_STEPS = 64, 256
+# Slack of the bounds: similarities are compared at 12 digits, which are up to 1.5e-6 of angle.
+ANGLE_SLACK = 4e-6
 
 
 def l2_norm(vector: Column) -> Column:
@@ -94,6 +104,129 @@ def _sorted_side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 MATCH_SCHEMA = "query_id bigint, vector_id bigint, similarity double, rank bigint"
 
 
+@dataclass(frozen=True)
+class MetricIndex:
+    """Pivots, the blocks of the index (pivot, least and greatest angle, rows, parts), and the vectors with block and part.
+
+    Pivot -1 stands for zero vectors, which have a similarity of 0 with everything.
+    """
+
+    pivots: np.ndarray
+    pivot: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    rows: np.ndarray
+    parts: np.ndarray
+    vectors: DataFrame
+
+    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest angle that each query (a unit or zero vector) can have to a vector of each block."""
+        to_pivot = np.arccos(np.clip(q @ self.pivots.T, -1.0, 1.0)) if len(self.pivots) else np.zeros((len(q), 1))
+        at = to_pivot[:, self.pivot.clip(min=0)]
+        least = np.maximum(np.maximum(at - self.high, self.low - at), 0.0)
+        most = np.minimum(at + self.high, math.pi)
+        right = (self.pivot < 0)[None, :] | ~q.any(axis=1)[:, None]
+        return np.where(right, math.pi / 2, least), np.where(right, math.pi / 2, most)
+
+    def sure(self, most: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which blocks each query visits first, and an angle within which ``k`` vectors surely are."""
+        order = np.argsort(most, axis=1, kind="stable")
+        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        first = np.zeros(most.shape, dtype=bool)
+        np.put_along_axis(first, order, before < k, axis=1)
+        enough = self.rows.sum() >= k
+        return first, np.where(first, most, 0.0).max(axis=1) if enough else np.full(len(most), math.pi)
+
+
+def _placed(pivots: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _matrix(batch.column("v"))
+            pivot, angle = np.full(len(m), -1, dtype=np.int32), np.full(len(m), math.pi / 2)
+            some = m.any(axis=1)
+            if some.any():
+                angles = np.arccos(np.clip(m[some] @ pivots.T, -1.0, 1.0))
+                pivot[some] = angles.argmin(axis=1)
+                angle[some] = angles.min(axis=1)
+            step = np.minimum((angle * (ANGLE_STEPS / math.pi)).astype(np.int32), ANGLE_STEPS - 1)
+            columns = [batch.column("vector_id"), batch.column("v"), pa.array(pivot), pa.array(angle), pa.array(step)]
+            yield pa.RecordBatch.from_arrays(columns, ["vector_id", "v", "pivot", "angle", "step"])
+
+    return run
+
+
+def metric_index(vectors: DataFrame, block_rows: int, pivots: int = PIVOTS) -> MetricIndex:
+    """Index of (vector_id, v). Pivots are vectors in the order of a hash; what the driver sees is bounded by pivots and angle steps."""
+    spark = vectors.sparkSession
+    some = vectors.where(F.exists("v", lambda x: x != 0))
+    seeds = some.orderBy(F.xxhash64("vector_id"), "vector_id").limit(pivots).select("v").toArrow()
+    centres = _matrix(seeds["v"]) if seeds.num_rows else np.zeros((0, 0))
+    path = scratch_path(spark, "metric-index")
+    placed = vectors.select("vector_id", "v").mapInArrow(_placed(centres), f"vector_id bigint, v {vectors.schema['v'].dataType.simpleString()}, pivot int, angle double, step int")
+    placed.write.parquet(path)
+    placed = spark.read.parquet(path)
+    steps = placed.groupBy("pivot", "step").agg(F.count(F.lit(1)).alias("rows"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()
+    blocks, where = [], []
+    for r in sorted(steps, key=lambda r: (r["pivot"], r["step"])):
+        # Neighbouring steps of one pivot share a block until it is full; a fuller step is one block in several parts.
+        if not blocks or blocks[-1][0] != r["pivot"] or blocks[-1][3] + r["rows"] > block_rows:
+            blocks.append([r["pivot"], r["low"], r["high"], 0])
+        blocks[-1][2], blocks[-1][3] = r["high"], blocks[-1][3] + r["rows"]
+        where.append((r["pivot"], r["step"], len(blocks) - 1))
+    parts = [math.ceil(b[3] / block_rows) for b in blocks]
+    known = spark.createDataFrame([(*w, parts[w[2]]) for w in where], "pivot int, step int, block int, parts int")
+    dealt = placed.join(F.broadcast(known), ["pivot", "step"]).select("vector_id", "v", "block", F.pmod(F.xxhash64("vector_id"), F.col("parts")).cast("int").alias("part"))
+    column = lambda i, kind: np.array([b[i] for b in blocks], dtype=kind)
+    return MetricIndex(centres, column(0, np.int64), column(1, np.float64), column(2, np.float64), column(3, np.int64), np.array(parts, dtype=np.int64), dealt)
+
+
+def _visits(index: MetricIndex, k: int, floor: float, again: bool):
+    """Rows (query_id, q, block, part) of the blocks to visit first, or, ``again``, of those that may still hold a better vector."""
+    pivots, pivot, low, high, rows, parts = index.pivots, index.pivot, index.low, index.high, index.rows, index.parts
+    farthest = math.acos(max(-1.0, min(1.0, floor)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = MetricIndex(pivots, pivot, low, high, rows, parts, None)
+        for whole in batches:
+            for at in range(0, len(whole), QUERY_STEP):
+                batch = whole.slice(at, QUERY_STEP)
+                least, most = held.bounds(_matrix(batch.column("q")))
+                visit, within = held.sure(most, k)
+                if again:
+                    kth = batch.column("kth").to_numpy(zero_copy_only=False)
+                    within = np.minimum(within, np.where(np.isnan(kth), math.pi, np.arccos(np.clip(kth, -1.0, 1.0))))
+                    visit = ~visit & (least <= within[:, None] + ANGLE_SLACK)
+                visit &= least <= farthest + ANGLE_SLACK
+                query, block = np.nonzero(visit)
+                times = parts[block]
+                query, block = np.repeat(query, times), np.repeat(block, times)
+                part = np.arange(len(block)) - np.repeat(np.cumsum(times) - times, times)
+                chosen = batch.take(pa.array(query))
+                columns = [chosen.column("query_id"), chosen.column("q"), pa.array(block.astype(np.int32)), pa.array(part.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "q", "block", "part"])
+
+    return run
+
+
+def visits(index: MetricIndex, queries: DataFrame, k: int, floor: float = -1.0, again: bool = False) -> DataFrame:
+    """(query_id, q, block, part) of the visits of ``queries`` (query_id, q; ``again``: kth, the k-th best similarity so far or null)."""
+    return queries.mapInArrow(_visits(index, k, floor, again), f"query_id bigint, q {queries.schema['q'].dataType.simpleString()}, block int, part int")
+
+
+def _visited(index: MetricIndex, visiting: DataFrame, k: int, exclude_same: bool, q_blocks: int) -> DataFrame:
+    """The k best of each visited part for each visitor; visitors of one part are dealt into ``q_blocks`` tasks."""
+
+    def block(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.Table.from_batches([_best(np.empty(0, np.int64), np.empty((0, 1)), np.empty(0, np.int64), np.empty((0, 1)), k, False)])
+        return pa.Table.from_batches([_best(a["query_id"].to_numpy(), _matrix(a["q"]), *_sorted_side(b), k, exclude_same)])
+
+    left = visiting.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
+    right = index.vectors.select("*", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    keys = ["block", "part", "qb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, MATCH_SCHEMA)
+
+
 def top_matches(
     queries: DataFrame,
     vectors: DataFrame,
@@ -104,19 +237,25 @@ def top_matches(
     query_vector: str = "query_vector",
     vector: str = "vector",
     exclude_same: bool = False,
-    block_rows: int = 20_000,
+    floor: float = -1.0,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+    pivots: int = PIVOTS,
 ) -> DataFrame:
     """(query_id, vector_id, similarity, rank) of the ``k`` nearest vectors.
 
-    Ties go to the lower vector id. Ids must be BIGINT and unique. Up to
-    ``block_rows`` vectors are broadcast and the queries stream past them
-    without a shuffle; beyond that both sides are cut into hashed blocks.
+    Ties go to the lower vector id. Ids must be BIGINT and unique. A vector side
+    whose matrix has at most ``broadcast_bytes`` is broadcast and the queries
+    stream past it without a shuffle; a larger one is searched through its metric
+    index, with blocks of at most ``block_bytes``. ``floor``: matches below this
+    similarity may be left out, and blocks that hold no others are not visited.
     """
-    n_vec = vectors.limit(block_rows + 1).count()
     q = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(query_vector).alias("q"))
     v = vectors.select(F.col(vector_id).cast("bigint").alias("vector_id"), F.col(vector).alias("v"))
     spark = queries.sparkSession
-    if n_vec <= block_rows:
+    n_vec, width = v.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    row_bytes = 8 * max(1, width or 0) + 8
+    if n_vec * row_bytes <= broadcast_bytes:
         side = spark.sparkContext.broadcast(_sorted_side(v.toArrow()) if n_vec else (np.empty(0, np.int64), np.empty((0, 1))))
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,16 +265,18 @@ def top_matches(
                     yield _best(batch.column("query_id").to_numpy(zero_copy_only=False), _matrix(batch.column("q")), vid, vm, k, exclude_same)
 
         return q.mapInArrow(probe, MATCH_SCHEMA)
-    v_blocks, q_blocks = math.ceil(vectors.count() / block_rows), max(1, math.ceil(queries.count() / block_rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    left = q.select("*", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"), every(v_blocks).alias("vb"))
-    right = v.select("*", every(q_blocks).alias("qb"), F.pmod(F.xxhash64("vector_id"), F.lit(v_blocks)).alias("vb"))
-
-    def block(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.Table.from_batches([_best(np.empty(0, np.int64), np.empty((0, 1)), np.empty(0, np.int64), np.empty((0, 1)), k, False)])
-        return pa.Table.from_batches([_best(a["query_id"].to_numpy(), _matrix(a["q"]), *_sorted_side(b), k, exclude_same)])
-
-    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(block, MATCH_SCHEMA)
+    block_rows = max(1, block_bytes // row_bytes)
+    index = metric_index(v, block_rows, pivots)
+    path = scratch_path(spark, "similarity-queries")
+    q.write.parquet(path)
+    q = spark.read.parquet(path)
+    q_blocks = max(1, math.ceil(q.count() / block_rows))
+    wanted = k + 1 if exclude_same else k  # the query itself may be among the vectors
+    path = scratch_path(spark, "similarity-first")
+    _visited(index, visits(index, q, wanted, floor), k, exclude_same, q_blocks).write.parquet(path)
+    first = spark.read.parquet(path)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vector_id")
+    kth = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("similarity").alias("kth"))
+    rest = visits(index, q.join(kth, "query_id", "left"), wanted, floor, again=True)
+    found = first.unionByName(_visited(index, rest, k, exclude_same, q_blocks))
     return found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
