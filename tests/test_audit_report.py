@@ -64,6 +64,53 @@ def test_chain_built_in_appends_is_the_chain_built_at_once(spark, folder, cuts):
     assert audit.chain_report(log, "tenant").first()["valid"]
 
 
+def hot_log(spark, log=None, low=0, high=2600, leaf=100):
+    df = spark.range(low, high).select(F.lit("t").alias("tenant"), F.col("id").alias("at"), F.col("id").alias("v")).repartition(5)
+    return audit.chained(df, "tenant", [F.col("at")], F.lit(7), ["at", "v"], log, leaf=leaf)
+
+
+def test_a_hot_period_is_cut_into_leaves(spark, folder):
+    """One period holds all entries: leaves of bounded size, in many tasks, the same log in appends that cut leaves anywhere."""
+    once = hot_log(spark).collect()
+    sizes = {}
+    for r in once:
+        sizes[r["leaf"]] = sizes.get(r["leaf"], 0) + 1
+    assert sizes == {i: 100 for i in range(26)}
+    log = None
+    for low, high in ((0, 30), (30, 100), (100, 1234), (1234, 2600)):
+        hot_log(spark, log, low, high).write.mode("append").parquet(folder + "/hot")
+        log = spark.read.parquet(folder + "/hot")
+    assert {tuple(r) for r in log.select(*once[0].asDict()).collect()} == {tuple(r) for r in once}
+    assert audit.chain_report(log, "tenant").first().asDict() == {"tenant": "t", "entries": 2600, "first_bad_seq": None, "valid": True}
+    changed = log.withColumn("payload", F.when(F.col("seq") == 777, F.lit("{}")).otherwise(F.col("payload")))
+    assert audit.chain_report(changed, "tenant").first()["first_bad_seq"] == 777
+    # A leaf rewritten as a whole, with all its hashes, still breaks the start of the next one.
+    rows = [r.asDict() for r in sorted(once, key=lambda r: r["seq"])]
+    prev = rows[300]["prev_hash"]
+    for r in rows[300:400]:
+        r["payload"], r["prev_hash"] = r["payload"].replace("v", "w"), prev
+        prev = r["entry_hash"] = hashlib.sha256((prev + r["payload"]).encode()).hexdigest()
+    forged = spark.createDataFrame([tuple(r.values()) for r in rows], log.select(*rows[0]).schema)
+    assert audit.chain_report(forged, "tenant").first()["first_bad_seq"] == 401
+    # With the default leaf, too, the one period is dealt out.
+    assert hot_log(spark, leaf=audit.LEAF).select("leaf").distinct().count() == 3
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 1024, 1025, 2600])
+def test_inclusion_proofs(spark, n):
+    log = spark.range(n).select(F.lit("t").alias("tenant"), F.lit(3).cast("bigint").alias("segment"), (F.col("id") + 11).alias("seq"), F.col("id").cast("string").alias("payload"))
+    level = [hashlib.sha256(f"{i + 11}|{i}".encode()).hexdigest() for i in range(n)]
+    leaves = level
+    while len(level) > 1:
+        level = ["".join(level[i : i + 2]) for i in range(0, len(level), 2)]
+        level = [hashlib.sha256(x.encode()).hexdigest() if len(x) > 64 else x for x in level]
+    proofs = audit.inclusion_proofs(log.repartition(4), "tenant")
+    other = F.sha2(F.lit("another entry"), 256)
+    got = proofs.select("*", audit.proves(F.col("digest"), F.col("path"), F.col("root")).alias("ok"), audit.proves(other, F.col("path"), F.col("root")).alias("bad")).collect()
+    assert sorted(r["seq"] for r in got) == list(range(11, n + 11))
+    assert all(r["root"] == level[0] and r["ok"] and not r["bad"] and r["digest"] == leaves[r["seq"] - 11] and len(r["path"]) <= max(1, n - 1).bit_length() for r in got)
+
+
 def test_late_entry_counts_to_the_open_segment(spark):
     log = spark.createDataFrame(chain(spark, segment=5).collect())
     late = spark.createDataFrame([("t", 3, 99)], "tenant string, at long, v long")

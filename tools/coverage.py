@@ -40,7 +40,7 @@ FUNCTIONS = {
     "A-12": "evaluate.confusion", "A-13": "scoring.false_positive_rate", "A-14": "evaluate.roc_points, roc_threshold", "A-15": "evaluate.separation", "A-16": "report.trend", "A-17": "report.recommendations",
     "A-18": "audit.chain_report", "A-19": "evaluate.class_weights", "A-20": "graph.touched_nodes", "A-21": "query asset_severity", "A-22": "policy.suspended", "A-24": "query asset_severity", "A-25": "writers.write_graph",
     "A-26": "audit.promotion", "A-27": "evaluate.stratified_split",
-    "W-01": "anomaly.temporal_baseline, running.running_moments", "W-02": "policy.rate_violations, running.trailing_counts", "W-03": "audit.chain_faults, chain_report", "W-04": "audit.chained",
+    "W-01": "anomaly.temporal_baseline, running.running_moments", "W-02": "policy.rate_violations, running.trailing_counts", "W-03": "audit.chain_faults, chain_report, inclusion_proofs", "W-04": "audit.chained",
     "W-05": "running.sliding_sequences", "W-06": "running.row_positions, graphs.temporal_edges", "W-07": "tables.latest", "W-08": "audit.version_chain", "W-09": "anomaly.refit_due", "W-10": "report.timeline", "W-11": "graphs.capped",
     "T-01": "tables.newest", "T-02": "tables.newest", "T-03": "graph.next_hops", "T-04": "text.iocs", "T-05": "graph.display_priority", "T-06": "report.top_items", "T-07": "tables.newest, matches_search", "T-08": "evaluate.subsample",
     "U-01": "attribution.corpus, graphs.node_table", "U-02": "text.iocs, file_hashes", "U-03": "tables.unreviewed", "U-04": "records.appended",

@@ -13,6 +13,10 @@ from vigilframe.operators.running import row_positions
 from vigilframe.operators.tables import latest
 from vigilframe.session import cut_lineage
 
+# Entries of a leaf: what one task chains, and what one seal or one step of a hash tree covers. A power of two.
+LEAF = 1024
+
+
 def entry_payload(columns: list[str]) -> Column:
     """The text of an entry that is hashed together with the previous hash."""
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]))
@@ -34,7 +38,7 @@ def _chain_segment(key: tuple, batch: pa.Table) -> pa.Table:
 
 
 def _chain_starts(key: tuple, seals: pa.Table) -> pa.Table:
-    seals = seals.sort_by("segment")
+    seals = seals.sort_by([("segment", "ascending"), ("leaf", "ascending")])
     start, starts = seals["head_hash"][0].as_py(), []
     for seal in seals["seal"].to_pylist():
         starts.append(start)
@@ -42,16 +46,19 @@ def _chain_starts(key: tuple, seals: pa.Table) -> pa.Table:
     return seals.drop_columns(["seal", "head_hash"]).append_column("start_hash", pa.array(starts, pa.string()))
 
 
-def segment_starts(rows: DataFrame, key: str, heads: DataFrame | None = None) -> DataFrame:
-    """(key, segment, start_hash): the hash each segment continues from.
+def entry_digest() -> Column:
+    """Digest of an entry's number and payload, whatever came before it."""
+    return F.sha2(F.concat_ws("|", F.col("seq").cast("string"), F.col("payload")), 256)
+
 
-    A segment's seal covers the ordered digests of its entries, and the starts
-    chain the seals: one short row per segment goes through a task per key.
-    ``heads`` (key, head_hash) gives the start of each key's first segment.
+def leaf_starts(rows: DataFrame, key: str, heads: DataFrame | None = None) -> DataFrame:
+    """(key, segment, leaf, start_hash): the hash each leaf continues from.
+
+    A leaf's seal covers the ordered digests of its entries (at most ``LEAF``), and the starts chain the seals: one short row per
+    leaf goes through a task per key. ``heads`` (key, head_hash) gives the start of each key's first leaf.
     """
-    digest = F.sha2(F.concat_ws("|", F.col("seq").cast("string"), F.col("payload")), 256)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("seq"), digest.alias("digest"))))
-    seals = rows.groupBy(key, "segment").agg(
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("seq"), entry_digest().alias("digest"))))
+    seals = rows.groupBy(key, "segment", "leaf").agg(
         F.sha2(F.array_join(F.transform(ordered, lambda e: e["digest"]), ""), 256).alias("seal")
     )
     if heads is not None:
@@ -59,56 +66,116 @@ def segment_starts(rows: DataFrame, key: str, heads: DataFrame | None = None) ->
     else:
         seals = seals.withColumn("head_hash", F.lit(None).cast("string"))
     kind = rows.schema[key].dataType.simpleString()
-    return seals.groupBy(key).applyInArrow(_chain_starts, f"`{key}` {kind}, segment bigint, start_hash string")
+    return seals.groupBy(key).applyInArrow(_chain_starts, f"`{key}` {kind}, segment bigint, leaf bigint, start_hash string")
 
 
-def chained(df: DataFrame, key: str, order: list[Column], period: Column, columns: list[str], log: DataFrame | None = None) -> DataFrame:
-    """Append-ready log: seq, segment, payload, prev_hash and entry_hash per chain key.
+def chained(
+    df: DataFrame, key: str, order: list[Column], period: Column, columns: list[str], log: DataFrame | None = None, leaf: int = LEAF
+) -> DataFrame:
+    """Append-ready log: seq, segment, leaf, payload, prev_hash and entry_hash per chain key.
 
-    The entries of a chain in one ``period`` (a day, an hour: whole numbers that do not fall along ``order``) are a segment, in
-    which each entry hashes its payload with the hash before it. A segment starts from a seal over everything before it. So the
-    rule is the same for any number of rows, segments are built in parallel, and a task holds one period of one chain.
+    The entries of a chain in one ``period`` (a day, an hour: whole numbers that do not fall along ``order``) are a segment, cut
+    into leaves of ``leaf`` entries. In a leaf each entry hashes its payload with the hash before it; a leaf starts from a seal over
+    everything before it. So the rule is the same for any number of rows, leaves are built in parallel, and a task holds one leaf.
 
     ``log``, what this function returned before, is continued: numbers go on, and entries of a period that the log already
     holds go on from its last hash. An entry of an earlier period counts to the last one of the log. The result holds the new
-    entries only; built at once or in appends at period or row borders, a log is the same.
+    entries only; built at once or in appends, a log is the same.
     """
     rows = df.withColumn("segment", period.cast("bigint"))
     if log is not None:
-        last = log.groupBy(key).agg(F.max("segment").alias("_open"), F.max("seq").alias("_seq"), F.max_by("entry_hash", "seq").alias("_head"))
-        last = cut_lineage(last)
-        rows = rows.join(last.select(key, "_open", "_seq"), key, "left")
+        last = log.groupBy(key).agg(
+            F.max("segment").alias("_open"), F.max("seq").alias("_seq"), F.max_by("entry_hash", "seq").alias("_head"), F.max_by("leaf", "seq").alias("_leaf")
+        )
+        begun = log.groupBy(key, F.col("segment").alias("_open")).agg(F.min("seq").alias("_first"))
+        last = cut_lineage(last.join(begun, [key, "_open"]))
+        rows = rows.join(last.select(key, "_open", "_seq", "_first"), key, "left")
         rows = rows.withColumn("segment", F.greatest("segment", "_open"))
     rows = row_positions(rows, [key], [F.col("segment"), *order], F.col("segment")).withColumn("payload", entry_payload(columns))
-    rows = rows.select(key, (F.col("seq") + (F.coalesce("_seq", F.lit(0)) if log is not None else 0)).alias("seq"), "segment", "payload")
-    rows = cut_lineage(rows)  # read twice below: by the seals and by the segments
+    goes_on = F.when(F.col("segment") == F.col("_open"), F.col("_first")) if log is not None else F.lit(None).cast("bigint")
+    rows = rows.select(key, (F.col("seq") + (F.coalesce("_seq", F.lit(0)) if log is not None else 0)).alias("seq"), "segment", "payload", goes_on.alias("_begun"))
+    rows = cut_lineage(rows)  # read again below: by the leaves' numbers, the seals and the leaves
+    first = rows.groupBy(key, "segment").agg(F.min(F.coalesce("_begun", "seq")).alias("_first"))
+    rows = rows.drop("_begun").join(first, [key, "segment"])
+    rows = rows.select(key, "seq", "segment", F.floor((F.col("seq") - F.col("_first")) / leaf).alias("leaf"), "payload")
     if log is None:
-        starts = segment_starts(rows, key)
+        starts = leaf_starts(rows, key)
     else:
-        opened = log.join(last.select(key, F.col("_open").alias("segment")), [key, "segment"])
+        opened = log.join(last.select(key, F.col("_open").alias("segment"), F.col("_leaf").alias("leaf")), [key, "segment", "leaf"])
         heads = opened.groupBy(key).agg(F.min_by("prev_hash", "seq").alias("head_hash"))
-        starts = segment_starts(rows.unionByName(opened.select(rows.columns)), key, heads).join(last, key, "left")
-        starts = starts.select(key, "segment", F.when(F.col("segment") == F.col("_open"), F.col("_head")).otherwise(F.col("start_hash")).alias("start_hash"))
-    staged = rows.join(starts, [key, "segment"]).select(key, "seq", "segment", "payload", "start_hash")
+        starts = leaf_starts(rows.unionByName(opened.select(rows.columns)), key, heads).join(last, key, "left")
+        same = (F.col("segment") == F.col("_open")) & (F.col("leaf") == F.col("_leaf"))
+        starts = starts.select(key, "segment", "leaf", F.when(same, F.col("_head")).otherwise(F.col("start_hash")).alias("start_hash"))
+    staged = rows.join(starts, [key, "segment", "leaf"]).select(key, "seq", "segment", "leaf", "payload", "start_hash")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in staged.schema.fields if f.name != "start_hash")
-    return staged.groupBy(key, "segment").applyInArrow(_chain_segment, schema + ", prev_hash string, entry_hash string")
+    return staged.groupBy(key, "segment", "leaf").applyInArrow(_chain_segment, schema + ", prev_hash string, entry_hash string")
 
 
 def chain_faults(log: DataFrame, key: str, heads: DataFrame | None = None) -> DataFrame:
     """Every entry with its checks: own hash, and link to the entry before.
 
-    Self equi-joins on the sequence number and the segment; fully parallel.
+    Self equi-joins on the sequence number and the leaf; fully parallel.
     """
     before = log.select(
-        key, (F.col("seq") + 1).alias("seq"), "segment", F.col("entry_hash").alias("_prev")
+        key, (F.col("seq") + 1).alias("seq"), "segment", "leaf", F.col("entry_hash").alias("_prev")
     )
-    firsts = segment_starts(log.select(key, "seq", "segment", "payload"), key, heads)
-    joined = log.join(before, [key, "segment", "seq"], "left").join(firsts, [key, "segment"], "left")
+    firsts = leaf_starts(log.select(key, "seq", "segment", "leaf", "payload"), key, heads)
+    joined = log.join(before, [key, "segment", "leaf", "seq"], "left").join(firsts, [key, "segment", "leaf"], "left")
     own = link_hash(F.col("prev_hash"), F.col("payload")) != F.col("entry_hash")
     broken = ~F.col("prev_hash").eqNullSafe(F.coalesce("_prev", "start_hash"))
     return joined.select(key, "seq", F.coalesce(own, F.lit(True)).alias("tampered"), broken.alias("broken_link"))
 
 
+def _tree_part(key: tuple, nodes: pa.Table) -> pa.Table:
+    """Binary hash tree over up to ``LEAF`` neighbouring nodes: each node with its path to the part's root.
+
+    Two neighbours give the digest of both; a last node without a neighbour goes up as it is.
+    """
+    nodes = nodes.sort_by("place")
+    level = nodes["digest"].to_pylist()
+    at = list(range(len(level)))
+    paths: list[list[dict]] = [[] for _ in level]
+    while len(level) > 1:
+        for path, i in zip(paths, at):
+            if i ^ 1 < len(level):
+                path.append({"hash": level[i ^ 1], "left": i % 2 == 1})
+        level = [hashlib.sha256("".join(level[i : i + 2]).encode()).hexdigest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        at = [i // 2 for i in at]
+    kind = pa.list_(pa.struct([("hash", pa.string()), ("left", pa.bool_())]))
+    return nodes.append_column("path", pa.array(paths, kind)).append_column("root", pa.array([level[0]] * len(paths), pa.string()))
+
+
+def inclusion_proofs(log: DataFrame, key: str) -> DataFrame:
+    """(key, segment, seq, digest, path, root): each entry's path to the root of its segment's hash tree.
+
+    ``log`` has the key, segment, seq (numbers without gaps in a segment) and payload. ``path`` lists the neighbours, bottom up, as (hash,
+    left): with them the digest of the entry gives the root, one hash a step, so an entry is proved by as many hashes as the logarithm of
+    its segment. The tree is built in parts of ``LEAF`` nodes, a part per task; their roots are the nodes of the next step.
+    """
+    first = log.groupBy(key, "segment").agg(F.min("seq").alias("_first"))
+    rows = log.join(first, [key, "segment"]).select(key, "segment", "seq", (F.col("seq") - F.col("_first")).alias("place"), entry_digest().alias("digest"))
+    kind = log.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, segment bigint, part bigint, place bigint, digest string, path array<struct<hash: string, left: boolean>>, root string"
+    proofs, nodes = None, rows.select(key, "segment", "place", "digest")
+    while proofs is None or nodes.where("place > 0").limit(1).count():
+        dealt = nodes.select(key, "segment", F.floor(F.col("place") / LEAF).alias("part"), "place", "digest")
+        step = cut_lineage(dealt.groupBy(key, "segment", "part").applyInArrow(_tree_part, schema))
+        if proofs is None:
+            proofs = step.select(key, "segment", "place", "digest", F.col("part").alias("up"), "path", "root")
+        else:
+            higher = step.select(key, "segment", F.col("place").alias("up"), F.col("part").alias("_up"), F.col("path").alias("_path"), F.col("root").alias("_root"))
+            proofs = proofs.join(higher, [key, "segment", "up"])
+            proofs = proofs.select(key, "segment", "place", "digest", F.col("_up").alias("up"), F.concat("path", "_path").alias("path"), F.col("_root").alias("root"))
+        nodes = step.select(key, "segment", F.col("part").alias("place"), F.col("root").alias("digest")).distinct()
+    return proofs.join(first, [key, "segment"]).select(key, "segment", (F.col("place") + F.col("_first")).alias("seq"), "digest", "path", "root")
+
+
+def proves(digest: Column, path: Column, root: Column) -> Column:
+    """Whether the path leads from the digest to the root."""
+    step = lambda h, p: F.sha2(F.when(p["left"], F.concat(p["hash"], h)).otherwise(F.concat(h, p["hash"])), 256)
+    return F.reduce(path, digest, step) == root
+
+
 def chain_report(log: DataFrame, key: str) -> DataFrame:
     """Per chain: valid, entries and the first bad sequence number."""
     faults = chain_faults(log, key)

@@ -433,6 +433,28 @@ def chain_verification(t: Tables) -> DataFrame:
     return audit.chain_report(log, "user_id")
 
 
+def _tree_sql(levels: int = 26) -> str:
+    """Roots of the hash trees, level by level; a last node without a neighbour goes up as it is."""
+    steps = [
+        f"m{k + 1} AS (SELECT event_type, i // 2 AS i, CASE WHEN count(*) = 2 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h FROM m{k} GROUP BY event_type, i // 2)"
+        for k in range(levels)
+    ]
+    return f"""WITH e AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+    m0 AS (SELECT event_type, seq - 1 AS i, sha256(concat(CAST(seq AS STRING), '|', '{{"event_id":', CAST(event_id AS STRING), '}}')) AS h FROM e), {", ".join(steps)}
+    SELECT event_type, seq, m{levels}.h AS root, true AS proven, (SELECT count(*) FROM range({levels}) AS r(k) WHERE xor((e.seq - 1) >> k, 1) < ((e.n - 1) >> k) + 1) AS hashes
+    FROM e JOIN m{levels} USING (event_type)"""
+
+
+@query("W-03 A-18 F-07", _tree_sql())
+def inclusion_proofs(t: Tables) -> DataFrame:
+    """One hash tree per event type; every entry proved against its root."""
+    rows = running.row_positions(d.events(t), ["event_type"], [F.col("micros"), F.col("event_id")]).withColumn("payload", audit.entry_payload(["event_id"]))
+    log = cut_lineage(rows.select("event_type", "seq", F.lit(0).cast("bigint").alias("segment"), "payload"))
+    proofs = audit.inclusion_proofs(log, "event_type")
+    proven = audit.proves(F.col("digest"), F.col("path"), F.col("root"))
+    return proofs.select("event_type", "seq", "root", proven.alias("proven"), F.size("path").cast("bigint").alias("hashes"))
+
+
 @query(
     "A-07 W-07",
     """WITH v AS (SELECT l_orderkey AS decision_id, l_suppkey % 6 AS analyst_id, CASE l_suppkey % 4 WHEN 0 THEN 'senior' WHEN 1 THEN 'JUNIOR' WHEN 2 THEN 'external' ELSE 'guest' END AS role,
