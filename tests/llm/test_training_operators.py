@@ -329,6 +329,43 @@ def test_rates_match_targets(spark):
     assert np.allclose(rate, other, atol=1e-9)
 
 
+def _known(spark, p, n):
+    rows = [(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)]
+    return spark.createDataFrame(rows, "n_words long, p array<double>").repartition(4)
+
+
+@pytest.mark.parametrize("weights", [(0.6, 0.3, 0.1), (0.2, 0.2, 0.6), (0.97, 0.02, 0.01)])
+def test_fit_meets_targets_that_can_be_met(spark, weights):
+    rng = np.random.default_rng(5)
+    p = np.vstack([rng.dirichlet([0.2, 0.1, 0.1], 500), np.eye(3)])  # soft memberships, and one sure row of each
+    n = rng.integers(1, 300, len(p))
+    targets = np.array(weights) * n.sum()
+    fit = mixing.fitted(_known(spark, p, n), targets)
+    rate = mixing._rates(p, fit.steps, None)
+    assert fit.reached and fit.residual <= mixing.TOLERANCE and rate.min() >= 0
+    assert np.abs((rate * n) @ p - targets).sum() <= 1.01 * mixing.TOLERANCE * n.sum()
+
+
+@pytest.mark.parametrize("most", [1.0, None])
+def test_fit_of_targets_out_of_reach_is_the_least_squares_minimum(spark, most):
+    rng = np.random.default_rng(6)
+    p = 0.7 * rng.dirichlet([0.5, 0.4, 0.4], 300) + 0.1  # no row is sure, so pure targets lie outside
+    n = rng.integers(1, 300, 300)
+    present = n @ p
+    targets = np.array([0.98, 0.01, 0.01]) * n.sum()
+    fit = mixing.fitted(_known(spark, p, n), targets, most)
+    rate = mixing._rates(p, fit.steps, most)
+    assert not fit.reached and rate.min() >= 0 and (most is None or rate.max() <= most)
+    assert fit.residual == pytest.approx(np.abs((rate * n) @ p - targets).sum() / targets.sum(), rel=1e-6)
+    # conditions of the bounded minimum: the gradient is up at the lower bound, down at the upper, and nothing between
+    up = p @ (((rate * n) @ p - targets) / present)
+    inside = (rate > 0) if most is None else (rate > 0) & (rate < most)
+    slack = 2 * np.sqrt(mixing.GAP) * np.abs(((rate * n) @ p - targets) / present).max()
+    assert np.abs(up[inside]).max(initial=0) < slack and up[rate == 0].min(initial=0) > -slack
+    if most is not None:
+        assert up[rate == most].max(initial=0) < slack
+
+
 def test_mixing_of_awkward_rows(spark, awkward, empty):
     labels = spark.createDataFrame([(i, i % 3 > 0, i % 5 == 0) for i in range(1, 17)] + [(None, True, True), (4, None, None)], "doc_id long, q boolean, t boolean")
     labels = labels.select("doc_id", F.col("q").cast("int").alias("quality"), F.col("t").cast("int").alias("toxic"))

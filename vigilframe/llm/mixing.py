@@ -18,8 +18,10 @@ BITS = 18
 # Bound of the labelled rows per domain that the classifier is fitted on; terms it uses; least sample texts with such a term.
 SAMPLE_PER_DOMAIN, TERMS, LEAST_TEXTS = 2000, 1024, 4
 ROUNDS, STEP, DECAY = 120, 0.1, 1e-4
-# The fit of rates ends at this residual, relative to the total, or after so many passes over the posteriors.
-TOLERANCE, PASSES = 1e-5, 40
+# The fit of rates ends at this residual, relative to the total, or at the proven minimum. It opens with a few plain gradient passes.
+TOLERANCE, PASSES, OPENING = 1e-5, 40, 6
+# Weight of staying near the rates of the opening; share of the sum of squares that a proven minimum may be off; lengths of a move tried at once.
+NEARNESS, GAP, LENGTHS = 1e-7, 1e-5, 3.0 ** np.arange(2, -18, -1)
 
 
 def _terms(column: pa.Array):
@@ -156,7 +158,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def fitted_steps(known: DataFrame, targets: np.ndarray, most: float | None = None) -> list[np.ndarray]:
+def fitted_steps(known: DataFrame, targets: np.ndarray, most: float | None = None, passes: int = PASSES) -> list[np.ndarray]:
     """Steps of the projected gradient on sum over domains of (expected tokens - target)^2 / present tokens.
 
     A pass is one job that sends back one sum per domain and task; rows repeat all steps, so nothing is kept between passes.
@@ -182,7 +184,7 @@ def fitted_steps(known: DataFrame, targets: np.ndarray, most: float | None = Non
     scale = np.sqrt(present)
     speed = 1 / max(np.linalg.eigvalsh(inner / np.outer(scale, scale)).max(), 1e-9)
     steps: list[np.ndarray] = []
-    for _ in range(PASSES):
+    for _ in range(passes):
         off = sums(steps, False) - targets
         if np.abs(off).sum() <= TOLERANCE * max(targets.sum(), 1):
             break
@@ -190,16 +192,96 @@ def fitted_steps(known: DataFrame, targets: np.ndarray, most: float | None = Non
     return steps
 
 
+@dataclass
+class Fit:
+    """Steps that give every row its rate; the expected tokens they leave off target, and why the fit ended."""
+
+    steps: list[np.ndarray]
+    expected: np.ndarray
+    residual: float
+    reached: bool
+    passes: int
+
+
+def fitted(known: DataFrame, targets: np.ndarray, most: float | None = None) -> Fit:
+    """Rates whose expected tokens meet ``targets``, or come as near as rates within [0, most] can.
+
+    A few projected-gradient passes give rates x0. The rest is one last projected step, x = clip(x0 - p.u, 0, most), with u the
+    multipliers of the least-squares problem plus ``NEARNESS`` times the words-weighted distance from x0. Its dual is concave and
+    has one unknown a domain; Newton solves it on the summed Gram matrix of the rows that are not at a bound. A pass is one job
+    that tries all ``LENGTHS`` of the move at once and sends back some sums per task, so there is no search loop on the driver.
+    It ends when the targets are met (``reached``), or when the gap between problem and dual, which the slope of the dual gives,
+    proves the sum of squares to be within ``GAP`` of its minimum: then ``residual``, relative to all target words, is what no
+    rates can mend. There is no cap on the passes: each must raise the dual, which is bounded.
+    """
+    width, reach = len(targets), 1.0
+    opening = fitted_steps(known, targets, most, OPENING)
+    total = max(targets.sum(), 1.0)
+
+    def sums(tries: np.ndarray) -> np.ndarray:
+        """Per try: distance and linear part of the dual, present and expected tokens, Gram matrix of the free rows."""
+
+        def run(batches):
+            out = np.zeros((len(tries), 1 + 2 * width + width * width))
+            for batch in batches:
+                p, n = _matrix(batch.column("p"), width), batch.column("n_words").to_numpy().astype(float)
+                start, present = _rates(p, opening, most), n @ p
+                for t, u in enumerate(tries):
+                    pull = p @ u
+                    aim = start - pull
+                    rate = np.clip(aim, 0, most)
+                    inside = (aim > 0) & (aim < (np.inf if most is None else most))
+                    free = p[inside]
+                    out[t, 0] += n @ (0.5 * (rate - start) ** 2 + pull * rate)
+                    out[t, 1 : 1 + width] += present
+                    out[t, 1 + width : 1 + 2 * width] += (n * rate) @ p
+                    out[t, 1 + 2 * width :] += ((free * n[inside, None]).T @ free).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], ["s"])
+
+        rows = known.select("n_words", "p").mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("c", "x")).groupBy("c").agg(F.sum("x").alias("x")).collect()
+        out = np.zeros(len(tries) * (1 + 2 * width + width * width))
+        for r in rows:
+            out[r["c"]] = r["x"]
+        return out.reshape(len(tries), -1)
+
+    def dual(u: np.ndarray, row: np.ndarray) -> float:
+        return row[0] - u @ targets - 0.5 * NEARNESS * (scale * u) @ u
+
+    u, row = np.zeros(width), sums(np.zeros((1, width)))[0]
+    scale, passes = np.maximum(row[1 : 1 + width], 1e-6), len(opening) + 1
+    while True:
+        expected = row[1 + width : 1 + 2 * width]
+        off = expected - targets
+        residual = np.abs(off).sum() / total
+        slope = off - NEARNESS * scale * u
+        if residual <= TOLERANCE or slope @ (slope / scale) <= GAP * (off @ (off / scale)):
+            break
+        move = np.linalg.solve(row[1 + 2 * width :].reshape(width, width) + np.diag(NEARNESS * scale), slope)
+        tries = u + reach * LENGTHS[:, None] * move
+        if np.allclose(tries, u, rtol=1e-14, atol=0):
+            break  # the precision of the numbers
+        rows, passes = sums(tries), passes + 1
+        values = [dual(t, r) for t, r in zip(tries, rows, strict=True)]
+        best = int(np.argmax(values))
+        if values[best] > dual(u, row):
+            u, row, reach = tries[best], rows[best], 1.0
+        else:
+            reach *= LENGTHS[-1]
+    return Fit([*opening, u], expected, float(residual), bool(residual <= TOLERANCE), passes)
+
+
 def _uniform(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(23), doc_id), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, most: float | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, p_<domain> of each, rate, copies.
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, most: float | None = None, thin: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, p_<domain> of each, rate, copies, residual, reached.
 
     ``rate`` is the nonnegative number of times the document is to be seen, at most ``most``; expected tokens of each domain (rate
-    times words times posterior, summed) match the target weights times ``budget`` words, by default the words there are. With
-    ``budget=0`` it is set so that the first domain keeps just its words. ``copies`` is the rate rounded up or down by a hash of
+    times words times posterior, summed) match the target weights times ``budget`` words, by default the words there are; with
+    ``thin`` it is set so that the first domain keeps just its words and no domain gains any. Where rates within the bounds cannot
+    meet the targets they are the nearest that can: ``reached`` is false, and ``residual`` the share of the target words that is
+    left off, the same in all rows. ``copies`` is the rate rounded up or down by a hash of
     doc_id. Null and empty texts have no words and the posteriors of a text without known terms. Posteriors are written once.
     """
     spark = docs.sparkSession
@@ -213,11 +295,12 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     for r in present:
         held[r["c"]] = r["t"]
     weights = np.array([targets[d] for d in names]) / sum(targets.values())
-    words = held.sum() if budget is None else budget or held[0] / weights[0]
+    words = held[0] / weights[0] if thin else held.sum() if budget is None else budget
     goal = weights * words
-    if budget == 0:
+    if thin:
         goal = np.minimum(goal, held)  # rates of at most 1 can only thin
-    steps = fitted_steps(known, goal, most)
+    fit = fitted(known, goal, most)
+    steps = fit.steps
 
     def run(batches):
         for batch in batches:
@@ -227,12 +310,12 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = known.mapInArrow(run, f"doc_id {kind}, n_words long, {', '.join(f'p_{d} double' for d in names)}, rate double")
-    return out.withColumn("copies", F.floor(F.col("rate") + F.lit(1.0) - F.greatest(_uniform(F.col("doc_id")), F.lit(1e-9))).cast("int"))
+    return out.withColumn("copies", F.floor(F.col("rate") + F.lit(1.0) - F.greatest(_uniform(F.col("doc_id")), F.lit(1e-9))).cast("int")).withColumns({"residual": F.lit(fit.residual), "reached": F.lit(fit.reached)})
 
 
 def thinned(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``docs`` thinned towards the target weights: rates of at most 1, the first domain keeps its words; columns as they are."""
-    rates = mixed(docs, labels, targets, budget=0, most=1.0)
+    rates = mixed(docs, labels, targets, most=1.0, thin=True)
     gone = rates.where("copies = 0 and n_words > 0").select(F.col("doc_id").alias("gone")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so no name can clash
     rows = rows.join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti")
