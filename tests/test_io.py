@@ -4,7 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from vigilframe.sources import graphs, readers, writers
+from vigilframe.operators import running
+from vigilframe.sources import graphs, json_documents, readers, writers
 
 
 def put(folder, name, text):
@@ -26,6 +27,57 @@ def test_json_documents(spark, folder):
     assert next(r["raw"] for r in rows if r["source"] == "c.json") == {"message": "{not json", "parse_error": "invalid_json"}
 
 
+def _awkward_events(n):
+    texts = ['"}{][', "\\", 'a\\"}', "}\n}", "", "é}\u2028{", '\\\\"', "[{}]"]
+    return [{"host": f"h{i}", "t": texts[i % len(texts)] * (i % 3), "n": {"a": [{"b": texts[i % 7]}, []], "e": {}}, "z": None} for i in range(n)]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_one_large_json_document_is_read_by_many_tasks(spark, folder, monkeypatch, indent):
+    events = _awkward_events(60)
+    path = put(folder, "big.json", " " + json.dumps(events, indent=indent, ensure_ascii=False) + "\n")
+    expected = [r.asDict() for r in readers.read_json_events(spark, path).collect()]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    monkeypatch.setattr(running, "RANGE_ROWS", 100)
+    try:
+        assert json_documents._pieces(spark, path).rdd.getNumPartitions() > 5
+        elements = json_documents.document_elements(spark, path).orderBy("position").collect()
+        got = [r.asDict() for r in json_documents.read_json_documents(spark, path).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["position"] for r in elements] == list(range(60)) and all(r["whole"] for r in elements)
+    assert [json.loads(r["value"]) for r in elements] == events
+    key = lambda r: r["asset_id"]
+    assert sorted(got, key=key) == sorted(expected, key=key)
+
+
+def test_json_documents_that_break_off_or_are_no_arrays(spark, folder):
+    put(folder, "cut.json", '[{"a": 1}, {"b": "}"}, {"c": ')
+    put(folder, "cut2.json", '[{"a": 1}, {"b": {"c": 2}')
+    put(folder, "comma.json", '[{"a": 1},')
+    put(folder, "bad.json", '[{"a": }, {"b": 2}]')
+    put(folder, "one.json", ' {"a": {"b": {}}, "l": [{}]}\n')
+    put(folder, "tight.json", '{"a": 1}')
+    put(folder, "empty.json", "")
+    put(folder, "none.json", "[ ]\n")
+    put(folder, "text.json", "no json")
+    got = {}
+    for r in json_documents.document_elements(spark, folder).orderBy("source", "position").collect():
+        got.setdefault(r["source"], []).append((r["value"], r["whole"]))
+    assert got == {
+        "cut.json": [('{"a": 1}', True), ('{"b": "}"}', True), ('{"c":', False)],
+        "cut2.json": [('{"a": 1}', True), ('{"b": {"c": 2}', False)],
+        "comma.json": [('{"a": 1}', True), (",", False)],
+        "bad.json": [('{"a": }', True), ('{"b": 2}', True)],
+        "one.json": [('{"a": {"b": {}}, "l": [{}]}', True)],
+        "tight.json": [('{"a": 1}', True)],
+        "text.json": [("no json", False)],
+    }
+    marked = json_documents.read_json_documents(spark, folder).where("raw['parse_error'] is not null")
+    assert sorted(r["source"] for r in marked.collect()) == ["bad.json", "comma.json", "cut.json", "cut2.json", "text.json"]
+
+
 def test_json_lines_keep_malformed(spark, folder):
     put(folder, "x.jsonl", '{"host": "a"}\n\nnope\n')
     rows = readers.read_json_lines(spark, folder).collect()

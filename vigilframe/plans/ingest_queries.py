@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +11,9 @@ from vigilframe.functions import records, text
 from vigilframe.operators import anomaly, enrich, ingest
 from vigilframe.plans import derived as d
 from vigilframe.plans.registry import Tables, query
-from vigilframe.session import spread
+from vigilframe.session import scratch_path, spread
 from vigilframe.sources import readers
+from vigilframe.sources.json_documents import read_json_documents
 
 # SQL spelling of the sanitiser rules for an engine without back-references.
 _TAUTOLOGY = "|".join(
@@ -342,6 +344,45 @@ def json_event_scan(t: Tables) -> DataFrame:
     )
 
 
+_NOTE = "concat('} ] \" { [ ', event_type, ' , {', props, '} tail')"
+
+
+def _as_arrays(batches):
+    """Texts of a partition as the lines of one JSON array."""
+    before = "["
+    for batch in batches:
+        texts = batch.column("doc").to_pylist()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([(before if i == 0 else ",") + x for i, x in enumerate(texts)], pa.string())], ["value"])
+            before = ","
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], ["value"])
+
+
+@query(
+    "S-01 S-04",
+    f"SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'invalid_json' END AS parse_error, "
+    f"CASE WHEN event_id % 11 <> 0 THEN sha256({_NOTE}) END AS note_sha, "
+    "CASE WHEN event_id % 11 <> 0 THEN concat('{\"a\":[1,{\"b\":\"}\"}],\"u\":', CAST(user_id AS STRING), '}') END AS nested FROM events",
+)
+def json_document_scan(t: Tables) -> DataFrame:
+    """Events as files of one array each, with braces and quotes inside strings; every eleventh element is broken."""
+    good = F.concat(
+        F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "note": '),
+        F.regexp_extract(F.to_json(F.struct(F.expr(_NOTE).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1),
+        F.lit(', "n": {"a": [1, {"b": "}"}], "u": '), F.col("user_id").cast("string"), F.lit("}}"),
+    )
+    broken = F.format_string('{"event_id": %d, "note": }', "event_id")
+    docs = t.events.repartitionByRange("event_id").select(F.when(F.col("event_id") % 11 == 0, broken).otherwise(good).alias("doc"))
+    path = scratch_path(t.spark, "json-documents")
+    docs.mapInArrow(_as_arrays, "value string").write.text(path)
+    item = lambda k: records.item(F.col("raw"), k)
+    named = F.coalesce(item("event_id"), F.regexp_extract(item("message"), r'"event_id": (\d+)', 1))
+    return read_json_documents(t.spark, path).select(
+        named.cast("bigint").alias("event_id"), item("parse_error").alias("parse_error"),
+        F.sha2(item("note"), 256).alias("note_sha"), item("n").alias("nested"),
+    )
+
+
 @query(
     "S-03",
     "WITH q AS (SELECT page_id, regexp_replace(url, '[?&]', ' ', 'g') AS line FROM pages), "
