@@ -14,7 +14,7 @@ from vigilframe.plans.registry import REGISTRY  # noqa: E402
 
 # item -> the library function that implements it
 FUNCTIONS = {
-    "S-01": "readers.json_events, read_json_events, read_json_lines", "S-02": "readers.read_csv_events", "S-03": "readers.line_fields, read_text_events",
+    "S-01": "readers.json_events, read_json_events, read_json_lines; json_documents.document_elements, read_json_documents", "S-02": "readers.read_csv_events", "S-03": "readers.line_fields, read_text_events",
     "S-04": "readers.wrapped, json_fields; records.guess_asset", "S-05": "readers.coerced, read_flow_csv; features.number", "S-06": "readers.read_assets",
     "S-07": "graphs.read_graph, graph_tables", "S-08": "graphs.lateral_movement", "S-09": "graphs.stix_tables, read_stix", "S-10": "graphs.read_flow_directory, flow_table_edges",
     "S-11": "graphs.sensor_chain", "S-12": "graphs.flow_text", "S-13": "graphs.flow_table_edges", "S-14": "graphs.benign_split", "S-15": "graphs.zipped_by_position, training_flows",
