@@ -289,6 +289,24 @@ def test_factorization_machine_learns_pairs(spark):
     assert model.v.shape == (len(weights), toxicity.RANK) and np.abs(model.v).max() > 0.1
 
 
+def test_factorization_machine_learns_pairs_of_terms_that_tell_nothing_alone(spark):
+    """Both terms have the same rate in both classes; only where they stand together is a text toxic."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        toxic, turn = i % 2, rng.random()
+        added = ["grobian", "villagers"] * (turn < 0.2) if toxic else ["grobian"] * (turn < 0.2) + ["villagers"] * (turn > 0.8)
+        w = sentence(rng, 30).split() + added
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), toxic, len(added)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int, added int")
+    model = toxicity.trained(docs, docs.where("doc_id < 2000").select("doc_id", "label"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(docs, model).collect()}
+    test = [r for r in rows if r[0] >= 2000]
+    assert np.mean([got[i] for i, _, _, n in test if n == 2]) > 0.95
+    assert np.mean([got[i] for i, _, _, n in test if n < 2]) < 0.05
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, empty):
     labels = spark.createDataFrame([(i, 1, i % 2, "z") for i in range(1, 17)] + [(None, 1, 1, "z"), (3, None, None, "z")], "doc_id long, quality int, toxic int, text string")
     model = toxicity.trained(awkward, toxicity.training_labels(labels))

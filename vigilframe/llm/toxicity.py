@@ -18,8 +18,10 @@ PREFIXES = (None, 4, 5, 6)
 BITS = 20
 # Bound of the labelled rows the model is fitted on, per class: those with the least hash of doc_id.
 SAMPLE_PER_CLASS = 4000
-# Terms that enter the model: the most by how far they set the classes apart, least sample texts with such a term, least z score.
+# Bounds of the model, counted on the sample: most terms, least texts with a term, least z score of a term or of a pair.
 TERMS, LEAST_TEXTS, LEAST_APART = 2048, 5, 6.5
+# The terms whose pairs are counted: the most frequent ones.
+PAIRED_TERMS = 2048
 RANK, ROUNDS, STEP = 8, 150, 0.1
 # Decay of linear and of pair weights.
 DECAY_W, DECAY_V = 1e-3, 1e-4
@@ -82,8 +84,52 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text")
 
 
+def _dense(sample: list[tuple[int, np.ndarray]], place: np.ndarray, terms: int) -> np.ndarray:
+    x = np.zeros((len(sample), terms), dtype=np.float32)
+    for row, (_, found) in enumerate(sample):
+        at = place[found]
+        x[row, at[at >= 0]] = 1
+    return x
+
+
+def _deviance_root(n: np.ndarray, up: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Root of the deviance of ``up`` of ``n`` texts from a rate; like a z score, but it also holds for few texts and extreme rates."""
+    share = up / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.where(share > 0, share * np.log(share / rate), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - rate)), 0)
+    return np.sqrt(2 * n * np.maximum(out, 0))
+
+
+def paired_terms(sample: list[tuple[int, np.ndarray]], total: np.ndarray, up: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, z score of the best pair of each) of the most frequent terms.
+
+    A pair counts by how far the texts that hold both terms differ from what each of its terms alone says, the lesser of the two;
+    so a term gains nothing from standing next to one that tells by itself, or next to its own head.
+    """
+    often = np.argsort(-total, kind="stable")[:PAIRED_TERMS]
+    often = np.sort(often[total[often] >= LEAST_TEXTS]).astype(np.int64)
+    place = np.full(len(total), -1, dtype=np.int32)
+    place[often] = np.arange(len(often), dtype=np.int32)
+    both, both_up = np.zeros((len(often), len(often)), np.float32), np.zeros((len(often), len(often)), np.float32)
+    for low in range(0, len(sample), 1000):
+        part = sample[low : low + 1000]
+        x, toxic = _dense(part, place, len(often)), np.array([label == 1 for label, _ in part])
+        both += x.T @ x
+        both_up += x[toxic].T @ x[toxic]
+    rate = (up[often] + share) / (total[often] + 1)
+    best = np.zeros(len(often))
+    for low in range(0, len(often), 128):
+        n, n_up = both[low : low + 128].astype(np.float64), both_up[low : low + 128].astype(np.float64)
+        z = np.minimum(_deviance_root(n, n_up, rate[None, :]), _deviance_root(n, n_up, rate[low : low + 128, None]))
+        best[low : low + 128] = np.where(n >= LEAST_TEXTS, z, 0).max(axis=1, initial=0)
+    return often, best
+
+
 def fit(sample: list[tuple[int, np.ndarray]], positives: int, negatives: int, seed: int = 7) -> FactorizationMachine:
-    """Fit on (label, distinct terms); ``positives`` and ``negatives`` count all labelled rows, so that the sample can be weighted back."""
+    """Fit on (label, distinct terms); ``positives`` and ``negatives`` count all labelled rows, so that the sample can be weighted back.
+
+    A term enters if it sets the classes apart by itself or if a pair with another frequent term does (``paired_terms``).
+    """
     place = np.full(1 << BITS, -1, dtype=np.int32)
     y = np.array([x for x, _ in sample], dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -98,13 +144,12 @@ def fit(sample: list[tuple[int, np.ndarray]], positives: int, negatives: int, se
     apart = np.abs(up - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
     # A term of nearly every text tells nothing; a term of few texts counts by what it tells.
     apart[total < LEAST_TEXTS] = 0
+    often, together = paired_terms(sample, total, up, float(share))
+    apart[often] = np.maximum(apart[often], together)
     best = np.argsort(-apart, kind="stable")[:TERMS]
     best = np.sort(best[apart[best] >= LEAST_APART])
     place[best] = np.arange(len(best), dtype=np.int32)
-    x = np.zeros((len(y), len(best)), dtype=np.float32)
-    for row, (_, terms) in enumerate(sample):
-        at = place[terms]
-        x[row, at[at >= 0]] = 1
+    x = _dense(sample, place, len(best))
     weight = np.where(y == 1, positives / n1, negatives / n0)
     weight = (weight / weight.mean()).astype(np.float32)
     draw = np.random.default_rng(seed)
