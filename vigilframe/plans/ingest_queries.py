@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vigilframe import params
 from vigilframe.functions import records, text
-from vigilframe.operators import anomaly, enrich, ingest
+from vigilframe.operators import anomaly, enrich, ingest, nested
 from vigilframe.plans import derived as d
 from vigilframe.plans.registry import Tables, query
 from vigilframe.session import scratch_path, spread
@@ -81,6 +81,38 @@ def sanitize_attack_strings(t: Tables) -> DataFrame:
     )
 
 
+def _payloads(t: Tables) -> DataFrame:
+    """Nested documents with an attack string two levels deep, in a list, and as a key."""
+    bad = F.expr(_INJECTED_SQL.replace("''", "\\'"))
+    inner = F.struct(bad.alias("inner"), F.col("event_type").alias("safe"), F.lit("x").alias("../k"))
+    doc = F.to_json(F.struct(inner.alias("outer"), F.array(F.lit("normal"), bad).alias("cmds"), F.col("event_id").alias("port")))
+    return t.events.select("event_id", doc.alias("doc"))
+
+
+@query(
+    "F-01 F-05",
+    _sanitize_sql(f"SELECT event_id, {_INJECTED_SQL} AS text FROM events", "event_id").rsplit(" SELECT ", 1)[0]
+    + " SELECT event_id, sha256(s7.text) AS inner_sha, sha256(s7.text) AS listed_sha, event_type AS safe, event_id AS port, 'x' AS by_key FROM s7 JOIN events USING (event_id)",
+)
+def sanitize_nested(t: Tables) -> DataFrame:
+    clean = _payloads(t).select(F.from_json(text.sanitize_json(F.col("doc")), "outer struct<`inner`: string, safe: string, `../k`: string>, cmds array<string>, port bigint").alias("d"))
+    return clean.select(
+        F.col("d.port").alias("event_id"), F.sha2("d.outer.inner", 256).alias("inner_sha"), F.sha2(F.get("d.cmds", 1), 256).alias("listed_sha"),
+        F.col("d.outer.safe").alias("safe"), F.col("d.port").alias("port"), F.col("d.outer").getField("../k").alias("by_key"),
+    )
+
+
+@query(
+    "F-01",
+    _sanitize_sql(f"SELECT event_id, {_INJECTED_SQL} AS text FROM events", "event_id").rsplit(" SELECT ", 1)[0]
+    + ", c AS (" + " UNION ALL ".join(f"SELECT '{name}' AS rule, c{i} AS n FROM s7" for i, (name, _, _) in enumerate(params.SANITIZE_RULES, 1)) + ")"
+    + " SELECT path, rule, count(*) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM c, (VALUES ('$.outer.inner'), ('$.cmds[1]')) AS p(path) WHERE n > 0 GROUP BY path, rule",
+)
+def sanitized_paths(t: Tables) -> DataFrame:
+    found = nested.sanitizer_findings(_payloads(t), "event_id", "doc")
+    return found.groupBy("path", "rule").agg(F.count(F.lit(1)).alias("documents"), F.sum("occurrences").alias("occurrences"))
+
+
 _LABEL_FIELDS = {
     "source": "CASE WHEN event_id % 6 = 0 THEN ' CERT-In ' WHEN event_id % 6 = 1 THEN '   ' END",
     "Source": "CASE WHEN event_id % 6 = 1 THEN 'Crowd_Strike' WHEN event_id % 6 = 2 THEN '' END",
