@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +26,44 @@ def upserted(changes: DataFrame, key: str, seq: str, mutable: Iterable[str]) ->
     )
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def merge_into(path: str, changes: DataFrame, key: str, seq: str, mutable: Iterable[str], buckets: int = 64) -> None:
+    """Upsert ``changes`` into the table at ``path``; only the buckets of the changed keys are read and written again.
+
+    The rule is that of ``upserted``, over all change sets so far, in whatever order they come: mutable columns from the row with the
+    greatest ``seq`` of the key, others from the one with the least. Rows lie in ``buckets`` folders by a hash of the key; choose as many as keep a bucket
+    at a few hundred megabytes, and the same number for every change set (another one raises). The touched bucket numbers are the
+    only thing the driver sees. One writer at a time; a failed job leaves the table as it was before its commit. A null key is a key of its own; an
+    empty change set changes nothing. Column names with a leading underscore are taken.
+    """
+    mutable, bucket = set(mutable), f"_bucket_of_{buckets}"
+    rest = [c for c in changes.columns if c not in (key, seq)]
+    rows = changes.select(key, *rest, F.col(seq).alias("_first"), F.col(seq).alias("_last"), F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias(bucket))
+    stored = _stored(changes.sparkSession, path)
+    if stored is not None:
+        if bucket not in stored.columns:
+            raise ValueError(f"the table at {path} has another number of buckets than {buckets}")
+        touched = [r[0] for r in rows.select(bucket).distinct().collect()]
+        rows = stored.where(F.col(bucket).isin(touched)).select(*rows.columns).unionByName(rows)
+    kept = [(F.max_by(F.struct(c), "_last") if c in mutable else F.min_by(F.struct(c), "_first"))[c].alias(c) for c in rest]
+    merged = rows.groupBy(bucket, key).agg(*kept, F.min("_first").alias("_first"), F.max("_last").alias("_last")).hint("rebalance", bucket)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(path)
+
+
+def merged_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that ``merge_into`` keeps."""
+    stored = spark.read.parquet(path)
+    return stored.select(*[c for c in stored.columns if c not in ("_first", "_last") and not c.startswith("_bucket_of_")])
+
+
 DECISION_MUTABLE = ["action_taken", "risk_score", "human_reviewed", "reviewer_id", "status", "extra_json"]
 HYPOTHESIS_MUTABLE = [
     "goal", "confidence", "uncertainty", "state", "mitre_chain", "mission_impact", "extra_json",

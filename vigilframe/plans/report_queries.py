@@ -196,18 +196,33 @@ def hypothesis_memory(t: Tables) -> DataFrame:
 
 
 # -- keyed tables --------------------------------------------------------------
-@query(
-    "S-25 S-26",
-    """SELECT l_partkey AS decision_id, arg_min(l_suppkey, s) AS hypothesis_id, arg_max(l_returnflag, s) AS status, round(arg_max(l_extendedprice, s), 2) AS risk_score, round(arg_min(l_tax, s), 4) AS blast_radius
-    FROM (SELECT *, l_orderkey * 1000000 + l_suppkey * 10 + l_linenumber AS s FROM lineitem) GROUP BY l_partkey""",
-)
-def upserted_decisions(t: Tables) -> DataFrame:
-    changes = t.lineitem.selectExpr(
+_DECISIONS_SQL = """SELECT l_partkey AS decision_id, arg_min(l_suppkey, s) AS hypothesis_id, arg_max(l_returnflag, s) AS status, round(arg_max(l_extendedprice, s), 2) AS risk_score, round(arg_min(l_tax, s), 4) AS blast_radius
+    FROM (SELECT *, l_orderkey * 1000000 + l_suppkey * 10 + l_linenumber AS s FROM lineitem) GROUP BY l_partkey"""
+
+
+def _decision_changes(t: Tables) -> DataFrame:
+    return t.lineitem.selectExpr(
         "l_partkey AS decision_id", "l_suppkey AS hypothesis_id", "l_returnflag AS status", "l_extendedprice AS risk_score", "l_tax AS blast_radius",
         "l_orderkey * 1000000 + l_suppkey * 10 + l_linenumber AS seq",
     )
-    out = tables.upserted(changes, "decision_id", "seq", tables.DECISION_MUTABLE)
-    return out.select("decision_id", "hypothesis_id", "status", F.round("risk_score", 2).alias("risk_score"), F.round("blast_radius", 4).alias("blast_radius"))
+
+
+def _rounded_decisions(rows: DataFrame) -> DataFrame:
+    return rows.select("decision_id", "hypothesis_id", "status", F.round("risk_score", 2).alias("risk_score"), F.round("blast_radius", 4).alias("blast_radius"))
+
+
+@query("S-25 S-26", _DECISIONS_SQL)
+def upserted_decisions(t: Tables) -> DataFrame:
+    return _rounded_decisions(tables.upserted(_decision_changes(t), "decision_id", "seq", tables.DECISION_MUTABLE))
+
+
+@query("S-25 S-26 S-39", _DECISIONS_SQL)
+def merged_decisions(t: Tables) -> DataFrame:
+    """The same upserts as three change sets into a stored table, the newest set first."""
+    path, changes = scratch_path(t.spark, "decisions"), _decision_changes(t)
+    for part in (2, 0, 1):
+        tables.merge_into(path, changes.where(F.pmod(F.xxhash64("seq"), F.lit(3)) == part), "decision_id", "seq", tables.DECISION_MUTABLE, buckets=8)
+    return _rounded_decisions(tables.merged_rows(t.spark, path))
 
 
 @query(
