@@ -103,3 +103,46 @@ def test_a_micro_batch_writes_only_the_keys_it_changes(spark, folder):
         written.append(sum(s["numRowsUpdated"] for p in q.recentProgress for s in p["stateOperators"]))
         last = {r["asset"]: (r["n"], r["mean_v"]) for r in states}
     assert written[0] >= 400 and max(written[1:]) < 10 and last == {"a7": (3.0, 3.0)}
+
+
+SAID = "i bigint, type string, value string, micros bigint, reputation struct<malicious: int, suspicious: int, undetected: int, harmless: int, vulns: array<string>, tags: array<string>>"
+HOUR = 3600 * SECOND
+
+
+@pytest.mark.parametrize("lateness", [0, 3])
+def test_reputation_expires_by_its_own_instant(spark, folder, lateness):
+    """A hot value and others, over four days within one run; some rows come late."""
+    rng, parts, i = random.Random(lateness), [], 0
+    for day in range(4):
+        part = []
+        for _ in range(70):
+            at = (1 + day * 24 + rng.randrange(24)) * HOUR
+            if day and rng.random() < 0.2:
+                at -= rng.randrange(1, 12) * HOUR
+            value = "hot" if rng.random() < 0.5 else f"v{rng.randrange(12)}"
+            part.append((i, "ip", value, at, (rng.randrange(1, 9), 0, 10, 0, [], ["C2"] * rng.randrange(2)) if rng.random() < 0.15 else None))
+            i += 1
+        parts.append(part)
+    for stream in feed(spark, folder, parts, SAID):
+        jobs.reputation_stream(stream, "micros", folder + "/out", folder + "/cp", 24, lateness * 3600)
+    got = {r["i"]: (r["late"], r["reputation"] and r["reputation"]["malicious"], r["hunt_score"]) for r in spark.read.parquet(folder + "/out").collect()}
+    want, known, newest = {}, [], None
+    for part in parts:
+        mark = None if newest is None else newest - lateness * HOUR
+        known += [r for r in part if r[4]]
+        for n, _, value, at, said in part:
+            if said:
+                continue
+            late = mark is not None and at < mark
+            near = [r for r in known if r[2] == value and at - 24 * HOUR <= r[3] <= at]
+            last = max((r[3] for r in near), default=None)
+            want[n] = (late, None if late or last is None else [r[4] for r in near if r[3] == last])
+        newest = max([r[3] for r in part] + [newest or 0])
+    assert set(got) == set(want) and any(w[0] for w in want.values()) and any(w[1] for w in want.values())
+    for n, (late, said) in want.items():
+        assert got[n][0] == late
+        scores = {round(m / (m + 10), 4) + (0.05 if tags else 0) for m, _, _, _, _, tags in said or []} or {0.0}
+        assert any(abs(got[n][2] - s) < 1e-9 for s in scores) and (got[n][1] is None) == (not said)
+    held = spark.read.format("statestore").option("path", folder + "/cp").option("stateVarName", "said").load()
+    at = [r[0] for r in held.select("user_map_key.at").collect()]
+    assert at and min(at) >= newest - (24 + lateness) * HOUR

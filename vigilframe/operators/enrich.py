@@ -107,23 +107,25 @@ def uncovered_by_goals(df: DataFrame, key: str, goals: DataFrame, goal: str) ->
     return df.join(covered, F.lower(df[key]) == F.col("_covered"), "left_anti")
 
 
+REPUTATION_FIELDS = ("malicious", "suspicious", "undetected", "harmless", "vulns", "tags")
+
+
+def hunt_score(kind: Column, malicious: Column, suspicious: Column, undetected: Column, harmless: Column, vulns: Column, tags: Column) -> Column:
+    """Share of vendors against an indicator, more for an address with known weaknesses or a command-and-control tag; 0 when nothing is known."""
+    from vigilframe.functions.scoring import reputation_score
+
+    base = reputation_score(*[F.coalesce(c, F.lit(0)) for c in (malicious, suspicious, undetected, harmless)])
+    risky = (kind == "ip") & (F.coalesce(F.size(vulns) > 0, F.lit(False)) | F.coalesce(F.exists(tags, lambda t: F.lower(t) == "c2"), F.lit(False)))
+    return F.when(risky, F.least(F.lit(1.0), base + F.lit(0.05))).otherwise(base)
+
+
 def with_reputation(iocs: DataFrame, reputation: DataFrame, as_of: Column, ttl_hours: int = params.REPUTATION_TTL_HOURS) -> DataFrame:
     """Hunt score per indicator from a downloaded reputation table.
 
     ``reputation``: type, value, malicious, suspicious, undetected, harmless,
     vulns, tags, cached_at. Rows older than the time to live are ignored.
     """
-    from vigilframe.functions.scoring import reputation_score
-
     fresh = reputation.where((records.micros(as_of) - records.micros(F.col("cached_at"))) <= F.lit(ttl_hours * 3_600_000_000))
-    latest = fresh.groupBy("type", "value").agg(
-        *[F.max_by(F.col(c), "cached_at").alias(c) for c in ("malicious", "suspicious", "undetected", "harmless", "vulns", "tags")]
-    )
+    latest = fresh.groupBy("type", "value").agg(*[F.max_by(F.col(c), "cached_at").alias(c) for c in REPUTATION_FIELDS])
     out = iocs.join(latest, ["type", "value"], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    base = reputation_score(zero("malicious"), zero("suspicious"), zero("undetected"), zero("harmless"))
-    risky = (F.col("type") == "ip") & (
-        F.coalesce(F.size("vulns") > 0, F.lit(False))
-        | F.coalesce(F.exists("tags", lambda t: F.lower(t) == "c2"), F.lit(False))
-    )
-    return out.withColumn("hunt_score", F.when(risky, F.least(F.lit(1.0), base + F.lit(0.05))).otherwise(base))
+    return out.withColumn("hunt_score", hunt_score(F.col("type"), *[F.col(c) for c in REPUTATION_FIELDS]))

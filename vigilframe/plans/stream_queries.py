@@ -119,6 +119,28 @@ def streaming_indicator_matches(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{base}/out").select("event_id", "matches")
 
 
+@query(
+    "R-05 S-42",
+    """WITH e AS (SELECT user_id % 40 AS v, ts AS said_at, max(event_id % 7) AS m FROM events WHERE event_id % 5 = 0 GROUP BY ALL),
+    a AS (SELECT event_id, said_at, s.ts, m FROM (SELECT event_id, user_id % 40 AS v, ts FROM events WHERE event_id % 5 <> 0) s ASOF LEFT JOIN e ON s.v = e.v AND s.ts >= e.said_at)
+    SELECT event_id, CASE WHEN epoch_us(ts) - epoch_us(said_at) <= 86400000000 THEN round(m / 10e0 + CASE WHEN m = 6 THEN 5e-2 ELSE 0e0 END, 5) ELSE 0e0 END AS hunt_score FROM a""",
+)
+def streaming_reputation(t: Tables) -> DataFrame:
+    """Every fifth event brings a reputation of its value, which counts for a day; the others are sightings."""
+    base = scratch_path(t.spark, "reputation")
+    m = F.col("event_id") % 7
+    said = F.struct(
+        m.cast("int").alias("malicious"), F.lit(0).alias("suspicious"), (F.lit(10) - m).cast("int").alias("undetected"), F.lit(0).alias("harmless"),
+        F.array().cast("array<string>").alias("vulns"), F.when(m == 6, F.array(F.lit("C2"))).otherwise(F.array().cast("array<string>")).alias("tags"),
+    )
+    rows = [
+        "event_id", F.lit("ip").alias("type"), F.concat(F.lit("203.0.113."), (F.col("user_id") % 40).cast("string")).alias("value"), "micros",
+        F.when(F.col("event_id") % 5 == 0, said).alias("reputation"),
+    ]
+    _fed(t, lambda e: jobs.reputation_stream(e.select(*rows), "micros", f"{base}/out", f"{base}/checkpoint"))
+    return t.spark.read.parquet(f"{base}/out").where("not late").select("event_id", F.round("hunt_score", 5).alias("hunt_score"))
+
+
 @query("R-07 A-03", "SELECT event_type, count(*) AS events, count(*) FILTER (value > 80) AS flagged FROM events GROUP BY event_type")
 def streaming_counters(t: Tables) -> DataFrame:
     base = scratch_path(t.spark, "counters")

@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilframe.operators import anomaly, ingest
+from vigilframe import params
+from vigilframe.operators import anomaly, enrich, ingest
 from vigilframe.streaming import stateful
 
 
@@ -103,6 +104,25 @@ def matched_stream(
     run_available(events, each, checkpoint)
 
 
+def reputation_stream(
+    rows: DataFrame, micros: str, out_path: str, checkpoint: str, ttl_hours: int = params.REPUTATION_TTL_HOURS, lateness_seconds: int = 0
+) -> None:
+    """Hunt score of every sighting by the newest reputation of its (type, value) that has not expired at the sighting's own instant.
+
+    ``rows``: type, value, the instant, ``reputation`` and further columns. ``reputation`` is a struct (malicious, suspicious, undetected,
+    harmless, vulns, tags) in rows that bring one, null in sightings. Sightings come out with ``reputation`` (null: none known or expired),
+    ``hunt_score`` and ``late``.
+    """
+    kind = rows.schema["reputation"].dataType
+    said = rows.withColumn("reputation", F.to_json("reputation"))
+    answered = stateful.clocked(said, micros, lateness_seconds).groupBy("type", "value").transformWithStateInPandas(
+        stateful.Expiring(micros, "reputation", ttl_hours * 3600), stateful.schema_with(said, "late boolean"), "Append", "EventTime"
+    )
+    known = answered.withColumn("reputation", F.from_json("reputation", kind))
+    scored = known.withColumn("hunt_score", enrich.hunt_score(F.col("type"), *[F.col("reputation")[c] for c in enrich.REPUTATION_FIELDS]))
+    run_available(scored, lambda batch, batch_id: write_batch(batch, out_path, batch_id), checkpoint)
+
+
 def counter_stream(events: DataFrame, keys: list[str], counters: dict[str, Column], out_path: str, checkpoint: str) -> None:
     """Incremental counters: the engine keeps the aggregate state, and each micro-batch writes the keys that changed.
 

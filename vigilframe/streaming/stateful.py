@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+
 def clocked(events: DataFrame, micros: str, lateness_seconds: int) -> DataFrame:
     """``events`` under a watermark that follows the newest instant less the lateness, to the microsecond.
 
@@ -134,5 +135,67 @@ class Rates(StatefulProcessor):
         pass
 
 
+class Expiring(StatefulProcessor):
+    """What was last said about a key, as long as it is no older than ``seconds``, for each row that asks.
+
+    Rows with a ``payload`` say something about the key at their instant; the others ask, and come out with the payload of the newest
+    such row at or before their own instant that is at most ``seconds`` old (null: none; of equal instants the greatest payload). The store holds what a row
+    that is not late can still be answered with; a timer drops the rest, also for keys that have gone quiet. A late row that asks comes
+    out without an answer; a late payload counts as long as it is in reach.
+    """
+
+    def __init__(self, micros: str, payload: str, seconds: int):
+        self.micros, self.payload, self.span = micros, payload, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.said = handle.getMapState("said", "at bigint", "payload string")
+
+    def _kept(self, mark: int, fresh: dict[int, str]) -> dict[int, str]:
+        """The payloads by instant that can still answer a row at ``mark`` or later; the store follows."""
+        stored = {at: payload for (at,), (payload,) in self.said.iterator()} if self.said.exists() else {}
+        held = dict(stored)
+        for at, payload in fresh.items():
+            held[at] = max(payload, held.get(at, payload))
+        if mark > 0:
+            passed = max((at for at in held if at <= mark), default=mark)
+            held = {at: payload for at, payload in held.items() if at >= max(passed, mark - self.span) or at > mark}
+        for at in stored.keys() - held.keys():
+            self.said.removeKey((at,))
+        for at, payload in held.items():
+            if stored.get(at) != payload:
+                self.said.updateValue((at,), (payload,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held:
+            self.handle.registerTimer(min(held) + self.span + 1)
+        return held
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        frame = _gathered(rows)
+        says = frame[self.payload].notna()
+        fresh: dict[int, str] = {}
+        for at, payload in zip(frame.loc[says, self.micros].tolist(), frame.loc[says, self.payload].tolist()):
+            fresh[at] = max(payload, fresh.get(at, payload))
+        held = self._kept(mark, fresh)
+        asked = frame[~says].reset_index(drop=True)
+        asked["late"] = asked[self.micros] < mark if mark > 0 else False
+        at = np.array(sorted(held), dtype=np.int64)
+        own = asked[self.micros].to_numpy(dtype=np.int64)
+        place = np.searchsorted(at, own, side="right") - 1
+        asked[self.payload] = [
+            held[int(at[i])] if i >= 0 and not late and when - at[i] <= self.span else None for i, when, late in zip(place, own, asked["late"])
+        ]
+        yield asked
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._kept(timerValues.getCurrentWatermarkInMs(), {})
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def schema_with(events: DataFrame, added: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields), added])
