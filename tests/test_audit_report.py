@@ -215,3 +215,19 @@ def test_projection_equals_svd(spark):
     got = np.array([r["pc"] for r in models.projected_2d(df, "v").orderBy("id").collect()])
     _, _, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
     assert np.allclose(np.abs(got), np.abs(x @ vt[:2].T), atol=1e-6)
+
+
+def test_top_types_with_shares(spark):
+    rows = [("total", "all", 40)] + [("type", f"t{i}", n) for i, n in enumerate([10, 10, 8, 6, 4, 2])] + [("actor", "a", 40)]
+    stats = spark.createDataFrame(rows, "dimension string, item string, incidents long")
+    got = [tuple(r) for r in report.top_shares(stats).orderBy(F.desc("incidents"), "item").collect()]
+    assert got == [("t0", 10, 25.0), ("t1", 10, 25.0), ("t2", 8, 20.0), ("t3", 6, 15.0), ("t4", 4, 10.0)]
+    assert report.top_shares(stats.where("dimension = 'type'")).where("share_pct <> 0").count() == 0
+    assert report.top_shares(stats.limit(0)).count() == 0
+
+
+def test_subsample_does_not_depend_on_the_order_of_ties(spark):
+    df = spark.createDataFrame([(i % 3, i) for i in range(60)], "p int, v int")
+    one = [r["v"] for r in evaluate.subsample(df, F.col("p"), 30).orderBy("v").collect()]
+    two = [r["v"] for r in evaluate.subsample(df.orderBy(F.desc("v")).repartition(5), F.col("p"), 30).orderBy("v").collect()]
+    assert one == two

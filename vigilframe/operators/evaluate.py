@@ -102,8 +102,9 @@ def stratified_split(
 
 
 def subsample(df: DataFrame, position: Column, n: int) -> DataFrame:
-    """A repeatable uniform sample of n rows."""
-    return df.withColumn("_p", position).orderBy("_p").limit(n).drop("_p")
+    """A repeatable uniform sample of n rows; rows at the same position go by their values (maps and variants do not order)."""
+    ties = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return df.withColumn("_p", position).orderBy("_p", *ties).limit(n).drop("_p")
 
 
 def scaler(df: DataFrame, values: list[str]) -> DataFrame:

@@ -67,6 +67,13 @@ def trend(current: DataFrame, previous: DataFrame) -> DataFrame:
     )
 
 
+def top_shares(stats: DataFrame, dimension: str = "type", limit: int = 5) -> DataFrame:
+    """(item, incidents, share_pct) of the largest items, for a trend without a previous period; the share is of the total, 0 without one."""
+    total = stats.where("dimension = 'total'").agg(F.coalesce(F.sum("incidents"), F.lit(0)).alias("_total"))  # one row
+    pct = F.when(F.col("_total") > 0, F.col("incidents") / F.col("_total") * 100).otherwise(F.lit(0.0))
+    return top_items(stats, dimension, limit).join(F.broadcast(total), how="left").select("item", "incidents", F.round(pct, 1).alias("share_pct"))
+
+
 def recommendations(stats: DataFrame, limit: int | None = None) -> DataFrame:
     """(rule, priority, mitigation, incidents) of the rules that hold."""
     count = lambda d, i: F.coalesce(F.sum(F.when((F.col("dimension") == d) & (F.col("item") == i), F.col("incidents"))), F.lit(0))

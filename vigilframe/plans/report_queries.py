@@ -50,6 +50,14 @@ def sector_statistics(t: Tables) -> DataFrame:
     return report.statistics(_incidents(t, sector="ASIA"))
 
 
+@query(
+    "A-16 T-06",
+    _stats_sql() + " SELECT item, incidents, round(incidents * 100e0 / (SELECT incidents FROM s WHERE dimension = 'total'), 1) AS share_pct FROM s WHERE dimension = 'type' ORDER BY incidents DESC, item LIMIT 5",
+)
+def top_types_of_period(t: Tables) -> DataFrame:
+    return report.top_shares(report.statistics(_incidents(t)))
+
+
 @query("A-02 T-06", _stats_sql() + " SELECT item, incidents FROM s WHERE dimension = 'technique' ORDER BY incidents DESC, item LIMIT 5")
 def top_techniques(t: Tables) -> DataFrame:
     return report.top_items(report.statistics(_incidents(t)), "technique", 5).select("item", "incidents")

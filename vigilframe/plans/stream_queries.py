@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.functions import text
+from vigilframe.operators import enrich
 from vigilframe.plans import derived as d
 from vigilframe.plans.registry import Tables, query
 from vigilframe.session import scratch_path
@@ -45,6 +46,24 @@ def streaming_ingest(t: Tables) -> DataFrame:
     return both.groupBy("outcome", "source").agg(F.count(F.lit(1)).alias("events"), F.round(F.max("trust_score"), 4).alias("trust_score"))
 
 
+@query(
+    "R-01 P-06 F-02",
+    d.trust_sql("source", d.EVENT_SQL, "SELECT event_id, concat('10.0.0.', CAST(user_id % 200 AS STRING)) AS src_ip, event_type AS seen FROM scored WHERE trust_score > 0"),
+)
+def streaming_normalized(t: Tables) -> DataFrame:
+    """Rows that pass are normalised within the stream; the address is found in the text."""
+    base = scratch_path(t.spark, "normalized")
+    note = F.concat(F.lit("conn from 10.0.0."), (F.col("user_id") % 200).cast("string"), F.lit(" again"))
+    raw = F.create_map(F.lit("source"), F.col("source"), F.lit("note"), note).alias("raw")
+    _fed(
+        t,
+        lambda e: jobs.ingest_stream(
+            e.select("event_id", F.col("event_type").alias("seen"), raw), f"{base}/passed", f"{base}/held", f"{base}/checkpoint", enrich.normalized
+        ),
+    )
+    return t.spark.read.parquet(f"{base}/passed").select("event_id", F.col("normalized")["src_ip"].alias("src_ip"), "seen")
+
+
 @query(
     "R-02 R-08 W-01",
     """WITH w AS (SELECT event_id, value, count(*) OVER o AS n, avg(value) OVER o AS m, var_samp(value) OVER o AS v FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
