@@ -20,10 +20,10 @@ FUNCTIONS = {
     "S-11": "graphs.sensor_chain", "S-12": "graphs.flow_text", "S-13": "graphs.flow_table_edges", "S-14": "graphs.benign_split", "S-15": "graphs.zipped_by_position, training_flows",
     "S-16": "attribution.corpus, readers.read_corpus_file", "S-17": "readers.read_campaigns", "S-18": "readers.id_list", "S-19": "writers.append_by_day", "S-20": "report.telemetry_counters",
     "S-21": "readers.read_jsonl", "S-22": "audit.chained + writers.append", "S-23": "writers.append", "S-24": "audit.promotion + writers.append / readers.read_jsonl",
-    "S-25": "tables.upserted", "S-26": "tables.upserted", "S-27": "tables.insert_ignored, security_log_rows", "S-28": "tables.insert_ignored", "S-29": "tables.ingest_rows, writers.append",
+    "S-25": "tables.upserted, merge_into, merged_rows", "S-26": "tables.upserted, merge_into", "S-27": "tables.insert_ignored, security_log_rows", "S-28": "tables.insert_ignored", "S-29": "tables.ingest_rows, writers.append",
     "S-30": "tables.reviewed", "S-31": "tables.newest_per_key", "S-32": "writers.append_log", "S-33": "writers.log_document", "S-34": "route.live, route.cached, tables.without_keys",
     "S-35": "similarity.checked_vectors, l2_normalized", "S-36": "federation.unexpired", "S-37": "writers.write_report", "S-38": "writers.write_graph",
-    "S-39": "graph.merged_edges, writers.append", "S-40": "features.scaled_features + writers.append", "S-41": "policy.policy_violations, policy.suspended", "S-42": "enrich.with_reputation, records.cache_key",
+    "S-39": "graph.merged_edges, writers.append, tables.merge_into", "S-40": "features.scaled_features + writers.append", "S-41": "policy.policy_violations, policy.suspended", "S-42": "enrich.with_reputation, jobs.reputation_stream, records.cache_key",
     "S-43": "streaming.jobs.ingest_stream",
     "P-01": "records.source_label", "P-02": "records.normalized_label", "P-03": "ingest.trust_score", "P-04": "ingest.trust_split", "P-05": "records.source_type", "P-06": "records.canonical_fields",
     "P-07": "records.event_time", "P-08": "text.first_signature", "P-09": "text.first_signature", "P-10": "records.control_context", "P-11": "records.calendar_flags", "P-12": "records.time_of_day",
@@ -37,20 +37,20 @@ FUNCTIONS = {
     "J-18": "graph.known_edges, graph.undirected", "J-19": "query incident_actions", "J-20": "enrich.with_reputation",
     "A-01": "report.statistics", "A-02": "report.in_period, top_items", "A-03": "report.telemetry_counters, coverage_pct", "A-04": "route.routing_stats", "A-05": "anomaly.anomaly_stats",
     "A-06": "attribution.attribution_vote", "A-07": "audit.consensus", "A-08": "evaluate.entropy_by_source", "A-09": "anomaly.covariance, fit_density", "A-10": "evaluate.scaler", "A-11": "running.exact_quantiles",
-    "A-12": "evaluate.confusion", "A-13": "scoring.false_positive_rate", "A-14": "evaluate.roc_points, roc_threshold", "A-15": "evaluate.separation", "A-16": "report.trend", "A-17": "report.recommendations",
+    "A-12": "evaluate.confusion", "A-13": "scoring.false_positive_rate", "A-14": "evaluate.roc_points, roc_threshold", "A-15": "evaluate.separation", "A-16": "report.trend, top_shares", "A-17": "report.recommendations",
     "A-18": "audit.chain_report", "A-19": "evaluate.class_weights", "A-20": "graph.touched_nodes", "A-21": "query asset_severity", "A-22": "policy.suspended", "A-24": "query asset_severity", "A-25": "writers.write_graph",
     "A-26": "audit.promotion", "A-27": "evaluate.stratified_split",
     "W-01": "anomaly.temporal_baseline, running.running_moments", "W-02": "policy.rate_violations, running.trailing_counts", "W-03": "audit.chain_faults, chain_report, inclusion_proofs", "W-04": "audit.chained",
     "W-05": "running.sliding_sequences", "W-06": "running.row_positions, graphs.temporal_edges", "W-07": "tables.latest", "W-08": "audit.version_chain", "W-09": "anomaly.refit_due", "W-10": "report.timeline", "W-11": "graphs.capped",
     "T-01": "tables.newest", "T-02": "tables.newest", "T-03": "graph.next_hops", "T-04": "text.iocs", "T-05": "graph.display_priority", "T-06": "report.top_items", "T-07": "tables.newest, matches_search", "T-08": "evaluate.subsample",
     "U-01": "attribution.corpus, graphs.node_table", "U-02": "text.iocs, file_hashes", "U-03": "tables.unreviewed", "U-04": "records.appended",
-    "F-01": "text.sanitize, with_sanitized, sanitize_map", "F-02": "text.named_entities", "F-03": "text.iocs", "F-04": "text.shareable_entities", "F-05": "text.flatten_json_values", "F-06": "records.content_fingerprint",
+    "F-01": "text.sanitize, with_sanitized, sanitize_map, sanitize_json; nested.leaves, sanitizer_findings", "F-02": "text.named_entities", "F-03": "text.iocs", "F-04": "text.shareable_entities", "F-05": "text.flatten_json_values", "F-06": "records.content_fingerprint",
     "F-07": "audit.link_hash, records.cache_key", "F-08": "text.screen_output", "F-09": "text.injection_screen", "F-10": "text.stix_pattern, stix_pattern_value", "F-11": "federation.published",
     "F-12": "features.raw_features", "F-13": "features.scaled_features", "F-14": "features.forest_extras", "F-15": "features.signals", "F-16": "anomaly.with_fusion", "F-17": "anomaly.with_embedding", "F-18": "anomaly.density_scores",
     "F-19": "scoring.boundary_score", "F-20": "scoring.ensemble", "F-21": "scoring.decayed", "F-22": "scoring.counter_evidence", "F-23": "scoring.posterior", "F-24": "scoring.risk", "F-25": "scoring.hunt_boost, federation_boost, boosted_in_order",
     "F-26": "scoring.attribution_blend", "F-27": "attribution.chain_vectors", "F-28": "attribution.text_embedding", "F-29": "records.technique_category", "F-30": "scoring.primary_goal", "F-31": "records.mitre_id",
     "F-32": "attribution.retrieval_query", "F-33": "records.elapsed_seconds, time_code", "F-34": "tables.with_extra", "F-35": "report.markdown_table, summary_row", "F-36": "writers.report_entry",
-    "R-01": "streaming.jobs.ingest_stream", "R-02": "streaming.jobs.baseline_stream", "R-03": "streaming.jobs.rate_stream, windowed_rates", "R-04": "streaming.jobs.first_seen_stream", "R-05": "streaming.jobs.matched_stream",
+    "R-01": "streaming.jobs.ingest_stream", "R-02": "streaming.jobs.baseline_stream", "R-03": "streaming.jobs.rate_stream, windowed_rates", "R-04": "streaming.jobs.first_seen_stream", "R-05": "streaming.jobs.reputation_stream; streaming.jobs.matched_stream",
     "R-06": "tables.newest", "R-07": "streaming.jobs.counter_stream", "R-08": "streaming.jobs.baseline_stream (late rows)",
     "G-01": "graph.node_features, one_hot_features", "G-02": "graph.node_labels", "G-03": "graph.blast_radius", "G-04": "graph.attention, attended", "G-05": "graph.neighbour_mean, sampled_neighbours", "G-06": "graph.centroid_anomaly",
     "G-07": "graph.drift", "G-08": "scoring.fused_graph_score", "G-09": "models.projected_2d", "G-10": "graph.at_risk, reachable", "G-11": "models.neighbour_classifier", "G-12": "graph.graph_elements",
