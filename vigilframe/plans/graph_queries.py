@@ -430,7 +430,7 @@ def isolation_scores(t: Tables) -> DataFrame:
     scale = {r["feature"]: (r["mean"], r["scale"]) for r in evaluate.scaler(f, values).collect()}
     f = f.select("flow_id", *[((F.col(v) - F.lit(scale[v][0])) / F.lit(scale[v][1])).alias(v) for v in values])
     model = models.fit_forest(f, "flow_id", values, trees=300, size=4096)
-    return models.forest_scores(f, model).select("flow_id", F.round("isolation_score", 6).alias("isolation_score"))
+    return models.forest_scores(model["scored"], model).select("flow_id", F.round("isolation_score", 6).alias("isolation_score"))
 
 
 @query("M-03 W-05")
