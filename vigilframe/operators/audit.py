@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,8 @@ from vigilframe.session import cut_lineage
 
 # Entries of a leaf: what one task chains, and what one seal or one step of a hash tree covers. A power of two.
 LEAF = 1024
+# Most segments (a key, a number each) whose first entries are broadcast.
+BROADCAST_SEGMENTS = 100_000
 
 
 def entry_payload(columns: list[str]) -> Column:
@@ -26,24 +29,39 @@ def link_hash(prev: Column, payload: Column) -> Column:
     return F.sha2(F.concat(F.coalesce(prev, F.lit("")), payload), 256)
 
 
-def _chain_segment(key: tuple, batch: pa.Table) -> pa.Table:
-    batch = batch.sort_by("seq")
-    prev, prevs, hashes = batch["start_hash"][0].as_py(), [], []
-    for payload in batch["payload"].to_pylist():
-        prevs.append(prev)
-        prev = hashlib.sha256(((prev or "") + payload).encode("utf-8")).hexdigest()
-        hashes.append(prev)
-    keep = batch.drop_columns(["start_hash"])
-    return keep.append_column("prev_hash", pa.array(prevs, pa.string())).append_column("entry_hash", pa.array(hashes, pa.string()))
-
-
-def _chain_starts(key: tuple, seals: pa.Table) -> pa.Table:
-    seals = seals.sort_by([("segment", "ascending"), ("leaf", "ascending")])
-    start, starts = seals["head_hash"][0].as_py(), []
-    for seal in seals["seal"].to_pylist():
-        starts.append(start)
-        start = hashlib.sha256(((start or "") + seal).encode("utf-8")).hexdigest()
-    return seals.drop_columns(["seal", "head_hash"]).append_column("start_hash", pa.array(starts, pa.string()))
+def _linked(prev: str | None, text: str) -> str:
+    return hashlib.sha256(((prev or "") + text).encode("utf-8")).hexdigest()
+
+
+def _chain_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves one after the other: a row without a number brings the hash its leaf starts from, the entries follow in order."""
+    prev = None
+    for batch in batches:
+        prevs, hashes = [], []
+        for seq, payload, start in zip(*(batch.column(c).to_pylist() for c in ("seq", "payload", "start_hash"))):
+            if seq is None:
+                prev = start
+                continue
+            prevs.append(prev)
+            prev = _linked(prev, payload)
+            hashes.append(prev)
+        kept = batch.filter(batch.column("seq").is_valid())
+        columns = [kept.column(c) for c in kept.schema.names if c != "start_hash"]
+        names = [c for c in kept.schema.names if c != "start_hash"]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], [*names, "prev_hash", "entry_hash"])
+
+
+def _chain_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seals of the keys one after the other, each key's in order; ``opens`` marks a key's first."""
+    start = None
+    for batch in batches:
+        starts = []
+        for opens, head, seal in zip(*(batch.column(c).to_pylist() for c in ("opens", "head_hash", "seal"))):
+            start = head if opens else start
+            starts.append(start)
+            start = _linked(start, seal)
+        names = [c for c in batch.schema.names if c not in ("opens", "head_hash", "seal")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(starts, pa.string())], [*names, "start_hash"])
 
 
 def entry_digest() -> Column:
@@ -66,7 +84,10 @@ def leaf_starts(rows: DataFrame, key: str, heads: DataFrame | None = None) -> Da
     else:
         seals = seals.withColumn("head_hash", F.lit(None).cast("string"))
     kind = rows.schema[key].dataType.simpleString()
-    return seals.groupBy(key).applyInArrow(_chain_starts, f"`{key}` {kind}, segment bigint, leaf bigint, start_hash string")
+    # Many keys share a task and a batch: a call per key would cost more than its few seals.
+    opens = F.row_number().over(Window.partitionBy(key).orderBy("segment", "leaf")) == 1
+    ordered = seals.select(key, "segment", "leaf", "seal", "head_hash", opens.alias("opens")).sortWithinPartitions(key, "segment", "leaf")
+    return ordered.mapInArrow(_chain_starts, f"`{key}` {kind}, segment bigint, leaf bigint, start_hash string")
 
 
 def chained(
@@ -76,7 +97,7 @@ def chained(
 
     The entries of a chain in one ``period`` (a day, an hour: whole numbers that do not fall along ``order``) are a segment, cut
     into leaves of ``leaf`` entries. In a leaf each entry hashes its payload with the hash before it; a leaf starts from a seal over
-    everything before it. So the rule is the same for any number of rows, leaves are built in parallel, and a task holds one leaf.
+    everything before it. So the rule is the same for any number of rows, leaves are built in parallel, and a task holds one batch.
 
     ``log``, what this function returned before, is continued: numbers go on, and entries of a period that the log already
     holds go on from its last hash. An entry of an earlier period counts to the last one of the log. The result holds the new
@@ -106,9 +127,13 @@ def chained(
         starts = leaf_starts(rows.unionByName(opened.select(rows.columns)), key, heads).join(last, key, "left")
         same = (F.col("segment") == F.col("_open")) & (F.col("leaf") == F.col("_leaf"))
         starts = starts.select(key, "segment", "leaf", F.when(same, F.col("_head")).otherwise(F.col("start_hash")).alias("start_hash"))
-    staged = rows.join(starts, [key, "segment", "leaf"]).select(key, "seq", "segment", "leaf", "payload", "start_hash")
+    # A leaf's start travels as a row before its entries, and a task goes through its leaves in order: neither a join nor a call per leaf.
+    staged = rows.select(key, "seq", "segment", "leaf", "payload", F.lit(None).cast("string").alias("start_hash"))
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("seq", "payload")]
+    staged = staged.unionByName(starts.select(key, "segment", "leaf", *none, "start_hash"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in staged.schema.fields if f.name != "start_hash")
-    return staged.groupBy(key, "segment", "leaf").applyInArrow(_chain_segment, schema + ", prev_hash string, entry_hash string")
+    ordered = staged.repartition(key, "segment", "leaf").sortWithinPartitions(key, "segment", "leaf", F.col("seq").asc_nulls_first())
+    return ordered.mapInArrow(_chain_entries, schema + ", prev_hash string, entry_hash string")
 
 
 def chain_faults(log: DataFrame, key: str, heads: DataFrame | None = None) -> DataFrame:
@@ -151,23 +176,26 @@ def inclusion_proofs(log: DataFrame, key: str) -> DataFrame:
     ``log`` has the key, segment, seq (numbers without gaps in a segment) and payload. ``path`` lists the neighbours, bottom up, as (hash,
     left): with them the digest of the entry gives the root, one hash a step, so an entry is proved by as many hashes as the logarithm of
     its segment. The tree is built in parts of ``LEAF`` nodes, a part per task; their roots are the nodes of the next step.
+    Few segments are broadcast to their entries, as a join by segment would bring a hot one into one task; numbers stay with their entries.
     """
-    first = log.groupBy(key, "segment").agg(F.min("seq").alias("_first"))
-    rows = log.join(first, [key, "segment"]).select(key, "segment", "seq", (F.col("seq") - F.col("_first")).alias("place"), entry_digest().alias("digest"))
+    first = cut_lineage(log.groupBy(key, "segment").agg(F.min("seq").alias("_first")))
+    first = F.broadcast(first) if first.count() <= BROADCAST_SEGMENTS else first
+    rows = log.select(key, "segment", "seq", entry_digest().alias("digest")).join(first, [key, "segment"])
+    rows = rows.select(key, "segment", "seq", (F.col("seq") - F.col("_first")).alias("place"), "digest")
     kind = log.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, segment bigint, part bigint, place bigint, digest string, path array<struct<hash: string, left: boolean>>, root string"
-    proofs, nodes = None, rows.select(key, "segment", "place", "digest")
+    schema = f"`{key}` {kind}, segment bigint, part bigint, seq bigint, place bigint, digest string, path array<struct<hash: string, left: boolean>>, root string"
+    proofs, nodes = None, rows.select(key, "segment", "seq", "place", "digest")
     while proofs is None or nodes.where("place > 0").limit(1).count():
-        dealt = nodes.select(key, "segment", F.floor(F.col("place") / LEAF).alias("part"), "place", "digest")
+        dealt = nodes.select(key, "segment", F.floor(F.col("place") / LEAF).alias("part"), "seq", "place", "digest")
         step = cut_lineage(dealt.groupBy(key, "segment", "part").applyInArrow(_tree_part, schema))
         if proofs is None:
-            proofs = step.select(key, "segment", "place", "digest", F.col("part").alias("up"), "path", "root")
+            proofs = step.select(key, "segment", "seq", "digest", F.col("part").alias("up"), "path", "root")
         else:
             higher = step.select(key, "segment", F.col("place").alias("up"), F.col("part").alias("_up"), F.col("path").alias("_path"), F.col("root").alias("_root"))
             proofs = proofs.join(higher, [key, "segment", "up"])
-            proofs = proofs.select(key, "segment", "place", "digest", F.col("_up").alias("up"), F.concat("path", "_path").alias("path"), F.col("_root").alias("root"))
-        nodes = step.select(key, "segment", F.col("part").alias("place"), F.col("root").alias("digest")).distinct()
-    return proofs.join(first, [key, "segment"]).select(key, "segment", (F.col("place") + F.col("_first")).alias("seq"), "digest", "path", "root")
+            proofs = proofs.select(key, "segment", "seq", "digest", F.col("_up").alias("up"), F.concat("path", "_path").alias("path"), F.col("_root").alias("root"))
+        nodes = step.select(key, "segment", F.lit(None).cast("bigint").alias("seq"), F.col("part").alias("place"), F.col("root").alias("digest")).distinct()
+    return proofs.select(key, "segment", "seq", "digest", "path", "root")
 
 
 def proves(digest: Column, path: Column, root: Column) -> Column:
