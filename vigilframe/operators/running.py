@@ -135,13 +135,18 @@ def trailing_counts(df: DataFrame, keys: list[str], micros: str, seconds: int, n
 
     Equal instants are pre-aggregated; each is used in its own time bucket and
     as context in the next one, so that no window spans more than two buckets.
+    In the next bucket an instant is added and, after what is ``seconds``
+    later, taken out again: one running sum, however many rows are in reach.
     """
     span = seconds * 1_000_000
     instants = df.groupBy(*keys, micros).agg(F.count(F.lit(1)).alias("_rows"))
     own = F.floor(F.col(micros) / F.lit(span)).cast("bigint")
-    spread = instants.withColumn(BUCKET, F.explode(F.array(own, own + 1)))
-    window = Window.partitionBy(*keys, BUCKET).orderBy(micros).rangeBetween(-span, 0)
-    counted = spread.withColumn(name, F.sum("_rows").over(window)).where(F.col(BUCKET) == own)
+    use = lambda bucket, at, rows, leaves: F.struct(bucket.alias("bucket"), at.alias("at"), rows.alias("rows"), F.lit(leaves).alias("leaves"))
+    at, rows = F.col(micros), F.col("_rows")
+    uses = F.array(use(own, at, rows, False), use(own + 1, at, rows, False), use(own + 1, at + F.lit(span), -rows, True))
+    spread = instants.withColumn("_use", F.explode(uses)).withColumn(BUCKET, F.col("_use.bucket"))
+    window = Window.partitionBy(*keys, BUCKET).orderBy("_use.at", "_use.leaves").rowsBetween(Window.unboundedPreceding, 0)
+    counted = spread.withColumn(name, F.sum("_use.rows").over(window)).where((F.col(BUCKET) == own) & ~F.col("_use.leaves"))
     return df.join(counted.select(*keys, micros, name), [*keys, micros])
 
 
