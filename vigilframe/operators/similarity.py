@@ -24,6 +24,8 @@ from vigilframe.functions.records import bound
 from vigilframe.session import scratch_path
 
 QUERY_STEP = 1024
+# Similarities a task holds at a time, and bytes of queries it hands on at a time.
+CELLS, VISIT_BYTES = 2 << 20, 16 << 20
 # Largest vector side, in bytes of its matrix, that is broadcast; largest matrix of one block.
 BROADCAST_BYTES, BLOCK_BYTES = 32 << 20, 32 << 20
 PIVOTS, ANGLE_STEPS = 64, 256
@@ -71,11 +73,16 @@ def _matrix(column) -> np.ndarray:
 
 
 def _best(qid: np.ndarray, qm: np.ndarray, vid: np.ndarray, vm: np.ndarray, k: int, exclude_same: bool) -> pa.RecordBatch:
-    """The k best vectors per query; ``vid`` ascends, so ties go to the lower id."""
+    """The k best vectors per query; ``vid`` ascends, so ties go to the lower id.
+
+    As many queries at a time as make ``CELLS`` similarities, however many vectors there are.
+    """
     out_q, out_v, out_s, out_r = [], [], [], []
-    for at in range(0, len(qid) if len(vid) else 0, QUERY_STEP):
-        sims = np.round(qm[at : at + QUERY_STEP] @ vm.T, 12)
-        ids = qid[at : at + QUERY_STEP]
+    step = min(QUERY_STEP, max(1, CELLS // max(1, len(vid))))
+    for at in range(0, len(qid) if len(vid) else 0, step):
+        sims = qm[at : at + step] @ vm.T
+        np.round(sims, 12, out=sims)
+        ids = qid[at : at + step]
         if exclude_same:
             sims[ids[:, None] == vid[None, :]] = -np.inf
         for i, row in enumerate(sims):
@@ -201,9 +208,13 @@ def _visits(index: MetricIndex, k: int, floor: float, again: bool):
                 times = parts[block]
                 query, block = np.repeat(query, times), np.repeat(block, times)
                 part = np.arange(len(block)) - np.repeat(np.cumsum(times) - times, times)
-                chosen = batch.take(pa.array(query))
-                columns = [chosen.column("query_id"), chosen.column("q"), pa.array(block.astype(np.int32)), pa.array(part.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "q", "block", "part"])
+                # A batch repeats its queries for every block they visit, so it is handed on in pieces of bounded size.
+                rows = max(1, VISIT_BYTES * len(batch) // max(1, batch.nbytes))
+                for first in range(0, len(query), rows):
+                    some = slice(first, first + rows)
+                    chosen = batch.take(pa.array(query[some]))
+                    columns = [chosen.column("query_id"), chosen.column("q"), pa.array(block[some].astype(np.int32)), pa.array(part[some].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "q", "block", "part"])
 
     return run
 
