@@ -1,8 +1,12 @@
 """Steps whose work must not grow faster than their rows."""
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
-from vigilframe.operators import models
+from vigilframe.operators import audit, models, running, similarity
+from vigilframe.sources import graphs
+from vigilframe.streaming import stateful
 
 
 def plan_of(df):
@@ -17,3 +21,103 @@ def test_forest_walks_every_row_once(spark):
     score = lambda d: {r["id"]: r["isolation_score"] for r in models.forest_scores(d, model).collect()}
     assert score(model["scored"]) == score(df) and len(score(df)) == 401
     assert "Python" not in plan_of(models.forest_scores(model["scored"], model))
+
+
+class Store:
+    """State of one key, with the number of its writes."""
+
+    def __init__(self):
+        self.held, self.writes = {}, 0
+
+    def exists(self):
+        return bool(self.held)
+
+    def iterator(self):
+        return iter([((at,), (n,)) for at, n in self.held.items()])
+
+    def updateValue(self, key, value):
+        self.held[key[0]], self.writes = value[0], self.writes + 1
+
+    def removeKey(self, key):
+        del self.held[key[0]]
+
+    def listTimers(self):
+        return []
+
+    def registerTimer(self, at):
+        pass
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_rates_write_only_instants_in_reach(spark):
+    store, job = Store(), stateful.Rates("micros", 60, 40)
+    job.handle = job.instants = store
+    at = np.arange(1, 1001) * 1_000_000
+    (out,) = job.handleInputRows(("A",), iter([pd.DataFrame({"micros": at})]), store)
+    assert out["calls"].tolist() == [min(i, 61) for i in range(1, 1001)]
+    assert store.writes == 101 and min(store.held) == 900_000_000
+
+
+def test_zip_never_broadcasts_rows(spark, folder):
+    spark.range(50).write.parquet(folder + "/a")
+    spark.range(50).selectExpr("id * 2 AS two").write.parquet(folder + "/b")
+    both = graphs.zipped_by_position(spark.read.parquet(folder + "/a"), spark.read.parquet(folder + "/b"))
+    assert "SortMergeJoin [_row" in plan_of(both) and both.where("two = id * 2").count() == 50
+
+
+def test_trailing_counts_are_one_running_sum(spark):
+    rng = np.random.RandomState(5)
+    data = [(i, f"k{rng.randint(2)}", int(rng.randint(-90, 300)) * 500_000) for i in range(400)]
+    counted = running.trailing_counts(spark.createDataFrame(data, "i int, k string, micros bigint"), ["k"], "micros", 30)
+    assert "RangeFrame" not in plan_of(counted)
+    want = {i: sum(a == k and at - 30_000_000 <= t <= at for _, a, t in data) for i, k, at in data}
+    assert {r["i"]: r["calls"] for r in counted.collect()} == want
+
+
+def test_similarities_held_at_a_time_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CELLS", 500)
+    rng, most = np.random.RandomState(6), []
+    q, v = rng.randn(70, 5), rng.randn(100, 5)
+    partition = np.partition
+    held = lambda a, k: most.append(a.base.size if a.base is not None else a.size) or partition(a, k)
+    monkeypatch.setattr(similarity.np, "partition", held)
+    got = similarity._best(np.arange(70), q, np.arange(100), v, 3, False).to_pydict()
+    want = np.argsort(-(q @ v.T), axis=1)[:, :3]
+    assert np.array_equal(np.array(got["vector_id"]).reshape(70, 3), want) and max(most) <= 500
+
+
+def test_chains_take_no_call_per_leaf(spark):
+    rows = spark.range(300).selectExpr("id % 40 AS k", "id AS micros", "id")
+    log = audit.chained(rows, "k", [F.col("micros")], F.floor(F.col("micros") / 50), ["id"], leaf=3)
+    assert "FlatMapGroups" not in plan_of(log) and "MapInArrow" in plan_of(log)
+    assert log.count() == 300 and audit.chain_report(log.localCheckpoint(), "k").where("not valid").count() == 0
+
+
+def test_proofs_of_a_hot_key_stay_with_their_parts(spark):
+    rows = spark.range(60).selectExpr("'hot' AS k", "0L AS segment", "id + 1 AS seq", "cast(id AS string) AS payload")
+    proofs = audit.inclusion_proofs(rows, "k")
+    assert "Join [k" not in plan_of(proofs) and sorted(r["seq"] for r in proofs.collect()) == list(range(1, 61))
+
+
+def test_baseline_keeps_late_rows_apart(spark):
+    class Moments(Store):
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def getCurrentWatermarkInMs(self):
+            return 10
+
+    job = stateful.Baseline("at", "i", ["x"])
+    store = job.moments = Moments()
+    frames = [pd.DataFrame({"i": [1, 0], "at": [12, 12], "x": [4.0, 2.0]}), pd.DataFrame({"i": [2, 3], "at": [3, 11], "x": [9.0, 6.0]})]
+    (out,) = job.handleInputRows(("A",), iter(frames), store)
+    assert out["i"].tolist() == [3, 0, 1, 2] and out["late"].tolist() == [False, False, False, True]
+    assert out["n"].tolist()[:3] == [1, 2, 3] and np.allclose(out["mean_x"][:3], [6, 4, 4]) and np.isnan(out["mean_x"][3])
+    assert store.value[0] == 3.0 and np.isclose(store.value[2], 8.0)

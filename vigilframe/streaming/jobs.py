@@ -70,7 +70,7 @@ def rate_stream(calls: DataFrame, limits: DataFrame, micros: str, seconds: int,
     ``calls``: agent_id, the instant and further columns. The agents' counts per instant are kept as far back as a call may look.
     """
     counted = stateful.clocked(calls, micros, lateness_seconds).groupBy("agent_id").transformWithStateInPandas(
-        stateful.Rates(micros, seconds), stateful.schema_with(calls, "late boolean, calls bigint"), "Append", "EventTime"
+        stateful.Rates(micros, seconds, lateness_seconds), stateful.schema_with(calls, "late boolean, calls bigint"), "Append", "EventTime"
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:

@@ -27,7 +27,8 @@ def clocked(events: DataFrame, micros: str, lateness_seconds: int) -> DataFrame:
 
 
 def _gathered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True)
+    frames = list(rows)
+    return pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0].reset_index(drop=True)
 
 
 class Baseline(StatefulProcessor):
@@ -46,27 +47,31 @@ class Baseline(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         frame = _gathered(rows)
-        frame["late"] = frame[self.micros] < mark if mark > 0 else False
+        # Most keys have few rows in a micro-batch, so a call does one selection and one assembly of columns.
+        late = (frame[self.micros] < mark).to_numpy() if mark > 0 else np.zeros(len(frame), dtype=bool)
+        fresh = np.flatnonzero(~late)
+        order = frame[[self.micros, self.tie]].iloc[fresh].sort_values([self.micros, self.tie]).index if len(fresh) > 1 else fresh
+        frame = frame.take(np.r_[order, np.flatnonzero(late)].astype(np.intp))
+        added = {"late": np.arange(len(frame)) >= len(fresh)}
         for name in ("n", *(f"{m}_{v}" for v in self.values for m in ("mean", "var"))):
-            frame[name] = np.nan
-        fresh = frame[~frame["late"]].sort_values([self.micros, self.tie]).reset_index(drop=True)
-        if len(fresh):
-            held = self.moments.get() if self.moments.exists() else (0.0,) * (1 + 2 * len(self.values))
-            n = held[0] + np.arange(1, len(fresh) + 1)
+            added[name] = np.full(len(frame), np.nan)
+        if count := len(fresh):
+            held = self.moments.get() or (0.0,) * (1 + 2 * len(self.values))
+            n = held[0] + np.arange(1, count + 1)
             state = [float(n[-1])]
             for i, v in enumerate(self.values):
                 mean, m2 = held[1 + 2 * i], held[2 + 2 * i]
-                x = fresh[v].to_numpy(dtype=np.float64)
+                x = frame[v].to_numpy(dtype=np.float64)[:count]
                 # Sums around a value near the mean keep their digits.
                 centre = mean if held[0] else x[0]
                 apart = np.cumsum(x - centre)
                 square = m2 + np.cumsum((x - centre) ** 2)
                 means, m2s = centre + apart / n, np.maximum(square - apart**2 / n, 0.0)
-                fresh[f"mean_{v}"], fresh[f"var_{v}"] = means, m2s / np.maximum(n - 1, 1)
+                added[f"mean_{v}"][:count], added[f"var_{v}"][:count] = means, m2s / np.maximum(n - 1, 1)
                 state += [float(means[-1]), float(m2s[-1])]
-            fresh["n"] = n
+            added["n"][:count] = n
             self.moments.update(tuple(state))
-        yield pd.concat([fresh, frame[frame["late"]]], ignore_index=True)
+        yield pd.DataFrame({**{c: frame[c].array for c in frame.columns}, **added}, copy=False)
 
     def close(self) -> None:
         pass
@@ -75,13 +80,14 @@ class Baseline(StatefulProcessor):
 class Rates(StatefulProcessor):
     """Exact number of a key's rows within the last ``seconds`` of each row, both ends included.
 
-    The store holds one count per instant of the key, as far back as a row that is not late may look; a timer drops instants that nothing
+    The store holds one count per instant of the key, as far back as a row that is not late may look: of a micro-batch, only instants that a
+    later one can still reach are written. A timer drops instants that nothing
     can look back to any more, also for keys that have gone quiet. A late row (older than the watermark) comes out without a count and is
     in no other row's count. A row counts what has arrived with it or before it.
     """
 
-    def __init__(self, micros: str, seconds: int):
-        self.micros, self.span = micros, seconds * 1_000_000
+    def __init__(self, micros: str, seconds: int, lateness_seconds: int = 0):
+        self.micros, self.span, self.lateness = micros, seconds * 1_000_000, lateness_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -118,6 +124,10 @@ class Rates(StatefulProcessor):
             seen = until[np.searchsorted(instants, own, side="right")] - until[np.searchsorted(instants, own - self.span, side="left")]
             frame.loc[fresh, "calls"] = seen
             changed = np.isin(instants, own)
+            # The next watermark is at least the newest of these rows less the lateness.
+            ahead = max(mark, int(instants[-1]) - self.lateness)
+            if ahead > 0:
+                changed &= instants >= ahead - self.span
             for instant, count in zip(instants[changed].tolist(), counts[changed].tolist()):
                 self.instants.updateValue((instant,), (count,))
             for timer in list(self.handle.listTimers()):
