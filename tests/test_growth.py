@@ -121,3 +121,12 @@ def test_baseline_keeps_late_rows_apart(spark):
     assert out["i"].tolist() == [3, 0, 1, 2] and out["late"].tolist() == [False, False, False, True]
     assert out["n"].tolist()[:3] == [1, 2, 3] and np.allclose(out["mean_x"][:3], [6, 4, 4]) and np.isnan(out["mean_x"][3])
     assert store.value[0] == 3.0 and np.isclose(store.value[2], 8.0)
+
+
+def test_sequences_are_scored_once(spark):
+    rng = np.random.RandomState(9)
+    seqs = spark.createDataFrame([(i, rng.randn(12).tolist()) for i in range(60)], "seq bigint, sequence array<double>")
+    model = models.fit_sequences(seqs, 4, 3, hidden=6, latent=3)
+    score = lambda d: {r["seq"]: r["sequence_score"] for r in models.sequence_scores(d, model).collect()}
+    assert score(model["scored"]) == score(seqs) and len(score(seqs)) == 60
+    assert "Python" not in plan_of(models.sequence_scores(model["scored"], model))

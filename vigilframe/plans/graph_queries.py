@@ -441,4 +441,4 @@ def sequence_reconstruction(t: Tables) -> DataFrame:
     seqs = running.sliding_sequences(e, [F.col("micros"), F.col("event_id")], None, F.col("v"), 10)
     seqs = spread(cut_lineage(seqs.select("seq", F.flatten("sequence").alias("sequence"))), "seq")
     model = models.fit_sequences(seqs, 10, 3)
-    return models.sequence_scores(seqs, model).select("seq", F.round("sequence_score", 4).alias("sequence_score"))
+    return models.sequence_scores(model["scored"], model).select("seq", F.round("sequence_score", 4).alias("sequence_score"))
