@@ -209,9 +209,9 @@ def _visits(index: MetricIndex, k: int, floor: float, again: bool):
                 query, block = np.repeat(query, times), np.repeat(block, times)
                 part = np.arange(len(block)) - np.repeat(np.cumsum(times) - times, times)
                 # A batch repeats its queries for every block they visit, so it is handed on in pieces of bounded size.
-                rows = max(1, VISIT_BYTES * len(batch) // max(1, batch.nbytes))
-                for first in range(0, len(query), rows):
-                    some = slice(first, first + rows)
+                piece = max(1, VISIT_BYTES * len(batch) // max(1, batch.nbytes))
+                for first in range(0, len(query), piece):
+                    some = slice(first, first + piece)
                     chosen = batch.take(pa.array(query[some]))
                     columns = [chosen.column("query_id"), chosen.column("q"), pa.array(block[some].astype(np.int32)), pa.array(part[some].astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, ["query_id", "q", "block", "part"])
