@@ -78,6 +78,28 @@ def test_json_documents_that_break_off_or_are_no_arrays(spark, folder):
     assert sorted(r["source"] for r in marked.collect()) == ["bad.json", "comma.json", "cut.json", "cut2.json", "text.json"]
 
 
+@pytest.mark.parametrize("chunk", [1, 100, 1 << 20])
+def test_json_documents_do_not_depend_on_chunks_and_only_cut_elements_are_shuffled(spark, folder, monkeypatch, chunk):
+    events = _awkward_events(60)
+    put(folder, "a.json", json.dumps(events, ensure_ascii=False))
+    put(folder, "b.json", "\n".join(json.dumps(e) for e in events) + '\n{"a": "}')
+    put(folder, "junk.json", "} }")
+    with open(os.path.join(folder, "bytes.json"), "wb") as fh:
+        fh.write(b'[{"a": "\xff\\\xc3\xa9}"}, {"b": 1}]')
+    monkeypatch.setattr(json_documents, "CHUNK", chunk)
+    rows = json_documents.document_elements(spark, folder)
+    got = {}
+    for r in rows.orderBy("source", "position").collect():
+        got.setdefault(r["source"], []).append(r)
+    assert [json.loads(r["value"]) for r in got["a.json"]] == events and all(r["whole"] for r in got["a.json"])
+    assert [json.loads(r["value"]) for r in got["b.json"][:60]] == events
+    assert [r["position"] for r in got["b.json"]] == list(range(61)) and (got["b.json"][60]["value"], got["b.json"][60]["whole"]) == ('{"a": "}', False)
+    assert [(r["position"], r["value"], r["whole"]) for r in got["junk.json"]] == [(None, "} }", None)]
+    assert [r["value"] for r in got["bytes.json"]][1:] == ['{"b": 1}']
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_inner") == 1 and "Window" not in plan.split("_inner")[0]
+
+
 def test_json_lines_keep_malformed(spark, folder):
     put(folder, "x.jsonl", '{"host": "a"}\n\nnope\n')
     rows = readers.read_json_lines(spark, folder).collect()
