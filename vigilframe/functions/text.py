@@ -35,15 +35,23 @@ def sanitize_with_counts(text: Column, rules=params.SANITIZE_RULES) -> Column:
     return F.struct(current.alias("text"), events.alias("events"))
 
 
+def _cleaned_by(text: Column, rule: tuple[str, str, str], needed: str | None) -> Column:
+    """One reference to ``text``, so that a filter pushed through many rules stays small."""
+    replaced = lambda t: F.regexp_replace(t, F.lit(rule[1]), _literal_replacement(rule[2]))
+    return replaced(text) if needed is None else bound(text, lambda t: F.when(t.rlike(needed), replaced(t)).otherwise(t))
+
+
 def with_sanitized(df: DataFrame, column: str, out: str = "clean", events: str = "events", rules=params.SANITIZE_RULES) -> DataFrame:
     """Add the cleaned text and ARRAY<STRUCT<rule, occurrences>>, rule by rule.
 
     Each rule is its own projection, so a text is rewritten once per rule, and
-    matches are only counted where the rule changed something.
+    matches are only counted where the rule changed something. A rule of the standard set is only tried on texts that hold what
+    each of its matches holds.
     """
     staged, steps = df.withColumn("_t0", F.col(column)), []
-    for i, (_, pattern, replacement) in enumerate(rules):
-        staged = staged.withColumn(f"_t{i + 1}", F.regexp_replace(F.col(f"_t{i}"), F.lit(pattern), _literal_replacement(replacement)))
+    for i, rule in enumerate(rules):
+        needed = params.SANITIZE_NEEDS.get(rule[0]) if rule in params.SANITIZE_RULES else None
+        staged = staged.withColumn(f"_t{i + 1}", _cleaned_by(F.col(f"_t{i}"), rule, needed))
     for i, (name, pattern, _) in enumerate(rules):
         changed = ~F.col(f"_t{i}").eqNullSafe(F.col(f"_t{i + 1}"))
         steps.append(

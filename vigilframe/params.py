@@ -57,6 +57,16 @@ SANITIZE_RULES = [
     ("TEMPLATE_INJECTION", r"(?s)\{\{.*?\}\}|\{%.*?%\}", "[SANITIZED:TEMPLATE]"),
 ]
 
+# What every match of a rule holds, as a pattern that is cheap to look for; a rule that is not named is always tried.
+SANITIZE_NEEDS = {
+    "JNDI_INJECTION": r"\$\{",
+    "SCRIPT_TAG": "<",
+    "HTML_EVENT": "=",
+    "SQL_INJECTION": r"""(?s)['"`;]|--|[uU][nN].[oO][nN]""",
+    "PATH_TRAVERSAL": r"\.\.|%2",
+    "TEMPLATE_INJECTION": r"\{[{%]",
+}
+
 # Output-screen patterns (secrets and personal data).
 OUTPUT_PATTERNS = [
     ("aws_key", r"AKIA[0-9A-Z]{16}"),
