@@ -8,6 +8,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,15 @@ def test_components_of_awkward_rows(awkward, empty):
     assert jaccard.jaccard_components(empty, 3, 90).count() == 0
 
 
+def test_packed_rows_stay_few_when_parts_are_many():
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(300)) for _ in range(1200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 100])], ["text"]) for i in range(0, len(texts), 100)]
+    packed = pa.Table.from_batches(jaccard._entries(3, 90, 100)(iter(batches)))
+    assert sum(packed["size"].to_pylist()) > 150_000
+    assert packed.num_rows <= 2 * 100  # one row for each part and order
+
+
 def test_one_of_each_group(awkward, empty):
     got = jaccard.one_of_each_group(awkward, 5, 80)
     assert got.columns == awkward.columns

@@ -27,8 +27,9 @@ from vigilframe.llm.words import mix, shingles, text_chunks, words_of
 from vigilframe.session import scratch_path
 
 ORDERS = (1, 2)
-# Entries that a map task packs at a time, and that a task of one part of the shingles holds.
-FLUSH, PART = 125_000, 250_000
+# Entries that a map task packs at a time, and that a task of one part of the shingles holds. A packed row repeats the keys of its
+# holders, so the shuffle is smaller the more entries of a text share a row: many entries at a time, few parts.
+FLUSH, PART = 500_000, 500_000
 # Largest bucket whose pairs are compared by count vectors; texts in a block of a larger one.
 SMALL, BLOCK = 256, 1024
 # Mean number of shingles in a cell of a count vector, and least cells.
