@@ -126,3 +126,27 @@ def test_blast_radius_of_given_origins(spark):
     for mode in ("visits", "best_path"):
         got = {r["id"]: r["blast_radius"] for r in graph.blast_radius(n, e, mode, origins=spark.createDataFrame([("a",)], "id string")).collect()}
         assert got == {"a": 0.3125}
+
+
+def test_next_hops_of_odd_edges_hold_nodes_only(spark):
+    rows = [("a", "b", 0.5), ("b", "a", 0.9), ("a", "a", 0.3), (None, "a", 0.2), ("c", None, 0.1), ("c", "a", None), (None, None, 0.4), ("a", "b", None)]
+    edges = spark.createDataFrame(rows, "src string, dst string, attention double")
+    nodes = spark.createDataFrame([("a", 0.5, 0.1), ("b", -0.5, 0.2)], "id string, criticality double, fused double")
+    out = graph.next_hops(edges, nodes, 3)
+    best = {}
+    for a, b, w in rows:
+        for way in ((a, b), (b, a)):
+            best[way] = max((x for x in (best.get(way), w) if x is not None), default=None)
+    info = {"a": (0.5, 0.1), "b": (-0.5, 0.2)}
+    score = lambda d, w: None if w is None else 0.5 * w * info.get(d, (0.5, 0.0))[0] + 0.5 * info.get(d, (0.5, 0.0))[1]
+    want = {}
+    for (a, b), w in best.items():
+        want.setdefault(a, []).append((b, score(b, w)))
+    got = {(r["node"], r["hop"]): (r["rank"], r["score"]) for r in out.collect()}
+    assert len(got) == out.count() == sum(min(3, len(w)) for w in want.values())
+    for a, hops in want.items():
+        hops.sort(key=lambda h: (h[1] is None, -(h[1] or 0), h[0] or ""))
+        for rank, (b, s) in enumerate(hops[:3], 1):
+            assert got[a, b][0] == rank and (s is None) == (got[a, b][1] is None) and abs((s or 0) - (got[a, b][1] or 0)) < 1e-12
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan

@@ -227,10 +227,14 @@ def next_hops(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     ``edges``: src, dst, attention. ``nodes``: id, criticality, fused.
     """
-    both = undirected(edges.select("src", "dst", "attention"))
-    pairs = both.groupBy("src", "dst").agg(F.max("attention").alias("attention"))
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    # Both directions of a pair have the same best attention, so it is taken once, before the pair is turned around; a loop is one pair.
+    best = edges.groupBy(F.least(way("src", "dst"), way("dst", "src")).alias("_way")).agg(F.max("attention").alias("attention"))
+    ways = F.explode(F.array_distinct(F.array(way("_way.src", "_way.dst"), way("_way.dst", "_way.src"))))
+    pairs = best.select(ways.alias("_way"), "attention").select("_way.src", "_way.dst", "attention")
     info = nodes.select(F.col("id").alias("dst"), "criticality", "fused")
-    scored = pairs.join(info, "dst", "left").withColumn(
+    # Nodes are hashed, not both sides sorted: beside the sort of the window, a task holds its nodes only and not its edges once more.
+    scored = pairs.join(info.hint("shuffle_hash"), "dst", "left").withColumn(
         "score",
         F.lit(0.5) * F.col("attention") * F.coalesce("criticality", F.lit(0.5)) + F.lit(0.5) * F.coalesce("fused", F.lit(0.0)),
     )
