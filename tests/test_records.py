@@ -145,3 +145,12 @@ def test_goal_cover_of_keys_of_any_length(spark):
     assert sorted(str(r[0]) for r in got) == sorted(map(str, want)) and 100 < len(want) < len(rows) - 20
     none = spark.createDataFrame([], "g string")
     assert enrich.uncovered_by_goals(spark.createDataFrame([("",), ("abc",)], "k string"), "k", none, "g").count() == 2
+
+
+def test_texts_that_several_patterns_read_are_built_once(spark):
+    out = enrich.normalized(maps(spark, {"start": " 3723 ", "msg": "user=eve from 5.6.7.8"}), as_of=F.lit("2000-01-01").cast("timestamp"))
+    assert "_time_text" not in out.columns and "_values_text" not in out.columns
+    row = out.select(F.col("event_time").cast("string").alias("at"), "entities.user").first()
+    assert tuple(row) == ("1970-01-01 01:02:03", "eve")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_values(") == 1 and plan.count("TimeCreated)") <= 2

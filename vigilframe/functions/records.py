@@ -90,9 +90,13 @@ def canonical_fields(fields: Column, kind: Column) -> Column:
     return F.map_from_entries(bound(present, merged))
 
 
-def event_time(fields: Column, as_of: Column) -> Column:
-    """Event time from the candidate keys; ``as_of`` where none can be read."""
-    raw = first_filled([item(fields, k) for k in params.TIME_KEYS])
+def time_text(fields: Column) -> Column:
+    """Text of the event time, from the candidate keys."""
+    return first_filled([item(fields, k) for k in params.TIME_KEYS])
+
+
+def read_time(raw: Column, as_of: Column) -> Column:
+    """Time of a text, ``as_of`` where it can't be read. The text is named many times: as a column it is computed once."""
     epoch = F.when(raw.rlike(r"^-?\d+(\.\d+)?$"), F.timestamp_seconds(raw.try_cast("double")))
     # the shape tests spare failed parses, which cost an exception each
     read = lambda shape, fmt: F.when(raw.rlike(shape), F.try_to_timestamp(raw, F.lit(fmt)))
@@ -105,6 +109,11 @@ def event_time(fields: Column, as_of: Column) -> Column:
     )
 
 
+def event_time(fields: Column, as_of: Column) -> Column:
+    """Event time from the candidate keys; ``as_of`` where none can be read."""
+    return read_time(time_text(fields), as_of)
+
+
 def audit_time(text: Column) -> Column:
     """Stored time text; a doubled offset ``+00:00Z`` is repaired."""
     return F.regexp_replace(F.regexp_replace(text, r"\+00:00Z$", "+00:00"), "Z$", "").try_cast("timestamp")

@@ -56,13 +56,15 @@ def normalized(df: DataFrame, raw: str = "raw", as_of: Column | None = None) ->
     fields = F.col(raw)
     out = df.withColumn("source_type", records.source_type(fields))
     out = out.withColumn("normalized", records.canonical_fields(fields, F.col("source_type")))
-    out = out.withColumn("entities", text.named_entities(text.values_text(fields)))
+    # Texts that several patterns read are columns, so that a record builds each once.
+    out = out.withColumn("_values_text", text.values_text(fields)).withColumn("_time_text", records.time_text(fields))
+    out = out.withColumn("entities", text.named_entities(F.col("_values_text")))
     need_ip = (F.coalesce(records.item(F.col("normalized"), "src_ip"), F.lit("")) == "") & F.col("entities.ip").isNotNull()
     filled = F.map_concat(
         F.map_filter(F.col("normalized"), lambda k, _: k != "src_ip"), F.create_map(F.lit("src_ip"), F.col("entities.ip"))
     )
     out = out.withColumn("normalized", F.when(need_ip, filled).otherwise(F.col("normalized")))
-    out = out.withColumn("event_time", records.event_time(fields, as_of if as_of is not None else F.lit(None).cast("timestamp")))
+    out = out.withColumn("event_time", records.read_time(F.col("_time_text"), as_of if as_of is not None else F.lit(None).cast("timestamp"))).drop("_values_text", "_time_text")
     return out.withColumn("content_fingerprint", records.content_fingerprint(F.col("normalized")))
 
 
