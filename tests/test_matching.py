@@ -65,6 +65,26 @@ def test_metric_index_skips_most_pairs_and_stays_exact(spark):
     assert compared < 0.4 * live.count() * 900
 
 
+def test_components_that_no_query_has_are_folded(spark, monkeypatch):
+    rng = np.random.RandomState(9)
+    x, y = np.zeros((30, 40)), rng.normal(size=(200, 40))
+    x[:, :4] = rng.normal(size=(30, 4))
+    x[7, 3], x[9], y[11], y[60] = 0, 0, 0, y[5]
+    x, y = x.astype(np.float32), y.astype(np.float32)
+    q, v = vectors(spark, x, "q", "query_id"), vectors(spark, y, "v", "vector_id")
+    want = brute_matches(x, y, 5)
+
+    def check(**sizes):
+        got = similarity.top_matches(q, v, 5, query_vector="q", vector="v", **sizes).collect()
+        assert {(r["query_id"], r["rank"]): r["vector_id"] for r in got} == {key: j for key, (j, _) in want.items()}
+        assert all(abs(r["similarity"] - want[r["query_id"], r["rank"]][1]) < 1e-11 for r in got)
+
+    check(broadcast_bytes=0, block_bytes=20 * 48, pivots=8)
+    # Five numbers a vector are small enough to broadcast, forty are not.
+    monkeypatch.setattr(similarity, "metric_index", None)
+    check(broadcast_bytes=200 * 48)
+
+
 def test_metric_index_with_a_floor_and_without_the_same_id(spark):
     rng = np.random.RandomState(8)
     x = clustered(rng, 300, rng.normal(size=(6, 10)))

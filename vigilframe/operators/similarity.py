@@ -47,6 +47,22 @@ def l2_normalized(vector: Column) -> Column:
     )
 
 
+def last_used(vector: Column) -> Column:
+    """Place (from 1) of the last component that isn't zero; 0 if all are."""
+    return F.coalesce(F.array_max(F.transform(vector, lambda x, i: F.when(x != 0, i + 1))), F.lit(0))
+
+
+def folded_tail(vector: Column, used: int) -> Column:
+    """Unit vector of the first ``used`` components and the norm of the rest. A vector without components behind ``used`` has the
+    same similarities with it as with the whole vector."""
+
+    def folded(v: Column) -> Column:
+        tail = F.aggregate(F.slice(v, used + 1, F.greatest(F.size(v) - used, F.lit(0))), F.lit(0.0), lambda a, x: a + x * x)
+        return F.concat(F.slice(v, 1, used), F.array(F.sqrt(tail)))
+
+    return bound(l2_normalized(vector), folded)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
         F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x
@@ -81,19 +97,21 @@ def _best(qid: np.ndarray, qm: np.ndarray, vid: np.ndarray, vm: np.ndarray, k: i
     step = min(QUERY_STEP, max(1, CELLS // max(1, len(vid))))
     for at in range(0, len(qid) if len(vid) else 0, step):
         sims = qm[at : at + step] @ vm.T
-        np.round(sims, 12, out=sims)
         ids = qid[at : at + step]
         if exclude_same:
             sims[ids[:, None] == vid[None, :]] = -np.inf
         for i, row in enumerate(sims):
             near = np.arange(len(row))
             if k < len(row):
-                near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
-            near = near[np.argsort(-row[near], kind="stable")][:k]
-            near = near[np.isfinite(row[near])]
+                # Similarities are compared at 12 digits; only those that may tie with the k-th are rounded.
+                near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 2e-12)
+            value = np.round(row[near], 12)
+            sort = np.argsort(-value, kind="stable")[:k]
+            near, value = near[sort], value[sort]
+            near, value = near[np.isfinite(value)], value[np.isfinite(value)]
             out_q.append(np.full(len(near), ids[i]))
             out_v.append(vid[near])
-            out_s.append(row[near])
+            out_s.append(value)
             out_r.append(np.arange(1, len(near) + 1))
     cat = lambda parts, t: np.concatenate(parts).astype(t) if parts else np.empty(0, t)
     return pa.RecordBatch.from_arrays(
@@ -260,10 +278,18 @@ def top_matches(
     stream past it without a shuffle; a larger one is searched through its metric
     index, with blocks of at most ``block_bytes``. ``floor``: matches below this
     similarity may be left out, and blocks that hold no others are not visited.
+    Components behind the last that any query has do not enter a product: of
+    these only the vectors' norm is kept.
     """
     q = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(query_vector).alias("q"))
     v = vectors.select(F.col(vector_id).cast("bigint").alias("vector_id"), F.col(vector).alias("v"))
     spark = queries.sparkSession
+    used, width = q.agg(F.coalesce(F.max(last_used(F.col("q"))), F.lit(0)), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    if 0 < used and used + 1 < width:
+        q, v = q.select("query_id", folded_tail(F.col("q"), used).alias("q")), v.select("vector_id", folded_tail(F.col("v"), used).alias("v"))
+        path = scratch_path(spark, "similarity-vectors")
+        v.write.parquet(path)
+        v = spark.read.parquet(path)
     n_vec, width = v.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     row_bytes = 8 * max(1, width or 0) + 8
     if n_vec * row_bytes <= broadcast_bytes:
