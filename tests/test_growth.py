@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from vigilframe.operators import audit, models, running, similarity
+from vigilframe.operators import attribution, audit, models, running, similarity
 from vigilframe.sources import graphs
 from vigilframe.streaming import stateful
 
@@ -88,6 +88,53 @@ def test_similarities_held_at_a_time_are_bounded(spark, monkeypatch):
     assert np.array_equal(np.array(got["vector_id"]).reshape(70, 3), want) and max(most) <= 500
 
 
+def test_vectors_out_of_reach_are_not_shuffled(spark, monkeypatch):
+    rng = np.random.RandomState(11)
+    x, y = np.zeros((80, 30)), np.abs(rng.normal(size=(3000, 30)))
+    x[:, :6] = 1 + 0.2 * rng.uniform(size=(80, 6))
+    y[:100, 6:] = 0  # the others have most of their length where no query has anything
+    y[40:60] = y[7]
+    y[60] = 0
+    q = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "query_id bigint, q array<double>")
+    v = spark.createDataFrame([(int(i), y[i].tolist()) for i in rng.permutation(3000)], "vector_id bigint, v array<double>")
+    visited, seen = similarity._visited, []
+    monkeypatch.setattr(similarity, "_visited", lambda vectors, *rest: seen.append(vectors.count()) or visited(vectors, *rest))
+    got = similarity.top_matches(q, v, 5, query_vector="q", vector="v", broadcast_bytes=0, block_bytes=30 * 64).collect()
+    length = np.linalg.norm(y, axis=1, keepdims=True)
+    sims = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ np.divide(y, length, out=np.zeros_like(y), where=length > 0).T, 12)
+    assert {(r["query_id"], r["rank"]): r["vector_id"] for r in got} == {(i, n + 1): j for i in range(80) for n, j in enumerate(np.lexsort((np.arange(3000), -sims[i]))[:5])}
+    assert len(seen) == 1 and seen[0] <= 300
+
+
+def test_best_of_copies_and_of_known_kth():
+    rng = np.random.RandomState(12)
+    q, v = rng.randn(50, 4), rng.randn(6000, 4)[rng.randint(0, 300, 6000)]
+    sims = np.round(q @ v.T, 12)
+    want = [np.lexsort((np.arange(6000), -row))[:3].tolist() for row in sims]
+    some = similarity._least_copies(v, 3)
+    assert len(some) <= 900 and all(set(w) <= set(some) for w in want)
+    for kth in (None, np.sort(sims, axis=1)[:, -3], np.where(np.arange(50) % 2, -np.inf, np.sort(sims, axis=1)[:, -40])):
+        for ids, m in ((np.arange(6000), v), (some, v[some])):
+            got = similarity._best(np.arange(50), q, ids, m, 3, False, kth).to_pydict()
+            assert np.array(got["vector_id"]).reshape(50, 3).tolist() == want
+    other = similarity._best(np.arange(50), q, np.arange(6000), v, 3, True).to_pydict()
+    rows = [[j for j in np.lexsort((np.arange(6000), -sims[i])) if j != i][:3] for i in range(50)]
+    assert np.array(other["vector_id"]).reshape(50, 3).tolist() == rows
+
+
+def test_texts_are_embedded_in_batches(spark):
+    texts = ["é" * 900 + "😀a", "x" * 384, "y" * 385, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", attribution.text_embedding(F.col("t")).alias("e"))
+    assert "ArrowEvalPython" in plan_of(df)
+    got = {r["i"]: r["e"] for r in df.collect()}
+    for i, text in enumerate(texts[:4]):
+        slots = np.zeros(384)
+        for j, c in enumerate(text):
+            slots[j % 384] += ord(c)
+        assert np.allclose(got[i], slots / max(np.linalg.norm(slots), 1e-300), rtol=0, atol=1e-15)
+    assert got[4] is None
+
+
 def test_chains_take_no_call_per_leaf(spark):
     rows = spark.range(300).selectExpr("id % 40 AS k", "id AS micros", "id")
     log = audit.chained(rows, "k", [F.col("micros")], F.floor(F.col("micros") / 50), ["id"], leaf=3)
